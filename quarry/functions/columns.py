@@ -80,6 +80,19 @@ def long_form(df: DataFrame, values: Sequence[str], keep: Sequence[str] = (), as
     )
 
 
+def as_number(df: DataFrame, col: str) -> Column:
+    """Numbers, dates and times as a double that keeps their order (times in microseconds)."""
+    c, kind = name(col), df.schema[col].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):  # from the clock reading, whatever the session time zone
+        seconds = F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+        return (seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in kilometres, atan2 form."""
     p1, p2 = F.radians(lat1), F.radians(lat2)

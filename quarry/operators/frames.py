@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import (
-    as_list, missing, name, numeric_columns, present, require, require_numeric, text_columns,
+    as_list, as_number, missing, name, numeric_columns, present, require, require_numeric, text_columns,
 )
 from quarry.operators import ordered, rows, stats
 from quarry.operators.geo import grid_counts
@@ -63,7 +63,7 @@ def line_frame(df: DataFrame, x: str, y: str, buckets: int | None = None) -> Dat
     points = present(df, x, y)
     if buckets is None:
         return points.select(name(x).alias("x"), name(y).alias("y")).orderBy("x", "y")
-    at = F.unix_micros(name(x)).cast("double") if df.schema[x].dataType.typeName() == "timestamp" else name(x).cast("double")
+    at = as_number(df, x)
     low, high = points.agg(F.min(at), F.max(at)).first()
     if low is None:
         return points.limit(0).select(F.lit(0).alias("bucket"), F.lit(0.0).alias("min_y"), F.lit(0.0).alias("max_y"), F.lit(0.0).alias("avg_y"))

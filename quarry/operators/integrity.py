@@ -76,12 +76,12 @@ def scan_pii(df: DataFrame, key: str | Sequence[str], entities: str | Sequence[s
     cells = long_form(df, texts, keys, as_type="string")
     if not chosen:
         return cells.select(*map(name, keys), "column", F.lit("").alias("entity"), F.lit(0).alias("match_no"), F.col("value").alias("snippet")).limit(0)
-    # (?U): letters, digits and word boundaries in the Unicode sense
-    hits = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all("value", F.lit("(?U)" + p), F.lit(0)),
-                    lambda s, i, e=e: F.struct(F.lit(e).alias("entity"), i.alias("match_no"), s.alias("snippet")))
-        for e, p in chosen.items()
-    ]))
+    def matches(entity: str, pattern: str) -> Column:
+        # (?U): letters, digits and word boundaries in the Unicode sense
+        found = F.regexp_extract_all("value", F.lit("(?U)" + pattern), F.lit(0))
+        return F.transform(found, lambda s, i: F.struct(F.lit(entity).alias("entity"), i.alias("match_no"), s.alias("snippet")))
+
+    hits = F.flatten(F.array(*[matches(e, p) for e, p in chosen.items()]))
     return cells.select(*map(name, keys), "column", F.inline(hits))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import long_form, name, present
+from quarry.functions.columns import as_number, long_form, name, present
 from quarry.session import write_out
 
 ROWS_PER_RANGE = 250_000
@@ -29,16 +29,8 @@ def _order_key(df: DataFrame, cols: Sequence[str]) -> Column:
     """
     parts = []
     for i, c in enumerate(cols):
-        kind = df.schema[c].dataType
-        value = name(c)
-        if isinstance(kind, T.TimestampType):
-            value = F.unix_micros(value).cast("double")
-        elif isinstance(kind, T.DateType):
-            value = F.unix_date(value).cast("double")
-        elif isinstance(kind, (T.NumericType, T.BooleanType)):
-            value = value.cast("double")
-        else:
-            value = value.cast("string")
+        ordered_type = isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType, T.DatetimeType))
+        value = as_number(df, c) if ordered_type else name(c).cast("string")
         parts += [name(c).isNull().alias(f"n{i}"), value.alias(f"v{i}")]
     return F.struct(*parts)
 

@@ -33,12 +33,12 @@ def tail(df: DataFrame, n: int = 10, order_by: str | Sequence[str] = ()) -> Data
     return df.orderBy(*[name(c).desc_nulls_first() for c in cols]).limit(n).orderBy(*_ascending(cols))
 
 
-def take_by_hash(df: DataFrame, key: Sequence[str], seed: int, quota: DataFrame | int,
-                 by: str | None = None) -> DataFrame:
-    """Exactly ``quota`` rows (per ``by`` value when given as a table by, quota), repeatably.
+def mark_by_hash(df: DataFrame, key: Sequence[str], seed: int, quota: DataFrame | int,
+                 by: str | None = None, out: str = "taken") -> DataFrame:
+    """Mark exactly ``quota`` rows (per ``by`` value when given as a table by, quota), repeatably.
 
-    Rows are ordered by a hash of their key. Cells of equal hash prefix are counted first; whole cells
-    below the boundary are taken by a filter, and only the one boundary cell is ranked.
+    Rows are ordered by a hash of their key. Cells of equal hash are counted first; rows in cells below
+    and above the boundary are decided by a comparison, and only the one boundary cell is ranked.
     """
     require(df, *key, by)
     spark = df.sparkSession
@@ -66,10 +66,10 @@ def take_by_hash(df: DataFrame, key: Sequence[str], seed: int, quota: DataFrame
         .select(F.col("_group").alias("_of"), F.col("e._cell").alias("_edge"), F.col("e._rest").alias("_rest"))
     )
     placed = hashed.join(edge, F.col("_group").eqNullSafe(F.col("_of")))
-    whole = placed.filter(F.col("_cell") < F.col("_edge"))
+    whole = placed.filter(F.col("_cell") != F.col("_edge")).withColumn(out, F.col("_cell") < F.col("_edge"))
     rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", *[name(k) for k in key]))
-    split = placed.filter(F.col("_cell") == F.col("_edge")).withColumn("_rank", rank).filter("_rank <= _rest")
-    kept = [name(c) for c in df.columns]
+    split = placed.filter(F.col("_cell") == F.col("_edge")).withColumn(out, rank <= F.col("_rest"))
+    kept = [*[name(c) for c in df.columns], name(out)]
     return whole.select(*kept).unionByName(split.select(*kept))
 
 
@@ -85,7 +85,7 @@ def sample(df: DataFrame, frac: float | None = None, n: int | None = None, seed:
     if frac is None and n is not None and n <= 0:
         raise ValueError("n must be a positive integer")
     size = round(frac * df.count()) if frac is not None else (n or 10)
-    return take_by_hash(df, keys, seed, size)
+    return mark_by_hash(df, keys, seed, size, out="_taken").filter("_taken").drop("_taken")
 
 
 def filter_rows(df: DataFrame, where: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """Imports every query module, which registers its queries."""
 
-from quarry.plans import statistics, tables_and_rows  # noqa: F401
+from quarry.plans import cleaning_and_geo, sql_surface, statistics, tables_and_rows, trust_and_frames  # noqa: F401
 from quarry.plans.registry import ORACLE, QUERIES  # noqa: F401
