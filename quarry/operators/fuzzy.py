@@ -21,6 +21,10 @@ from quarry.operators.clean import map_values
 from quarry.session import write_out
 
 
+ONE_TASK_EDGES = 500_000
+FRONT_VERTICES = 1_000
+
+
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine-word style step per character of ``b``."""
     where: dict[str, int] = {}
@@ -82,6 +86,19 @@ def _signatures(words: DataFrame, q: int, threshold: float) -> DataFrame:
     return ranked.select("id", "size", F.inline(first)).select("id", "size", "key", "at")
 
 
+def _letter_masks(words: DataFrame) -> DataFrame:
+    """(id, mask): 64 bits that stand for the letters of a text, repeats told apart.
+
+    One insertion or deletion changes one letter of the bag, so at most one bit per edit differs.
+    """
+    letters = words.select("id", F.explode(F.split("word", "")).alias("letter")).filter("letter <> ''")
+    bags = letters.groupBy("id", "letter").agg(F.count(F.lit(1)).alias("n"))
+    bits = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0).cast("long"),
+        lambda bag, turn: bag.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("letter", turn), F.lit(64)).cast("int"))))
+    return bags.withColumn("bits", bits).groupBy("id").agg(F.bit_or("bits").alias("mask"))
+
+
 def similar_pairs(words: DataFrame, threshold: float) -> DataFrame:
     """(u, v, score) with u < v for all pairs of (id, word) that reach the threshold; words are distinct."""
     if not 0 < threshold <= 100:
@@ -91,44 +108,73 @@ def similar_pairs(words: DataFrame, threshold: float) -> DataFrame:
     signs = _signatures(words, q, threshold)
     if short:
         signs = signs.unionByName(_signatures(words.filter(F.length("word") <= short), 1, threshold))
-    signs = write_out(signs)
-    a = signs.select(F.col("id").alias("u"), F.col("size").alias("n"), "key", F.col("at").alias("i"))
-    b = signs.select(F.col("id").alias("v"), F.col("size").alias("m"), "key", F.col("at").alias("j"))
+    signs = write_out(signs.join(_letter_masks(words), "id"))
+    a = signs.select(F.col("id").alias("u"), F.col("size").alias("n"), "key", F.col("at").alias("i"), F.col("mask").alias("s"))
+    b = signs.select(F.col("id").alias("v"), F.col("size").alias("m"), "key", F.col("at").alias("j"), F.col("mask").alias("t"))
     allowed = F.floor((1 - t) * (F.col("n") + F.col("m")) + 1e-9)  # insertions plus deletions
     shift = F.abs(F.col("i") - F.col("j"))
-    meet = (F.col("u") < F.col("v")) & (F.abs(F.col("n") - F.col("m")) <= allowed)
+    meet = (F.col("u") < F.col("v")) & (F.abs(F.col("n") - F.col("m")) <= allowed) & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= allowed)
     close = shift <= allowed if q > 1 and not short else F.lit(True)
+    # The letter test inside the join keeps texts apart that share a common gram only.
     met = a.join(b, "key").filter(meet & close).select("u", "v").distinct()
     texts = met.join(words.select(F.col("id").alias("u"), F.col("word").alias("a")), "u").join(
         words.select(F.col("id").alias("v"), F.col("word").alias("b")), "v")
     return texts.withColumn("score", similarity("a", "b")).filter(F.col("score") >= threshold).select("u", "v", "score")
 
 
-def greedy_heads(edges: DataFrame) -> DataFrame:
+def _heads_in_order(edges: pd.DataFrame) -> list[int]:
+    """The sequential rule on a bounded set of edges u < v: a vertex is a head when no smaller neighbour is."""
+    smaller: dict[int, list[int]] = {}
+    for u, v in zip(edges["u"].tolist(), edges["v"].tolist()):
+        smaller.setdefault(v, []).append(u)
+        smaller.setdefault(u, [])
+    heads: set[int] = set()
+    for vertex in sorted(smaller):
+        if heads.isdisjoint(smaller[vertex]):
+            heads.add(vertex)
+    return sorted(heads)
+
+
+def _settle(edges: DataFrame) -> DataFrame:
+    """(id) of the heads among the vertices of a bounded edge set, in one task."""
+    return edges.groupBy(F.lit("all")).applyInPandas(lambda pdf: pd.DataFrame({"id": _heads_in_order(pdf)}), "id long")
+
+
+def greedy_heads(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, front: int = FRONT_VERTICES) -> DataFrame:
     """(id, head): every vertex on an edge with the head of its cluster, in order of vertex number.
 
     The sequential rule, take the first free vertex and claim all its free neighbours, makes a vertex a
-    head when no smaller neighbour is one. Each round settles all vertices that only wait for settled
-    ones; every round is written out. A vertex that is no head joins its smallest neighbouring head.
+    head when no smaller neighbour is one. Each round settles all vertices without a smaller open
+    neighbour, and the first ``front`` open vertices among themselves, so that long chains cannot stall
+    it; once few edges are left one task settles the rest. Every round is written out. A vertex that is
+    no head joins its smallest neighbouring head.
     """
     edges = write_out(edges.select("u", "v"))
-    both = write_out(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     waiting = write_out(both.select(F.col("u").alias("id")).distinct())
-    heads = None
-    open_edges = edges
+    open_edges, heads = edges, None
     while not waiting.isEmpty():
-        blocked = open_edges.select(F.col("v").alias("id")).distinct()
-        new = write_out(waiting.join(blocked, "id", "left_anti"))
-        claimed = both.join(new.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
+        free = waiting.join(open_edges.select(F.col("v").alias("id")).distinct(), "id", "left_anti")
+        if open_edges.count() <= one_task_edges:
+            new, last = free.unionByName(_settle(open_edges)).distinct(), True
+        else:
+            first = write_out(waiting.orderBy("id").limit(front))
+            ahead = (open_edges.join(first.select(F.col("id").alias("u")), "u", "left_semi")
+                     .join(first.select(F.col("id").alias("v")), "v", "left_semi"))
+            # a front vertex without an edge inside the front has no smaller open neighbour: it is free
+            new, last = free.unionByName(_settle(ahead)).distinct(), False
+        new = write_out(new)
         heads = new if heads is None else write_out(heads.unionByName(new))
-        waiting = write_out(waiting.join(new, "id", "left_anti").join(claimed, "id", "left_anti"))
+        if last:
+            break
+        claimed = both.join(new.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
+        waiting = write_out(waiting.join(new.unionByName(claimed), "id", "left_anti"))
         open_edges = write_out(open_edges.join(waiting.select(F.col("id").alias("u")), "u", "left_semi")
                                .join(waiting.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v"))
     if heads is None:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("head"))
     joined = both.join(heads.select(F.col("id").alias("v")), "v").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("head"))
-    joined = joined.join(heads, "id", "left_anti")
-    return heads.select("id", F.col("id").alias("head")).unionByName(joined)
+    return heads.select("id", F.col("id").alias("head")).unionByName(joined.join(heads, "id", "left_anti"))
 
 
 def _numbered_values(df: DataFrame, col: str, order: Sequence[str] | None) -> DataFrame:
