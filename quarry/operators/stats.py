@@ -213,9 +213,14 @@ def corr_pearson(df: DataFrame, min_periods: int | None = None, cols: Sequence[s
     least = max(1, min_periods or 1)
     pairs = [*combinations(cols, 2), *[(c, c) for c in cols]]
     at = {c: _clean(df, c).cast("double") for c in cols}
+    def agreement(a: str, b: str) -> Column:
+        # corr() divides by zero when a side does not vary
+        x, y = F.when(at[b].isNotNull(), at[a]), F.when(at[a].isNotNull(), at[b])
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
     one = df.agg(*[
         x for i, (a, b) in enumerate(pairs)
-        for x in (F.corr(at[a], at[b]).alias(f"r{i}"), F.count_if(at[a].isNotNull() & at[b].isNotNull()).alias(f"n{i}"))
+        for x in (agreement(a, b).alias(f"r{i}"), F.count_if(at[a].isNotNull() & at[b].isNotNull()).alias(f"n{i}"))
     ])
     flat = one.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),

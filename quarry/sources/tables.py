@@ -33,8 +33,11 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
         return reader.csv(path, header=True, inferSchema=schema is None, multiLine=False)
     if fmt == "json":
         lines = reader.json(path)
-        broken = lines.columns == ["_corrupt_record"]
-        return reader.json(path, multiLine=True) if broken else lines
+        if "_corrupt_record" in lines.columns and schema is None:
+            start = spark.read.text(path).filter(F.trim("value") != "").first()
+            if start and start["value"].lstrip().startswith("["):  # an array over several lines
+                return reader.json(path, multiLine=True)
+        return lines
     return reader.format(fmt).load(path)
 
 
