@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,10 @@ from quarry.operators import ordered
 from quarry.session import write_out
 
 
+SMALL_INPUT_ROWS = 10_000_000
+SPREAD = 1 << 31  # hashes are drawn from this many values
+
+
 def _usual_path(n: float) -> float:
     """Average depth of an unsuccessful search in a tree of ``n`` values."""
     if n <= 1:
@@ -51,20 +55,28 @@ def grow_tree(points: np.ndarray, depth_limit: int, rng: np.random.Generator) ->
 
 
 def _sample_per_tree(df: DataFrame, cols: Sequence[str], key: Sequence[str], trees: int, size: int, rows: int, seed: int) -> DataFrame:
-    """The ``size`` rows with the smallest hash for every tree.
+    """(tree, place, f0…): ``size`` rows without replacement for every tree, the same for the same seed.
 
-    A hash threshold keeps a few times that many candidates, so rows are not copied once per tree; it is
-    raised in the rare case that some tree got too few.
+    One hash per row keeps a pool of a few rows per draw; the trees then take the pool rows with their
+    smallest hashes, again behind a threshold, so neither rows nor pool are copied once per tree. A
+    threshold that kept too few is raised.
     """
-    spread = 1 << 31
-    share = min(1.0, 4.0 * size / rows)
+    def drawn_below(share: float) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *[f"k{i}" for i in range(len(key))]), F.lit(SPREAD)) < int(share * SPREAD)
+
+    values = df.select(*[name(c).cast("double").alias(f"f{i}") for i, c in enumerate(cols)], *[name(k).alias(f"k{i}") for i, k in enumerate(key)])
+    share = min(1.0, 8.0 * size * trees / rows)
+    while True:
+        pool = write_out(values.filter(drawn_below(share)) if share < 1.0 else values)
+        pooled = pool.count()
+        if share >= 1.0 or pooled >= 4 * size:
+            break
+        share = min(1.0, share * 4)
+    share = min(1.0, 4.0 * size / pooled)
     while True:
-        limit = int(share * spread)
         draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.struct(
-            i.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), i, *map(name, key)), F.lit(spread)).alias("draw")))
-        few = F.filter(draws, lambda d: d["draw"] < limit)
-        drawn = write_out(df.select(*[name(c).cast("double").alias(f"f{i}") for i, c in enumerate(cols)],
-                                    *[name(k).alias(f"k{i}") for i, k in enumerate(key)], F.inline(few)))
+            i.alias("tree"), F.pmod(F.xxhash64(F.lit(seed + 1), i, *[f"k{j}" for j in range(len(key))]), F.lit(SPREAD)).alias("draw")))
+        drawn = write_out(pool.select("*", F.inline(F.filter(draws, lambda d: d["draw"] < int(share * SPREAD)) if share < 1.0 else draws)))
         least = drawn.groupBy("tree").count().agg(F.min("count"), F.count("*")).first()
         if share >= 1.0 or (least[1] == trees and least[0] >= size):
             break
@@ -126,6 +138,8 @@ def isolation_forest(df: DataFrame, features: str | Sequence[str], key: str | Se
             score = np.power(2.0, -(depth / len(trees)) / usual)
             yield pd.Series(np.where(gaps, np.nan, -score))
 
+    if rows <= SMALL_INPUT_ROWS:  # a small input may sit in one file split: deal it out to all cores
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     scored = df.withColumn(out, F.nanvl(isolation(*[name(c).cast("double") for c in cols]), F.lit(None).cast("double")))
     if contamination == "auto":
         return scored.withColumn(out, F.col(out) + 0.5)

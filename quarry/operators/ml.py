@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import as_list, is_numeric, name, present, require, require_numeric
 from quarry.operators import ordered
 from quarry.operators.rows import mark_by_hash
+from quarry.session import write_out
 
 MAX_TREE_DEPTH = 30  # the deepest Spark ML grows
 FEATURES = "_features"
@@ -89,10 +90,12 @@ def train_test_split(df: DataFrame, key: str | Sequence[str], train_size: float
     return marked.filter("_train").drop("_train"), marked.filter("NOT _train").drop("_train")
 
 
-def _held_out(df: DataFrame, key: str | Sequence[str], test_size: float, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    n = df.count()
+def _held_out(df: DataFrame, key: Sequence[str], used: Sequence[str], test_size: float, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """Training rows, test rows and the number of the former; written once, as fitting reads them many times."""
+    usable = present(df, *used).select(*[name(c) for c in dict.fromkeys([*key, *used])])
+    n = usable.count()
     n_train = n - math.ceil(test_size * n)
-    marked = mark_by_hash(df, as_list(key), seed, n_train, out="_train")
+    marked = write_out(mark_by_hash(usable, key, seed, n_train, out="_train")) if test_size > 0 else write_out(usable.withColumn("_train", F.lit(True)))
     return marked.filter("_train").drop("_train"), marked.filter("NOT _train").drop("_train"), n_train
 
 
@@ -102,7 +105,7 @@ def train_classifier(df: DataFrame, target: str, features: str | Sequence[str],
     """Random forest or logistic regression on a 80/20 split; returns the model and its test accuracy."""
     cols = as_list(features)
     require(df, target, *cols, *as_list(key))
-    train, test, n_train = _held_out(present(df, target, *cols), key, test_size, seed)
+    train, test, n_train = _held_out(df, as_list(key), [target, *cols], test_size, seed)
     stages, names = feature_stages(df, cols)
     labelled = train.withColumn("_label_text", name(target).cast("string"))
     index = StringIndexer(inputCol="_label_text", outputCol="_label", stringOrderType="alphabetAsc").fit(labelled)
@@ -129,7 +132,7 @@ def train_regressor(df: DataFrame, target: str, features: str | Sequence[str], k
     cols = as_list(features)
     require(df, *cols, *as_list(key))
     require_numeric(df, target)
-    train, test, n_train = _held_out(present(df, target, *cols), key, test_size, seed)
+    train, test, n_train = _held_out(df, as_list(key), [target, *cols], test_size, seed)
     stages, names = feature_stages(df, cols)
     labelled = train.withColumn("_label", name(target).cast("double"))
     common = {"featuresCol": FEATURES, "labelCol": "_label", "predictionCol": "_index"}
@@ -230,13 +233,10 @@ def kmeans(df: DataFrame, features: str | Sequence[str], k: int = 3, init: str =
     stages, _ = feature_stages(df, cols)
     usable = present(df, *cols)
     prepared = Pipeline(stages=stages).fit(usable)
-    vectors = prepared.transform(usable).select(FEATURES).persist()
-    try:
-        runs = [KMeans(k=k, initMode="k-means||" if init == "k-means++" else "random", maxIter=max_iter, seed=seed + i,
-                       featuresCol=FEATURES, predictionCol="_index").fit(vectors) for i in range(n_init)]
-        best = min(runs, key=lambda m: m.summary.trainingCost)
-    finally:
-        vectors.unpersist()
+    vectors = write_out(prepared.transform(usable).select(FEATURES))  # read once per iteration
+    runs = [KMeans(k=k, initMode="k-means||" if init == "k-means++" else "random", maxIter=max_iter, seed=seed + i,
+                   featuresCol=FEATURES, predictionCol="_index").fit(vectors) for i in range(n_init)]
+    best = min(runs, key=lambda m: m.summary.trainingCost)
     centres = [tuple(c) for c in best.clusterCenters()]
     place = {i: n for n, i in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
     label = F.get(F.lit([place[i] for i in range(len(centres))]), F.col("_index"))

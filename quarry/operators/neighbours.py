@@ -114,7 +114,7 @@ def cells_join(queries: DataFrame, points: DataFrame, k: int, leaf_points: int =
     if not rows:
         return queries.select("v", F.array().cast("array<struct<d: double, p: string>>").alias("near"))
     levels = min(MAX_TREE_LEVELS, max(0, int(np.ceil(np.log2(max(1.0, rows / leaf_points))))))
-    wanted = 32 * 2 ** levels  # a million vectors at most
+    wanted = 16 * 2 ** levels  # half a million vectors at most
     sample = np.array([r[0] for r in points.select("v").sample(min(1.0, 1.5 * wanted / rows), seed=5).limit(2 * wanted).collect()] or
                       [points.first()["v"]], dtype=float)
     dim, cut = _grow_cells(sample, levels)

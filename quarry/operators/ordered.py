@@ -9,6 +9,7 @@ the work: a group that holds a third of all rows is spread over as many ranges a
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from quarry.functions.columns import as_number, long_form, name, present
 from quarry.session import write_out
 
-ROWS_PER_RANGE = 250_000
+ROWS_PER_RANGE = 100_000
 MAX_RANGES = 20_000
 SAMPLED_KEYS_PER_RANGE = 40
 
@@ -55,25 +56,18 @@ def _cut_points(df: DataFrame, key: Column, rows_per_range: int) -> tuple[str, s
     return picked["cuts"], kind, picked["n"]
 
 
-def _range_number(key: Column, cuts: str, kind: str, count: int) -> Column:
-    """Number of cut points at or below ``key``, by binary search over a constant array."""
-    if count == 0:
-        return F.lit(0)
-    points = F.from_json(F.lit(cuts), kind)
-
-    def halve(state: Column, _: Column) -> Column:
-        low, high = state["low"], state["high"]
-        middle = F.floor((low + high) / 2).cast("int")
-        below = key < F.get(points, middle)
-        return (
-            F.when(low >= high, F.struct(low.alias("low"), high.alias("high")))
-            .when(below, F.struct(low.alias("low"), middle.alias("high")))
-            .otherwise(F.struct((middle + 1).alias("low"), high.alias("high")))
-        )
+def _with_range(df: DataFrame, key: Column, cuts: str, kind: str, count: int) -> DataFrame:
+    """Add ``_range``, the number of cut points at or below ``key``.
 
-    start = F.struct(F.lit(0).alias("low"), F.lit(count).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(count.bit_length())), start, halve)["low"]
-    return F.coalesce(found, F.lit(0))  # never null; says so to the optimizer
+    Binary search with halving strides, one generated projection per stride.
+    """
+    points = F.from_json(F.lit(cuts), kind)
+    found = df.select("*", key.alias("_key"), F.lit(0).alias("_range"))
+    for stride in (2 ** i for i in reversed(range(count.bit_length()))):
+        reached = F.col("_range") + stride
+        ahead = (reached <= count) & (F.col("_key") >= F.get(points, reached - 1))
+        found = found.select(*[name(c) for c in df.columns], "_key", F.when(ahead, reached).otherwise(F.col("_range")).alias("_range"))
+    return found.drop("_key")
 
 
 def running_total(df: DataFrame, weights: Mapping[str, Column], order: Sequence[str], by: Sequence[str] = (),
@@ -95,7 +89,7 @@ def running_total(df: DataFrame, weights: Mapping[str, Column], order: Sequence[
             *[F.sum(w).over(ahead).alias(o) for o, w in weights.items()],
             *[F.sum(w).over(group).alias(f"{o}_all") for o, w in weights.items()],
         )
-    ranged = df.withColumn("_range", _range_number(key, cuts, kind, count))
+    ranged = _with_range(df, key, cuts, kind, count)
     cells = [*by, "_range"]
     upto = (Window.partitionBy(*[name(c) for c in cells])
             .orderBy(*[name(c).asc_nulls_last() for c in order])
@@ -150,17 +144,17 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], groups: Seque
     groups = list(groups)
     ranked = running_total(counts, {"upto": F.col("n")}, ["value"], groups, rows_per_range)
     # Row covers the 0-based positions [upto - n, upto); a quantile mixes the two around p * (all - 1).
-    asked = F.transform(
-        F.array(*[F.lit(float(p)) for p in probs]),
-        lambda p: F.struct(p.alias("p"), (p * (F.col("upto_all") - 1)).alias("at")),
-    )
-
     def covers(position: Column) -> Column:
         return (position >= F.col("upto") - F.col("n")) & (position < F.col("upto"))
 
+    def ends_in(at: Column) -> Column:
+        return covers(F.floor(at)) | covers(F.ceil(at))
+
+    last = F.col("upto_all") - 1
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * last).alias("at")) for p in probs])
     hits = (
-        ranked.withColumn("_hits", F.filter(asked, lambda q: covers(F.floor(q["at"])) | covers(F.ceil(q["at"]))))
-        .filter(F.size("_hits") > 0)
+        ranked.filter(reduce(lambda a, b: a | b, [ends_in(F.lit(float(p)) * last) for p in probs]))  # leaves a few rows per group
+        .withColumn("_hits", F.filter(asked, lambda q: ends_in(q["at"])))
         .select(*[name(g) for g in groups], "value", "n", "upto", F.explode("_hits").alias("_hit"))
     )
     low, high = F.floor(F.col("_hit.at")), F.ceil(F.col("_hit.at"))

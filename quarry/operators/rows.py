@@ -13,7 +13,7 @@ from quarry.functions.columns import as_list, missing, name, require, text_colum
 from quarry.functions.patterns import java_pattern, literal_pattern
 from quarry.functions.predicate import predicate
 
-HASH_CELLS = 4096
+HASH_CELLS = 65_536  # the one cell that is ranked holds about this fraction of a group
 
 
 def _ascending(cols: Sequence[str]) -> list[Column]:

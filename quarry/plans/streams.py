@@ -28,14 +28,15 @@ def _(t: Tables):
 
 
 @query("stream_groupby", """
-    SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS hour, event_type, round(sum(value), 4) AS value_sum, count(value) AS value_count
-    FROM events GROUP BY 1, 2 HAVING CAST(epoch(time_bucket(INTERVAL 1 HOUR, any_value(ts))) AS BIGINT) + 3600 <= (SELECT epoch(max(ts)) - 600 FROM events)""")
+    WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type, value FROM events)
+    SELECT strftime(h, '%Y-%m-%d %H') AS hour, event_type, round(sum(value), 4) AS value_sum, count(value) AS value_count
+    FROM w WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
 def _(t: Tables):
     path = t.scratch()
     streams.write_stream(_events(t), path, t.scratch(), lambda df: streams.windowed_groupby(
         df, "ts", "1 hour", "event_type", "value:sum,value:count")).awaitTermination()
     done = t.spark.read.parquet(path)
-    return rounded(done.select(F.unix_timestamp("window_start").alias("hour"), "event_type", "value_sum", "value_count"), 4)
+    return rounded(done.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "value_sum", "value_count"), 4)
 
 
 @query("stream_drift", """SELECT unnest(['event_id', 'user_id', 'value']) AS "column", 'OK' AS result""")

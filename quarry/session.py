@@ -39,6 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def write_out(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -48,4 +51,15 @@ def write_out(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"quarry-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process; call it once the results built on them are used."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped

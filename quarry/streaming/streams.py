@@ -34,6 +34,8 @@ def windowed_groupby(stream: DataFrame, time: str, window: str, keys: str | Sequ
     if unknown:
         raise ValueError(f"not available on a stream: {', '.join(unknown)}")
     aggs = [_COMBINABLE[f](name(c)).alias(f"{c}_{f}") for c, f in pairs] or [F.count(F.lit(1)).alias("counts")]
+    if isinstance(stream.schema[time].dataType, T.TimestampNTZType):  # watermarks need instants
+        stream = stream.withColumn(time, name(time).cast("timestamp"))
     span = F.window(name(time), window, slide) if slide else F.window(name(time), window)
     grouped = stream.withWatermark(time, late).groupBy(span.alias("window"), *map(name, by)).agg(*aggs)
     return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),

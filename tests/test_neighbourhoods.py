@@ -96,8 +96,10 @@ def test_greedy_rounds(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 60), (70, 71), (99, 5)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert {got[i] for i in [*range(31), 99]} == {0} and {got[i] for i in (40, 50, 60)} == {40} and got[71] == 70
+    df = spark.createDataFrame(edges, "u long, v long")
+    for limits in ({}, {"one_task_edges": 0}):
+        got = {r["node"]: r["root"] for r in components.components(df, **limits).collect()}
+        assert {got[i] for i in [*range(31), 99]} == {0} and {got[i] for i in (40, 50, 60)} == {40} and got[71] == 70
 
 
 def reference_clusters(points, eps, least, metric):
