@@ -54,6 +54,18 @@ def grow_tree(points: np.ndarray, depth_limit: int, rng: np.random.Generator) ->
     return {"feature": feature, "cut": cut, "left": left, "right": right, "rest": rest}
 
 
+def _flat_forest(trees: list) -> tuple[np.ndarray, ...]:
+    """All trees in one numbering: roots, split feature and position, both children, depth at the leaves."""
+    starts = np.cumsum([0, *[len(t["feature"]) for t in trees]])[:-1]
+    feature = np.concatenate([t["feature"] for t in trees]).astype(int)
+    own = np.arange(len(feature))
+    left = np.concatenate([np.asarray(t["left"], dtype=int) + s for t, s in zip(trees, starts)])
+    right = np.concatenate([np.asarray(t["right"], dtype=int) + s for t, s in zip(trees, starts)])
+    leaf = feature < 0
+    child = np.column_stack([np.where(leaf, own, left), np.where(leaf, own, right)])
+    return starts, np.where(leaf, 0, feature), np.concatenate([t["cut"] for t in trees]), child, np.concatenate([t["rest"] for t in trees])
+
+
 def _sample_per_tree(df: DataFrame, cols: Sequence[str], key: Sequence[str], trees: int, size: int, rows: int, seed: int) -> DataFrame:
     """(tree, place, f0…): ``size`` rows without replacement for every tree, the same for the same seed.
 
@@ -112,31 +124,22 @@ def isolation_forest(df: DataFrame, features: str | Sequence[str], key: str | Se
 
     shape = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, rest array<double>"
     # Bounded result: n_estimators trees of at most 2 * max_samples nodes.
-    forest = [tuple(np.asarray(r[c]) for c in ("feature", "cut", "left", "right", "rest"))
-              for r in picked.groupBy("tree").applyInPandas(grow, shape).orderBy("tree").collect()]
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    grown = picked.groupBy("tree").applyInPandas(grow, shape).orderBy("tree").collect()
+    shared = df.sparkSession.sparkContext.broadcast(_flat_forest(grown))
     usual = _usual_path(size) or 1.0
 
     @F.pandas_udf(T.DoubleType())
     def isolation(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        trees = shared.value
+        roots, feature, cut, child, rest = shared.value
         for columns in batches:
             points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            gaps = np.isnan(points).any(axis=1)
-            depth = np.zeros(len(points))
-            every = np.arange(len(points))
-            for feature, cut, left, right, rest in trees:
-                node = np.zeros(len(points), dtype=int)
-                inner = feature[node] >= 0
-                while inner.any():
-                    at = every[inner]
-                    here = node[at]
-                    below = points[at, feature[here]] <= cut[here]
-                    node[at] = np.where(below, left[here], right[here])
-                    inner = feature[node] >= 0
-                depth += rest[node]
-            score = np.power(2.0, -(depth / len(trees)) / usual)
-            yield pd.Series(np.where(gaps, np.nan, -score))
+            row = np.arange(len(points))[:, None]
+            node = np.repeat(roots[None, :], len(points), axis=0)
+            for _ in range(limit):  # leaves lead to themselves
+                above = points[row, feature[node]] > cut[node]
+                node = child[node, above.astype(np.int8)]
+            score = np.power(2.0, -rest[node].mean(axis=1) / usual)
+            yield pd.Series(np.where(np.isnan(points).any(axis=1), np.nan, -score))
 
     if rows <= SMALL_INPUT_ROWS:  # a small input may sit in one file split: deal it out to all cores
         df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)

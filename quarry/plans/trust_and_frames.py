@@ -195,7 +195,7 @@ def _(t: Tables):
     return frames.scatter_frame(t.part, "p_size", "p_retailprice")
 
 
-@query("scatter_frame_sample", "SELECT CAST(500 AS BIGINT) AS n, true AS known FROM orders LIMIT 1")
+@query("scatter_frame_sample", "SELECT least(500, count(*)) AS n, true AS known FROM orders")
 def _(t: Tables):
     points = frames.scatter_frame(t.orders, "o_custkey", "o_totalprice", max_points=500, key="o_orderkey", seed=7)
     known = t.orders.select(F.col("o_custkey").alias("x"), F.col("o_totalprice").alias("y")).distinct().withColumn("known", F.lit(True))
@@ -235,8 +235,8 @@ def _(t: Tables):
 
 
 @query("pair_frame", """
-    SELECT 'p_retailprice' AS "row", 'p_size' AS col, CAST(300 AS BIGINT) AS cells, CAST(NULL AS BIGINT) AS n FROM region WHERE r_regionkey = 0
-    UNION ALL SELECT 'p_size', 'p_retailprice', 300, NULL FROM region WHERE r_regionkey = 0
+    SELECT 'p_retailprice' AS "row", 'p_size' AS col, least(300, count(*)) AS cells, CAST(NULL AS BIGINT) AS n FROM part
+    UNION ALL SELECT 'p_size', 'p_retailprice', least(300, count(*)), NULL FROM part
     UNION ALL SELECT 'p_size', 'p_size', 8, count(*) FROM part UNION ALL SELECT 'p_retailprice', 'p_retailprice', 8, count(*) FROM part""")
 def _(t: Tables):
     pairs = frames.pair_frame(t.part, "p_size,p_retailprice", "p_partkey", max_points=300, bins=8)
