@@ -10,6 +10,7 @@ import ast
 import io
 import re
 import tokenize
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,32 +68,32 @@ def predicate(df: DataFrame, where: str) -> Column:
             return -operand(node.operand)
         raise ValueError(f"not supported in a filter: {ast.unparse(node)}")
 
-    def compare(op: ast.cmpop, left: ast.expr, right: ast.expr) -> Column:
+    def compare(op: ast.cmpop, left: ast.expr, right: ast.expr, plain: bool) -> Column:
+        def settled(test: Column) -> Column:
+            # A filter drops null like false; only below a negation must the two be told apart. Plain
+            # comparisons reach the file scan.
+            return test if plain else F.coalesce(test, F.lit(False))
+
         if isinstance(op, (ast.In, ast.NotIn)) or isinstance(right, (ast.List, ast.Tuple)):
             choices = [ast.literal_eval(e) for e in right.elts]
-            inside = F.coalesce(operand(left).isin(choices), F.lit(False))
-            return ~inside if isinstance(op, (ast.NotIn, ast.NotEq)) else inside
+            if isinstance(op, (ast.NotIn, ast.NotEq)):
+                return ~F.coalesce(operand(left).isin(choices), F.lit(False))
+            return settled(operand(left).isin(choices))
         a, b = operand(left), operand(right)
         if isinstance(op, ast.NotEq):
-            return F.coalesce(a != b, F.lit(True))
-        return F.coalesce(_COMPARE[type(op)](a, b), F.lit(False))
+            constant = isinstance(right, ast.Constant) and right.value is not None
+            return ~a.eqNullSafe(b) if constant else F.coalesce(a != b, F.lit(True))
+        return settled(_COMPARE[type(op)](a, b))
 
-    def condition(node: ast.expr) -> Column:
+    def condition(node: ast.expr, plain: bool = True) -> Column:
         if isinstance(node, ast.BoolOp):
-            parts = [condition(v) for v in node.values]
-            joined = parts[0]
-            for part in parts[1:]:
-                joined = (joined & part) if isinstance(node.op, ast.And) else (joined | part)
-            return joined
+            parts = [condition(v, plain) for v in node.values]
+            return reduce((lambda x, y: x & y) if isinstance(node.op, ast.And) else (lambda x, y: x | y), parts)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.Not, ast.Invert)):
-            return ~condition(node.operand)
+            return ~condition(node.operand, plain=False)
         if isinstance(node, ast.Compare):
             sides = [node.left, *node.comparators]
-            steps = [compare(op, sides[i], sides[i + 1]) for i, op in enumerate(node.ops)]
-            joined = steps[0]
-            for step in steps[1:]:
-                joined = joined & step
-            return joined
+            return reduce(lambda x, y: x & y, [compare(op, sides[i], sides[i + 1], plain) for i, op in enumerate(node.ops)])
         return F.coalesce(operand(node).cast("boolean"), F.lit(False))
 
     return condition(tree)

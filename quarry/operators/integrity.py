@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,18 @@ def _key(key: bytes | str) -> Column:
     return F.unhex(F.lit(raw.hex()))
 
 
+def key_from_file(path: str) -> bytes:
+    """The key in a file on the driver; a new random one is stored there when the file does not exist."""
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except FileNotFoundError:
+        key = secrets.token_bytes(32)
+        with open(path, "xb") as f:
+            f.write(key)
+        return key
+
+
 def encrypt_col(df: DataFrame, col: str, key: bytes | str) -> DataFrame:
     """Authenticated encryption (AES-GCM) to Base64 text; null stays null."""
     require(df, col)

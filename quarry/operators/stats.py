@@ -15,7 +15,7 @@ from quarry.operators import ordered
 from quarry.session import write_out
 
 _FUNCS = {
-    "mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp,
+    "mean": F.avg, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp,
     "var": F.var_samp, "nunique": F.count_distinct,
 }
 
@@ -92,10 +92,19 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, func: str = "mea
     require(df, index, columns, values)
     if func not in ("mean", "sum", "count", "min", "max"):
         raise ValueError("func must be mean, sum, count, min or max")
-    rows = present(df, index, columns, values)
+    # sums and counts of no values are 0, other statistics have no cell then
+    rows = present(df, index, columns, *([] if func in ("sum", "count") else [values]))
     heads = _pivot_values(rows, columns)
-    wide = rows.groupBy(name(index)).pivot(columns, heads).agg(_FUNCS[func](name(values)))
-    return wide if fill_value is None else wide.na.fill(fill_value, [c for c in wide.columns if c != index])
+    wide = rows.groupBy(name(index)).pivot(columns, heads).agg(_FUNCS[func](_clean(df, values)))
+    if func == "sum":  # a pair of index and column that never occurs stays empty
+        seen = rows.groupBy(name(index)).pivot(columns, heads).agg(F.count(F.lit(1)))
+        wide = wide.alias("w").join(seen.alias("s"), index).select(
+            name(index), *[F.when(F.col(f"s.`{h}`") > 0, F.col(f"w.`{h}`")).alias(h) for h in wide.columns if h != index])
+    if fill_value is None:
+        return wide
+    if isinstance(fill_value, str):
+        fill_value = float(fill_value)
+    return wide.na.fill(fill_value, [c for c in wide.columns if c != index])
 
 
 def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = None, margins: bool = False) -> DataFrame:

@@ -116,8 +116,9 @@ def _(t: Tables):
     SELECT CAST(floor(0.75 * count(*)) AS BIGINT) AS train, CAST(count(*) - floor(0.75 * count(*)) AS BIGINT) AS test, CAST(0 AS BIGINT) AS shared FROM orders""")
 def _(t: Tables):
     train, test = ml.train_test_split(t.orders, "o_orderkey", 0.75, seed=4)
-    shared = train.join(test, "o_orderkey", "left_semi").agg(F.count("*").alias("shared"))
-    return train.agg(F.count("*").alias("train")).join(test.agg(F.count("*").alias("test"))).join(shared)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    per_key = both.groupBy("o_orderkey").agg(F.count_if(F.col("part") == "train").alias("a"), F.count_if(F.col("part") == "test").alias("b"))
+    return per_key.agg(F.sum("a").alias("train"), F.sum("b").alias("test"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("shared"))
 
 
 @query("train_test_split_stratified", """

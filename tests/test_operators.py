@@ -157,6 +157,32 @@ def test_groupby_drops_missing_keys(dirty):
         stats.groupby_pivot(dirty, "country")
 
 
+def test_pivot_matches_pandas(spark):
+    frame = pd.DataFrame({"k": list("aabbcc"), "c": list("xyxyxx"), "v": [1.0, None, None, None, 4.0, 6.0]})
+    df = spark.createDataFrame(with_nulls(frame), "k string, c string, v double")
+    for func in ("sum", "count", "mean", "max", "min"):
+        want = frame.pivot_table(index="k", columns="c", values="v", aggfunc=func)
+        got = stats.pivot(df, "k", "c", "v", func).toPandas().set_index("k").sort_index()
+        for c in want.columns:
+            assert np.allclose(got.loc[want.index, c].astype(float), want[c].astype(float), equal_nan=True), (func, c)
+    assert stats.pivot(df, "k", "c", "v", "mean", fill_value="0").filter("k = 'c'").first()["x"] == 5.0
+
+
+def with_nulls(frame):
+    return frame.astype(object).where(frame.notna(), None)
+
+
+def test_compact_and_keys(spark, dirty, tmp_path):
+    dirty.repartition(5).write.parquet(str(tmp_path / "many"))
+    packed = tables.compact(spark, str(tmp_path / "many"), str(tmp_path / "few"), 2)
+    assert packed.count() == 6 and len(packed.inputFiles()) <= 2
+    known = tables.compact(spark, str(tmp_path / "many"), str(tmp_path / "known"), 1, analyze_as="known_table")
+    assert known.count() == 6 and "6 rows" in str(spark.sql("DESCRIBE EXTENDED known_table").filter("col_name = 'Statistics'").collect())
+    spark.sql("DROP TABLE known_table")
+    key = integrity.key_from_file(str(tmp_path / "key"))
+    assert integrity.key_from_file(str(tmp_path / "key")) == key and len(key) == 32
+
+
 def test_describe_empty_and_ties(spark, dirty):
     got = {(r["column"], r["metric"]): (r["value"], r["text"]) for r in stats.describe(dirty).collect()}
     assert got[("country", "top")] == (None, "UK") and got[("country", "freq")] == (2.0, None)

@@ -27,6 +27,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_quantity:double,l_tax:double,l_returnflag:string>" in text
 
 
+def test_filter_strings_reach_the_scan(spark):
+    items = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    text = plan(rows.filter_rows(items, "l_quantity > 30 and l_returnflag != 'A' and l_linestatus in ['F', 'X']"))
+    assert "GreaterThan(l_quantity,30.0)" in text and "In(l_linestatus, [F,X])" in text and "Not(EqualNullSafe(l_returnflag,A))" in text
+
+
 @pytest.mark.parametrize("key", ["groupby", "crosstab", "dups", "rank", "drift_check", "fingerprint", "scan_pii", "geo_distance", "harmonize", "map_values"])
 def test_no_cartesian_product(spark, key):
     assert "CartesianProduct" not in plan(registry.queries()[key](spark, FOLDER))
