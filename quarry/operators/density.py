@@ -97,10 +97,11 @@ def _box_edges(core: DataFrame, axes: list[str], side: float, reach: float, metr
     while True:
         looked = write_out(judged(pairs).filter("NOT apart"))
         touching = looked.filter("touch").select(F.col("a_cell").alias("u"), F.col("b_cell").alias("v")).distinct()
-        found = write_out(touching if found is None else found.unionByName(touching))
-        open_pairs = looked.filter("NOT touch").join(found.select(F.col("u").alias("a_cell"), F.col("v").alias("b_cell")), ["a_cell", "b_cell"], "left_anti")
+        found = touching if found is None else found.unionByName(touching)
+        decided = found.select(F.col("u").alias("a_cell"), F.col("v").alias("b_cell"))
+        open_pairs = looked.filter("NOT touch").join(decided, ["a_cell", "b_cell"], "left_anti")
         small = (F.col("a_n") <= SMALL_BOX) & (F.col("b_n") <= SMALL_BOX)
-        last = level >= MAX_HALVINGS
+        last = level >= MAX_HALVINGS or looked.filter(~F.col("touch") & ~small).isEmpty()
         box = F.array(*[F.floor(F.col(a) / (side / 2.0 ** level)) for a in axes]) if level else F.col("cell")
         points = core.select(F.col("cell_no"), box.alias("box"), "lat", "lon")
         direct = open_pairs if last else open_pairs.filter(small)
@@ -108,10 +109,13 @@ def _box_edges(core: DataFrame, axes: list[str], side: float, reach: float, metr
         b = points.select(F.col("cell_no").alias("b_cell"), F.col("box").alias("b_box"), F.struct("lat", "lon").alias("q"))
         compared = (direct.select("a_cell", "a_box", "b_cell", "b_box").join(a, ["a_cell", "a_box"]).join(b, ["b_cell", "b_box"])
                     .filter(_near(metric, eps, "p", "q")).select(F.col("a_cell").alias("u"), F.col("b_cell").alias("v")).distinct())
-        found = write_out(found.unionByName(compared).distinct())
+        found = found.unionByName(compared).distinct()
+        if last:
+            return found
+        found = write_out(found)
         left = write_out(open_pairs.filter(~small).select("a_cell", "a_box", "b_cell", "b_box")
                          .join(found.select(F.col("u").alias("a_cell"), F.col("v").alias("b_cell")), ["a_cell", "b_cell"], "left_anti"))
-        if last or left.isEmpty():
+        if left.isEmpty():
             return found
         level += 1
         active = left.select(F.col("a_cell").alias("cell_no")).unionByName(left.select(F.col("b_cell").alias("cell_no"))).distinct()
@@ -153,8 +157,8 @@ def dbscan(df: DataFrame, lat: str, lon: str, eps: float = 0.5, min_samples: int
     )
     places = write_out(places)
     sizes = places.groupBy("cell").agg(F.sum("w").alias("cell_w"))
-    cell_no = write_out(ordered.number_rows(write_out(sizes.withColumn("cell_text", F.col("cell").cast("string"))), ["cell_text"], out="cell_no"))
-    points = write_out(places.join(cell_no.select("cell", "cell_no", "cell_w"), "cell"))
+    cell_no = write_out(sizes.withColumn("cell_no", F.monotonically_increasing_id()))  # any numbers do; written, they stay
+    points = write_out(places.join(cell_no, "cell"))
     thin = points.filter(F.col("cell_w") < min_samples)
     reachable = thin.select(F.struct("lat", "lon").alias("p"), F.explode(_neighbour_cells(dims)).alias("cell"))
     others = points.select("cell", F.struct("lat", "lon").alias("q"), "w")

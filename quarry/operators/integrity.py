@@ -42,7 +42,8 @@ def fingerprint(df: DataFrame, algo: str = "sha256", salt: str = "", exclude: st
         return F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
 
     row = F.sha2(F.concat(F.lit(f"{len(salt)}:{salt}"), *[part(c) for c in cols]), bits)
-    copies = df.select(row.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    # digests travel as bytes, half the size of their text
+    copies = df.select(F.unhex(row).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).withColumn("d", F.lower(F.hex("d")))
     leaves = (
         copies.groupBy(F.substring("d", 1, 6).alias("p"))
         .agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("d", F.lit("x"), F.col("n").cast("string")))), ","), bits).alias("d"))
