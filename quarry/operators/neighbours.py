@@ -14,7 +14,7 @@ from quarry.functions.columns import EARTH_RADIUS_KM, as_list, missing, name, nu
 from quarry.operators import ordered
 from quarry.session import write_out
 
-BROADCAST_CELLS = 2_000_000  # numbers in the broadcast matrix, 16 MB
+BROADCAST_CELLS = 100_000  # numbers in the broadcast matrix; beyond, the cell tree also does less work
 BLOCK_CELLS = 4_000_000
 LEAF_POINTS = 1_000
 MAX_TREE_LEVELS = 15

@@ -226,7 +226,9 @@ def _(t: Tables):
     return density.dbscan(coordinates(t.customer, "c_custkey"), "lat", "lon", 400.0, 4, "haversine", "c_custkey").select("c_custkey", "cluster_id")
 
 
-@query("dbscan_sizes")
+@query("dbscan_sizes", "SELECT cluster_id, count(*) AS count FROM (" + _density_sql(
+    "SELECT c_custkey AS k, c_nationkey * 2.0 AS lat, c_acctbal / 100 AS lon FROM customer",
+    "sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon)) <= 0.80005", 4) + ") GROUP BY 1")
 def _(t: Tables):
     at = t.customer.select("c_custkey", (F.col("c_nationkey") * 2.0).alias("lat"), (F.col("c_acctbal") / 100).alias("lon"))
     return density.cluster_sizes(density.dbscan(at, "lat", "lon", 0.80005, 4, key="c_custkey"))
