@@ -8,7 +8,7 @@ the work: a group that holds a third of all rows is spread over as many ranges a
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +19,7 @@ from quarry.functions.columns import as_number, long_form, name, present
 from quarry.session import write_out
 
 ROWS_PER_RANGE = 100_000
+QUANTILE_RANGE_ROWS = 20_000  # fine, as only the ranges that hold a quantile are sorted
 MAX_RANGES = 20_000
 SAMPLED_KEYS_PER_RANGE = 40
 
@@ -70,6 +71,19 @@ def _with_range(df: DataFrame, key: Column, cuts: str, kind: str, count: int) ->
     return found.drop("_key")
 
 
+def _offsets(ranged: DataFrame, outs: Iterable[str], by: Sequence[str]) -> DataFrame:
+    """Per (by…, _range): the sum of every weight ``_w_<out>`` in earlier ranges, and in the whole group."""
+    cells = [name(c) for c in [*by, "_range"]]
+    totals = ranged.groupBy(*cells).agg(*[F.sum(f"_w_{o}").alias(f"_t_{o}") for o in outs])
+    group = Window.partitionBy(*([name(c) for c in by] or [F.lit(0)]))
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        *cells, *[F.col(f"_t_{o}") for o in outs],
+        *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in outs],
+        *[F.sum(f"_t_{o}").over(group).alias(f"{o}_all") for o in outs],
+    )
+
+
 def running_total(df: DataFrame, weights: Mapping[str, Column], order: Sequence[str], by: Sequence[str] = (),
                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Add, per output name, the sum of a weight over this row and all rows before it.
@@ -96,14 +110,7 @@ def running_total(df: DataFrame, weights: Mapping[str, Column], order: Sequence[
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for out, weight in weights.items():
         ranged = ranged.withColumn(f"_w_{out}", weight)
-    totals = ranged.groupBy(*[name(c) for c in cells]).agg(*[F.sum(f"_w_{o}").alias(f"_t_{o}") for o in weights])
-    group = Window.partitionBy(*([name(c) for c in by] or [F.lit(0)]))
-    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[name(c) for c in cells],
-        *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in weights],
-        *[F.sum(f"_t_{o}").over(group).alias(f"{o}_all") for o in weights],
-    )
+    offsets = _offsets(ranged, weights, by)
     local = ranged.select("*", *[F.sum(f"_w_{o}").over(upto).alias(f"_l_{o}") for o in weights])
     joined = local.join(offsets, cells)
     return joined.select(
@@ -133,35 +140,56 @@ def value_counts(df: DataFrame, values: Sequence[str], by: Sequence[str] = (), a
 
 
 def quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+              rows_per_range: int = QUANTILE_RANGE_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles as rows (by…, column, p, quantile)."""
     return quantiles_of_counts(value_counts(df, values, by), probs, [*by, "column"], rows_per_range)
 
 
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], groups: Sequence[str],
-                        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Quantiles from a (groups…, value, n) table."""
+                        rows_per_range: int = QUANTILE_RANGE_ROWS) -> DataFrame:
+    """Quantiles from a written (groups…, value, n) table.
+
+    Range totals tell which ranges hold an asked position; only the rows of those ranges are sorted.
+    """
     groups = list(groups)
-    ranked = running_total(counts, {"upto": F.col("n")}, ["value"], groups, rows_per_range)
-    # Row covers the 0-based positions [upto - n, upto); a quantile mixes the two around p * (all - 1).
-    def covers(position: Column) -> Column:
-        return (position >= F.col("upto") - F.col("n")) & (position < F.col("upto"))
+    probs = [float(p) for p in probs]
 
-    def ends_in(at: Column) -> Column:
-        return covers(F.floor(at)) | covers(F.ceil(at))
+    def covers(position: Column, start: Column, end: Column) -> Column:
+        return (position >= start) & (position < end)
 
+    def wanted(at: Column, start: Column, end: Column) -> Column:
+        return covers(F.floor(at), start, end) | covers(F.ceil(at), start, end)
+
+    # A quantile mixes the values at the two 0-based positions around p * (all - 1).
     last = F.col("upto_all") - 1
-    asked = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * last).alias("at")) for p in probs])
+
+    def holds_any(start: Column, end: Column) -> Column:
+        return reduce(lambda a, b: a | b, [wanted(F.lit(p) * last, start, end) for p in probs])
+
+    key = _order_key(counts, [*groups, "value"])
+    cuts, kind, count = _cut_points(counts, key, rows_per_range)
+    if count == 0:
+        ranked = running_total(counts, {"upto": F.col("n")}, ["value"], groups, rows_per_range)
+    else:
+        ranged = _with_range(counts, key, cuts, kind, count).withColumn("_w_upto", F.col("n"))
+        ends = _offsets(ranged, ["upto"], groups).filter(holds_any(F.col("_o_upto"), F.col("_o_upto") + F.col("_t_upto")))
+        ends = write_out(ends.drop("_t_upto"))  # at most two ranges per group and quantile
+        cells = [*groups, "_range"]
+        ahead = (Window.partitionBy(*[name(c) for c in cells]).orderBy("value")
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = ranged.join(ends, cells).withColumn("upto", F.sum("n").over(ahead) + F.col("_o_upto"))
+    start, end = F.col("upto") - F.col("n"), F.col("upto")  # the positions a row covers
+    asked = F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * last).alias("at")) for p in probs])
     hits = (
-        ranked.filter(reduce(lambda a, b: a | b, [ends_in(F.lit(float(p)) * last) for p in probs]))  # leaves a few rows per group
-        .withColumn("_hits", F.filter(asked, lambda q: ends_in(q["at"])))
+        ranked.filter(holds_any(start, end))  # leaves a few rows per group
+        .withColumn("_hits", F.filter(asked, lambda q: wanted(q["at"], start, end)))
         .select(*[name(g) for g in groups], "value", "n", "upto", F.explode("_hits").alias("_hit"))
     )
     low, high = F.floor(F.col("_hit.at")), F.ceil(F.col("_hit.at"))
-    ends = hits.groupBy(*[name(g) for g in groups], F.col("_hit.p").alias("p"), F.col("_hit.at").alias("_at")).agg(
-        F.max(F.when(covers(low), F.col("value"))).alias("_low"),
-        F.max(F.when(covers(high), F.col("value"))).alias("_high"),
+    ends_of = hits.groupBy(*[name(g) for g in groups], F.col("_hit.p").alias("p"), F.col("_hit.at").alias("_at")).agg(
+        F.max(F.when(covers(low, start, end), F.col("value"))).alias("_low"),
+        F.max(F.when(covers(high, start, end), F.col("value"))).alias("_high"),
     )
     share = F.col("_at") - F.floor(F.col("_at"))
-    return ends.select(*[name(g) for g in groups], "p",
-                       (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"))
+    return ends_of.select(*[name(g) for g in groups], "p",
+                          (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"))

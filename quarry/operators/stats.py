@@ -55,9 +55,13 @@ def groupby(df: DataFrame, keys: str | Sequence[str], agg: str | Sequence[tuple[
     grouped = rows.groupBy(*map(name, keys)).agg(
         F.count(F.lit(1)).alias("_rows"), *[_FUNCS[f](_clean(df, c)).alias(f"{c}_{f}") for c, f in plain])
     if medians:
-        middle = ordered.quantiles(rows, medians, [0.5], keys)
-        wide = middle.groupBy(*map(name, keys)).agg(
-            *[F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(f"{c}_median") for c in medians])
+        # neutral key names, as a key may be called like a column of the quantile table
+        plain_keys = [f"_k{i}" for i in range(len(keys))]
+        measured = rows.select(*[name(k).alias(p) for k, p in zip(keys, plain_keys)], *[name(c) for c in dict.fromkeys(medians)])
+        middle = ordered.quantiles(measured, list(dict.fromkeys(medians)), [0.5], plain_keys)
+        wide = middle.groupBy(*plain_keys).agg(
+            *[F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(f"{c}_median") for c in dict.fromkeys(medians)])
+        wide = wide.select(*[F.col(p).alias(k) for k, p in zip(keys, plain_keys)], *[name(f"{c}_median") for c in dict.fromkeys(medians)])
         grouped = grouped.join(wide, keys, "left")
     return grouped.select(*map(name, keys), *[name(f"{c}_{f}") for c, f in pairs])
 

@@ -153,6 +153,9 @@ def test_groupby_drops_missing_keys(dirty):
     assert got == {"US": 2, "USA": 1, "UK": 2}
     medians = {r["country"]: r["salary_median"] for r in stats.groupby(dirty, "country", "salary:median").collect()}
     assert medians == {"US": 110.0, "USA": None, "UK": 110.0}
+    odd = dirty.select(F.col("country").alias("value"), F.col("id").alias("column"), F.col("salary").alias("n"))
+    assert {r["value"]: r["n_median"] for r in stats.groupby(odd, "value", "n:median").collect()} == medians
+    assert stats.groupby(odd, "value,column", "n:median,n:sum").count() == 5
     with pytest.raises(ValueError):
         stats.groupby_pivot(dirty, "country")
 
