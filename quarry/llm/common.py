@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.functions.columns import name, require
 
@@ -49,14 +48,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
-def split_words(texts: pa.Array, mark: str = " ") -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(texts: pa.Array, mark: str = " ") -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Per text the end of its words in the flat list, the index of every word, and the distinct words."""
     parts = pc.split_pattern(texts, mark)
     ends = np.asarray(parts.offsets, dtype=np.int64)
-    flat = parts.values.slice(ends[0], ends[-1] - ends[0]) if len(ends) else parts.values
-    coded = flat.dictionary_encode()
-    return ends[1:] - ends[0], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-
-
-def without_nulls(df: DataFrame, col: str) -> DataFrame:
-    return df.filter(F.col(col).isNotNull())
+    coded = parts.flatten().dictionary_encode()
+    return ends[1:] - ends[0], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary

@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id does not fit into {bits} bits")
     if bits in (8, 16, 32):
-        body = ids.astype(f"<u{bits // 8}").tobytes()
+        body = ids.astype(f"<u{bits // 8}", copy=False).tobytes()
         return body + bytes(-len(body) % 8)
     at = np.arange(len(ids), dtype=np.uint64) * np.uint64(bits)
     words = np.zeros((len(ids) * bits + 63) // 64 + 1, dtype=np.uint64)
@@ -129,11 +130,28 @@ class WordEncoder:
     SEAM = r"(\pL)([!-&(-/:-@\[-`{}~])"
 
     def __init__(self, path: str):
-        self.tokenizer, self.seen = _tokenizer(path), {"": b""}
+        self.tokenizer = _tokenizer(path)
         self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([""], pa.large_string())  # the words known, and where their ids lie in ``flat``
+        self.starts, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(texts), 4096):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:at + 4096], add_special_tokens=False)]
+        return out
+
+    def _learn(self, words: pa.Array) -> None:
+        found = self._encode(words.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())))
+        self.sizes = np.append(self.sizes, sizes)
+        self.words = pa.concat_arrays([self.words, words])
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, all ids), ``end`` after each text."""
@@ -145,24 +163,19 @@ class WordEncoder:
         for mark in "\n\r\t":
             plain = pc.replace_substring(plain, mark, " ")
         ends, words, distinct = split_words(pc.replace_substring_regex(pc.ascii_lower(plain), self.SEAM, r"\1 \2"))
-        if len(self.seen) > CACHED_WORDS:
-            self.seen = {"": b""}
-        new = [w for w in distinct if w not in self.seen]
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            self.seen.update(zip(part, self._encode(part)))
-        parts = [self.seen[w] for w in distinct]
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-        lengths = sizes[words]
-        ids = flat[ragged((np.cumsum(sizes) - sizes)[words], lengths)]
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        self._learn(distinct.filter(pc.invert(pc.is_in(distinct, value_set=self.words))))
+        place = pc.index_in(distinct, value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64)[words]
+        lengths = self.sizes[place]
+        ids = self.flat[ragged(self.starts[place], lengths)]
         upto = np.concatenate([[0], np.cumsum(lengths)])[ends]
         if whole:
             cuts = np.split(ids, upto[:-1])
             for i, found in whole.items():
-                cuts[i] = np.frombuffer(found, np.uint32)
+                cuts[i] = np.array(found, self.kind)
             ids, upto = np.concatenate(cuts), np.cumsum([len(c) for c in cuts])
-        return np.diff(upto, prepend=0) + 1, np.insert(ids, upto, np.uint32(end))
+        return np.diff(upto, prepend=0) + 1, np.insert(ids, upto, self.kind(end))
 
 
 @lru_cache(maxsize=2)

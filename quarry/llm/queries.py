@@ -40,3 +40,19 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     written = packed_ids.write_ids(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
     found = write_out(packed_ids.read_index(spark, written))
     return packed_ids.global_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_piece_encoding")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import pieces
+
+    return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import quality_rules
+
+    docs = table(spark, folder, "documents")
+    forest = quality_rules.fit(docs, table(spark, folder, "labels"), sample_rows=20_000)
+    return quality_rules.judge(docs, forest)
