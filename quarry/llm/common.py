@@ -54,3 +54,32 @@ def split_words(texts: pa.Array, mark: str = " ") -> tuple[np.ndarray, np.ndarra
     ends = np.asarray(parts.offsets, dtype=np.int64)
     coded = parts.flatten().dictionary_encode()
     return ends[1:] - ends[0], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a batch of large strings without nulls, and where each text ends."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    if not len(ends) or texts.buffers()[2] is None:
+        return np.zeros(0, np.uint8), ends
+    start = int(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset])
+    return np.frombuffer(texts.buffers()[2], np.uint8)[start:start + int(ends[-1])], ends
+
+
+#: Bytes that stand between words: blank, tab, line feed, vertical tab, form feed, carriage return.
+BLANKS = b" \t\n\x0b\x0c\r"
+_IS_BLANK = np.isin(np.arange(256), list(BLANKS))
+
+
+def words_of(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts given by ``flat_bytes``, one after the other, and their number per text."""
+    blank = _IS_BLANK[raw]
+    opens = ~blank
+    opens[1:] &= blank[:-1]
+    begin = (np.concatenate([[0], ends[:-1]]) if len(ends) else ends)[np.diff(ends, prepend=0) > 0]
+    opens[begin] = ~blank[begin]  # a text begins a word of its own
+    upto = np.concatenate([[0], np.cumsum(opens, dtype=np.int64)])
+    solid = np.ascontiguousarray(raw[~blank])
+    at = (np.cumsum(~blank) - 1)[opens]
+    offsets = np.append(at, len(solid)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(solid)])
+    return words, np.diff(upto[ends], prepend=0)

@@ -56,3 +56,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     forest = quality_rules.fit(docs, table(spark, folder, "labels"), sample_rows=20_000)
     return quality_rules.judge(docs, forest)
+
+
+@query("op7_minmax_duplicates")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import minmax
+
+    return minmax.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
