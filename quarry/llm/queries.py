@@ -63,3 +63,20 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm import minmax
 
     return minmax.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
+
+
+@query("op4_importance_resampling")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import resample
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    ratios = resample.log_ratios(docs, labels.filter("quality = 1").select("doc_id"))
+    return resample.resample(docs, ratios, resample.good_share(labels))
+
+
+@query("op3_token_trees")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import token_trees
+
+    revised = token_trees.revision(table(spark, folder, "documents"))
+    return token_trees.count_edited(revised, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
