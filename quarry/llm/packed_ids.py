@@ -30,7 +30,7 @@ from quarry.session import shared_folder
 
 BLOCK_IDS = 1 << 18
 FILE_TEXT_BYTES = 64 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 HEAD = struct.Struct("<4sIQQ")  # mark, bits, documents, ids
 TAIL = struct.Struct("<4sIQQ")  # mark, blocks, documents, ids of the file
 BLOCK_MARK, FILE_MARK = b"QIDB", b"QIDF"
@@ -165,8 +165,11 @@ class WordEncoder:
         ends, words, distinct = split_words(pc.replace_substring_regex(pc.ascii_lower(plain), self.SEAM, r"\1 \2"))
         if len(self.words) > CACHED_WORDS:
             self._forget()
-        self._learn(distinct.filter(pc.invert(pc.is_in(distinct, value_set=self.words))))
-        place = pc.index_in(distinct, value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64)[words]
+        known = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = known < 0
+        known[new] = len(self.words) + np.arange(int(new.sum()))
+        self._learn(distinct.filter(pa.array(new)))
+        place = known[words]
         lengths = self.sizes[place]
         ids = self.flat[ragged(self.starts[place], lengths)]
         upto = np.concatenate([[0], np.cumsum(lengths)])[ends]
