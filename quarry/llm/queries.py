@@ -80,3 +80,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
     revised = token_trees.revision(table(spark, folder, "documents"))
     return token_trees.count_edited(revised, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_spaced_seeds")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import decontaminate
+
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=13, similar=0.8)
