@@ -87,3 +87,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm import decontaminate
 
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=13, similar=0.8)
+
+
+@query("op5_line_edit_join")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import line_dedup
+
+    docs = table(spark, folder, "documents")
+    return line_dedup.line_report(docs, line_dedup.repeated_lines(docs, min_chars=20))
