@@ -95,3 +95,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return line_dedup.line_report(docs, line_dedup.repeated_lines(docs, min_chars=20))
+
+
+@query("op2_suffix_groups")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import suffix_dedup
+
+    docs = table(spark, folder, "documents")
+    return suffix_dedup.dedup_report(docs, suffix_dedup.repeated_spans(docs, length=400))
