@@ -4,9 +4,11 @@ Each permutation of the shingle hashes gives two signature values, the least and
 evaluations fill a signature. Values are banded; documents that share a band are candidates, and links are confirmed on
 the full shingle sets. Documents with equal sets stand for each other from the start.
 
-No group is ever expanded into all its pairs. Candidates first meet the least document of their bands; once those links
-have formed components, only documents whose band still holds another component are compared further, so a large group of
-near copies costs about one comparison per document.
+No group is ever expanded into all its pairs. Candidates first meet the hub of their bands, the document that shares its
+bands with most others (near copies of one text agree with that text more than with each other); once those links have
+formed components, only documents whose band still holds another component are compared further, and of those only the
+pairs that may be linked by what each of them shares with the hub (``_open_pairs``), so a large group of near copies costs
+a few comparisons per document.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import name, require
@@ -94,7 +96,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketched(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, limit=1 << 20):
         sets = shingle_sets(batch.column("text"), words)
         some = [i for i, s in enumerate(sets) if len(s)]
         prints, keys, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -108,7 +110,7 @@ def _sketched(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, limit=1 << 20):
         sets = shingle_sets(batch.column("text"), words)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"])
 
@@ -153,6 +155,62 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
     return write_out(with_both(likely, sets).mapInArrow(partial(_confirmed, percent), "u long, v long"))
 
 
+def _beside_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per (u: a document, v: its hub): set size, hashes in common with the hub, and the others, cut to 32 bits."""
+    for batch in batches:
+        sizes, common, others = [], [], []
+        for x, y in zip(batch.column("hashes_u"), batch.column("hashes_v")):
+            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            hit = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+            sizes.append(len(a))
+            common.append(int(hit.sum()))
+            others.append(np.unique((a[~hit] & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()),
+                                          pa.array(others, pa.list_(pa.int32()))], names=["id", "hub", "n", "common", "others"])
+
+
+def _open_pairs(placed: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v), u > v, of different components within one band that may still be linked.
+
+    ``placed`` is a written (band, id, r) with the component r. In every band the documents outside its largest component
+    would have to meet all others of it. But two documents with the same hub that share nothing outside it have at most as
+    many hashes in common as the one nearer to it has with the hub, so such pairs are left out unless that is enough for
+    a link; those that share something outside the hub are found by it.
+    """
+    mixed = placed.groupBy("band").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low < high").select("band")
+    still = write_out(placed.join(mixed, "band", "left_semi"))
+    ids = still.select("id").distinct().join(first.select(F.col("u").alias("id"), F.col("v").alias("hub")), "id", "left")
+    both = ids.select(F.col("id").alias("u"), F.coalesce("hub", "id").alias("v"))
+    for side in "uv":
+        both = both.join(sets.select(F.col("id").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
+    facts = write_out(both.mapInArrow(_beside_hub, "id long, hub long, n long, common long, others array<int>"))
+    still = write_out(still.join(facts.drop("others"), "id"))
+    main = still.groupBy("band", "r").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "r")).alias("m")).select("band", F.col("m.r").alias("main"))
+    main_hub = still.groupBy("band", "hub").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "hub")).alias("m")).select("band", F.col("m.hub").alias("main_hub"))
+    least = still.groupBy("band", "hub").agg(F.min("n").alias("least"))
+    still = write_out(still.join(main_hub, "band"))
+    strays = write_out(still.join(main, "band").filter("r <> main").join(least, ["band", "hub"])
+                       .select("band", F.col("id").alias("a"), F.col("r").alias("ra"), F.col("hub").alias("hub_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"),
+                               "least", F.col("main_hub").alias("main_a")))
+    sizes = (F.lit(100) * F.least("n_a", "n") >= F.lit(percent) * F.greatest("n_a", "n")) & F.expr("ra <> r")
+
+    def enough(common: Column, n: Column) -> Column:
+        return common * (100 + percent) >= (F.col("n_a") + n) * percent  # what a similarity of ``percent`` needs in common
+
+    own = strays.filter(enough(F.col("common_a"), F.col("least"))).drop("main_a")
+    near = own.join(still.drop("main_hub").withColumnRenamed("hub", "hub_a"), ["band", "hub_a"]).filter(sizes & enough(F.least("common_a", "common"), F.col("n")))
+    apart = F.expr("hub_a <> hub") & sizes
+    far = (strays.filter("hub_a <> main_a").join(still, "band").filter(apart).select("a", "id")
+           .unionByName(strays.join(still.filter("hub <> main_hub"), "band").filter(apart).select("a", "id")))
+    roots = still.select("id", "r").distinct()
+    outside = facts.join(roots, "id").select("id", "hub", "n", "r", F.explode("others").alias("hash"))
+    alone = strays.select(F.col("a").alias("id")).distinct()
+    mine = outside.join(alone, "id", "left_semi").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("ra"), "hub", "hash")
+    beside = mine.join(outside, ["hub", "hash"]).filter(sizes)
+    found = near.select("a", "id").unionByName(far).unionByName(beside.select("a", "id"))
+    return found.select(F.greatest("a", "id").alias("u"), F.least("a", "id").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = SIMILAR_PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key as ``doc_id``, ``n_shingles`` (size of its set), ``component_id`` (the smallest key reachable over links), ``kept``.
 
@@ -167,8 +225,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = SIMILAR_PERC
     chosen = write_out(linkable.groupBy("print").agg(F.min("doc_id").alias("id")))  # one document for all with equal sets
     own = linkable.join(chosen, "print").filter("doc_id = id").dropDuplicates(["id"]).select("id", "n_shingles", "bands", "sketch")
     members = write_out(own.select("id", F.explode("bands").alias("band")))
-    buckets = write_out(members.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least"))
-    shared = write_out(members.join(buckets, "band"))
+    buckets = write_out(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = write_out(members.join(buckets, "band"))
+    fame = write_out(met.groupBy("id").agg(F.sum("n").alias("fame")))
+    known = write_out(met.join(fame, "id").select("band", "id", "fame"))
+    hubs = write_out(known.groupBy("band").agg(F.max(F.struct("fame", (-F.col("id")).alias("order"))).alias("hub"))
+                     .select("band", F.col("hub.fame").alias("hub_fame"), (-F.col("hub.order")).alias("hub")))
+    shared = write_out(known.join(hubs, "band").select("band", "id", "hub", "hub_fame"))
     ids = write_out(shared.select("id").distinct())
     sketches = write_out(_of_ids(sketched.filter("print is not null"), "doc_id", ids).dropDuplicates(["doc_id"])
                          .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"))
@@ -179,25 +242,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = SIMILAR_PERC
             rows = rows.join(roots.select(F.col("node").alias(col), F.col("root").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
         return rows
 
-    # Every document meets the least document of all its bands, then the least of each band that holds another component.
-    first = write_out(shared.filter("id > least").groupBy("id").agg(F.min("least").alias("v")).select(F.col("id").alias("u"), "v"))
+    # Every document meets the greatest hub of its bands, then the hub of each band that holds another component.
+    greatest = F.max(F.struct("hub_fame", (-F.col("hub")).alias("order")))
+    first = write_out(shared.filter("id <> hub").groupBy("id").agg(greatest.alias("g")).select(F.col("id").alias("u"), (-F.col("g.order")).alias("v")))
     links = _confirm(first, sketches, sets, percent)
     roots = write_out(components(links, one_task_edges=0))
-    second = (with_roots(shared.filter("id > least").select("id", "least").distinct(), {"id": "r", "least": "s"}, roots)
-              .filter("r <> s").select(F.col("id").alias("u"), F.col("least").alias("v")).join(first, ["u", "v"], "left_anti"))
+    second = (with_roots(shared.filter("id <> hub").select("id", "hub").distinct(), {"id": "r", "hub": "s"}, roots)
+              .filter("r <> s").select(F.col("id").alias("u"), F.col("hub").alias("v")).join(first, ["u", "v"], "left_anti"))
     second = write_out(second)
     links = write_out(links.unionByName(_confirm(second, sketches, sets, percent)))
     roots = write_out(components(links, one_task_edges=0))
-    # What is left: bands that still hold several components. Documents outside a band's largest one meet all others of it.
     placed = write_out(with_roots(shared.select("band", "id"), {"id": "r"}, roots))
-    open_bands = placed.groupBy("band").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low < high").select("band")
-    still = write_out(placed.join(open_bands, "band", "left_semi"))
-    sizes = still.groupBy("band", "r").agg(F.count(F.lit(1)).alias("n"))
-    largest = write_out(sizes.groupBy("band").agg(F.max(F.struct("n", "r")).alias("top")).select("band", F.col("top.r").alias("main")))
-    strays = still.join(largest, "band").filter("r <> main").select("band", F.col("id").alias("a"), F.col("r").alias("ra"))
     tried = first.unionByName(second).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    third = (strays.join(still, "band").filter("ra <> r").select(F.greatest("a", "id").alias("u"), F.least("a", "id").alias("v")).distinct()
-             .join(tried, ["u", "v"], "left_anti"))
+    third = _open_pairs(placed, first, sets, percent).join(tried, ["u", "v"], "left_anti")
     more = _confirm(write_out(third), sketches, sets, percent)
     roots = write_out(components(links.unionByName(more), one_task_edges=0))
 
