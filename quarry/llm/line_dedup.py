@@ -20,7 +20,7 @@ from quarry.session import write_out
 EDITS = 1
 MIN_CHARS = 20  # shorter lines are left alone
 GROUP = 64  # lines sharing a key beyond which the key is refined instead of paired
-SMALL_IDS = 500_000
+SMALL_IDS = 10_000  # keys that may be broadcast
 
 
 def edit_distance(long: Column, short: Column, most: int = EDITS) -> Column:
