@@ -64,7 +64,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similar:
     best window, ``doc_word`` and ``item_word`` where it begins.
 
     An item is held if, at one alignment, at least ``similar`` of the words of some window of ``window`` words (the whole
-    item, if shorter) are equal. Null texts are empty; items and documents of fewer than SPAN words and rows with null keys
+    item, if shorter) are equal, and at most one word in five beyond the second differs: so few substitutions always leave
+    a mask intact, and items of five or six words must be found whole. Null texts are empty; items and documents of fewer than SPAN words and rows with null keys
     match nothing; rows that share a key count as one; empty tables give no rows; other columns are not read.
     """
     require(docs, key, text)
@@ -83,7 +84,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similar:
     held = slim.join(ids, "doc_id", "left_semi").distinct().select("doc_id", word_hashes(F.col("text")).alias("doc_words"))
     pairs = aligned.join(held, "doc_id").join(items, "item_id")
     judged = pairs.select("doc_id", "item_id", "shift", _best_window(F.col("words"), F.col("doc_words"), F.col("shift"), window).alias("w"))
-    enough = judged.filter(F.col("w.matched") >= F.ceil(F.lit(similar) * F.col("w.width")))
+    width = F.col("w.width")
+    others = F.least(width - F.ceil(F.lit(similar) * width), F.floor((width - 2) / SPAN))  # words that may differ
+    enough = judged.filter(F.col("w.matched") >= width - others)
     best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("w.matched").alias("matched"), F.col("w.width").alias("width"),
                                                                   (-F.col("shift")).alias("shift"), F.col("w.start").alias("start"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.width").alias("width"),
