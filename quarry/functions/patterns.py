@@ -14,9 +14,9 @@ def literal_pattern(text: str) -> str:
 
 
 def java_pattern(pattern: str) -> str:
-    """Python named groups in Java spelling."""
+    r"""Python named groups in Java spelling; ``\w``, ``\d``, ``\s`` and ``\b`` know all of Unicode, as in Python."""
     renamed = re.sub(r"\(\?P<([A-Za-z]\w*)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    return re.sub(r"\(\?P=([A-Za-z]\w*)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", renamed)
+    return "(?U)" + re.sub(r"\(\?P=([A-Za-z]\w*)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", renamed)
 
 
 def java_replacement(text: str) -> str:

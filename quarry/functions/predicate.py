@@ -28,12 +28,25 @@ _ARITHMETIC = {
     ast.Add: lambda a, b: a + b,
     ast.Sub: lambda a, b: a - b,
     ast.Mult: lambda a, b: a * b,
-    ast.Div: lambda a, b: F.try_divide(a, b),
+    ast.Div: lambda a, b: _quotient(a, b),
+    ast.FloorDiv: lambda a, b: _whole_quotient(a, b),
     ast.Mod: lambda a, b: F.try_mod(a, b),
     ast.Pow: lambda a, b: F.pow(a, b),
 }
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """Division as in a DataFrame query: infinite by zero; 0 / 0 compares like a missing value."""
+    a, b = a.cast("double"), b.cast("double")
+    beyond = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, beyond).otherwise(F.try_divide(a, b))
+
+
+def _whole_quotient(a: Column, b: Column) -> Column:
+    found = _quotient(a, b)
+    return F.when(F.abs(found) < 2.0 ** 53, F.floor(found).cast("double")).otherwise(found)
+
+
 def predicate(df: DataFrame, where: str) -> Column:
     quoted: dict[str, str] = {}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import json
 from collections.abc import Mapping, Sequence
 
@@ -99,8 +100,10 @@ def _leaves(kind: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[str, .
 def json_schema(df: DataFrame, col: str) -> T.StructType:
     """Schema of the JSON objects in a text column, from one aggregate over all rows."""
     merged = df.agg(F.schema_of_variant_agg(F.try_parse_json(name(col)))).first()[0]
-    # Variant schemas print OBJECT<…> where DDL says STRUCT<…>.
-    ddl = (merged or "OBJECT<>").replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    # Variant schemas print OBJECT<…> and VOID where DDL says STRUCT<…> and a type; only where a type stands, never in a name.
+    spelled = {"OBJECT<": "STRUCT<", "VOID": "STRING"}
+    ddl = re.sub(r"`(?:[^`]|``)*`|(^|: ?|ARRAY<)(OBJECT<|VOID(?=[,> ]|$))",
+                 lambda m: m[0] if m[2] is None else m[1] + spelled[m[2]], merged or "OBJECT<>")
     if not ddl.startswith("STRUCT<"):
         raise ValueError(f"column '{col}' does not hold JSON objects")
     return df.sparkSession.range(0).select(F.from_json(F.lit("{}"), ddl).alias("s")).schema["s"].dataType
@@ -182,8 +185,3 @@ def rule_flags(df: DataFrame, rules: Mapping[str, Mapping], out: str = "broken_r
         for check, test in _rule_tests(df, col, rule).items()
     ]
     return df.withColumn(out, F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>"))
-
-
-def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    require(df, *cols)
-    return df.select(*[name(c) for c in cols])

@@ -17,10 +17,11 @@ def geo_validate(df: DataFrame, lat: str, lon: str, drop_invalid: bool = False)
 
 
 def geocode(df: DataFrame, addr: str, lookup: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Coordinates by exact address; the lookup has address, lat, lon."""
+    """Coordinates by exact address; the lookup has address, lat, lon. Repeated addresses: its last line wins (``line`` column), else the largest pair."""
     require(df, addr)
     require(lookup, "address", "lat", "lon")
-    known = lookup.groupBy(F.col("address").alias("_address")).agg(F.max(F.struct("lat", "lon")).alias("_at"))
+    at = F.struct("lat", "lon")
+    known = lookup.groupBy(F.col("address").alias("_address")).agg((F.max_by(at, "line") if "line" in lookup.columns else F.max(at)).alias("_at"))
     return df.join(known, name(addr) == F.col("_address"), "left").select(
         *[name(c) for c in df.columns if c not in (lat, lon)], F.col("_at.lat").alias(lat), F.col("_at.lon").alias(lon))
 
@@ -66,7 +67,3 @@ def grid_counts(df: DataFrame, y: str, x: str, bins: int, y_out: str, x_out: str
 
 def geo_heatmap(df: DataFrame, lat: str, lon: str, bins: int = 20) -> DataFrame:
     return grid_counts(df, lat, lon, bins, "lat_bin", "lon_bin")
-
-
-def without_coordinates(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    return df.filter(missing(df, lat) | missing(df, lon))

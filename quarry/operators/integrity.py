@@ -136,6 +136,7 @@ def anonymize(df: DataFrame, col: str, method: str = "mask", chars: int = 4) ->
 
 def kolmogorov_tail(distance: Column, n: Column, m: Column) -> Column:
     """Asymptotic probability of a larger two-sample Kolmogorov–Smirnov distance."""
+    n, m = n.cast("double"), m.cast("double")  # the product of counts leaves the range of long
     lam = distance * F.sqrt(n * m / (n + m))
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import EARTH_RADIUS_KM, as_list, missing, name, numeric_columns, present, require, require_numeric
+from quarry.functions.columns import as_list, haversine_km, missing, name, numeric_columns, present, require, require_numeric
 from quarry.operators import ordered
 from quarry.session import write_out
 
@@ -23,14 +23,6 @@ VISITS_PER_TASK = 50_000
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def haversine_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Kilometres between all rows of (lat, lon) degrees in ``a`` and ``b``."""
-    p, q = np.radians(a), np.radians(b)
-    h = (np.sin((q[None, :, 0] - p[:, None, 0]) / 2) ** 2
-         + np.cos(p[:, None, 0]) * np.cos(q[None, :, 0]) * np.sin((q[None, :, 1] - p[:, None, 1]) / 2) ** 2)
-    return 2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h)))
-
-
 def euclidean_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
@@ -51,16 +43,17 @@ def gap_aware_block(width: int) -> Distance:
     return distance
 
 
-def closest(queries: np.ndarray, points: np.ndarray, k: int, distance: Distance) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query the positions and distances of its ``k`` nearest points, the earlier point on a tie."""
+def closest(queries: np.ndarray, points: np.ndarray, k: int, distance: Distance, slack: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per query the positions and distances of its ``k`` nearest points, the earlier point on a tie; with ``slack`` near ties as well."""
     step = max(1, BLOCK_CELLS // max(1, len(points)))
     for start in range(0, len(queries), step):
         block = distance(queries[start:start + step], points)
         far = np.where(np.isnan(block), np.inf, block)
         kth = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
-        for row, limit in zip(far, kth):
+        for row, limit in zip(far, kth * (1 + slack) + 1e-11 if slack else kth):
             near = np.flatnonzero((row <= limit) & np.isfinite(row))
-            near = near[np.argsort(row[near], kind="stable")][:k]
+            near = near[np.argsort(row[near], kind="stable")]
+            near = near if slack else near[:k]
             yield near, row[near]
 
 
@@ -99,9 +92,11 @@ def _box_reach(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 
 
 def cells_join(queries: DataFrame, points: DataFrame, k: int, leaf_points: int = LEAF_POINTS,
-               visits_per_task: int = VISITS_PER_TASK) -> DataFrame:
+               visits_per_task: int = VISITS_PER_TASK, slack: float = 0.0) -> DataFrame:
     """(v, near): the ``k`` nearest points (d, p) of every distinct query vector, exactly.
 
+    With ``slack`` also all points whose distance exceeds the k-th by no more than that share of it (and 1e-11), for
+    callers that decide ties by a measure of their own.
     ``queries`` has distinct ``v`` and ``points`` a sortable ``p`` and ``v``. A tree over a bounded
     sample cuts space into cells. From the cells' true extents and sizes every query gets a radius that
     is sure to hold k points, and visits the cells within it. A cell with many visits is copied to as
@@ -149,7 +144,7 @@ def cells_join(queries: DataFrame, points: DataFrame, k: int, leaf_points: int =
             enough = count_[node] >= k
             reach = np.where(enough, _box_reach(at, np.where(enough[:, None], low_[node], 0.0), np.where(enough[:, None], high_[node], 0.0)), np.inf)
             radius = np.minimum(radius, reach)
-        radius = radius * (1 + 1e-12)
+        radius = radius * (1 + 1e-12 + slack) + (1e-11 if slack else 0.0)
         who, where = np.arange(len(at)), np.zeros(len(at), dtype=int)
         for _ in range(levels):
             who, where = np.repeat(who, 2), (2 * where[:, None] + np.array([1, 2])).ravel()
@@ -175,13 +170,17 @@ def cells_join(queries: DataFrame, points: DataFrame, k: int, leaf_points: int =
         right = right.sort_values("p", kind="stable")
         a, b = np.stack(left["v"].to_numpy()).astype(float), np.stack(right["v"].to_numpy()).astype(float)
         ids = right["p"].to_numpy()
-        found = [(v, d, ids[i]) for v, (near, far) in zip(left["v"], closest(a, b, k, euclidean_block)) for i, d in zip(near, far)]
+        found = [(v, d, ids[i]) for v, (near, far) in zip(left["v"], closest(a, b, k, euclidean_block, slack)) for i, d in zip(near, far)]
         return pd.DataFrame(found, columns=["v", "d", "p"])
 
     shape = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("d", T.DoubleType()), T.StructField("p", kind)])
     pairs = asked.groupBy("cell", "copy").cogroup(offered.groupBy("cell", "copy")).applyInPandas(match, shape)
-    # k candidates per visited cell
-    return pairs.groupBy("v").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "p"))), 1, k).alias("near"))
+    # k candidates per visited cell, and their ties
+    ranked = pairs.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("d", "p"))).alias("near"))
+    if not slack:
+        return ranked.select("v", F.slice("near", 1, k).alias("near"))
+    reach = F.get("near", F.least(F.lit(k), F.size("near")) - 1)["d"] * (1 + slack) + 1e-11
+    return ranked.withColumn("_reach", reach).select("v", F.filter("near", lambda x: x["d"] <= F.col("_reach")).alias("near"))
 
 
 def _on_sphere(lat: Column, lon: Column) -> Column:
@@ -190,47 +189,36 @@ def _on_sphere(lat: Column, lon: Column) -> Column:
 
 
 def nearest(df: DataFrame, lat: str, lon: str, poi: DataFrame, k: int = 1, out_id: str = "nearest_poi_id",
-            out_dist: str = "nearest_poi_dist_km", broadcast_cells: int = BROADCAST_CELLS, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """The ``k`` nearest points of interest (id, lat, lon) by great-circle distance; the smaller id on a tie.
+            out_dist: str = "nearest_poi_dist_km", leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """The ``k`` nearest points of interest (id, lat, lon) by great-circle distance, rounded to a millionth of a metre; the smaller id on a tie.
 
-    Scalars for k = 1, arrays otherwise; rows without coordinates get null.
+    Scalars for k = 1, arrays otherwise; rows without coordinates get null. The cell tree finds the nearest places and all
+    that come as near but for rounding; one distance formula then decides, so the answer does not depend on the number of
+    rows or cells. Points at one place are collapsed to their ``k`` smallest ids first.
     """
     require(df, lat, lon)
     require(poi, "id", "lat", "lon")
     if k < 1:
         raise ValueError("k must be positive")
     poi = present(poi, "id", "lat", "lon").select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    kind = poi.schema["id"].dataType
-    shape = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("km", T.ArrayType(T.DoubleType()))])
-    if poi.count() * 2 <= broadcast_cells:
-        chosen = poi.orderBy("id").collect()  # size checked
-        ids, at = [r["id"] for r in chosen], np.array([[r["lat"], r["lon"]] for r in chosen], dtype=float).reshape(-1, 2)
-        shared = df.sparkSession.sparkContext.broadcast((ids, at))
-
-        @F.pandas_udf(shape)
-        def look(lats: pd.Series, lons: pd.Series) -> pd.DataFrame:
-            names, places = shared.value
-            asked = np.column_stack([lats.to_numpy(dtype=float), lons.to_numpy(dtype=float)])
-            usable = ~np.isnan(asked).any(axis=1)
-            found = closest(asked[usable], places, k, haversine_block) if len(names) else iter(())
-            out_ids, out_km = [None] * len(asked), [None] * len(asked)
-            for row, (near, far) in zip(np.flatnonzero(usable), found):
-                out_ids[row], out_km[row] = [names[i] for i in near], far.tolist()
-            return pd.DataFrame({"ids": out_ids, "km": out_km})
-
-        matched = df.withColumn("_near", look(name(lat).cast("double"), name(lon).cast("double")))
-    else:
-        places = present(df, lat, lon).select(name(lat).cast("double").alias("_lat"), name(lon).cast("double").alias("_lon")).distinct()
-        places = write_out(places.withColumn("v", _on_sphere(F.col("_lat"), F.col("_lon"))))
-        near = cells_join(places.select("v").distinct(), poi.select(F.col("id").alias("p"), _on_sphere(F.col("lat"), F.col("lon")).alias("v")), k, leaf_points)
-        km = F.transform("near", lambda x: 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), x["d"] / 2)))
-        found = places.join(near, "v").select("_lat", "_lon", F.struct(F.transform("near", lambda x: x["p"]).alias("ids"), km.alias("km")).alias("_near"))
-        same = (name(lat).cast("double") == F.col("_lat")) & (name(lon).cast("double") == F.col("_lon"))
-        matched = df.join(found, same, "left")
-    ids, km = F.col("_near.ids"), F.col("_near.km")
+    here = Window.partitionBy("lat", "lon").orderBy("id")
+    held = poi.withColumn("_no", F.row_number().over(here)).filter(F.col("_no") <= k).groupBy("lat", "lon").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    sites = write_out(ordered.number_rows(write_out(held), ["lat", "lon"], out="p").withColumn("v", _on_sphere(F.col("lat"), F.col("lon"))))
+    asked = present(df, lat, lon).select(name(lat).cast("double").alias("_lat"), name(lon).cast("double").alias("_lon")).distinct()
+    asked = write_out(asked.withColumn("v", _on_sphere(F.col("_lat"), F.col("_lon"))))
+    near = cells_join(asked.select("v").distinct(), sites.select("p", "v"), k, leaf_points, slack=1e-9)
+    if near.schema["near"].dataType.elementType["p"].dataType != sites.schema["p"].dataType:
+        near = near.filter("false").select("v", F.lit(None).cast("array<struct<d:double,p:bigint>>").alias("near"))  # no points at all
+    candidates = asked.join(near, "v").select("_lat", "_lon", F.explode(F.transform("near", lambda x: x["p"])).alias("p")).join(sites.drop("v"), "p")
+    km = F.round(haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), 9)
+    ranked = candidates.select("_lat", "_lon", km.alias("km"), F.explode("ids").alias("id")).groupBy("_lat", "_lon").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("km", "id"))), 1, k).alias("_near"))
+    same = (name(lat).cast("double") == F.col("_lat")) & (name(lon).cast("double") == F.col("_lon"))
+    matched = df.join(ranked, same, "left")
+    ids, far = F.transform("_near", lambda x: x["id"]), F.transform("_near", lambda x: x["km"])
     one = k == 1
     return matched.select(*[name(c) for c in df.columns if c not in (out_id, out_dist)],
-                          (F.get(ids, F.lit(0)) if one else ids).alias(out_id), (F.get(km, F.lit(0)) if one else km).alias(out_dist))
+                          (F.get(ids, F.lit(0)) if one else ids).alias(out_id), (F.get(far, F.lit(0)) if one else far).alias(out_dist))
 
 
 def _blend(weights: str, near: list[float], values: list[float]) -> float:

@@ -152,8 +152,8 @@ def dups(df: DataFrame, col: str | Sequence[str] | None = None, keep: str = "fir
     """Rows marked duplicate: all but the first, all but the last, or every member (``keep='none'``).
 
     Duplicated keys are found by a map-side combined aggregate and joined back, so a key that holds
-    most rows is never sorted in one task. ``order_by`` must order the copies of a key totally. When a
-    whole-row comparison has no order, the surplus copies are produced from the count.
+    most rows is never sorted in one task. Ties in ``order_by`` go by the other columns; of identical rows all but one
+    count as duplicates and are produced from their count, as in a whole-row comparison without an order.
     """
     subset = as_list(col) or df.columns
     order = as_list(order_by)
@@ -162,23 +162,27 @@ def dups(df: DataFrame, col: str | Sequence[str] | None = None, keep: str = "fir
         raise ValueError("keep must be first, last or none")
     groups = [name(c).alias(f"_k{i}") for i, c in enumerate(subset)]
     place = F.struct(*[F.struct(name(c).isNull().alias("n"), name(c).alias("v")).alias(f"o{i}")
-                       for i, c in enumerate(order)])
+                       for i, c in enumerate([*order, *[c for c in df.columns if c not in order]])])
+    columns = [name(c) for c in df.columns]
+
+    def surplus(counted: DataFrame) -> DataFrame:
+        """All but one of ``_n`` identical rows, split into short runs so no task emits them all."""
+        runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 2) / 1000))))
+        left = F.least(F.lit(1000), F.col("_n") - 1 - F.col("_run") * 1000)
+        runs = runs.repartition(*columns, "_run")
+        return runs.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).select(*columns)
+
     if keep != "none" and not order:
         if subset != df.columns:
             raise ValueError("keep first/last needs order_by")
-        counted = df.groupBy(*[name(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        # Identical copies: n - 1 of them, split into short runs so no task emits them all.
-        runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 2) / 1000))))
-        left = F.least(F.lit(1000), F.col("_n") - 1 - F.col("_run") * 1000)
-        runs = runs.repartition(*[name(c) for c in df.columns], "_run")
-        return runs.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).select(
-            *[name(c) for c in df.columns])
+        return surplus(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
     aggs = [F.count(F.lit(1)).alias("_n")]
     if keep != "none":
         aggs.append((F.min(place) if keep == "first" else F.max(place)).alias("_kept"))
     repeated = df.groupBy(*groups).agg(*aggs).filter("_n > 1")
     same = reduce(lambda a, b: a & b, [name(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(subset)])
     marked = df.join(repeated, same)
-    if keep != "none":
-        marked = marked.filter(place != F.col("_kept"))
-    return marked.select(*[name(c) for c in df.columns])
+    if keep == "none":
+        return marked.select(*columns)
+    copies = marked.filter(place == F.col("_kept")).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return marked.filter(place != F.col("_kept")).select(*columns).unionByName(surplus(copies))

@@ -116,6 +116,11 @@ def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = None, ma
 
     Every combination of seen values is present, with 0 where the pair never occurs.
     """
+    return _crosstab_cells(df, row, col, normalize, margins).select("row", "col", "value")
+
+
+def _crosstab_cells(df: DataFrame, row: str, col: str, normalize: str | None, margins: bool) -> DataFrame:
+    """(row, col, value, any_row, any_col): the flags tell a margin from a label that happens to be All."""
     require(df, row, col)
     if normalize not in (None, "index", "columns", "all"):
         raise ValueError("normalize must be index, columns or all")
@@ -135,7 +140,7 @@ def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = None, ma
     )
     if normalize is None:
         shown = cells if margins else cells.filter("any_row = 0 and any_col = 0")
-        return shown.select("row", "col", F.col("n").cast("double").alias("value"))
+        return shown.select("row", "col", F.col("n").cast("double").alias("value"), "any_row", "any_col")
     basis = {"index": ["row", "any_row"], "columns": ["col", "any_col"], "all": []}[normalize]
     whole = F.max("n").over(Window.partitionBy(*(basis or [F.lit(0)])))
     shares = cells.select("row", "col", "any_row", "any_col", (F.col("n") / whole).alias("value"))
@@ -145,14 +150,18 @@ def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = None, ma
         shares = shares.filter("any_col = 0")
     elif normalize == "columns":
         shares = shares.filter("any_row = 0")
-    return shares.select("row", "col", "value")
+    return shares.select("row", "col", "value", "any_row", "any_col")
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, normalize: str | None = None, margins: bool = False) -> DataFrame:
-    cells = crosstab(df, row, col, normalize, margins)
-    heads = [c for c in _pivot_values(cells, "col") if c != "All"] + (
-        ["All"] if margins and normalize in (None, "columns", "all") else [])
-    return cells.groupBy("row").pivot("col", heads).agg(F.first("value"))
+    """One row per label of ``row``, one column per label of ``col``; margins come last, as row and column All."""
+    cells = _crosstab_cells(df, row, col, normalize, margins)
+    heads = _pivot_values(cells.filter("any_col = 0"), "col")
+    total = margins and normalize in (None, "columns", "all")
+    if total and "All" in heads:
+        raise ValueError("a label is called All, like the margin")
+    wide = cells.filter("any_col = 0 or any_col = 1").groupBy("row", "any_row").pivot("col", heads + (["All"] if total else [])).agg(F.first("value"))
+    return wide.drop("any_row")
 
 
 def _numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -291,7 +300,8 @@ def corr_spearman(df: DataFrame, min_periods: int | None = None, cols: Sequence[
     paired = joint.join(rank_of("x"), ["pair", "x"]).join(rank_of("y"), ["pair", "y"])
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     sums = paired.groupBy("pair").agg(F.sum("w").alias("n"), F.sum(w * rx * ry).alias("xy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"))
-    flat = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4  # n times the squared mean rank
+    count = F.col("n").cast("double")  # the product of counts leaves the range of long
+    flat = count * (count + 1) * (count + 1) / 4  # n times the squared mean rank
     spread = F.sqrt((F.col("xx") - flat) * (F.col("yy") - flat))
     found = pair_names(df.sparkSession, pairs).join(sums, "pair", "left").select(
         "a", "b", F.when(F.col("n") >= least, F.try_divide(F.col("xy") - flat, spread)).alias("corr"), F.coalesce("n", F.lit(0)).alias("n"))

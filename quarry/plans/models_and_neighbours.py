@@ -263,7 +263,7 @@ def _(t: Tables):
     SELECT c_custkey, string_agg(s_suppkey, ',' ORDER BY rn) AS ids, round(max(km), 4) AS farthest FROM r WHERE rn <= 2 GROUP BY 1""")
 def _(t: Tables):
     people, places = _places(t)  # the way for places too many to broadcast
-    near = neighbours.nearest(people, "lat", "lon", places, k=2, broadcast_cells=0, leaf_points=16)
+    near = neighbours.nearest(people, "lat", "lon", places, k=2, leaf_points=16)
     return rounded(near.select("c_custkey", F.array_join("nearest_poi_id", ",").alias("ids"), F.array_max("nearest_poi_dist_km").alias("farthest")), 4)
 
 

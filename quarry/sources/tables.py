@@ -22,44 +22,29 @@ def infer_format(path: str) -> str:
     return FORMATS[ending]
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read CSV (with header), JSON (lines, or one array per file), Parquet or ORC.
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None,
+               multiline: bool = False) -> DataFrame:
+    """Read CSV (with header, quotes doubled inside quotes), JSON (lines, or one array per file), Parquet or ORC.
 
-    Give ``schema`` for large CSV and JSON: it saves the inference scan and allows column pruning.
+    Give ``schema`` for large CSV and JSON: it saves the inference scan and allows column pruning. ``multiline`` lets
+    quoted CSV cells hold line breaks; such files cannot be split among tasks.
     """
     fmt = fmt or infer_format(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=False)
+        return reader.csv(path, header=True, inferSchema=schema is None, quote='"', escape='"', multiLine=multiline)
     if fmt == "json":
-        lines = reader.json(path)
-        if "_corrupt_record" in lines.columns and schema is None:
-            start = spark.read.text(path).filter(F.trim("value") != "").first()
-            if start and start["value"].lstrip().startswith("["):  # an array over several lines
-                return reader.json(path, multiLine=True)
-        return lines
+        start = spark.read.text(path).filter(F.trim("value") != "").first()
+        array = bool(start) and start["value"].lstrip().startswith("[")
+        return reader.json(path, multiLine=array)
     return reader.format(fmt).load(path)
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str | None = None,
-                files_per_trigger: int = 1) -> DataFrame:
-    """The same formats as an unbounded table of arriving files."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    fmt = fmt or infer_format(path)
-    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
-
-
-def table_name(path: str) -> str:
-    """Table name from a file name: everything but letters and digits becomes an underscore."""
-    stem = os.path.splitext(os.path.basename(path.rstrip("/")))[0]
-    return "".join(c if c.isalnum() else "_" for c in stem)
-
-
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
     if mode not in ("overwrite", "append", "errorifexists"):
         raise ValueError("mode must be overwrite, append or errorifexists")
     writer = df.write.mode(mode)
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    (writer.options(header=True, quote='"', escape='"') if fmt == "csv" else writer).format(fmt).save(path)
 
 
 def merge_append(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -71,13 +56,13 @@ def merge_replace(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def merge_ignore(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the source rows whose key the target does not have; an empty key leaves the target as it is."""
+    """Add the source rows whose key the target does not have (null keys are equal); an empty key leaves the target as it is."""
     if not keys:
         return target
     require(target, *keys)
     require(source, *keys)
     known = target.select(*[name(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    same = [name(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    same = [name(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     return merge_append(target, source.join(known, same, "left_anti"))
 
 

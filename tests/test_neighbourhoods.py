@@ -11,6 +11,14 @@ import pytest
 from quarry.operators import components, density, fuzzy, isolation, kendall, neighbours
 
 
+def haversine_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Kilometres between all rows of (lat, lon) degrees in ``a`` and ``b``."""
+    p, q = np.radians(a), np.radians(b)
+    h = (np.sin((q[None, :, 0] - p[:, None, 0]) / 2) ** 2
+         + np.cos(p[:, None, 0]) * np.cos(q[None, :, 0]) * np.sin((q[None, :, 1] - p[:, None, 1]) / 2) ** 2)
+    return 2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h)))
+
+
 def with_nulls(frame):
     return frame.astype(object).where(frame.notna(), None)
 
@@ -103,7 +111,7 @@ def test_components(spark):
 
 
 def reference_clusters(points, eps, least, metric):
-    gap = neighbours.haversine_block(points, points) if metric == "haversine" else np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    gap = haversine_block(points, points) if metric == "haversine" else np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
     near = gap <= eps
     core, label, number = near.sum(1) >= least, np.full(len(points), -1), 0
     for i in range(len(points)):
@@ -140,7 +148,7 @@ def test_dbscan_crowded_cells(spark):
     assert list(got) == list(reference_clusters(points, 0.5, 5, "euclidean"))
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_cells": 0, "leaf_points": 12}])
+@pytest.mark.parametrize("limits", [{}, {"leaf_points": 12}])
 def test_nearest(spark, limits):
     rng = np.random.default_rng(8)
     poi = pd.DataFrame({"id": np.arange(200), "lat": rng.uniform(-90, 90, 200), "lon": rng.uniform(-180, 180, 200)})
@@ -148,7 +156,7 @@ def test_nearest(spark, limits):
     asked.loc[3, "la"] = np.nan
     df = spark.createDataFrame(with_nulls(asked), "k long, la double, lo double")
     got = neighbours.nearest(df, "la", "lo", spark.createDataFrame(poi), 3, **limits).orderBy("k").toPandas()
-    gap = neighbours.haversine_block(asked[["la", "lo"]].fillna(0).to_numpy(), poi[["lat", "lon"]].to_numpy())
+    gap = haversine_block(asked[["la", "lo"]].fillna(0).to_numpy(), poi[["lat", "lon"]].to_numpy())
     for i in range(80):
         if i == 3:
             assert got["nearest_poi_id"][i] is None
@@ -194,3 +202,16 @@ def test_isolation_forest(spark):
     assert np.allclose(got, again)
     share = isolation.isolation_forest(df, "u,v", "id", n_estimators=40, contamination=0.05).filter("anomaly_score < 0").count()
     assert share == 20
+
+
+@pytest.mark.parametrize("limits", [{}, {"leaf_points": 9}])
+def test_nearest_on_a_grid_of_ties(spark, limits):
+    """Equally near places, and several points at one place: the smaller ids, whatever the number of cells."""
+    poi = [(i, float(lat), float(lon)) for i, (lat, lon) in enumerate((a, o) for a in range(-80, 81, 20) for o in range(-160, 161, 20))]
+    poi += [(1000 + i, lat, lon) for i, lat, lon in poi[::3]]
+    asked = [(float(a), float(o)) for a in range(-85, 86, 5) for o in range(-175, 176, 10)]
+    df = spark.createDataFrame(asked, "la double, lo double")
+    got = {(r["la"], r["lo"]): list(r["nearest_poi_id"]) for r in neighbours.nearest(df, "la", "lo", spark.createDataFrame(poi, "id int, lat double, lon double"), 3, **limits).collect()}
+    gap = haversine_block(np.array(asked), np.array([p[1:] for p in poi])).round(6)
+    for place, row in zip(asked, gap):
+        assert got[place] == [poi[j][0] for j in sorted(range(len(poi)), key=lambda j: (row[j], poi[j][0]))[:3]]

@@ -367,7 +367,6 @@ def test_sources(spark, dirty, tmp_path):
     array = tmp_path / "a.json"
     array.write_text('[\n {"a": 1},\n {"a": 2}\n]')
     assert tables.read_table(spark, str(array)).count() == 2
-    assert tables.table_name("/x/my file-1.csv") == "my_file_1"
     with pytest.raises(ValueError):
         tables.read_table(spark, "x.unknown")
     with pytest.raises(ValueError):
@@ -384,3 +383,74 @@ def test_sources(spark, dirty, tmp_path):
 def test_times_as_numbers(spark):
     t = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'1969-12-31 23:59:59.5'), (TIMESTAMP_NTZ'2024-02-29 12:00:00.000001') AS t(ts)")
     assert [r[0] for r in t.select(as_number(t, "ts")).collect()] == [-500000.0, 1709208000000001.0]
+
+
+def test_duplicates_with_ties_in_the_order(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, 5, "b"), (2, 5, "a"), (None, 1, "x"), (None, 1, "x")], "k int, o int, v string")
+    first = sorted(map(tuple, rows.dups(df, "k", "first", "o").collect()), key=str)
+    assert first == [(1, 5, "a"), (1, 5, "b"), (None, 1, "x")]
+    last = sorted(map(tuple, rows.dups(df, "k", "last", "o").collect()), key=str)
+    assert last == [(1, 5, "a"), (1, 5, "a"), (None, 1, "x")]
+
+
+def test_quoted_cells_and_array_files(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,text\n1,"say ""hi"", ok"\n2,"two\nlines"\n')
+    assert [r["text"] for r in tables.read_table(spark, str(path), multiline=True).orderBy("id").collect()] == ['say "hi", ok', "two\nlines"]
+    df = spark.createDataFrame([(1, 'a "quoted", cell')], "id int, text string")
+    tables.write_table(df, str(tmp_path / "out.csv"), fmt="csv")
+    assert tables.read_table(spark, str(tmp_path / "out.csv"), fmt="csv").first()["text"] == 'a "quoted", cell'
+    array = tmp_path / "a.json"
+    array.write_text('[\n{"a": 1},\n{"a": 2}\n]\n')
+    assert [r["a"] for r in tables.read_table(spark, str(array), schema="a int").orderBy("a").collect()] == [1, 2]
+
+
+def test_null_keys_merge_once(spark):
+    target = spark.createDataFrame([(None, "x")], "id int, v string")
+    assert tables.merge_ignore(target, target, ["id"]).count() == 1
+
+
+def test_json_keys_that_look_like_types(spark):
+    df = spark.createDataFrame([('{"VOIDED": 1, "a": null, "OBJECT<": {"VOID": "v"}}',)], "j string")
+    flat = columns_ops.flatten_json(df, "j", prefix="").first().asDict()
+    assert flat["VOIDED"] == 1 and flat["a"] is None and flat["OBJECT<_VOID"] == "v"
+
+
+def test_patterns_know_unicode(spark):
+    df = spark.createDataFrame([("café 1",)], "t string")
+    assert clean.regex_replace(df, "t", r"\w+", "x").first()["t"] == "x x"
+    assert rows.search(df, r"^\w{4}\b", regex=True).count() == 1
+
+
+def test_a_label_called_all(spark):
+    df = spark.createDataFrame([("a", "All"), ("b", "x")], "r string, c string")
+    assert set(stats.crosstab_wide(df, "r", "c").columns) == {"row", "All", "x"}
+    with pytest.raises(ValueError):
+        stats.crosstab_wide(df, "r", "c", margins=True)
+
+
+def test_division_in_filters(spark):
+    df = spark.createDataFrame([(1, 7, 2), (2, 5, 0), (3, 0, 0), (4, -7, 2), (5, -1, 0)], "i int, x int, y int")
+    ids = lambda where: sorted(r["i"] for r in rows.filter_rows(df, where).collect())
+    assert ids("x // y == 3") == [1] and ids("x // y == -4") == [4]
+    assert ids("x / y > 5") == [2] and ids("x / y < -5") == [5] and ids("x / y == x / y") == [1, 2, 4, 5]
+
+
+def test_repeated_addresses_take_the_last_line(spark):
+    lookup = spark.createDataFrame([("a", 9.0, 9.0, 1), ("a", 1.0, 1.0, 2)], "address string, lat double, lon double, line int")
+    assert geo.geocode(spark.createDataFrame([("a",)], "at string"), "at", lookup).first()["lat"] == 1.0
+
+
+def test_counts_beyond_long(spark):
+    one = spark.range(1).select(F.lit(0.0005).alias("d"), F.lit(4_000_000_000).cast("long").alias("n"))
+    assert one.select(integrity.kolmogorov_tail(F.col("d"), F.col("n"), F.col("n")).alias("p")).first()["p"] < 1e-9
+    small = one.select(integrity.kolmogorov_tail(F.lit(0.2), F.lit(50), F.lit(60)).alias("p")).first()["p"]
+    from math import exp, sqrt
+    lam = 0.2 * sqrt(50 * 60 / 110)
+    assert small == pytest.approx(2 * sum((-1) ** (k - 1) * exp(-2 * k * k * lam * lam) for k in range(1, 101)))
+
+
+def test_spearman_beyond_two_million_rows(spark):
+    df = spark.range(2_200_000).select((F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 1000 * -2).cast("double").alias("b"))
+    found = stats.corr_spearman(df).filter("a = 'a' and b = 'b'").first()
+    assert found["corr"] == pytest.approx(-1.0) and found["n"] == 2_200_000
