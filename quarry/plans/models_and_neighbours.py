@@ -112,6 +112,52 @@ def _(t: Tables):
     return scored.agg(F.count("*").alias("n"), (F.abs(F.avg((F.col("anomaly_score") < 0).cast("int")) - 0.01) < 0.005).alias("about_one_percent"))
 
 
+# What holds for any seed of the random models above.
+
+
+@query("train_classifier_invariants", "SELECT large, count(*) AS n, true AS better FROM (SELECT CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS large FROM part) GROUP BY 1")
+def _(t: Tables):
+    model, accuracy = ml.train_classifier(_flagged(t), "large", "p_size,p_retailprice,p_type", "p_partkey", n_estimators=20, max_depth=6)
+    scored = ml.predict(_flagged(t), model, "guess")
+    total = scored.agg(F.greatest(F.avg(F.col("large").cast("double")), 1 - F.avg(F.col("large").cast("double"))).alias("majority"))
+    return scored.groupBy("large").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("large", "n", (F.lit(accuracy) > F.col("majority")).alias("better"))
+
+
+@query("train_classifier_logistic_invariants", """
+    SELECT costly, count(*) AS n, true AS better FROM (SELECT CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END AS costly FROM lineitem) GROUP BY 1""")
+def _(t: Tables):
+    items = t.lineitem.withColumn("costly", (F.col("l_extendedprice") > 40000).cast("int"))
+    model, accuracy = ml.train_classifier(items, "costly", "l_quantity,l_discount,l_returnflag", "l_orderkey,l_linenumber,l_partkey,l_suppkey", "logistic_regression")
+    scored = ml.predict(items, model, "guess", threshold=0.5)
+    share = F.avg(F.col("costly").cast("double"))
+    total = scored.agg(F.greatest(share, 1 - share).alias("majority"))
+    return scored.groupBy("costly").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("costly", "n", (F.lit(accuracy) > F.col("majority")).alias("better"))
+
+
+@query("train_regressor_forest_invariants", "SELECT feature, CAST(1 AS DOUBLE) AS total FROM (VALUES ('p_partkey'), ('p_size')) f(feature)")
+def _(t: Tables):
+    model, _ = ml.train_regressor(t.part, "p_retailprice", "p_partkey,p_size", "p_partkey", "random_forest", n_estimators=10, max_depth=8)
+    shares = ml.feature_importance(t.spark, model)
+    total = shares.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return shares.select("feature").join(F.broadcast(total))
+
+
+@query("kmeans_embeddings_invariants", "SELECT count(*) AS n, CAST(10 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS without FROM embeddings")
+def _(t: Tables):
+    wide = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
+    found = ml.kmeans(wide, [f"e{i}" for i in range(64)], k=10, n_init=2, max_iter=20)
+    return found.agg(F.count("*").alias("n"), F.count_distinct("cluster_id").alias("clusters"), F.count_if(F.col("cluster_id").isNull()).alias("without"))
+
+
+@query("isolation_forest_planted", "SELECT CAST(-i AS BIGINT) AS l_orderkey FROM range(1, 4) r(i)")
+def _(t: Tables):
+    items = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+    odd = t.spark.range(1, 4).select((-F.col("id")).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"),
+                                     (F.col("id") * 5000.0).alias("l_quantity"), (F.col("id") * -9e6).alias("l_extendedprice"), (F.col("id") * 40.0).alias("l_discount"))
+    scored = isolation.isolation_forest(items.unionByName(odd), "l_quantity,l_extendedprice,l_discount", _ITEM_KEY, n_estimators=40)
+    return scored.orderBy("anomaly_score", "l_orderkey").limit(3).select("l_orderkey")
+
+
 @query("train_test_split", """
     SELECT CAST(floor(0.75 * count(*)) AS BIGINT) AS train, CAST(count(*) - floor(0.75 * count(*)) AS BIGINT) AS test, CAST(0 AS BIGINT) AS shared FROM orders""")
 def _(t: Tables):

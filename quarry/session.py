@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,26 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python functions import it; once per application.
+
+    Not needed where the package is installed on every machine.
+    """
+    app = spark.sparkContext.applicationId
+    package = Path(__file__).resolve().parent
+    if app in _shipped or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="quarry-code-")).resolve() / "quarry.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 

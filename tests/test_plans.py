@@ -1,6 +1,9 @@
 """What the physical plans must and must not contain."""
 
 import io
+import os
+import subprocess
+import sys
 from contextlib import redirect_stdout
 
 import pytest
@@ -61,3 +64,16 @@ def test_intermediate_tables_go_to_the_named_folder(spark):
     folder = shared_folder(spark)
     assert spark.conf.get("spark.checkpoint.dir") == folder
     assert write_out(spark.range(3)).inputFiles()[0].replace("file://", "").startswith(folder)
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A query with Python on the workers, started where the package cannot be imported by accident."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from quarry.session import local_session\n"
+            "import __spark_entry__ as e\n"
+            "spark = local_session('2', 2, '2g')\n"
+            f"print('rows', e.queries()['knn_impute'](spark, {FOLDER!r}).count(), e.queries()['nearest'](spark, {FOLDER!r}).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
