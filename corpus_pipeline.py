@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, line_dedup, minmax, pieces, quality_rules
 from quarry.llm.common import table
-from quarry.session import write_out
+from quarry.session import ship, write_out
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = write_out(stage(spark, docs, sf_dir))

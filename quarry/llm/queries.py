@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table
+from quarry.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,7 +17,11 @@ ORACLE: dict[str, str] = {}
 
 def query(key: str, sql: str | None = None) -> Callable:
     def register(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[key] = build
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return build(spark, folder)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = sql
         return build
