@@ -13,7 +13,7 @@ from quarry.functions.columns import as_list, missing, name, require, text_colum
 from quarry.functions.patterns import java_pattern, literal_pattern
 from quarry.functions.predicate import predicate
 
-HASH_CELLS = 65_536  # the one cell that is ranked holds about this fraction of a group
+HASH_BITS = 16  # leading bits of the hash that name a cell; the one cell that is ranked holds about 2 ** -16 of a group
 
 
 def _ascending(cols: Sequence[str]) -> list[Column]:
@@ -37,14 +37,15 @@ def mark_by_hash(df: DataFrame, key: Sequence[str], seed: int, quota: DataFrame
                  by: str | None = None, out: str = "taken") -> DataFrame:
     """Mark exactly ``quota`` rows (per ``by`` value when given as a table by, quota), repeatably.
 
-    Rows are ordered by a hash of their key. Cells of equal hash are counted first; rows in cells below
-    and above the boundary are decided by a comparison, and only the one boundary cell is ranked.
+    The rows with the smallest hashes of their keys are taken. Cells of equal leading bits are counted first;
+    rows in cells below and above the boundary are decided by a comparison, and only the one boundary cell is
+    ranked, so the choice does not depend on the number of cells.
     """
     require(df, *key, by)
     spark = df.sparkSession
     mixed = F.xxhash64(F.lit(seed), *[name(k) for k in key])
     group = F.lit(0) if by is None else name(by)
-    hashed = df.withColumn("_hash", mixed).withColumn("_cell", F.pmod("_hash", F.lit(HASH_CELLS)))
+    hashed = df.withColumn("_hash", mixed).withColumn("_cell", F.shiftright("_hash", 64 - HASH_BITS))
     hashed = hashed.withColumn("_group", group)
     if not isinstance(quota, DataFrame):
         quota = spark.range(1).select(F.lit(0).alias("_group"), F.lit(quota).cast("long").alias("_quota"))

@@ -63,7 +63,7 @@ def job_history(runs: DataFrame, task_id: int | None = None, errors_only: bool =
 
 
 def current_path(spark: SparkSession, root: str, table: str) -> str:
-    latest = _load(spark, f"{root}/_versions", VERSION_SHAPE).filter(F.col("table") == table).orderBy(F.desc("timestamp")).limit(1).first()
+    latest = _load(spark, f"{root}/_versions", VERSION_SHAPE).filter(F.col("table") == table).orderBy(F.desc("timestamp"), F.desc("path")).limit(1).first()
     if latest is None:
         raise ValueError(f"no table '{table}' under {root}")
     return latest["path"]
@@ -107,7 +107,7 @@ def snapshots(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rollback(spark: SparkSession, root: str, table: str, name: str, dry_run: bool = False, user: str | None = None) -> DataFrame:
-    """Make a snapshot the current version; ``dry_run`` only compares row counts."""
+    """Point the table at a snapshot, which never changes; ``dry_run`` only compares row counts."""
     try:
         saved = spark.read.parquet(snapshot_path(root, table, name))
     except AnalysisException as problem:
@@ -115,7 +115,8 @@ def rollback(spark: SparkSession, root: str, table: str, name: str, dry_run: boo
     if dry_run:
         now, then = read_current(spark, root, table).count(), saved.count()
         return spark.createDataFrame([(now, then)], "current_rows long, snapshot_rows long")
-    audited_write(saved, root, table, "rollback", user, f"table={table} name={name}")
+    _append(spark, (table, snapshot_path(root, table, name), _now()), VERSION_SHAPE, f"{root}/_versions")
+    log_action(spark, root, user, "rollback", f"table={table} name={name}")
     return read_current(spark, root, table)
 
 

@@ -1,4 +1,4 @@
-"""Named operator steps composed into one lazy plan."""
+"""Workflows of named operator steps."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from collections.abc import Callable, Mapping
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
-from quarry.operators import clean, columns_ops, geo, integrity, rows, stats, windows
+from quarry.operators import clean, columns_ops, density, fuzzy, geo, integrity, isolation, ml, neighbours, rows, stats, windows
+from quarry.session import write_out
+from quarry.sources.tables import read_table
 
 OPERATORS: dict[str, Callable[..., DataFrame]] = {
     f.__name__: f for f in (
@@ -19,7 +21,9 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
         windows.moving_avg, windows.rank, windows.bin,
         clean.impute_mode, clean.impute_group, clean.regex_replace, clean.drop_outliers, clean.map_values, clean.trim,
         geo.geo_validate, geo.geo_distance, geo.centroid, geo.bounds,
-        integrity.encrypt_col, integrity.decrypt_col, integrity.anonymize, integrity.scan_pii,
+        geo.geocode, geo.reverse_geocode, neighbours.nearest, neighbours.knn_impute, density.dbscan,
+        fuzzy.harmonize, fuzzy.fuzzy_clusters, ml.kmeans, isolation.isolation_forest,
+        integrity.encrypt_col, integrity.decrypt_col, integrity.anonymize, integrity.scan_pii, integrity.fingerprint,
     )
 }
 
@@ -36,10 +40,12 @@ def read_workflow(text: str) -> dict:
         return yaml.safe_load(text)
 
 
-def run_steps(df: DataFrame, workflow: Mapping | str, continue_on_error: bool = False) -> tuple[DataFrame, list[dict]]:
-    """Apply the workflow's steps in order; nothing runs until the result is used.
+def run_steps(df: DataFrame, workflow: Mapping | str, continue_on_error: bool = False, settle: bool = True) -> tuple[DataFrame, list[dict]]:
+    """Apply the workflow's steps in order. Also returns each step's status.
 
-    A failing step stops the run, or is skipped with ``continue_on_error``. Also returns each step's status.
+    Every step's result is written before the next one begins, so 'success' means that the step ran. Without ``settle``
+    all steps become one lazy plan and their status is 'planned'. A failing step stops the run, or is skipped with
+    ``continue_on_error``. An argument {"table": path} stands for the table at that path.
     """
     workflow = read_workflow(workflow) if isinstance(workflow, str) else workflow
     status = []
@@ -48,8 +54,11 @@ def run_steps(df: DataFrame, workflow: Mapping | str, continue_on_error: bool =
         try:
             if step.get("op") not in OPERATORS:
                 raise ValueError(f"no operator '{step.get('op')}'")
-            df = OPERATORS[step["op"]](df, **step.get("args", {}))
-            status.append({"name": label, "status": "success", "error": None})
+            args = {k: read_table(df.sparkSession, v["table"]) if isinstance(v, Mapping) and set(v) == {"table"} else v
+                    for k, v in step.get("args", {}).items()}
+            made = OPERATORS[step["op"]](df, **args)
+            df = write_out(made) if settle else made
+            status.append({"name": label, "status": "success" if settle else "planned", "error": None})
         except (ValueError, TypeError, PySparkException) as problem:
             status.append({"name": label, "status": "failed", "error": str(problem)})
             if not continue_on_error:

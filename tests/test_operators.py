@@ -454,3 +454,20 @@ def test_spearman_beyond_two_million_rows(spark):
     df = spark.range(2_200_000).select((F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 1000 * -2).cast("double").alias("b"))
     found = stats.corr_spearman(df).filter("a = 'a' and b = 'b'").first()
     assert found["corr"] == pytest.approx(-1.0) and found["n"] == 2_200_000
+
+
+def test_a_step_that_fails_while_running_is_told(spark):
+    df = spark.createDataFrame([(1, "x")], "i int, t string")
+    steps = {"steps": [{"op": "filter_rows", "args": {"where": "i > 0"}}, {"op": "regex_replace", "args": {"col": "t", "pattern": "(", "repl": ""}},
+                       {"op": "fingerprint", "args": {}}]}
+    out, status = run_steps(df, steps, continue_on_error=True)
+    assert [s["status"] for s in status] == ["success", "failed", "success"] and out.count() == 1
+    _, planned = run_steps(df, {"steps": [{"op": "trim", "args": {"col": "t"}}]}, settle=False)
+    assert planned[0]["status"] == "planned"
+
+
+def test_the_sample_does_not_depend_on_the_cells(spark, monkeypatch):
+    df = spark.range(5000)
+    one = ids(rows.sample(df, n=700, seed=3, key="id"))
+    monkeypatch.setattr(rows, "HASH_BITS", 3)
+    assert ids(rows.sample(df, n=700, seed=3, key="id")) == one and len(one) == 700
