@@ -87,11 +87,12 @@ def scan_pii(df: DataFrame, key: str | Sequence[str], entities: str | Sequence[s
     return cells.select(*map(name, keys), "column", F.inline(hits))
 
 
-def _key(key: bytes | str) -> Column:
+def _key(df: DataFrame, key: bytes | str) -> Column:
+    """The key as a one-row subquery: its value is no part of the plan, so neither explain nor the event log shows it."""
     raw = key.encode() if isinstance(key, str) else key
     if len(raw) not in (16, 24, 32):
         raise ValueError("the key must have 16, 24 or 32 bytes")
-    return F.unhex(F.lit(raw.hex()))
+    return df.sparkSession.createDataFrame([(bytearray(raw),)], "k binary").scalar()
 
 
 def key_from_file(path: str) -> bytes:
@@ -109,14 +110,14 @@ def key_from_file(path: str) -> bytes:
 def encrypt_col(df: DataFrame, col: str, key: bytes | str) -> DataFrame:
     """Authenticated encryption (AES-GCM) to Base64 text; null stays null."""
     require(df, col)
-    return df.withColumn(col, F.base64(F.aes_encrypt(name(col).cast("string"), _key(key), F.lit("GCM"))))
+    return df.withColumn(col, F.base64(F.aes_encrypt(name(col).cast("string"), _key(df, key), F.lit("GCM"))))
 
 
 def decrypt_col(df: DataFrame, col: str, key: bytes | str) -> DataFrame:
     """Reverse of ``encrypt_col``; a value that is not encrypted with this key comes back unchanged."""
     require(df, col)
     raw = F.try_to_binary(name(col), F.lit("base64"))
-    plain = F.try_aes_decrypt(raw, _key(key), F.lit("GCM")).cast("string")
+    plain = F.try_aes_decrypt(raw, _key(df, key), F.lit("GCM")).cast("string")
     return df.withColumn(col, F.coalesce(plain, name(col)))
 
 

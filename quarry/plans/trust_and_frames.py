@@ -96,14 +96,14 @@ def _(t: Tables):
 
 def _pii_sql(table: str, key: str) -> str:
     return " UNION ALL ".join(f"""
-        SELECT {key}, 'text' AS "column", '{e}' AS entity, CAST(i - 1 AS INTEGER) AS match_no, s AS snippet FROM (
-          SELECT {key}, unnest(m) AS s, generate_subscripts(m, 1) AS i FROM (SELECT {key}, regexp_extract_all(text, '{p}') AS m FROM {table}))"""
-                              for e, p in integrity.PII_PATTERNS.items())
+        SELECT {key}, '{c}' AS "column", '{e}' AS entity, CAST(i - 1 AS INTEGER) AS match_no, s AS snippet FROM (
+          SELECT {key}, unnest(m) AS s, generate_subscripts(m, 1) AS i FROM (SELECT {key}, regexp_extract_all({c}, '{p}') AS m FROM {table}))"""
+                              for c in ("text", "lang", "source") for e, p in integrity.PII_PATTERNS.items())
 
 
 @query("scan_pii", _pii_sql("documents", "doc_id"))
 def _(t: Tables):
-    return integrity.scan_pii(t.documents.select("doc_id", "text"), "doc_id")
+    return integrity.scan_pii(t.documents, "doc_id")
 
 
 @query("encrypt_col", "SELECT c_custkey, true AS hidden, c_name, c_name AS wrong_key_keeps FROM customer")
@@ -154,6 +154,28 @@ def _(t: Tables):
     return rounded(integrity.drift_check(now, t.lineitem.filter(~late).select(*_DRIFT)).select("column", "statistic"))
 
 
+def _tail_sql(distance: str, n: str, m: str) -> str:
+    """The asymptotic probability of a larger two-sample distance."""
+    lam = f"({distance} * sqrt(CAST({n} AS DOUBLE) * {m} / ({n} + {m})))"
+    series = f"list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * {lam} * {lam})))"
+    return f"CASE WHEN {lam} < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, {series})) END"
+
+
+@query("drift_p_value", """
+    WITH u AS (""" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {c} AS v, l_orderkey % 2 AS now FROM lineitem""" for c in _DRIFT) + f"""),
+    f AS (SELECT DISTINCT "column", v, sum(now) OVER w / (sum(now) OVER (PARTITION BY "column")) AS fa,
+                 sum(1 - now) OVER w / (sum(1 - now) OVER (PARTITION BY "column")) AS fb
+          FROM u WINDOW w AS (PARTITION BY "column" ORDER BY v)),
+    s AS (SELECT "column", max(abs(fa - fb)) AS d FROM f GROUP BY 1),
+    c AS (SELECT "column", sum(now) AS n, sum(1 - now) AS m FROM u GROUP BY 1)
+    SELECT "column", round({_tail_sql("d", "n", "m")}, 6) AS p_value FROM s JOIN c USING ("column")""")
+def _(t: Tables):
+    odd = F.col("l_orderkey") % 2 == 1  # two groups without a difference: p values inside 0 and 1
+    now, then = t.lineitem.filter(odd).select(*_DRIFT), t.lineitem.filter(~odd).select(*_DRIFT)
+    return rounded(integrity.drift_check(now, then).select("column", "p_value"))
+
+
 @query("drift_verdict", """
     SELECT unnest(['l_quantity', 'l_extendedprice']) AS "column", unnest(['OK', 'DRIFT']) AS result""")
 def _(t: Tables):

@@ -77,3 +77,11 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows" in done.stdout, done.stderr[-2000:]
+
+
+def test_no_plan_shows_the_key(spark):
+    df = spark.createDataFrame([("secret",)], "t string")
+    sealed = integrity.encrypt_col(df, "t", "0123456789abcdef")
+    text = sealed._jdf.queryExecution().toString() + plan(sealed)
+    assert "0123456789abcdef" not in text and "30313233343536373839616263646566" not in text.lower()
+    assert integrity.decrypt_col(sealed, "t", "0123456789abcdef").first()["t"] == "secret"
