@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import name, require
@@ -33,6 +33,7 @@ ROWS_PER_BAND = 4  # 28 bands: a pair at similarity 0.8 shares none with probabi
 SIMILAR_PERCENT = 80
 SKETCH_MARGIN = 0.2  # sketches estimate the similarity; five standard deviations at 112 values
 SMALL_IDS = 500_000  # ids that may be broadcast: 4 MB
+ONE_TASK_LINKS = 50_000  # links, 800 kB, whose components one task may settle; more go through distributed rounds
 
 _rng = np.random.default_rng(20)
 _FLIPS = _rng.integers(0, 2 ** 63, PERMUTATIONS, dtype=np.uint64)
@@ -197,21 +198,32 @@ def _open_pairs(placed: DataFrame, first: DataFrame, sets: DataFrame, percent: i
     def enough(common: Column, n: Column) -> Column:
         return common * (100 + percent) >= (F.col("n_a") + n) * percent  # what a similarity of ``percent`` needs in common
 
-    own = strays.filter(enough(F.col("common_a"), F.col("least"))).drop("main_a")
-    near = own.join(still.drop("main_hub").withColumnRenamed("hub", "hub_a"), ["band", "hub_a"]).filter(sizes & enough(F.least("common_a", "common"), F.col("n")))
+    close = strays.filter(enough(F.col("common_a"), F.col("least"))).drop("main_a")
+    near = close.join(still.drop("main_hub").withColumnRenamed("hub", "hub_a"), ["band", "hub_a"]).filter(sizes & enough(F.least("common_a", "common"), F.col("n")))
     apart = F.expr("hub_a <> hub") & sizes
     far = (strays.filter("hub_a <> main_a").join(still, "band").filter(apart).select("a", "id")
            .unionByName(strays.join(still.filter("hub <> main_hub"), "band").filter(apart).select("a", "id")))
-    roots = still.select("id", "r").distinct()
-    outside = facts.join(roots, "id").select("id", "hub", "n", "r", F.explode("others").alias("hash"))
+    # Pairs that share enough outside their hub. Hashes of one component alone join nothing; of the others, the rarest
+    # first, a document may leave out as many as it must share less one.
+    own = still.select("id", "hub", "n", "common", "r").distinct()
+    lowest = own.groupBy("hub").agg(F.min("n").alias("lowest"))
+    partner = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("lowest"))  # the least size a linked document can have
+    share = F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("common"))
+    outside = facts.select("id", F.explode("others").alias("hash")).join(own.join(lowest, "hub").withColumn("share", share), "id")
+    spread = outside.groupBy("hub", "hash").agg(F.count(F.lit(1)).alias("k"), F.min("r").alias("low"), F.max("r").alias("high")).filter("low < high").select("hub", "hash", "k")
+    mine = Window.partitionBy("id")
+    outside = (outside.join(spread, ["hub", "hash"]).withColumn("rank", F.row_number().over(mine.orderBy("k", "hash"))).withColumn("held", F.count(F.lit(1)).over(mine))
+               .filter("rank <= held - share + 1").select("id", "hub", "n", "r", "hash"))
+    outside = write_out(outside)
     alone = strays.select(F.col("a").alias("id")).distinct()
-    mine = outside.join(alone, "id", "left_semi").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("ra"), "hub", "hash")
-    beside = mine.join(outside, ["hub", "hash"]).filter(sizes)
+    asked = outside.join(alone, "id", "left_semi").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("ra"), "hub", "hash")
+    beside = asked.join(outside, ["hub", "hash"]).filter(sizes)
     found = near.select("a", "id").unionByName(far).unionByName(beside.select("a", "id"))
     return found.select(F.greatest("a", "id").alias("u"), F.least("a", "id").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = SIMILAR_PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = SIMILAR_PERCENT, key: str = "doc_id", text: str = "text",
+                    one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
     """Per row: key as ``doc_id``, ``n_shingles`` (size of its set), ``component_id`` (the smallest key reachable over links), ``kept``.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. A null or empty text has
@@ -246,17 +258,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = SIMILAR_PERC
     greatest = F.max(F.struct("hub_fame", (-F.col("hub")).alias("order")))
     first = write_out(shared.filter("id <> hub").groupBy("id").agg(greatest.alias("g")).select(F.col("id").alias("u"), (-F.col("g.order")).alias("v")))
     links = _confirm(first, sketches, sets, percent)
-    roots = write_out(components(links, one_task_edges=0))
+    roots = write_out(components(links, one_task_edges=one_task_links))
     second = (with_roots(shared.filter("id <> hub").select("id", "hub").distinct(), {"id": "r", "hub": "s"}, roots)
               .filter("r <> s").select(F.col("id").alias("u"), F.col("hub").alias("v")).join(first, ["u", "v"], "left_anti"))
     second = write_out(second)
     links = write_out(links.unionByName(_confirm(second, sketches, sets, percent)))
-    roots = write_out(components(links, one_task_edges=0))
+    roots = write_out(components(links, one_task_edges=one_task_links))
     placed = write_out(with_roots(shared.select("band", "id"), {"id": "r"}, roots))
     tried = first.unionByName(second).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     third = _open_pairs(placed, first, sets, percent).join(tried, ["u", "v"], "left_anti")
     more = _confirm(write_out(third), sketches, sets, percent)
-    roots = write_out(components(links.unionByName(more), one_task_edges=0))
+    roots = write_out(components(links.unionByName(more), one_task_edges=one_task_links))
 
     standing = with_roots(chosen, {"id": "root"}, roots).select("print", "root")
     out = sketched.select("doc_id", "n_shingles", "print").join(standing, "print", "left")
