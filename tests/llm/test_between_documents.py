@@ -123,7 +123,8 @@ def test_near_duplicates_on_documents(spark, documents):
     assert found == linked(documents, 4)
 
 
-def test_near_duplicates_of_one_large_group(spark):
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_near_duplicates_of_one_large_group(spark, limit):
     """Near copies of one text, many of them only linked through others, beside a second, similar family."""
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
@@ -136,7 +137,7 @@ def test_near_duplicates_of_one_large_group(spark):
             text[rng.randrange(len(text))] = f"new{rng.randrange(10 ** 6)}"
         texts.append((1000 - i, " ".join(text)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    assert {r["doc_id"]: tuple(r)[1:] for r in minmax.near_duplicates(docs, words=5).collect()} == linked(texts, 5)
+    assert {r["doc_id"]: tuple(r)[1:] for r in minmax.near_duplicates(docs, words=5, one_task_links=limit).collect()} == linked(texts, 5)
 
 
 def test_near_duplicates_odd_texts(spark, odd, none):
