@@ -142,8 +142,12 @@ def _crosstab_cells(df: DataFrame, row: str, col: str, normalize: str | None, ma
         shown = cells if margins else cells.filter("any_row = 0 and any_col = 0")
         return shown.select("row", "col", F.col("n").cast("double").alias("value"), "any_row", "any_col")
     basis = {"index": ["row", "any_row"], "columns": ["col", "any_col"], "all": []}[normalize]
-    whole = F.max("n").over(Window.partitionBy(*(basis or [F.lit(0)])))
-    shares = cells.select("row", "col", "any_row", "any_col", (F.col("n") / whole).alias("value"))
+    # The greatest count of a line is its margin; found by an aggregate, as a window would bring a whole line into one task.
+    if basis:
+        based = cells.join(cells.groupBy(*basis).agg(F.max("n").alias("whole")), basis)
+    else:
+        based = cells.withColumn("whole", cells.agg(F.max("n")).scalar())
+    shares = based.select("row", "col", "any_row", "any_col", (F.col("n") / F.col("whole")).alias("value"))
     if not margins:
         shares = shares.filter("any_row = 0 and any_col = 0")
     elif normalize == "index":

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ship, shared_folder
+from quarry.session import scratch_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,7 +30,7 @@ class Tables:
 
     def scratch(self, ending: str = "") -> str:
         """A fresh path in the shared folder."""
-        return os.path.join(shared_folder(self.spark), f"quarry-{uuid.uuid4().hex}{ending}")
+        return scratch_path(self.spark, ending)
 
 
 def query(key: str, sql: str | None = None) -> Callable:

@@ -64,6 +64,13 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def scratch_path(spark: SparkSession, ending: str = "") -> str:
+    """A fresh path in the shared folder, which ``drop_written`` removes."""
+    path = os.path.join(shared_folder(spark), f"quarry-{uuid.uuid4().hex}{ending}")
+    _written.append(path)
+    return path
+
+
 def write_out(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -71,9 +78,8 @@ def write_out(df: DataFrame) -> DataFrame:
     executors, cuts the lineage and gives the optimizer exact sizes.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"quarry-{uuid.uuid4().hex}")
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

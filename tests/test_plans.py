@@ -85,3 +85,9 @@ def test_no_plan_shows_the_key(spark):
     text = sealed._jdf.queryExecution().toString() + plan(sealed)
     assert "0123456789abcdef" not in text and "30313233343536373839616263646566" not in text.lower()
     assert integrity.decrypt_col(sealed, "t", "0123456789abcdef").first()["t"] == "secret"
+
+
+def test_crosstab_shares_need_no_window(spark):
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    for basis in ("all", "columns", "index"):
+        assert "Window" not in plan(stats.crosstab(orders, "o_orderstatus", "o_orderpriority", basis))
