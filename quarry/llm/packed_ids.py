@@ -11,9 +11,7 @@ leaves half a file, and read back as binary files from whatever store Spark reac
 from __future__ import annotations
 
 import math
-import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import ragged, split_words, text_slices, two_columns
-from quarry.session import shared_folder
+from quarry.session import scratch_path
 
 BLOCK_IDS = 1 << 18
 FILE_TEXT_BYTES = 64 << 20
@@ -229,7 +227,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end: i
         raise ValueError("the tokenizer keeps case or white space, so texts cannot be encoded word by word")
     slim = two_columns(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = docs.sparkSession
-    folder = folder or os.path.join(shared_folder(spark), f"packed-ids-{uuid.uuid4().hex}")
+    folder = folder or scratch_path(spark, "-ids")
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_TEXT_BYTES))
     bits = width(_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True))
