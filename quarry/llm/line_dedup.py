@@ -20,7 +20,7 @@ from quarry.session import write_out
 EDITS = 1
 MIN_CHARS = 20  # shorter lines are left alone
 GROUP = 64  # lines sharing a key beyond which the key is refined instead of paired
-SMALL_IDS = 10_000  # keys that may be broadcast
+SMALL_IDS = 2_000_000  # keys of eight bytes that may be broadcast: 16 MB; they spare a shuffle of the lines' text
 
 
 def edit_distance(long: Column, short: Column, most: int = EDITS) -> Column:
@@ -188,7 +188,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GRO
     copied = firsts.filter("n > 1").select("id", "more", "first")
     doomed = write_out(copied.join(late.withColumn("late", F.lit(True)), ["id", "more"], "full_outer"))  # first: the place that stays, unless late
     places = lines.select("doc_id", "line_no", "id", "more")
-    gone = (places.join(F.broadcast(doomed) if doomed.count() <= SMALL_IDS else doomed, ["id", "more"])
+    gone = (places.join(doomed, ["id", "more"])
             .filter(F.col("late").isNotNull() | (F.struct("doc_id", "line_no") != F.col("first"))))
     return write_out(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")))
 
