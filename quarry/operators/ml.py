@@ -84,7 +84,7 @@ def train_test_split(df: DataFrame, key: str | Sequence[str], train_size: float
             (-(F.col("n") * train_size - F.floor(F.col("n") * train_size))).alias("rest"))
         total, base = shares.agg(F.sum("n"), F.sum("base")).first()
         extra = math.floor(train_size * total) - base
-        numbered = ordered.number_rows(shares, ["rest", stratify], out="place")
+        numbered = ordered.number_rows(write_out(shares), ["rest", stratify], out="place")
         quota = numbered.select(name(stratify), (F.col("base") + (F.col("place") < extra).cast("long")).alias("quota"))
         marked = mark_by_hash(df, keys, seed, quota, by=stratify, out="_train")
     return marked.filter("_train").drop("_train"), marked.filter("NOT _train").drop("_train")

@@ -51,7 +51,7 @@ def moving_avg(df: DataFrame, col: str, window: int, center: bool = False, min_p
     groups = [f"_g{i}" for i in range(len(parts))]
     for g, p in zip(groups, parts):  # null is a partition of its own here
         valued = valued.withColumn(g, F.struct(name(p).isNull().alias("n"), name(p).alias("v")).cast("string"))
-    numbered = ordered.number_rows(valued, order, groups, out="_no")
+    numbered = ordered.number_rows(write_out(valued), order, groups, out="_no")
     place = numbered.withColumn("_chunk", F.floor(F.col("_no") / size))
     offset = F.col("_no") - F.col("_chunk") * size
     copies = F.array_compact(F.array(
@@ -78,7 +78,7 @@ def rank(df: DataFrame, col: str, method: str = "average", pct: bool = False, or
         order = as_list(order_by)
         if not order:
             raise ValueError("method 'first' needs order_by")
-        numbered = ordered.running_total(present(df, col), {out: F.lit(1).cast("long")}, [col, *order], (), rows_per_range)
+        numbered = ordered.running_total(write_out(present(df, col)), {out: F.lit(1).cast("long")}, [col, *order], (), rows_per_range)
         place = F.col(out) / F.col(f"{out}_all") if pct else F.col(out)
         ranked = numbered.select(*map(name, df.columns), place.cast("double").alias(out))
         return ranked.unionByName(df.filter(missing(df, col)).withColumn(out, F.lit(None).cast("double")))
