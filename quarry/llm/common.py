@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.functions.columns import name, require
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, what: str) -> DataFrame:

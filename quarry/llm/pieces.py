@@ -26,7 +26,7 @@ from quarry.llm.common import ragged, text_slices, two_columns
 
 BLANK = "▁"
 LOCK_STEP = 48  # symbols of a segment, beyond which the heap is used
-CACHED_SEGMENTS = 600_000
+CACHED_SEGMENTS = 400_000
 NONE = np.int32(2 ** 31 - 1)
 CODE_POINTS = 0x110000
 #: Kinds of pieces and the kind of model in the library's file format: fixed values.
@@ -75,7 +75,9 @@ class Pieces:
         self.silent = {i for i, k in enumerate(kinds) if k in (CONTROL, UNKNOWN)}
         self.blank_first = {i for w, i in words.items() if w[0] == BLANK}
         self.end = self.library.eos_id()
-        self.seen: dict[str, tuple[str, bytes]] = {}
+        self.shown = [str(i) for i in range(self.size)]
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.int32
+        self.seen: dict[str, bytes] = {}  # ids of the segments met so far
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the agenda, piece formed) of adjacent symbols; NONE where they form no piece."""
@@ -193,13 +195,13 @@ class Pieces:
                 self.keep(s, self.with_bytes(np.array(sym), np.array([len(sym)]))[0].tolist())
 
     def keep(self, segment: str, ids: list[int]) -> None:
-        self.seen[segment] = " ".join(map(str, ids)), np.array(ids, dtype=np.int32).tobytes()
+        self.seen[segment] = np.array(ids, dtype=self.kind).tobytes()
 
     def check(self, segments: list[str]) -> None:
         """Compare with the library, which puts the same blank before a text."""
         theirs = self.library.encode([s.replace(BLANK, " ") for s in segments], num_threads=1)
         for s, expected in zip(segments, theirs, strict=True):
-            if s and np.array(expected, dtype=np.int32).tobytes() != self.seen[s][1]:
+            if s and np.array(expected, dtype=self.kind).tobytes() != self.seen[s]:
                 raise ValueError(f"the library encodes {s[:80]!r} otherwise")
 
     def encode(self, texts: Sequence[str]) -> list[tuple[str, list[int]]]:
@@ -214,8 +216,8 @@ class Pieces:
             self.check(new[at:at + 50_000])
         out = []
         for own in parts:
-            found = [self.seen[s] for s in own]
-            out.append((" ".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), np.int32).tolist()))
+            ids = np.frombuffer(b"".join([self.seen[s] for s in own]), self.kind).tolist()
+            out.append((" ".join([self.shown[i] for i in ids]), ids))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
