@@ -19,7 +19,7 @@ from quarry.session import write_out
 
 EDITS = 1
 MIN_CHARS = 20  # shorter lines are left alone
-GROUP = 64  # lines sharing a key beyond which the key is refined instead of paired
+GROUP = 8  # lines sharing a key beyond which the key is refined instead of paired; bounds the pairs per line
 SMALL_IDS = 2_000_000  # keys of eight bytes that may be broadcast: 16 MB; they spare a shuffle of the lines' text
 
 
