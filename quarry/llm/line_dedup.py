@@ -19,7 +19,7 @@ from quarry.session import write_out
 
 EDITS = 1
 MIN_CHARS = 20  # shorter lines are left alone
-GROUP = 8  # lines sharing a key beyond which the key is refined instead of paired; bounds the pairs per line
+GROUP = 64  # lines sharing a key beyond which the key is refined instead of paired
 SMALL_IDS = 2_000_000  # keys of eight bytes that may be broadcast: 16 MB; they spare a shuffle of the lines' text
 
 
@@ -201,7 +201,7 @@ def _kept_text(text: Column, removed: Column) -> Column:
 def dedup_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with their text less the removed lines, all columns kept; a null text stays null."""
     gone = removed.select(F.col("doc_id").alias("_key"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone, name(key) == F.col("_key"), "left")
+    joined = docs.join(gone.hint("merge"), name(key) == F.col("_key"), "left")  # the list of removed lines grows with the corpus: never broadcast
     return joined.select(*[_kept_text(name(c), F.col("_removed")).alias(c) if c == text else name(c) for c in docs.columns])
 
 
@@ -209,7 +209,7 @@ def line_report(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text:
     """Per row: key as ``doc_id``, ``n_lines``, ``n_removed``, ``kept_chars`` and ``kept_sha256`` (hex) of what is left; a null text has no lines."""
     gone = removed.select(F.col("doc_id").alias("_key"), F.col("removed").alias("_removed"))
     body = F.coalesce(name(text).cast("string"), F.lit(""))
-    kept = docs.join(gone, name(key) == F.col("_key"), "left").select(
+    kept = docs.join(gone.hint("merge"), name(key) == F.col("_key"), "left").select(
         name(key).alias("doc_id"), F.coalesce(F.when(name(text).isNotNull(), F.size(F.split(name(text).cast("string"), "\n"))), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long").alias("n_removed"), _kept_text(body, F.col("_removed")).alias("kept"))
     return kept.select("doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
