@@ -97,7 +97,7 @@ def _refined(states: DataFrame) -> DataFrame:
 
 
 def _among(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose ``on`` is among those of ``wanted`` (written, distinct), without a shuffle where these are few."""
+    """Rows whose ``on`` is among those of ``wanted`` (distinct, read from a written table), without a shuffle where these are few."""
     return rows.join(F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted, on, "left_semi")
 
 
@@ -119,8 +119,8 @@ def _candidates(lines: DataFrame, group: int) -> DataFrame:
         slim = write_out(states.select("id", "probe", "key"))
         shared = write_out(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("least"), F.min("id").alias("low"), F.max("id").alias("high"))
                            .filter("not least and low < high").select("key", "n"))
-        found.append(_pairs(_among(slim, write_out(shared.filter(F.col("n") <= group).select("key")), ["key"]).distinct()))
-        large = write_out(shared.filter(F.col("n") > group).select("key"))
+        found.append(_pairs(_among(slim, shared.filter(F.col("n") <= group).select("key"), ["key"]).distinct()))
+        large = shared.filter(F.col("n") > group).select("key")
         if not large.take(1):
             break
         own = write_out(_among(states, large, ["key"]).dropDuplicates(["id", "probe", "key"]))
@@ -129,8 +129,8 @@ def _candidates(lines: DataFrame, group: int) -> DataFrame:
         # A second half in which all lines share the first half's key only repeats that key's pairs.
         facts = write_out(facts.filter("not (side = 1 and low = high)"))
         ready = (F.col("n") <= group) | (F.col("open") <= EDITS)  # with nothing left to cut, lines differ in one place only
-        found.append(_pairs(_among(own.select("id", "probe", "key"), write_out(facts.filter(ready).select("key")), ["key"])))
-        hot = write_out(facts.filter(~ready).select("key"))
+        found.append(_pairs(_among(own.select("id", "probe", "key"), facts.filter(ready).select("key"), ["key"])))
+        hot = facts.filter(~ready).select("key")
         if not hot.take(1):
             break
         states = write_out(_among(own, hot, ["key"]))
