@@ -1,12 +1,12 @@
 """Near-duplicate lines through a segment-partition edit join, in DataFrame operations alone.
 
-Lines at most one edit apart, cut into two segments by the length of the shorter one, agree on one of the segments: its
-first half at the front or its second half at the back. So every distinct line is indexed by its two segments, probed with
-the segments for its own length and for one character less, and candidates are verified by a banded bit-parallel edit
-distance. A segment that very many lines share is not expanded into pairs: what lies between the agreed ends is cut in two
-again, which every pair must survive, until few lines share a key or the ends leave one character open.
+Of two lines at most k edits apart, the shorter one cut into k + 1 segments, one segment is found in the other line, shifted
+by no more than the edits before it. So every distinct line is indexed by its segments, probed with the places for its own
+length and for one to k characters less, and candidates are verified by a banded bit-parallel edit distance. A segment that
+very many lines share is not expanded into pairs: the gaps beside it, which share the k edits, are cut in the same way, until
+few lines share a key or no gap is longer than its edits; the lines of such a group are all close to the earliest one.
 
-A line is removed where the same line, or one at most one edit away, begins earlier in the corpus (by key, then line).
+A line is removed where the same line, or one at most k edits away, begins earlier in the corpus (by key, then line).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import name, require
 from quarry.session import write_out
 
-EDITS = 1
+EDITS = 1  # of callers that name no threshold
 MIN_CHARS = 20  # shorter lines are left alone
 GROUP = 64  # lines sharing a key beyond which the key is refined instead of paired
 SMALL_IDS = 2_000_000  # keys of eight bytes that may be broadcast: 16 MB; they spare a shuffle of the lines' text
@@ -74,26 +74,54 @@ def edit_distance(long: Column, short: Column, most: int = EDITS) -> Column:
     return F.element_at(F.transform(F.array(halves), column), 1)
 
 
-def _key(line: Column, size: Column, front: Column, back: Column) -> Column:
-    """The key of lines that agree on ``front`` characters in front and ``back`` behind, compared as lines of length ``size``."""
-    return F.xxhash64(size, front, back, F.substring(line, F.lit(1), front), F.right(line, back))
+def _cuts(most: int) -> list[tuple[int, int]]:
+    """(segment, shift): which of ``most`` + 1 segments may be found how far from its own place, after so many edits before it."""
+    return [(j, s) for j in range(most + 1) for s in range(-j, j + 1)]
 
 
-def _refined(states: DataFrame) -> DataFrame:
-    """Cut the open middle of every state in two: one state agrees on its first half as well, one on its second.
+def _parts(gap: Column, j: Column, shift: Column) -> tuple[Column, Column, Column, Column]:
+    """Start and end of segment ``j`` in the indexed line's gap, whether it can be found ``shift`` further on, and the gaps beside it.
 
-    States are (id, line, size, probe, front, back): a line taken as one of length ``size``.
+    A gap is what lies open between agreed ends: its place and length in the indexed line, those in the line itself, and its edits.
+    Of ``most`` + 1 segments one is intact with j edits before and the others behind it: the first up to whose end lie as few as j.
     """
-    middle = F.col("size") - F.col("front") - F.col("back")
-    half = F.floor(middle / 2).cast("int")
-    parts = F.array(
-        F.struct((F.col("front") + half).alias("front"), F.col("back").alias("back"), F.lit(0).alias("side")),
-        F.struct(F.col("front").alias("front"), (F.col("back") + (middle - half)).alias("back"), F.lit(1).alias("side")))
-    cut = states.select(*[c for c in states.columns if c not in ("front", "back", "side", "twin", "key")], F.explode(parts).alias("p"), (F.col("front") + half).alias("_f"), F.col("back").alias("_b"))
-    key = _key(F.col("line"), F.col("size"), F.col("p.front"), F.col("p.back"))
-    twin = _key(F.col("line"), F.col("size"), F.col("_f"), F.col("_b"))  # the key of the first half's state
-    return cut.select(*[c for c in cut.columns if c not in ("p", "_f", "_b")], F.col("p.front").alias("front"), F.col("p.back").alias("back"),
-                      F.col("p.side").alias("side"), key.alias("key"), twin.alias("twin"))
+    most, size, wide = gap["most"], gap["size"], gap["wide"]
+    start, end = F.floor(size * j / (most + 1)).cast("int"), F.floor(size * (j + 1) / (most + 1)).cast("int")
+    fits = (j <= most) & (F.abs(wide - size - shift) <= most - j) & (start + shift >= 0) & (end + shift <= wide)
+    left = F.struct(gap["at"].alias("at"), start.alias("size"), gap["to"].alias("to"), (start + shift).alias("wide"), j.alias("most"))
+    right = F.struct((gap["at"] + end).alias("at"), (size - end).alias("size"), (gap["to"] + end + shift).alias("to"), (wide - end - shift).alias("wide"), (most - j).alias("most"))
+    return start, end, fits, F.filter(F.array(left, right), lambda g: g["most"] > 0)
+
+
+def _whole(size: Column, wide: Column, most: int) -> Column:
+    zero = F.lit(0)
+    return F.struct(zero.alias("at"), size.cast("int").alias("size"), zero.alias("to"), wide.cast("int").alias("wide"), F.lit(most).alias("most"))
+
+
+def _started(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """States of lines (id, line) that agree on nothing yet: each taken as a line of its own length, and as one up to ``edits`` shorter."""
+    roles = F.filter(F.array(*[F.struct((F.length("line") - d).alias("size"), F.lit(d > 0).alias("probe")) for d in range(edits + 1)]), lambda r: r["size"] >= min_chars)
+    return (lines.select("id", "line", F.explode(roles).alias("r"))
+            .select("id", "line", "r.probe", F.xxhash64("r.size").alias("key"), F.array(_whole(F.col("r.size"), F.length("line"), edits)).alias("gaps")))
+
+
+def _refined(states: DataFrame, edits: int) -> DataFrame:
+    """Cut the longest gap of every state into segments, one more than its edits, and make a state of each place where one may be found.
+
+    States are (id, line, probe, key, gaps); ``twin`` tells what is left before the segment, ``side`` whether that must differ.
+    A line's own segments at their own places are indexed, all others are probes.
+    """
+    longest = F.array_max(F.transform("gaps", lambda g, i: F.struct((g["size"] - g["most"]).alias("spare"), (-i).alias("i"))))["i"]
+    chosen = states.select("id", "line", "probe", "key", "gaps", (-longest).cast("int").alias("nth")).withColumn("gap", F.get("gaps", F.col("nth")))
+    places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in _cuts(edits)])
+    fitting = F.filter(places, lambda c: _parts(F.col("gap"), c["j"], c["s"])[2])
+    cut = chosen.select("*", F.explode(fitting).alias("c"))
+    j, shift, gap = F.col("c.j"), F.col("c.s"), F.col("gap")
+    start, end, _, beside = _parts(gap, j, shift)
+    rest = F.concat(F.filter("gaps", lambda g, i: i < F.col("nth")), beside, F.filter("gaps", lambda g, i: i > F.col("nth")))
+    to = gap["to"] + shift
+    return cut.select("id", "line", (F.col("probe") | (shift != 0)).alias("probe"), F.xxhash64("key", "nth", j, F.substring("line", to + start + 1, end - start)).alias("key"),
+                      rest.alias("gaps"), (j > 0).alias("side"), F.xxhash64(F.substring("line", gap["to"] + 1, start + shift)).alias("twin"))
 
 
 def _among(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
@@ -108,52 +136,69 @@ def _pairs(members: DataFrame) -> DataFrame:
     return write_out(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
 
 
-def _candidates(lines: DataFrame, group: int) -> DataFrame:
-    """Pairs (u, v) of lines (id, line), repeated ones included, that may be one edit apart: all that are, and few others; written out."""
-    size = F.length("line")
-    roles = F.array(F.struct(size.alias("size"), F.lit(False).alias("probe")), F.struct((size - 1).alias("size"), F.lit(True).alias("probe")))
-    states = lines.select("id", "line", F.explode(roles).alias("r")).select("id", "line", "r.size", "r.probe", F.lit(0).alias("front"), F.lit(0).alias("back"))
+def _starred(members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of groups in which nothing is left to cut, from (id, probe, key, sure); written out.
+
+    Any two ``sure`` lines of a group are within the edits of each other, so all are later than the earliest one, or close to
+    it: one pair each is enough. The others meet all indexed lines.
+    """
+    placed = members.join(firsts.groupBy("id").agg(F.min("first").alias("first")), "id")
+    head = placed.filter("sure").groupBy("key").agg(F.min_by("id", "first").alias("a"))
+    star = head.join(placed.filter("sure").select("key", F.col("id").alias("b")), "key")
+    rest = members.filter("not probe").select("key", F.col("id").alias("a")).join(members.filter("not sure").select("key", F.col("id").alias("b")), "key")
+    return write_out(star.unionByName(rest).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+
+
+def _candidates(lines: DataFrame, firsts: DataFrame, group: int, edits: int, min_chars: int) -> DataFrame:
+    """Pairs (u, v) of lines (id, line), repeated ones included, that may be within ``edits``; written out.
+
+    Every line that comes within ``edits`` of an earlier one is in a pair with such a line; few other pairs are made.
+    """
+    states = _started(lines, edits, min_chars)
     found = []
     while True:
-        states = _refined(states)
-        slim = write_out(states.select("id", "probe", "key"))
+        states = _refined(states, edits)
+        slim = states.select("id", "probe", "key")  # made twice: written, it would be several times the input
         shared = write_out(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("least"), F.min("id").alias("low"), F.max("id").alias("high"))
                            .filter("not least and low < high").select("key", "n"))
         found.append(_pairs(_among(slim, shared.filter(F.col("n") <= group).select("key"), ["key"]).distinct()))
         large = shared.filter(F.col("n") > group).select("key")
         if not large.take(1):
             break
-        own = write_out(_among(states, large, ["key"]).dropDuplicates(["id", "probe", "key"]))
-        facts = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("twin").alias("low"), F.max("twin").alias("high"), F.max("side").alias("side"),
-                                       F.max(F.col("size") - F.col("front") - F.col("back")).alias("open"))
-        # A second half in which all lines share the first half's key only repeats that key's pairs.
-        facts = write_out(facts.filter("not (side = 1 and low = high)"))
-        ready = (F.col("n") <= group) | (F.col("open") <= EDITS)  # with nothing left to cut, lines differ in one place only
-        found.append(_pairs(_among(own.select("id", "probe", "key"), facts.filter(ready).select("key"), ["key"])))
-        hot = facts.filter(~ready).select("key")
+        spare = F.array_max(F.transform("gaps", lambda g: g["size"] - g["most"]))
+        sure = F.forall("gaps", lambda g: F.greatest(g["size"], g["wide"]) <= g["most"])
+        own = write_out(_among(states, large, ["key"]).dropDuplicates(["id", "probe", "key"]).withColumn("spare", spare).withColumn("sure", sure))
+        facts = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("twin").alias("low"), F.max("twin").alias("high"), F.max("side").alias("side"), F.max("spare").alias("spare"))
+        # Where all lines agree before the segment, though edits were to lie there, an earlier segment's key has the same pairs.
+        facts = write_out(facts.filter("not (side and low = high)"))
+        small, done = F.col("n") <= group, F.col("spare") <= 0
+        members = own.select("id", "probe", "key", "sure")
+        found.append(_pairs(_among(members, facts.filter(small).select("key"), ["key"])))
+        if facts.filter(~small & done).take(1):
+            found.append(_starred(_among(members, facts.filter(~small & done).select("key"), ["key"]), firsts))
+        hot = facts.filter(~small & ~done).select("key")
         if not hot.take(1):
             break
-        states = write_out(_among(own, hot, ["key"]))
+        states = write_out(_among(own, hot, ["key"]).select("id", "line", "probe", "key", "gaps"))
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
     return write_out(whole.distinct())
 
 
-def _still_close(a: Column, b: Column) -> Column:
-    """Cheap tests that every pair one edit apart passes: some cut of the shorter line leaves both sides equal but for one place."""
-    size = F.least(F.length(a), F.length(b))
+def _still_close(long: Column, short: Column, edits: int) -> Column:
+    """Cheap test that every pair within ``edits`` passes: segments agree, and those that what lies beside them is cut into."""
+    places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in _cuts(edits)])
+
+    def agree(gap: Column, level: int) -> Column:
+        def there(c: Column) -> Column:
+            start, end, fits, beside = _parts(gap, c["j"], c["s"])
+            same = F.substring(short, gap["at"] + start + 1, end - start) == F.substring(long, gap["to"] + start + c["s"] + 1, end - start)
+            return fits & same & (F.forall(beside, lambda g: agree(g, level - 1)) if level else F.lit(True))
 
-    def agree(front: Column, back: Column, level: int) -> Column:
-        middle = size - front - back
-        half = F.floor(middle / 2).cast("int")
-        first = (F.substring(a, F.lit(1), front + half) == F.substring(b, F.lit(1), front + half)) & (F.right(a, back) == F.right(b, back))
-        second = (F.substring(a, F.lit(1), front) == F.substring(b, F.lit(1), front)) & (F.right(a, back + middle - half) == F.right(b, back + middle - half))
-        if level == 0:
-            return first | second
-        return (first & agree(front + half, back, level - 1)) | (second & agree(front, back + middle - half, level - 1))
+        return F.exists(places, there)
 
-    return agree(F.lit(0), F.lit(0), 2)
+    return agree(_whole(F.length(short), F.length(long), edits), 1)
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -163,26 +208,28 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars
             .select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.reverse("line")).alias("more")))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GROUP, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, removed): the numbers of the lines that repeat an earlier one or come within one edit of it; written out.
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GROUP, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+    """(doc_id, removed): the numbers of the lines that repeat an earlier one or come within ``edits`` of it; written out.
 
     Documents without such lines have no row; rows with null keys or texts, and lines under ``min_chars``, take no part;
     rows that share a key count as one document.
     """
     require(docs, key, text)
+    if edits < 1:
+        raise ValueError("edits must be at least 1")
     lines = lines_of(docs, key, text, min_chars)
     firsts = write_out(lines.groupBy("id", "more").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
-    pairs = _candidates(lines.select("id", "line"), group)
+    pairs = _candidates(lines.select("id", "line"), firsts, group, edits, min_chars)
     ids = write_out(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
     held = _among(lines.select("id", "more", "line"), ids, ["id"]).distinct()
     texts = write_out(held.join(_among(firsts, ids, ["id"]), ["id", "more"]))
     both = pairs
     for side in "uv":
         both = both.join(texts.select(F.col("id").alias(side), F.col("more").alias(f"more_{side}"), F.col("first").alias(f"first_{side}"), F.col("line").alias(f"line_{side}")), side)
-    near = both.filter((F.abs(F.length("line_u") - F.length("line_v")) <= EDITS) & _still_close(F.col("line_u"), F.col("line_v")))
     ahead = F.length("line_u") >= F.length("line_v")
-    near = near.select("*", F.when(ahead, F.col("line_u")).otherwise(F.col("line_v")).alias("long"), F.when(ahead, F.col("line_v")).otherwise(F.col("line_u")).alias("short"))
-    links = near.filter(edit_distance(F.col("long"), F.col("short")) <= EDITS)
+    both = both.select("*", F.when(ahead, F.col("line_u")).otherwise(F.col("line_v")).alias("long"), F.when(ahead, F.col("line_v")).otherwise(F.col("line_u")).alias("short"))
+    near = both.filter((F.length("long") - F.length("short") <= edits) & _still_close(F.col("long"), F.col("short"), edits))
+    links = near.filter(edit_distance(F.col("long"), F.col("short"), edits) <= edits)
     later_is_u = F.col("first_u") > F.col("first_v")
     late = links.select(F.when(later_is_u, F.col("u")).otherwise(F.col("v")).alias("id"), F.when(later_is_u, F.col("more_u")).otherwise(F.col("more_v")).alias("more")).distinct()
     copied = firsts.filter("n > 1").select("id", "more", "first")

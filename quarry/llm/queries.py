@@ -99,7 +99,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm import line_dedup
 
     docs = table(spark, folder, "documents")
-    return line_dedup.line_report(docs, line_dedup.repeated_lines(docs, min_chars=20))
+    return line_dedup.line_report(docs, line_dedup.repeated_lines(docs, min_chars=20, edits=3))
 
 
 @query("op2_suffix_groups")

@@ -217,6 +217,56 @@ def test_lines_against_all_pairs(spark, group):
     assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.repeated_lines(frame, 20, group).collect()} == removed(docs, 20)
 
 
+def removed_within(docs, least, most, copies_from=None):
+    """As ``removed``, for lines up to ``most`` edits apart and, where given, copies of shorter lines that are not blank."""
+    first, places = {}, []
+    for key, text in sorted(docs):
+        for i, line in enumerate((text or "").split("\n")):
+            if len(line) >= least or copies_from is not None and len(line) >= copies_from and line.strip():
+                places.append((key, i, line))
+                first.setdefault(line, (key, i))
+    lines = sorted((x for x in first if len(x) >= least), key=first.get)
+    late = set()
+    letters = {x: collections.Counter(x) for x in lines}
+    for i, x in enumerate(lines):
+        for y in lines[:i]:
+            if abs(len(x) - len(y)) <= most and (letters[x] - letters[y]).total() <= most >= (letters[y] - letters[x]).total() and edits(x, y) <= most:
+                late.add(x)
+                break
+    out = collections.defaultdict(list)
+    for key, i, line in places:
+        if line in late or first[line] != (key, i):
+            out[key].append(i)
+    return dict(out)
+
+
+@pytest.mark.parametrize("most, group", [(2, 64), (3, 64), (3, 3)])
+def test_lines_within_several_edits(spark, most, group):
+    rng = random.Random(most)
+    base = ["".join(rng.choice("abcd ") for _ in range(rng.choice([20, 21, 23, 40]))) for _ in range(8)]
+    docs = []
+    for key in range(30):
+        lines = []
+        for _ in range(rng.randrange(5)):
+            line = list(rng.choice(base))
+            for _ in range(rng.randrange(6)):
+                i = rng.randrange(len(line))
+                line[i:i + rng.randrange(2)] = rng.choice(["", "a", "x", "日"])
+            lines.append("".join(line))
+        docs.append((key, "\n".join(lines)))
+    docs += [(100 + i, f"page number {i * 37} of the annual report") for i in range(40)] + [(99, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc_id"]: list(r["removed"]) for r in line_dedup.repeated_lines(frame, 20, group, edits=most).collect()}
+    assert found == removed_within(docs, 20, most)
+    assert found != removed_within(docs, 20, 1)
+
+
+def test_lines_query_takes_several_edits(spark, documents):
+    rows = {r["doc_id"]: r["n_removed"] for r in queries.QUERIES["op5_line_edit_join"](spark, FOLDER).collect()}
+    wanted = removed_within(documents, 20, 3)
+    assert rows == {k: len(wanted.get(k, ())) for k, _ in documents}
+
+
 def test_lines_odd_texts(spark, odd, none):
     gone = line_dedup.repeated_lines(odd)
     assert {r["doc_id"]: list(r["removed"]) for r in gone.collect()} == {2: [0]}
