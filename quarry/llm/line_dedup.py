@@ -18,7 +18,8 @@ from quarry.functions.columns import name, require
 from quarry.session import write_out
 
 EDITS = 1  # of callers that name no threshold
-MIN_CHARS = 20  # shorter lines are left alone
+MIN_CHARS = 20  # shorter lines are compared for equality alone
+COPIES_FROM = 1  # lines shorter than this, and blank ones under MIN_CHARS, are left alone
 GROUP = 64  # lines sharing a key beyond which the key is refined instead of paired
 SMALL_IDS = 2_000_000  # keys of eight bytes that may be broadcast: 16 MB; they spare a shuffle of the lines' text
 
@@ -201,27 +202,31 @@ def _still_close(long: Column, short: Column, edits: int) -> Column:
     return agree(_whole(F.length(short), F.length(long), edits), 1)
 
 
-def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, line, id, more): lines of at least ``min_chars`` characters, with two hashes that identify their text."""
+def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, copies_from: int = COPIES_FROM) -> DataFrame:
+    """(doc_id, line_no, line, id, more): lines of at least ``min_chars`` characters and shorter ones of at least ``copies_from``
+    that are not blank, with two hashes that identify their text."""
+    size = F.length("line")
     slim = docs.select(name(key).alias("doc_id"), F.split(name(text).cast("string"), "\n").alias("lines")).filter("doc_id is not null")
-    return (slim.select("doc_id", F.posexplode("lines").alias("line_no", "line")).filter(F.length("line") >= min_chars)
+    return (slim.select("doc_id", F.posexplode("lines").alias("line_no", "line")).filter((size >= min_chars) | (size >= copies_from) & F.col("line").rlike(r"\S"))
             .select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.reverse("line")).alias("more")))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GROUP, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GROUP, key: str = "doc_id", text: str = "text", edits: int = EDITS,
+                   copies_from: int = COPIES_FROM) -> DataFrame:
     """(doc_id, removed): the numbers of the lines that repeat an earlier one or come within ``edits`` of it; written out.
 
-    Documents without such lines have no row; rows with null keys or texts, and lines under ``min_chars``, take no part;
-    rows that share a key count as one document.
+    Lines under ``min_chars`` are removed as exact copies only, and blank ones or those under ``copies_from`` never.
+    Documents without such lines have no row; rows with null keys or texts take no part; rows that share a key count as one
+    document.
     """
     require(docs, key, text)
     if edits < 1:
         raise ValueError("edits must be at least 1")
-    lines = lines_of(docs, key, text, min_chars)
+    lines = lines_of(docs, key, text, min_chars, copies_from)
     firsts = write_out(lines.groupBy("id", "more").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
-    pairs = _candidates(lines.select("id", "line"), firsts, group, edits, min_chars)
+    pairs = _candidates(lines.filter(F.length("line") >= min_chars).select("id", "line"), firsts, group, edits, min_chars)
     ids = write_out(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    held = _among(lines.select("id", "more", "line"), ids, ["id"]).distinct()
+    held = _among(lines.filter(F.length("line") >= min_chars).select("id", "more", "line"), ids, ["id"]).distinct()
     texts = write_out(held.join(_among(firsts, ids, ["id"]), ["id", "more"]))
     both = pairs
     for side in "uv":

@@ -263,10 +263,18 @@ def test_lines_within_several_edits(spark, most, group):
 
 def test_lines_query_takes_several_edits(spark, documents):
     rows = {r["doc_id"]: r["n_removed"] for r in queries.QUERIES["op5_line_edit_join"](spark, FOLDER).collect()}
-    wanted = removed_within(documents, 20, 3)
+    wanted = removed_within(documents, 20, 3, copies_from=1)
+    assert wanted != removed_within(documents, 20, 3)
     assert rows == {k: len(wanted.get(k, ())) for k, _ in documents}
 
 
+def test_short_lines_repeated(spark):
+    docs = [(1, "Of.\nDie.\n\n  \nOf."), (2, "Die\n\n  \nOf.\nDie."), (3, "Dir.")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.repeated_lines(frame).collect()} == {1: [4], 2: [3, 4]}
+    assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.repeated_lines(frame, copies_from=4).collect()} == {2: [4]}
+
+
 def test_lines_odd_texts(spark, odd, none):
     gone = line_dedup.repeated_lines(odd)
     assert {r["doc_id"]: list(r["removed"]) for r in gone.collect()} == {2: [0]}
