@@ -95,8 +95,8 @@ def _(t: Tables):
 
 @query("kmeans_embeddings")
 def _(t: Tables):
-    wide = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(8)])
-    return ml.kmeans(wide, [f"e{i}" for i in range(8)], k=10, n_init=2, max_iter=50).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    wide = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
+    return ml.kmeans(wide, [f"e{i}" for i in range(64)], k=10, n_init=2, max_iter=50).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
 @query("isolation_forest")

@@ -91,3 +91,13 @@ def test_crosstab_shares_need_no_window(spark):
     orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
     for basis in ("all", "columns", "index"):
         assert "Window" not in plan(stats.crosstab(orders, "o_orderstatus", "o_orderpriority", basis))
+
+
+def test_embedding_clusters_use_every_dimension(spark, monkeypatch):
+    from quarry.operators import ml
+
+    seen = []
+    monkeypatch.setattr(ml, "kmeans", lambda df, features, **options: seen.extend(features) or df.withColumn("cluster_id", F.lit(0)))
+    registry.queries()["kmeans_embeddings"](spark, FOLDER).collect()
+    width = spark.read.parquet(f"{FOLDER}/embeddings.parquet").selectExpr("max(size(embedding))").first()[0]
+    assert seen == [f"e{i}" for i in range(width)]
