@@ -29,6 +29,18 @@ def query(key: str, sql: str | None = None) -> Callable:
     return register
 
 
+#: All rows against the stated queries, ranked.
+_TOP_PRODUCTS = """
+    WITH whole AS (
+      SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+    scored AS (
+      SELECT q.vec_id AS query_id, w.vec_id, CAST(list_inner_product(q.x, w.x) AS BIGINT) AS score
+      FROM whole q JOIN whole w ON q.vec_id % 50 = 0 AND w.vec_id <> q.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5"""
+
+
 @query("op9_hilbert_shards")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm import hilbert
@@ -108,3 +120,19 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return suffix_dedup.dedup_report(docs, suffix_dedup.repeated_spans(docs, length=400))
+
+
+@query("op11_lanczos_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import vectors, whitening
+
+    rows = vectors.whole_vectors(table(spark, folder, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows, components=4))
+
+
+@query("op13_sorted_lists", _TOP_PRODUCTS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import top_products, vectors
+
+    rows = vectors.whole_vectors(table(spark, folder, "embeddings"))
+    return top_products.top_products(rows, rows.filter("vec_id % 50 = 0"), k=5)
