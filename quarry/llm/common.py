@@ -70,9 +70,9 @@ BLANKS = b" \t\n\x0b\x0c\r"
 _IS_BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
-def words_of(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The words of texts given by ``flat_bytes``, one after the other, and their number per text."""
-    blank = _IS_BLANK[raw]
+def words_of(raw: np.ndarray, ends: np.ndarray, between: np.ndarray = _IS_BLANK) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts given by ``flat_bytes``, one after the other, and their number per text; ``between`` marks the bytes that part words."""
+    blank = between[raw]
     opens = ~blank
     opens[1:] &= blank[:-1]
     begin = (np.concatenate([[0], ends[:-1]]) if len(ends) else ends)[np.diff(ends, prepend=0) > 0]

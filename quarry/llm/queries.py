@@ -41,6 +41,25 @@ _TOP_PRODUCTS = """
     SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5"""
 
 
+#: Terms, weights and scores as the contract of operator 12 defines them.
+_RANKED = r"""
+    WITH doc_words AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM documents),
+    item_words AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark),
+    lengths AS (SELECT doc_id, count(*) AS n FROM doc_words GROUP BY doc_id),
+    corpus AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lengths),
+    held AS (SELECT doc_id, term, count(*) AS tf FROM doc_words WHERE term IN (SELECT term FROM item_words) GROUP BY doc_id, term),
+    weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, corpus GROUP BY term, big_n),
+    scored AS (
+      SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+      FROM item_words JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), corpus GROUP BY item_id, doc_id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+    SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 50"""
+
+
 @query("op9_hilbert_shards")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm import hilbert
@@ -130,6 +149,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(rows, whitening.fit(rows, components=4))
 
 
+@query("op12_posting_blocks", _RANKED)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import lexical_blocks
+
+    return lexical_blocks.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=50)
+
+
 @query("op13_sorted_lists", _TOP_PRODUCTS)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm import top_products, vectors
