@@ -1,6 +1,8 @@
 """Conformance queries for raw SQL: the same text, or its Spark spelling, against the SQL oracle."""
 
-from quarry.operators import rows
+from pyspark.sql import functions as F
+
+from quarry.operators import joins, rows
 from quarry.plans.registry import Tables, query
 
 _ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
@@ -24,14 +26,27 @@ conform("sql_join_full", """
     SELECT s.s_suppkey, n.n_nationkey FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) s
     FULL JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON s.s_nationkey = n.n_nationkey""")
 conform("sql_join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
-conform("sql_join_theta", """
+
+
+@query("sql_join_theta", """
     SELECT s.s_suppkey, count(*) AS n FROM supplier s JOIN nation c ON s.s_acctbal BETWEEN c.n_nationkey * 300 AND c.n_nationkey * 400 + 500
     GROUP BY s.s_suppkey""")
+def _(t: Tables):
+    bands = t.nation.selectExpr("n_nationkey * 300 AS low", "n_nationkey * 400 + 500 AS high")
+    return joins.interval_join(t.supplier.select("s_suppkey", "s_acctbal"), bands, "s_acctbal", "low", "high").groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
 conform("sql_semi", """
     SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)""")
 conform("sql_anti", """
     SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
-conform("sql_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+
+
+@query("sql_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+def _(t: Tables):
+    return joins.not_in(t.part.select("p_partkey"), "p_partkey", t.lineitem.filter("l_quantity > 48"), "l_partkey")
+
+
 conform("sql_scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT 1.9 * avg(o_totalprice) FROM orders)")
 conform("sql_correlated", """
     SELECT o.o_orderkey FROM orders o WHERE o.o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)""")
