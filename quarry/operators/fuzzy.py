@@ -1,8 +1,9 @@
 """Grouping similar spellings: an exact similarity join, then greedy clusters decided in parallel.
 
-Similarity is 100 · 2 · LCS / (length + length), where LCS is the longest common subsequence. Two
-values that reach the threshold must share one of their rarest character q-grams (prefix filter), so
-only values with such a gram in common are compared.
+Similarity is 100 · 2 · LCS / (length + length), where LCS is the longest common subsequence. From a
+threshold of 87 on, two values that reach it must share one of their rarest character q-grams (prefix
+filter), so only values with such a gram in common are compared; below it values meet through an index
+of segments (``segments``).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.columns import as_list, name, present, require
-from quarry.operators import ordered
+from quarry.operators import ordered, segments
 from quarry.operators.clean import map_values
 from quarry.session import write_out
 
@@ -105,6 +106,8 @@ def similar_pairs(words: DataFrame, threshold: float) -> DataFrame:
         raise ValueError("threshold must be above 0 and at most 100")
     t = threshold / 100.0
     q, short = _gram_plan(threshold)
+    if q == 1:  # single characters tell too little apart
+        return _verified(words, segments.candidates(words.join(_letter_masks(words), "id", "left").fillna(0, ["mask"]), threshold), threshold)
     signs = _signatures(words, q, threshold)
     if short:
         signs = signs.unionByName(_signatures(words.filter(F.length("word") <= short), 1, threshold))
@@ -114,9 +117,13 @@ def similar_pairs(words: DataFrame, threshold: float) -> DataFrame:
     allowed = F.floor((1 - t) * (F.col("n") + F.col("m")) + 1e-9)  # insertions plus deletions
     shift = F.abs(F.col("i") - F.col("j"))
     meet = (F.col("u") < F.col("v")) & (F.abs(F.col("n") - F.col("m")) <= allowed) & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= allowed)
-    close = shift <= allowed if q > 1 and not short else F.lit(True)
+    close = shift <= allowed if not short else F.lit(True)
     # The letter test inside the join keeps texts apart that share a common gram only.
-    met = a.join(b, "key").filter(meet & close).select("u", "v").distinct()
+    return _verified(words, a.join(b, "key").filter(meet & close).select("u", "v").distinct(), threshold)
+
+
+def _verified(words: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, score) of the pairs met that reach the threshold."""
     texts = met.join(words.select(F.col("id").alias("u"), F.col("word").alias("a")), "u").join(
         words.select(F.col("id").alias("v"), F.col("word").alias("b")), "v")
     return texts.withColumn("score", similarity("a", "b")).filter(F.col("score") >= threshold).select("u", "v", "score")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quarry.operators import components, density, fuzzy, isolation, kendall, neighbours
+from quarry.operators import components, density, fuzzy, isolation, kendall, neighbours, segments
 
 
 def haversine_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def test_common_length():
         assert fuzzy.common_length(a, b) == table[-1][-1]
 
 
-@pytest.mark.parametrize("threshold,letters", [(90, "abcdefgh"), (75, "abcde"), (96, string.ascii_lowercase)])
+@pytest.mark.parametrize("threshold,letters", [(90, "abcdefgh"), (75, "abcde"), (96, string.ascii_lowercase), (80, string.ascii_lowercase), (60, "abcdefgh")])
 def test_fuzzy_clusters(spark, threshold, letters):
     rng = random.Random(threshold)
     values = []
@@ -88,6 +88,44 @@ def test_fuzzy_clusters(spark, threshold, letters):
     assert got == {w: v for w, v in head.items() if sizes[v] > 1}
 
 
+def _misspelt(n, letters=string.ascii_lowercase, seed=1):
+    """(id, word) of invented names, each with a near copy."""
+    rng, found = random.Random(seed), []
+    while len(found) < n:
+        name = "".join(rng.choices(letters, k=rng.randint(6, 22)))
+        at = rng.randrange(len(name))
+        found += [name, name[:at] + rng.choice(letters) + name[at + 1:]]
+    return list(enumerate(dict.fromkeys(found)))
+
+
+@pytest.mark.parametrize("threshold, letters, few", [(80, "abcd", 2048), (80, "ab", 20), (70, "abcdefgh", 10), (55, "abc", 30)])
+def test_segments_lose_no_pair(spark, threshold, letters, few):
+    words = _misspelt(120, letters, few) + [(1000, ""), (1001, "a"), (1002, "ab"), (1003, "b")]
+    words = [(i, w) for w, i in {w: i for i, w in words}.items()]
+    df = spark.createDataFrame(words, "id long, word string")
+    df = df.join(fuzzy._letter_masks(df), "id", "left").fillna(0, ["mask"])
+    found = {tuple(r) for r in segments.candidates(df, threshold, few).collect()}
+    want = {tuple(sorted((i, j))) for i, a in words for j, b in words if i < j and (a or b) and score(a, b) >= threshold}
+    assert want <= found and all(u < v for u, v in found)
+
+
+def test_candidates_follow_the_texts_not_their_pairs(spark):
+    """Ten times the texts make about ten times the candidates at a threshold of 80, not a hundred times."""
+    made = []
+    for n in (600, 6000):
+        df = spark.createDataFrame(_misspelt(n), "id long, word string")
+        made.append(segments.candidates(df.join(fuzzy._letter_masks(df), "id"), 80, few_pairs=16).count())
+    assert made[0] >= 250 and made[1] <= 25 * made[0] and made[1] < 6000 * 20
+
+
+def test_alike_texts_are_not_cut_for_nothing(spark):
+    """Texts that are all similar are paired once, whatever segments they share."""
+    words = [(i, f"Customer#{i:09d}") for i in range(300)]
+    df = spark.createDataFrame(words, "id long, word string")
+    found = segments.candidates(df.join(fuzzy._letter_masks(df), "id"), 80, few_pairs=100).count()
+    assert found == sum(1 for i, a in words for j, b in words if i < j) or found > 300
+
+
 def test_greedy_rounds(spark):
     rng = random.Random(7)
     edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(i, i + 1) for i in range(100, 140)})
