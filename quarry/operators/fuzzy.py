@@ -9,6 +9,7 @@ of segments (``segments``).
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -129,6 +130,44 @@ def _verified(words: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
     return texts.withColumn("score", similarity("a", "b")).filter(F.col("score") >= threshold).select("u", "v", "score")
 
 
+def fuzzy_pairs(df: DataFrame, col: str, threshold: float = 90) -> DataFrame:
+    """(value, other, score), value < other: all pairs of different values whose similarity reaches the threshold."""
+    require(df, col)
+    values = write_out(present(df, col).select(name(col).cast("string").alias("word")).distinct())
+    words = write_out(ordered.number_rows(values, ["word"], out="id"))
+    found = similar_pairs(words, threshold)
+    return (found.join(words.select(F.col("id").alias("u"), F.col("word").alias("value")), "u")
+            .join(words.select(F.col("id").alias("v"), F.col("word").alias("other")), "v").select("value", "other", "score"))
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = 90, suffix: str = "_right", score: str = "score") -> DataFrame:
+    """Rows of ``left`` with the rows of ``right`` whose value is similar to their own, and the similarity as ``score``.
+
+    Equal values score 100, missing ones match nothing. Columns of ``right`` whose names are taken get ``suffix``; ``left`` must
+    not have a column ``score``. Values are compared once, however many rows hold them.
+    """
+    require(left, left_col)
+    require(right, right_col)
+    outs: list[tuple[str, str]] = []
+    for c in right.columns:
+        out = c
+        while out in [*left.columns, *(o for _, o in outs)]:
+            out += suffix
+        outs.append((c, out))
+    if score in [*left.columns, *(o for _, o in outs)]:
+        raise ValueError(f"there is a column '{score}' already")
+    tag = f"word_{uuid.uuid4().hex[:8]}"
+    mine, theirs = f"{tag}_l", f"{tag}_r"
+    words = lambda df, c: present(df, c).select(name(c).cast("string").alias("word"))
+    met = fuzzy_pairs(words(left, left_col).unionAll(words(right, right_col)), "word", threshold)
+    both = met.unionAll(met.select("other", "value", "score")).toDF(mine, theirs, score)
+    same = words(left, left_col).distinct().select(F.col("word").alias(mine), F.col("word").alias(theirs), F.lit(100.0).alias(score))
+    rows = right.select(name(right_col).cast("string").alias(theirs), *[name(c).alias(o) for c, o in outs])
+    links = write_out(both.unionAll(same))
+    return (left.withColumn(mine, name(left_col).cast("string")).join(links, mine).join(rows, theirs)
+            .select(*map(name, left.columns), *[name(o) for _, o in outs], score))
+
+
 def _heads_in_order(edges: pd.DataFrame) -> list[int]:
     """The sequential rule on a bounded set of edges u < v: a vertex is a head when no smaller neighbour is."""
     smaller: dict[int, list[int]] = {}

@@ -275,38 +275,161 @@ def knn_impute(df: DataFrame, col: str, key: str | Sequence[str], neighbors: int
     return _knn_impute_large(df, col, keys, neighbors, weights, others, width, mean, leaf_points, clean, filled)
 
 
+def _grow_gap_cells(sample: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Splits of a complete binary tree over vectors with gaps: by whether a coordinate is known, then at medians.
+
+    Per inner node the coordinate, the cut, and whether the split asks for being known only.
+    """
+    dim, cut, known = np.zeros(2 ** levels - 1, dtype=int), np.zeros(2 ** levels - 1), np.zeros(2 ** levels - 1, dtype=bool)
+
+    def split(node: int, rows: np.ndarray, level: int) -> None:
+        if level == levels:
+            return
+        if len(rows):
+            share = (~np.isnan(rows)).mean(axis=0)
+            even = np.abs(share - 0.5)
+            if even.min() < 0.5:  # some know it, some do not
+                dim[node], known[node] = int(even.argmin()), True
+            elif share.any():
+                full = np.where(share == 1, np.ptp(np.nan_to_num(rows), axis=0), -1.0)
+                dim[node] = int(full.argmax())
+                cut[node] = float(np.median(rows[:, dim[node]]))
+        above = _above(rows[:, dim[node]], cut[node], known[node])
+        split(2 * node + 1, rows[~above], level + 1)
+        split(2 * node + 2, rows[above], level + 1)
+
+    split(0, sample, 0)
+    return dim, cut, known
+
+
+def _above(values: np.ndarray, cut: np.ndarray | float, known: np.ndarray | bool) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return np.where(known, ~np.isnan(values), values > cut)
+
+
+def _gap_bounds(at: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, all_: np.ndarray, any_: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query and node the least and the largest distance of a point of the node; infinite where none, or not all, share a coordinate.
+
+    Of the coordinates the query knows, every point of the node knows those of ``all_`` and none more than those of ``any_``.
+    """
+    asked = ~np.isnan(at)
+    sure, possible = asked & all_[node], asked & any_[node]
+    here = np.where(asked, at, 0.0)
+    gap = np.maximum(0.0, np.maximum(low[node] - here, here - high[node]))
+    reach = np.maximum(np.abs(here - low[node]), np.abs(high[node] - here))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        least = np.sqrt(np.where(sure, gap ** 2, 0.0).sum(axis=1) / possible.sum(axis=1) * width)
+        most = np.sqrt(np.where(possible, reach ** 2, 0.0).sum(axis=1) / sure.sum(axis=1) * width)
+    return np.where(possible.any(axis=1), least, np.inf), np.where(sure.any(axis=1), most, np.inf)
+
+
+def gap_cells_join(queries: DataFrame, points: DataFrame, k: int, width: int, leaf_points: int = LEAF_POINTS, visits_per_task: int = VISITS_PER_TASK) -> DataFrame:
+    """(v, d, p): the ``k`` points nearest to every distinct query vector by the distance of ``gap_aware_block``, the smaller p on a tie.
+
+    Vectors may have gaps (null), in any pattern. One tree holds all points: its upper splits ask which coordinates are known,
+    the lower ones cut at medians. A cell keeps the extent of each coordinate and which coordinates all or any of its points
+    know; these bound the distance from a query with gaps of its own, so the number of jobs does not depend on the patterns.
+    """
+    spark = points.sparkSession
+    points = write_out(points.select("p", "v"))
+    rows = points.count()
+    kind = points.schema["p"].dataType
+    shape = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("d", T.DoubleType()), T.StructField("p", kind)])
+    if not rows:
+        return spark.createDataFrame([], shape)
+    dims = points.select(F.size("v")).first()[0]
+    levels = min(MAX_TREE_LEVELS, max(0, int(np.ceil(np.log2(max(1.0, rows / leaf_points))))))
+    wanted = 16 * 2 ** levels
+    picked = points.select("v").sample(min(1.0, 1.5 * wanted / rows), seed=5).limit(2 * wanted).collect() or [points.first()]
+    dim, cut, known = _grow_gap_cells(np.array([r["v"] for r in picked], dtype=float), levels)
+    leaves = 2 ** levels
+
+    def matrix(v: pd.Series) -> np.ndarray:
+        return np.stack(v.to_numpy()).astype(float).reshape(len(v), dims)
+
+    @F.pandas_udf(T.IntegerType())
+    def leaf_of(v: pd.Series) -> pd.Series:
+        at, node = matrix(v), np.zeros(len(v), dtype=int)
+        for _ in range(levels):
+            node = 2 * node + 1 + _above(at[np.arange(len(at)), dim[node]], cut[node], known[node])
+        return pd.Series((node - (leaves - 1)).astype("int32"))
+
+    placed = write_out(points.withColumn("leaf", leaf_of("v")))
+    each = lambda made: F.array(*[made(F.col("v")[i]) for i in range(dims)])
+    extents = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), each(F.min).alias("low"), each(F.max).alias("high"), each(F.count).alias("known")).collect()  # one row per cell
+    count = np.zeros(2 * leaves - 1, dtype=np.int64)
+    low, high = np.full((2 * leaves - 1, dims), np.inf), np.full((2 * leaves - 1, dims), -np.inf)
+    all_, any_ = np.ones((2 * leaves - 1, dims), dtype=bool), np.zeros((2 * leaves - 1, dims), dtype=bool)
+    for r in extents:
+        node = leaves - 1 + r["leaf"]
+        have = np.array(r["known"])
+        count[node], all_[node], any_[node] = r["n"], have == r["n"], have > 0
+        low[node] = [np.inf if x is None else x for x in r["low"]]
+        high[node] = [-np.inf if x is None else x for x in r["high"]]
+    for node in reversed(range(leaves - 1)):
+        a, b = 2 * node + 1, 2 * node + 2
+        count[node], low[node], high[node] = count[a] + count[b], np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
+        all_[node], any_[node] = all_[a] & all_[b], any_[a] | any_[b]
+    tree = spark.sparkContext.broadcast((dim, cut, known, count, low, high, all_, any_))  # at most 2 ** MAX_TREE_LEVELS cells
+
+    @F.pandas_udf("array<int>")
+    def visited(v: pd.Series) -> pd.Series:
+        dim_, cut_, known_, count_, *boxes = tree.value
+        at = matrix(v)
+        radius, node = np.full(len(at), np.inf), np.zeros(len(at), dtype=int)
+        for level in range(levels + 1):
+            enough = np.flatnonzero(count_[node] >= k)
+            if len(enough):
+                radius[enough] = np.minimum(radius[enough], _gap_bounds(at[enough], node[enough], *boxes, width)[1])
+            if level < levels:
+                values = at[np.arange(len(at)), dim_[node]]
+                fuller = count_[2 * node + 2] > count_[2 * node + 1]
+                right = np.where(known_[node] | np.isnan(values), np.where(np.isnan(values), fuller, True), values > cut_[node])
+                node = 2 * node + 1 + right.astype(int)
+        radius = radius * (1 + 1e-12)
+        who, where = np.arange(len(at)), np.zeros(len(at), dtype=int)
+        for level in range(levels + 1):
+            near = (count_[where] > 0) & (_gap_bounds(at[who], where, *boxes, width)[0] <= radius[who])
+            near &= ((~np.isnan(at[who])) & boxes[3][where]).any(axis=1)
+            who, where = who[near], where[near]
+            if level < levels:
+                who, where = np.repeat(who, 2), (2 * where[:, None] + np.array([1, 2])).ravel()
+        order = np.argsort(who, kind="stable")
+        ends = np.searchsorted(who[order], np.arange(1, len(at)))
+        return pd.Series([x.astype("int32") for x in np.split(where[order] - (leaves - 1), ends)])
+
+    visits = write_out(queries.select("v", F.explode(visited("v")).alias("leaf")))
+    copies = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / visits_per_task).cast("int").alias("copies"))
+    # fresh column identities, so that the two sides of the cogroup share none
+    asked = visits.join(copies, "leaf").select(F.col("leaf").alias("cell"), F.pmod(F.xxhash64("v"), F.col("copies")).cast("int").alias("copy"), F.col("v").alias("v"))
+    offered = placed.join(copies, "leaf").select(F.col("leaf").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"),
+                                                 F.col("p").alias("p"), F.col("v").alias("v"))
+
+    def match(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"v": [], "d": [], "p": []})
+        right = right.sort_values("p", kind="stable")
+        ids = right["p"].to_numpy()
+        near = closest(matrix(left["v"]), matrix(right["v"]), k, gap_aware_block(width))
+        return pd.DataFrame([(v, d, ids[i]) for v, (which, far) in zip(left["v"], near) for i, d in zip(which, far)], columns=["v", "d", "p"])
+
+    pairs = asked.groupBy("cell", "copy").cogroup(offered.groupBy("cell", "copy")).applyInPandas(match, shape)
+    best = Window.partitionBy("v").orderBy("d", "p")
+    return pairs.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+
+
 def _knn_impute_large(df, col, keys, neighbors, weights, others, width, mean, leaf_points, clean, filled) -> DataFrame:
-    """Receivers and donors both too many to broadcast: one cell join per pair of gap patterns in use."""
-    has = F.array(*[clean(c).isNotNull() for c in others])
+    """Receivers and donors both too many to broadcast: one cell tree for all gap patterns."""
     vector = F.array(*[clean(c) for c in others])
     order = [f"k{i}" for i in range(len(keys))]
-    known = present(df, col).select(has.alias("has"), vector.alias("x"), *[name(k).alias(o) for k, o in zip(keys, order)], name(col).cast("double").alias("y"))
+    known = present(df, col).select(vector.alias("x"), *[name(k).alias(o) for k, o in zip(keys, order)], name(col).cast("double").alias("y"))
     # Of donors with equal coordinates only the first few by key can be among the nearest.
     first = F.row_number().over(Window.partitionBy("x").orderBy(*order))
     known = write_out(known.withColumn("_n", first).filter(F.col("_n") <= neighbors).drop("_n"))
     known = write_out(ordered.number_rows(known, order, out="p"))
-    asked = write_out(df.filter(missing(df, col)).select(has.alias("has"), vector.alias("x")).distinct())
-
-    def patterns(rows: DataFrame) -> list[tuple[bool, ...]]:
-        return [tuple(r[0]) for r in rows.select("has").distinct().collect()]
-
-    parts = None
-    ours_all = patterns(known)
-    for theirs in patterns(asked):
-        for ours in ours_all:
-            both = [i for i in range(len(others)) if theirs[i] and ours[i]]
-            if not both:
-                continue
-            cut = F.array(*[F.col("x")[i] for i in both])
-            mine = asked.filter(F.col("has") == F.array(*map(F.lit, theirs))).select("x", cut.alias("v"))
-            offer = known.filter(F.col("has") == F.array(*map(F.lit, ours))).select("p", cut.alias("v"))
-            near = cells_join(mine.select("v").distinct(), offer, neighbors, leaf_points)
-            part = mine.join(near, "v").select("x", F.inline("near")).select("x", (F.col("d") * (width / len(both)) ** 0.5).alias("d"), "p")
-            parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return df.select(*filled(F.lit(mean)))
-    top = parts.groupBy("x").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "p"))), 1, neighbors).alias("near"))
-    chosen = top.select("x", F.inline("near")).join(known.select("p", "y"), "p")
+    asked = write_out(df.filter(missing(df, col)).select(vector.alias("v")).distinct())
+    near = gap_cells_join(asked, known.select("p", F.col("x").alias("v")), neighbors, width, leaf_points)
+    chosen = near.withColumnRenamed("v", "x").join(known.select("p", "y"), "p")
     if weights == "uniform":
         blended = F.avg("y")
     else:

@@ -223,7 +223,16 @@ def _(t: Tables):
     return fuzzy.merge_clusters(t.part.select("p_partkey", "p_name"), "p_name", {"red bolt": "red rod", "old bolt": "cold bolt"})
 
 
-@query("fuzzy_clusters_names")
+@query("fuzzy_clusters_names", """
+    WITH RECURSIVE v AS (SELECT c_name AS w, row_number() OVER (ORDER BY min(c_custkey), c_name) - 1 AS id FROM customer GROUP BY 1),
+    less AS (SELECT DISTINCT id, substr(w, 1, CAST(k AS INTEGER)) || substr(w, CAST(k AS INTEGER) + 2) AS rest FROM v, range(18) r(k)),
+    e AS MATERIALIZED (SELECT DISTINCT a.id AS i, b.id AS j FROM less a JOIN less b ON a.rest = b.rest AND a.id <> b.id),
+    n AS MATERIALIZED (SELECT v.id, coalesce(list(j) FILTER (j < v.id), []) AS smaller FROM v LEFT JOIN e ON e.i = v.id GROUP BY 1),
+    g AS (SELECT CAST(-1 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS heads UNION ALL
+          SELECT pos + 1, CASE WHEN list_has_any(heads, smaller) THEN heads ELSE list_append(heads, n.id) END FROM g JOIN n ON n.id = pos + 1),
+    h AS (SELECT unnest(heads) AS head FROM (SELECT heads FROM g ORDER BY pos DESC LIMIT 1)),
+    c AS (SELECT id, coalesce(h.head, (SELECT min(j) FROM e JOIN h ON h.head = j WHERE e.i = v.id)) AS head FROM v LEFT JOIN h ON h.head = v.id)
+    SELECT v.w AS cluster, count(*) AS members FROM c JOIN v ON v.id = c.head GROUP BY 1 HAVING count(*) > 1""")
 def _(t: Tables):
     found = fuzzy.fuzzy_clusters(t.customer, "c_name", 94, "c_custkey")
     return found.groupBy("cluster").agg(F.count("*").alias("members"))
@@ -337,3 +346,49 @@ def _(t: Tables):
       SELECT k, CASE WHEN min(far) = 0 THEN avg(price) FILTER (far = 0) ELSE sum(price / nullif(far, 0)) / sum(1 / nullif(far, 0)) END AS price FROM n GROUP BY 1) g USING (k)""")
 def _(t: Tables):
     return rounded(neighbours.knn_impute(_gappy(t), "price", "k", weights="distance", features=["s", "x"]).select("k", "price"), 5)
+
+
+_FEATURES = {"s": ("p_brand <> 'Brand#7'", "p_size"), "x": ("p_partkey % 5 <> 0", "p_partkey / 10.0"), "y": ("p_partkey % 3 <> 1", "p_partkey * 7919 % 1000"), "w": ("p_type <> 'ECONOMY'", "length(p_name) * 3")}
+_KNOWN = ", ".join(f"CAST(CASE WHEN {test} THEN {value} END AS DOUBLE) AS {c}" for c, (test, value) in _FEATURES.items())
+_PART = f"SELECT p_partkey AS k, {_KNOWN}, CASE WHEN p_type <> 'PROMO' THEN p_retailprice END AS price FROM part"
+_SUM = " + ".join(f"coalesce((q.{c} - o.{c}) * (q.{c} - o.{c}), 0.0)" for c in _FEATURES)
+_BOTH = " + ".join(f"CASE WHEN q.{c} IS NOT NULL AND o.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in _FEATURES)
+
+
+@query("knn_impute_gaps", f"""
+    WITH p AS ({_PART}),
+    d AS (SELECT q.k, o.k AS donor, o.price, {_SUM} AS total, {_BOTH} AS shared FROM p q, p o WHERE q.price IS NULL AND o.price IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sqrt(total / shared * 5), donor) AS place FROM d WHERE shared > 0)
+    SELECT p.k, round(coalesce(p.price, g.price, (SELECT avg(price) FROM p)), 5) AS price
+    FROM p LEFT JOIN (SELECT k, avg(price) AS price FROM n WHERE place <= 5 GROUP BY 1) g USING (k)""")
+def _(t: Tables):
+    rows = t.views("part").sql(_PART)
+    return rounded(neighbours.knn_impute(rows, "price", "k", features=list(_FEATURES), broadcast_cells=0, leaf_points=100).select("k", "price"), 5)
+
+
+_NAMES = "SELECT DISTINCT p_type || ' ' || p_name AS w FROM part"
+_TYPED = "SELECT p_partkey, upper(p_name) || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END AS w FROM part WHERE p_size < 9"
+_LISTED = "SELECT DISTINCT upper(p_name) AS w FROM part WHERE p_size > 40"
+
+
+def _scores_sql(pairs: str) -> str:
+    """(value, other, score) of pairs (a.w, b.w) by bit-parallel common subsequences."""
+    return f"""
+    m AS (SELECT a.w AS value, b.w AS other, length(a.w) AS la, length(b.w) AS lb, list_reduce(list_prepend((CAST(1 AS BIGINT) << length(a.w)) - 1,
+            list_transform(string_split(b.w, ''), lambda c: CAST(list_sum(list_transform(range(length(a.w)), lambda k:
+              CASE WHEN substr(a.w, k + 1, 1) = c THEN CAST(1 AS BIGINT) << k ELSE 0 END)) AS BIGINT))),
+            lambda s, x: ((s + (s & x)) | (s - (s & x))) & ((CAST(1 AS BIGINT) << length(a.w)) - 1)) AS state FROM {pairs}),
+    e AS (SELECT value, other, 100 * (1 - (la + lb - 2 * (la - bit_count(state))) / (la + lb)) AS score FROM m)"""
+
+
+@query("fuzzy_pairs", f"WITH v AS ({_NAMES}), {_scores_sql('v a JOIN v b ON a.w < b.w')} SELECT value, other, round(score, 6) AS score FROM e WHERE score >= 80")
+def _(t: Tables):
+    return rounded(fuzzy.fuzzy_pairs(t.views("part").sql(_NAMES), "w", 80))
+
+
+@query("fuzzy_join", f"""
+    WITH typed AS ({_TYPED}), listed AS ({_LISTED}), {_scores_sql('(SELECT DISTINCT w FROM typed) a, listed b')}
+    SELECT p_partkey, other AS w_right, round(score, 6) AS score FROM typed JOIN e ON typed.w = value WHERE score >= 86""")
+def _(t: Tables):
+    spark = t.views("part")
+    return rounded(fuzzy.fuzzy_join(spark.sql(_TYPED), spark.sql(_LISTED), "w", "w", 86).select("p_partkey", "w_right", "score"))

@@ -230,6 +230,37 @@ def test_knn_impute(spark, weights, limits):
     assert np.allclose(got.astype(float), want)
 
 
+def _gaps_frame(features, share, seed=8, n=300):
+    rng = np.random.default_rng(seed)
+    frame = pd.DataFrame({"id": np.arange(n)} | {c: rng.integers(-9, 9, n).astype(float) for c in features} | {"z": rng.normal(size=n)})
+    for c in features:
+        frame.loc[rng.random(n) < share, c] = np.nan
+    frame.loc[rng.random(n) < 0.3, "z"] = np.nan
+    return frame
+
+
+@pytest.mark.parametrize("leaf_points", [4, 40, 1000])
+def test_knn_impute_over_many_gap_patterns(spark, leaf_points):
+    """Four features with gaps in any pattern: the tree gives what the broadcast search gives."""
+    features = ["a", "b", "c", "e"]
+    df = spark.createDataFrame(with_nulls(_gaps_frame(features, 0.4)), "id long, a double, b double, c double, e double, z double")
+    small = neighbours.knn_impute(df, "z", "id", 3, "distance", features)
+    large = neighbours.knn_impute(df, "z", "id", 3, "distance", features, broadcast_cells=0, leaf_points=leaf_points)
+    a, b = ({r["id"]: r["z"] for r in x.collect()} for x in (small, large))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
+
+
+def test_knn_jobs_do_not_grow_with_the_patterns(spark):
+    features, jobs = ["a", "b", "c", "e"], []
+    for share in (0.0, 0.5):
+        df = spark.createDataFrame(with_nulls(_gaps_frame(features, share)), "id long, a double, b double, c double, e double, z double")
+        spark.sparkContext.setJobGroup(f"gaps {share}", "")
+        neighbours.knn_impute(df, "z", "id", 3, "uniform", features, broadcast_cells=0, leaf_points=30).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"gaps {share}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[1] <= jobs[0] + 3
+
+
 def test_isolation_forest(spark):
     rng = np.random.default_rng(6)
     frame = pd.DataFrame({"id": np.arange(400), "u": np.r_[rng.normal(size=396), [9, 9, -9, 8]], "v": np.r_[rng.normal(size=396), [9, -9, 8, 10]]})
