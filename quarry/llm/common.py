@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +25,11 @@ def two_columns(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(name(key).alias("doc_id"), name(text).cast("string").alias("text"))
 
 
+def fresh(stem: str) -> str:
+    """A column name that no table has, for work beside columns of the caller's."""
+    return f"{stem}_{uuid.uuid4().hex}"
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text, or one row; null texts become empty."""
     for batch in batches:

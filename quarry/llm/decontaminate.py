@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import name, require
+from quarry.llm.common import fresh
 from quarry.session import write_out
 
 #: Word positions that each mask compares.
@@ -95,7 +96,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similar:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns; rows with null keys stay."""
-    found = write_out(leaks(docs, benchmark, key=key, **options).select(F.col("doc_id").alias("_leaking")).distinct())
+    leaking = fresh("leaking")
+    found = write_out(leaks(docs, benchmark, key=key, **options).select(F.col("doc_id").alias(leaking)).distinct())
     if found.count() <= SMALL_IDS:
         found = F.broadcast(found)
-    return docs.join(found, name(key) == F.col("_leaking"), "left_anti")
+    return docs.join(found, name(key) == F.col(leaking), "left_anti")

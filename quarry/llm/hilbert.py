@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.columns import name, require
 from quarry.operators.ordered import number_rows, running_total
+from quarry.llm.common import fresh
 from quarry.session import write_out
 
 LAWS = ("rows", "bytes")
@@ -120,10 +121,18 @@ def shard(docs: DataFrame, shards: int = 16, dims: Sequence[str] = ("lang", "sou
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, dims: Sequence[str] = ("lang", "source", "n_chars"), key: str = "doc_id") -> DataFrame:
-    """Write ``docs`` with unique keys as one folder per shard in slot order; returns the manifest: rows, bytes, least and greatest value of every dimension per shard."""
-    own = placed.select(F.col("doc_id").alias("_id"), "shard", "slot", "size")
-    joined = docs.drop("shard", "slot", "size").join(own, name(key) == F.col("_id")).drop("_id")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` with unique keys as one folder per shard in slot order; returns the manifest: rows, bytes, least and greatest value of every dimension per shard.
+
+    The files carry ``shard``, ``slot`` and ``size``; a table that has columns of these names is an error. Rows with a null key
+    are not placed by key and stay out. A shard is written by as many tasks as its rows ask for, each a run of slots.
+    """
+    taken = [c for c in docs.columns if c.lower() in ("shard", "slot", "size")]
+    if taken:
+        raise ValueError(f"rename {', '.join(taken)} first: the shards' files have columns of these names")
+    id_ = fresh("id")
+    own = placed.select(F.col("doc_id").alias(id_), "shard", "slot", "size")
+    joined = docs.join(own, name(key) == F.col(id_)).drop(id_)
+    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     stored = docs.sparkSession.read.parquet(path)
     return stored.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"),
                                        *[f(name(d)).alias(f"{w}_{d}") for d in dims for w, f in (("min", F.min), ("max", F.max))])

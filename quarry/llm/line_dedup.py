@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import name, require
+from quarry.llm.common import fresh
 from quarry.session import write_out
 
 EDITS = 1  # of callers that name no threshold
@@ -252,16 +253,18 @@ def _kept_text(text: Column, removed: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with their text less the removed lines, all columns kept; a null text stays null."""
-    gone = removed.select(F.col("doc_id").alias("_key"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone.hint("merge"), name(key) == F.col("_key"), "left")  # the list of removed lines grows with the corpus: never broadcast
-    return joined.select(*[_kept_text(name(c), F.col("_removed")).alias(c) if c == text else name(c) for c in docs.columns])
+    own, lost = fresh("key"), fresh("removed")
+    gone = removed.select(F.col("doc_id").alias(own), F.col("removed").alias(lost))
+    joined = docs.join(gone.hint("merge"), name(key) == F.col(own), "left")  # the list of removed lines grows with the corpus: never broadcast
+    return joined.select(*[_kept_text(name(c), F.col(lost)).alias(c) if c == text else name(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key as ``doc_id``, ``n_lines``, ``n_removed``, ``kept_chars`` and ``kept_sha256`` (hex) of what is left; a null text has no lines."""
-    gone = removed.select(F.col("doc_id").alias("_key"), F.col("removed").alias("_removed"))
+    own, lost = fresh("key"), fresh("removed")
+    gone = removed.select(F.col("doc_id").alias(own), F.col("removed").alias(lost))
     body = F.coalesce(name(text).cast("string"), F.lit(""))
-    kept = docs.join(gone.hint("merge"), name(key) == F.col("_key"), "left").select(
+    kept = docs.join(gone.hint("merge"), name(key) == F.col(own), "left").select(
         name(key).alias("doc_id"), F.coalesce(F.when(name(text).isNotNull(), F.size(F.split(name(text).cast("string"), "\n"))), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long").alias("n_removed"), _kept_text(body, F.col("_removed")).alias("kept"))
+        F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long").alias("n_removed"), _kept_text(body, F.col(lost)).alias("kept"))
     return kept.select("doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import name, require
-from quarry.llm.common import flat_bytes, text_slices, two_columns, words_of
+from quarry.llm.common import flat_bytes, fresh, text_slices, two_columns, words_of
 from quarry.operators.components import components
 from quarry.session import write_out
 
@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = SIMILAR_PERC
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = SIMILAR_PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that ``near_duplicates`` does not keep; rows with null keys stay."""
-    dropped = write_out(near_duplicates(docs, words, percent, key, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct())
+    gone = fresh("gone")
+    dropped = write_out(near_duplicates(docs, words, percent, key, text).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct())
     if dropped.count() <= SMALL_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, name(key).cast("long") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, name(key).cast("long") == F.col(gone), "left_anti")

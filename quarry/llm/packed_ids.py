@@ -27,8 +27,8 @@ from quarry.llm.common import ragged, split_words, text_slices, two_columns
 from quarry.session import scratch_path
 
 BLOCK_IDS = 1 << 18
-FILE_TEXT_BYTES = 64 << 20
-CACHED_WORDS = 800_000
+FILE_TEXT_BYTES = 16 << 20
+CACHED_WORDS = 400_000
 HEAD = struct.Struct("<4sIQQ")  # mark, bits, documents, ids
 TAIL = struct.Struct("<4sIQQ")  # mark, blocks, documents, ids of the file
 BLOCK_MARK, FILE_MARK = b"QIDB", b"QIDF"
@@ -120,12 +120,15 @@ class WordEncoder:
     """Ids of whole texts through the tokenizers library, each distinct word encoded once per worker.
 
     Holds for tokenizers that lower-case, drop white space and split letters from punctuation: a text's ids are then the
-    ids of its words in order. Texts in which the name of an added token occurs are encoded whole. The cache of words is
+    ids of its words in order. Texts in which the name of an added token occurs are encoded whole, and those in which a mark
+    combines with an ASCII capital, as the tokenizer composes letters before it lower-cases them. The cache of words is
     emptied when it is full, so memory stays bounded.
     """
 
-    #: A letter before ASCII punctuation other than the apostrophe and the bar.
-    SEAM = r"(\pL)([!-&(-/:-@\[-`{}~])"
+    #: A letter before ASCII punctuation other than the apostrophe and the bar. Only letters that stay one letter when they
+    #: are composed and lower-cased; others, such as the capital i with a dot, would leave a combining mark to the punctuation.
+    SEAM = r"([a-zÀ-ÖØ-öø-įı-ɏ])([!-&(-/:-@\[-`{}~])"
+    COMBINED = r"[A-Z]\pM"
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
@@ -156,6 +159,7 @@ class WordEncoder:
         named = np.zeros(len(texts), dtype=bool)
         for mark in self.names:
             named |= pc.match_substring(texts, mark, ignore_case=True).to_numpy(zero_copy_only=False)
+        named |= pc.match_substring_regex(texts, self.COMBINED).to_numpy(zero_copy_only=False)
         whole = dict(zip(np.flatnonzero(named).tolist(), self._encode(texts.filter(pa.array(named)).to_pylist())))
         plain = pc.if_else(pa.array(named), "", texts) if whole else texts
         for mark in "\n\r\t":
@@ -199,7 +203,7 @@ def _records(path: str, end: int, bits: int, batches: Iterator[pa.RecordBatch])
     def record(body: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["value"])
 
-    for batch in text_slices(batches, limit=4 << 20):
+    for batch in text_slices(batches, limit=2 << 20):
         counts, ids = encode(batch.column("text"), end)
         column = batch.column("doc_id")
         known = pc.is_valid(column).to_numpy(zero_copy_only=False)

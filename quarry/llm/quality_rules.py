@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import name, require
-from quarry.llm.common import BLANKS, flat_bytes, text_slices, words_of
+from quarry.llm.common import BLANKS, flat_bytes, fresh, text_slices, words_of
 
 SAMPLE_ROWS = 20_000
 TREES, TREE_ROWS = 100, 256
@@ -216,10 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key:
 
     ``labels`` has the key and ``quality`` (1 good, 0 bad). Rows with nulls in either are left out.
     """
-    picked = (labels.select(F.col("doc_id").alias("_id"), "quality").na.drop()
-              .orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample_rows))
+    own, good_ = fresh("id"), fresh("quality")
+    picked = (labels.select(F.col("doc_id").alias(own), F.col("quality").alias(good_)).na.drop()
+              .orderBy(F.xxhash64(own), own, good_).limit(sample_rows))
     bounded = F.broadcast(picked)  # at most sample_rows pairs of numbers
-    rows = docs.join(bounded, name(key) == F.col("_id")).select(name(text).cast("string").alias("text"), F.col("quality").cast("int").alias("quality"))
+    rows = docs.join(bounded, name(key) == F.col(own)).select(name(text).cast("string").alias("text"), F.col(good_).cast("int").alias("quality"))
     found = rows.mapInArrow(_features_of, "quality int, failed boolean, " + ", ".join(f"{f} double" for f in FEATURES))
     held = found.limit(2 * sample_rows).toPandas()  # more rows than labels only where keys repeat
     held = held[~held["failed"]].sort_values(list(held.columns), ignore_index=True)  # rows that reach the forest, in a fixed order
