@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -96,56 +97,64 @@ def pair_frame(df: DataFrame, cols: str | Sequence[str], key: str | Sequence[str
     none = F.lit(None)
     cells = [F.struct(*shape(b, a, name(a), name(b), none)) for a in cols for b in cols if a != b]
     result = points.select(F.inline(F.array(*cells)))
-    for c in cols:
-        result = result.unionByName(hist_frame(df, c, bins).select(*shape(c, c, F.col("low"), none, F.col("n"))))
-    return result
-
-
-def _entropy_parts(joint: DataFrame) -> DataFrame:
-    """Entropies of x, of y and of the pair from their joint counts, in one row."""
-    def entropy(counts: DataFrame, out: str) -> DataFrame:
-        n = F.sum("n")
-        return counts.agg((F.log(n) - F.sum(F.col("n") * F.log("n")) / n).alias(out))
-    hx = entropy(joint.groupBy("x").agg(F.sum("n").alias("n")), "hx")
-    hy = entropy(joint.groupBy("y").agg(F.sum("n").alias("n")), "hy")
-    return entropy(joint, "hxy").withColumn("_one", F.lit(1)).join(hx.withColumn("_one", F.lit(1)), "_one").join(hy.withColumn("_one", F.lit(1)), "_one")
+    drawn = stats.histograms(df, list(dict.fromkeys(cols)), bins)
+    return result.unionByName(drawn.select(F.col("column").alias("row"), F.col("column").alias("col"), F.col("low").alias("x"), none.cast("double").alias("y"), "n"))
+
+
+def _ratios(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
+    """(a, b, kind, value): the correlation ratio of every number given every category, from one scan."""
+    at = [F.when(~missing(df, m), name(m).cast("double")).alias(f"x{i}") for i, m in enumerate(nums)]
+    labels = F.array(*[F.struct(F.lit(c).alias("b"), name(c).cast("string").alias("label")) for c in cats])
+    groups = df.select(*at, F.inline(labels)).filter("label IS NOT NULL").groupBy("b", "label").agg(*[x for i in range(len(nums)) for x in (
+        F.count(f"x{i}").alias(f"n{i}"), F.avg(f"x{i}").alias(f"m{i}"), F.var_pop(f"x{i}").alias(f"v{i}"))])
+    # weighted spread of the group means over the whole spread
+    sums = groups.groupBy("b").agg(*[x for i in range(len(nums)) for x in (
+        F.sum(F.col(f"n{i}") * F.col(f"v{i}")).alias(f"w{i}"), F.sum(f"n{i}").alias(f"n{i}"),
+        F.sum(F.col(f"n{i}") * F.col(f"m{i}")).alias(f"s{i}"), F.sum(F.col(f"n{i}") * F.col(f"m{i}") * F.col(f"m{i}")).alias(f"q{i}"))])
+    found = []
+    for i, m in enumerate(nums):
+        between = F.greatest(F.lit(0.0), F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.nullif(F.col(f"n{i}"), F.lit(0)))
+        found.append(F.struct(F.lit(m).alias("a"), F.lit("correlation_ratio").alias("kind"), F.sqrt(F.try_divide(between, between + F.col(f"w{i}"))).alias("value")))
+    return sums.select("b", F.inline(F.array(*found))).select("a", "b", "kind", "value")
+
+
+def _uncertainties(df: DataFrame, cats: Sequence[str]) -> DataFrame:
+    """(a, b, kind, value): the uncertainty coefficient of every category given every other, from one scan."""
+    pairs = list(combinations(cats, 2))
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), name(a).cast("string").alias("x"), name(b).cast("string").alias("y")) for a, b in pairs])
+    joint = df.select(F.inline(cells)).filter("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda of, x, y: F.struct(F.lit(of).alias("of"), x.alias("x"), y.alias("y"))
+    none = F.lit(None).cast("string")
+    # the pair's own counts and those of either side, told apart by what they are of
+    sides = F.array(side("xy", F.col("x"), F.col("y")), side("x", F.col("x"), none), side("y", none, F.col("y")))
+    counts = joint.select("a", "b", "n", F.explode(sides).alias("s")).groupBy("a", "b", "s").agg(F.sum("n").alias("n"))
+    n = F.sum("n")
+    entropies = counts.groupBy("a", "b", F.col("s.of").alias("of")).agg((F.log(n) - F.sum(F.col("n") * F.log("n")) / n).alias("h"))
+    every = entropies.groupBy("a", "b").agg(*[F.max(F.when(F.col("of") == of, F.col("h"))).alias(f"h{of}") for of in ("x", "y", "xy")])
+    shared = F.col("hx") + F.col("hy") - F.col("hxy")
+    one = lambda a, b, own: F.struct(a.alias("a"), b.alias("b"), F.lit("uncertainty").alias("kind"), F.try_divide(shared, own).alias("value"))
+    names = every.select(F.inline(F.array(one(F.col("a"), F.col("b"), F.col("hx")), one(F.col("b"), F.col("a"), F.col("hy")))))
+    asked = df.sparkSession.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "a string, b string")
+    return asked.join(names, ["a", "b"], "left").select("a", "b", F.lit("uncertainty").alias("kind"), "value")
 
 
 def associations(df: DataFrame, categories: Sequence[str] | None = None, numbers: Sequence[str] | None = None) -> DataFrame:
     """(a, b, kind, value): correlation between numbers, correlation ratio of a number given a category,
-    uncertainty coefficient of one category given another."""
+    uncertainty coefficient of one category given another. One scan for each kind, however many columns."""
     cats = list(categories if categories is not None else text_columns(df))
     nums = list(numbers if numbers is not None else numeric_columns(df))
     require(df, *cats, *nums)
     parts = []
     if nums:
         parts.append(stats.corr_pearson(df, cols=nums).filter("a <> b").select("a", "b", F.lit("correlation").alias("kind"), F.col("corr").alias("value")))
-    for c in cats:
-        if not nums:
-            break
-        at = {m: F.when(~missing(df, m), name(m).cast("double")) for m in nums}
-        groups = present(df, c).groupBy(name(c)).agg(*[x for i, m in enumerate(nums) for x in (
-            F.count(at[m]).alias(f"n{i}"), F.avg(at[m]).alias(f"m{i}"), F.var_pop(at[m]).alias(f"v{i}"))])
-        # Weighted spread of the group means over the whole spread; both from one small table of groups.
-        sums = groups.agg(*[x for i in range(len(nums)) for x in (
-            F.sum(F.col(f"n{i}") * F.col(f"v{i}")).alias(f"w{i}"), F.sum(f"n{i}").alias(f"n{i}"),
-            F.sum(F.col(f"n{i}") * F.col(f"m{i}")).alias(f"s{i}"), F.sum(F.col(f"n{i}") * F.col(f"m{i}") * F.col(f"m{i}")).alias(f"q{i}"))])
-        ratios = []
-        for i, m in enumerate(nums):
-            between = F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.nullif(F.col(f"n{i}"), F.lit(0))
-            ratio = F.sqrt(F.try_divide(F.greatest(F.lit(0.0), between), F.greatest(F.lit(0.0), between) + F.col(f"w{i}")))
-            ratios.append(F.struct(F.lit(m).alias("a"), F.lit(c).alias("b"), F.lit("correlation_ratio").alias("kind"), ratio.alias("value")))
-        parts.append(sums.select(F.inline(F.array(*ratios))))
-    for a, b in combinations(cats, 2):
-        joint = present(df, a, b).groupBy(name(a).alias("x"), name(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-        shared = F.col("hx") + F.col("hy") - F.col("hxy")
-        parts.append(_entropy_parts(joint).select(F.inline(F.array(
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit("uncertainty").alias("kind"), F.try_divide(shared, F.col("hx")).alias("value")),
-            F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.lit("uncertainty").alias("kind"), F.try_divide(shared, F.col("hy")).alias("value"))))))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    if cats and nums:
+        asked = df.sparkSession.createDataFrame([(m, c) for m in nums for c in cats], "a string, b string")
+        parts.append(asked.join(_ratios(df, cats, nums), ["a", "b"], "left").select("a", "b", F.lit("correlation_ratio").alias("kind"), "value"))
+    if len(cats) > 1:
+        parts.append(_uncertainties(df, cats))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "a string, b string, kind string, value double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def eda(df: DataFrame) -> dict[str, DataFrame]:

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.columns import (
     as_list, is_numeric, missing, name, numeric_columns, present, require, require_numeric, text_columns,
 )
 from quarry.operators import ordered
+from quarry.operators.rows import sample as sample_rows
 from quarry.session import write_out
 
+ACCURACY = 10_000  # approximate percentiles: the share of the rows that a rank may be off is one in this many
+RELATIVE_ERROR = 0.02  # of approximate distinct counts
+ITEMS = 10_000  # counters per column for frequent values
+LABELS_PER_BLOCK = 1_000
+
 _FUNCS = {
     "mean": F.avg, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp,
     "var": F.var_samp, "nunique": F.count_distinct,
@@ -35,10 +43,12 @@ def parse_agg(agg: str | Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
     return pairs
 
 
-def groupby(df: DataFrame, keys: str | Sequence[str], agg: str | Sequence[tuple[str, str]] | None = None) -> DataFrame:
+def groupby(df: DataFrame, keys: str | Sequence[str], agg: str | Sequence[tuple[str, str]] | None = None, approx: bool = False) -> DataFrame:
     """Group and summarise; without ``agg`` the group sizes. Rows with a missing key are left out.
 
-    Medians are exact and spread over tasks by value range, whatever the size of the largest group.
+    Medians are exact and spread over tasks by value range, whatever the size of the largest group. With ``approx`` they come
+    from a mergeable sketch in the same pass as everything else: a value whose rank is at most 1 / ``ACCURACY`` of the group's
+    size away from the middle.
     """
     keys = as_list(keys)
     require(df, *keys)
@@ -52,6 +62,9 @@ def groupby(df: DataFrame, keys: str | Sequence[str], agg: str | Sequence[tuple[
         raise ValueError(f"unknown aggregate: {', '.join(unknown)}")
     plain = [(c, f) for c, f in pairs if f != "median"]
     medians = [c for c, f in pairs if f == "median"]
+    if approx:
+        sketched = {c: F.percentile_approx(_clean(df, c).cast("double"), 0.5, ACCURACY).alias(f"{c}_median") for c in medians}
+        return rows.groupBy(*map(name, keys)).agg(*[sketched[c] if f == "median" else _FUNCS[f](_clean(df, c)).alias(f"{c}_{f}") for c, f in pairs])
     grouped = rows.groupBy(*map(name, keys)).agg(
         F.count(F.lit(1)).alias("_rows"), *[_FUNCS[f](_clean(df, c)).alias(f"{c}_{f}") for c, f in plain])
     if medians:
@@ -111,50 +124,66 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, func: str = "mea
     return wide.na.fill(fill_value, [c for c in wide.columns if c != index])
 
 
-def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = None, margins: bool = False) -> DataFrame:
+def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = None, margins: bool = False, zeros: bool = True) -> DataFrame:
     """Frequencies as rows (row, col, value); margins use the label All.
 
-    Every combination of seen values is present, with 0 where the pair never occurs.
+    Every combination of seen values is present, with 0 where the pair never occurs; ``zeros=False`` leaves these out. There is
+    no limit on the number of labels: margins come from the cells that occur, and zeros are made last, block by block.
     """
-    return _crosstab_cells(df, row, col, normalize, margins).select("row", "col", "value")
+    return _crosstab_cells(df, row, col, normalize, margins, zeros).select("row", "col", "value")
+
 
+def _with_zeros(counts: DataFrame, rows: DataFrame, cols: DataFrame, block: int) -> DataFrame:
+    """(row, col, n, of_row, of_col) for every pair of labels with the totals of both, from the cells that occur.
 
-def _crosstab_cells(df: DataFrame, row: str, col: str, normalize: str | None, margins: bool) -> DataFrame:
+    Column labels are numbered in order and cut into blocks. A line and a block meet once, with the line's cells of that block
+    as a map; the zeros arise where the block's labels are looked up in it, after all shuffles.
+    """
+    numbered = write_out(ordered.number_rows(cols, ["col"], out="no").select("col", "whole", F.floor(F.col("no") / block).cast("int").alias("block")))
+    blocks = numbered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("col", "whole"))).alias("labels"))
+    last = numbered.agg(F.max("block")).first()[0]
+    if last is None:
+        return counts.select("row", "col", "n", F.col("n").alias("of_row"), F.col("n").alias("of_col"))
+    held = counts.join(numbered.select("col", "block"), "col").groupBy("row", "block").agg(F.map_from_entries(F.collect_list(F.struct("col", "n"))).alias("held"))
+    lines = rows.select("row", F.col("whole").alias("of_row"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")).join(held, ["row", "block"], "left").join(blocks, "block")
+    return lines.select("row", "of_row", "held", F.explode("labels").alias("label")).select(
+        "row", F.col("label.col").alias("col"), F.coalesce(F.try_element_at("held", F.col("label.col")), F.lit(0)).alias("n"), "of_row", F.col("label.whole").alias("of_col"))
+
+
+def _crosstab_cells(df: DataFrame, row: str, col: str, normalize: str | None, margins: bool, zeros: bool = True, block: int = LABELS_PER_BLOCK) -> DataFrame:
     """(row, col, value, any_row, any_col): the flags tell a margin from a label that happens to be All."""
     require(df, row, col)
     if normalize not in (None, "index", "columns", "all"):
         raise ValueError("normalize must be index, columns or all")
-    pairs = present(df, row, col).groupBy(name(row).cast("string").alias("row"), name(col).cast("string").alias("col"))
-    counts = pairs.agg(F.count(F.lit(1)).alias("n"))
-    # One row per label of ``row`` and one column per label of ``col``, zeros filled in, back to long form.
-    heads = _pivot_values(counts, "col")
-    full = (
-        counts.groupBy("row").pivot("col", heads).agg(F.sum("n")).na.fill(0)
-        .unpivot("row", [name(h) for h in heads], "col", "n")
-    ) if heads else counts
-    cube = full.cube("row", "col").agg(F.sum("n").alias("n"), F.grouping("row").alias("any_row"), F.grouping("col").alias("any_col"))
-    cells = cube.select(
-        F.when(F.col("any_row") == 1, "All").otherwise(F.col("row")).alias("row"),
-        F.when(F.col("any_col") == 1, "All").otherwise(F.col("col")).alias("col"),
-        "n", "any_row", "any_col",
-    )
-    if normalize is None:
-        shown = cells if margins else cells.filter("any_row = 0 and any_col = 0")
-        return shown.select("row", "col", F.col("n").cast("double").alias("value"), "any_row", "any_col")
-    basis = {"index": ["row", "any_row"], "columns": ["col", "any_col"], "all": []}[normalize]
-    # The greatest count of a line is its margin; found by an aggregate, as a window would bring a whole line into one task.
-    if basis:
-        based = cells.join(cells.groupBy(*basis).agg(F.max("n").alias("whole")), basis)
+    counts = write_out(present(df, row, col).groupBy(name(row).cast("string").alias("row"), name(col).cast("string").alias("col")).agg(F.count(F.lit(1)).alias("n")))
+    line = lambda label: write_out(counts.groupBy(label).agg(F.sum("n").alias("whole")))  # margins, from the cells that occur
+    rows, cols = line("row"), line("col")
+    flag = lambda yes: F.lit(int(yes)).cast("byte")
+    if zeros:
+        inner = _with_zeros(counts, rows, cols, block)
     else:
-        based = cells.withColumn("whole", cells.agg(F.max("n")).scalar())
-    shares = based.select("row", "col", "any_row", "any_col", (F.col("n") / F.col("whole")).alias("value"))
-    if not margins:
-        shares = shares.filter("any_row = 0 and any_col = 0")
-    elif normalize == "index":
-        shares = shares.filter("any_col = 0")
-    elif normalize == "columns":
-        shares = shares.filter("any_row = 0")
-    return shares.select("row", "col", "value", "any_row", "any_col")
+        inner = counts.join(rows.withColumnRenamed("whole", "of_row"), "row").join(cols.withColumnRenamed("whole", "of_col"), "col")
+    parts = {(0, 0): inner}
+    if margins:
+        every = F.lit("All")
+        total = lambda label: F.col("whole").alias(label)
+        parts |= {(0, 1): rows.select("row", every.alias("col"), total("n"), total("of_row")), (1, 0): cols.select(every.alias("row"), "col", total("n"), total("of_col"))}
+        if rows.take(1):
+            parts[1, 1] = rows.agg(F.sum("whole").alias("n")).select(every.alias("row"), every.alias("col"), "n")
+        if normalize == "index":
+            parts = {at: p for at, p in parts.items() if at[1] == 0}
+        elif normalize == "columns":
+            parts = {at: p for at, p in parts.items() if at[0] == 0}
+    found = []
+    for (any_row, any_col), part in parts.items():
+        if normalize is None:
+            value = F.col("n").cast("double")
+        elif normalize == "all" or normalize == "index" and any_row or normalize == "columns" and any_col:
+            value = F.col("n") / rows.agg(F.sum("whole")).scalar()  # of everything, which is also the margin's own line
+        else:
+            value = F.col("n") / F.col("of_row" if normalize == "index" else "of_col")
+        found.append(part.select("row", "col", value.alias("value"), flag(any_row).alias("any_row"), flag(any_col).alias("any_col")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, normalize: str | None = None, margins: bool = False) -> DataFrame:
@@ -187,7 +216,8 @@ def describe(df: DataFrame, percentiles: Sequence[float] | None = None, include:
     """Summary as rows (column, metric, value, text).
 
     Numbers get count, mean, std, min, percentiles (always with 50 %) and max; other columns count,
-    unique, top and freq (smallest value on a tie). ``approx`` replaces the exact percentiles.
+    unique, top and freq (smallest value on a tie). ``approx`` reads the table once and shuffles no values: percentiles,
+    unique, top and freq then come from mergeable sketches (see ``profile``).
     """
     if include not in ("all", "number", "object"):
         raise ValueError("include must be all, number or object")
@@ -196,20 +226,14 @@ def describe(df: DataFrame, percentiles: Sequence[float] | None = None, include:
         raise ValueError("percentiles must be between 0 and 1")
     numbers = numeric_columns(df) if include != "object" else []
     others = [c for c in df.columns if not is_numeric(df, c)] if include != "number" else []
+    if approx:
+        return _sketched_summary(df, numbers, others, probs)
     parts = []
     if numbers:
         parts.append(_numeric_summary(df, numbers).withColumn("text", F.lit(None).cast("string")))
-        if approx:
-            one = df.agg(*[F.percentile_approx(_clean(df, c).cast("double"), [float(p) for p in probs]).alias(f"q{i}")
-                           for i, c in enumerate(numbers)])
-            points = one.select(F.inline(F.array(*[
-                F.struct(F.lit(c).alias("column"), F.lit(percent_label(p)).alias("metric"),
-                         F.get(F.col(f"q{i}"), F.lit(j)).alias("value"))
-                for i, c in enumerate(numbers) for j, p in enumerate(probs)])))
-        else:
-            label = F.element_at(F.map_from_arrays(
-                F.array(*[F.lit(float(p)) for p in probs]), F.array(*[F.lit(percent_label(p)) for p in probs])), F.col("p"))
-            points = ordered.quantiles(df, numbers, probs).select("column", label.alias("metric"), F.col("quantile").alias("value"))
+        label = F.element_at(F.map_from_arrays(
+            F.array(*[F.lit(float(p)) for p in probs]), F.array(*[F.lit(percent_label(p)) for p in probs])), F.col("p"))
+        points = ordered.quantiles(df, numbers, probs).select("column", label.alias("metric"), F.col("quantile").alias("value"))
         parts.append(points.withColumn("text", F.lit(None).cast("string")))
     if others:
         counts = ordered.value_counts(df, others, as_type="string")
@@ -227,6 +251,62 @@ def describe(df: DataFrame, percentiles: Sequence[float] | None = None, include:
     return result
 
 
+def _heavy(df: DataFrame, col: str, top: int, items: int) -> Column:
+    """The ``top`` most frequent present values of a column as texts with their counts, from a sketch of ``items`` counters."""
+    return F.expr(f"approx_top_k(CAST({_quoted(col)} AS STRING), {int(top)}, {int(items)}) FILTER (WHERE {_filled(df, col)})")
+
+
+def _quoted(col: str) -> str:
+    return "`" + col.replace("`", "``") + "`"
+
+
+def _filled(df: DataFrame, col: str) -> str:
+    is_float = isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType))
+    return f"{_quoted(col)} IS NOT NULL" + (f" AND NOT isnan({_quoted(col)})" if is_float else "")
+
+
+def _sketched_summary(df: DataFrame, numbers: Sequence[str], others: Sequence[str], probs: Sequence[float], items: int = ITEMS) -> DataFrame:
+    """What ``describe`` returns, from one aggregate over one scan."""
+    plain = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    made = [f(_clean(df, c)).cast("double").alias(f"{m}_{i}") for i, c in enumerate(numbers) for m, f in plain.items()]
+    made += [F.percentile_approx(_clean(df, c).cast("double"), [float(p) for p in probs], ACCURACY).alias(f"q_{i}") for i, c in enumerate(numbers)]
+    for i, c in enumerate(others):
+        made += [F.count(_clean(df, c)).alias(f"c_{i}"), F.approx_count_distinct(_clean(df, c), RELATIVE_ERROR).alias(f"u_{i}"), _heavy(df, c, 1, items).alias(f"t_{i}")]
+    one = df.agg(*made)
+    entry = lambda c, m, value, text=F.lit(None): F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), value.cast("double").alias("value"), text.cast("string").alias("text"))
+    cells = [entry(c, m, F.col(f"{m}_{i}")) for i, c in enumerate(numbers) for m in plain]
+    cells += [entry(c, percent_label(p), F.get(F.col(f"q_{i}"), F.lit(j))) for i, c in enumerate(numbers) for j, p in enumerate(probs)]
+    for i, c in enumerate(others):
+        best = F.get(F.col(f"t_{i}"), F.lit(0))
+        cells += [entry(c, "count", F.col(f"c_{i}")), entry(c, "unique", F.col(f"u_{i}")), entry(c, "top", F.lit(None), best["item"]), entry(c, "freq", best["count"])]
+    return one.select(F.inline(F.array(*cells)))
+
+
+def histograms(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
+    """Equal-width counts of several columns as (column, bin, low, high, n): one scan for the ends, one for the counts.
+
+    Bins are closed on the left, the last one on both sides; a column of one value is widened by a half on both sides; a
+    column without values has no bins.
+    """
+    cols = list(cols)
+    require_numeric(df, *cols)
+    at = {c: _clean(df, c).cast("double") for c in cols}
+    ends = df.agg(*[x for i, c in enumerate(cols) for x in (F.min(at[c]).alias(f"a{i}"), F.max(at[c]).alias(f"b{i}"))]).first()
+    spark, held = df.sparkSession, []
+    for i, c in enumerate(cols):
+        low, high = ends[f"a{i}"], ends[f"b{i}"]
+        if low is not None:
+            held.append((c, *((low - 0.5, high + 0.5) if low == high else (low, high))))
+    if not held:
+        return spark.createDataFrame([], "column string, bin int, low double, high double, n long")
+    number = lambda c, low, high: F.when(at[c].isNotNull(), F.least(F.lit(bins - 1), F.floor((at[c] - low) / (high - low) * bins))).cast("int")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(c, low, high).alias("bin")) for c, low, high in held])
+    counted = df.select(F.inline(cells)).filter("bin IS NOT NULL").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
+    every = spark.createDataFrame([(c, b, low + b * ((high - low) / bins), low + (b + 1) * ((high - low) / bins)) for c, low, high in held for b in range(bins)],
+                                  "column string, bin int, low double, high double")
+    return every.join(counted, ["column", "bin"], "left").select("column", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def _matrix(pairs: DataFrame) -> DataFrame:
     """Both triangles of a symmetric matrix given as (a, b, corr, n) with a before b."""
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr", "n"))
@@ -343,29 +423,51 @@ def kurtosis(df: DataFrame, numeric_only: bool = False) -> DataFrame:
     return _moment(df, numeric_only, "kurtosis", 4, g2)
 
 
-def profile(df: DataFrame, top: int = 5, approx: bool = False) -> DataFrame:
+def profile(df: DataFrame, top: int = 5, approx: bool = False, sample: float | None = None, histogram: bool = False, bins: int = 20,
+            key: str | Sequence[str] = (), seed: int = 0, items: int = ITEMS) -> DataFrame:
     """Per column the share of present and of distinct values in percent, and its most frequent values.
 
     Rows (column, non_null_pct, unique_pct, rank, value, n); a column without values has one row with rank null.
+
+    ``approx`` reads the table once and shuffles sketches instead of values. Distinct values then have a relative standard
+    error of ``RELATIVE_ERROR``. Counts of frequent values are exact while a column has at most three quarters of ``items``
+    different ones; beyond that a count is too high by at most 3.5 / ``items`` of the rows, and a value that is rarer than that may
+    be missing. ``sample`` (above 0, at most 1) profiles that share of the rows: a repeatable choice of exact size where
+    ``key`` names what tells rows apart, else each row by chance. ``histogram`` adds the column histogram, an array of
+    (low, high, n) with ``bins`` equal bins for numbers, null for other columns.
     """
+    if sample is not None:
+        if not 0 < sample <= 1:
+            raise ValueError("sample must be above 0 and at most 1")
+        if sample < 1:
+            df = sample_rows(df, frac=sample, key=key, seed=seed) if as_list(key) else df.sample(sample, seed)
     cols = df.columns
-    counts = ordered.value_counts(df, cols, as_type="string")
-    best = (
-        counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
-        .filter(F.col("rank") <= top)
-    )
     if approx:
-        one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(name(c)).alias(f"u{i}") for i, c in enumerate(cols)],
-                     *[F.count_if(~missing(df, c)).alias(f"c{i}") for i, c in enumerate(cols)])
+        one = df.agg(F.count(F.lit(1)).alias("rows"), *[x for i, c in enumerate(cols) for x in (
+            F.count_if(~missing(df, c)).alias(f"c{i}"), F.approx_count_distinct(_clean(df, c), RELATIVE_ERROR).alias(f"u{i}"), _heavy(df, c, top, items).alias(f"t{i}"))])
         per = one.select("rows", F.inline(F.array(*[F.struct(
-            F.lit(c).alias("column"), F.col(f"c{i}").alias("filled"), F.col(f"u{i}").alias("unique")) for i, c in enumerate(cols)])))
+            F.lit(c).alias("column"), F.col(f"c{i}").alias("filled"), F.col(f"u{i}").alias("unique"),
+            F.transform(f"t{i}", lambda t: F.struct(t["count"].alias("n"), t["item"].alias("value"))).alias("held")) for i, c in enumerate(cols)])))
+        ranked = F.sort_array(F.transform("held", lambda t: F.struct((-t["n"]).alias("less"), t["value"].alias("value"))))
+        listed = per.select("column", "rows", "filled", "unique", F.posexplode_outer(ranked).alias("at", "best"))
+        shown = listed.select("column", (F.coalesce("filled", F.lit(0)) * 100 / F.col("rows")).alias("non_null_pct"), (F.col("unique") * 100 / F.col("rows")).alias("unique_pct"),
+                              (F.col("at") + 1).alias("rank"), F.col("best.value").alias("value"), (-F.col("best.less")).alias("n"))
     else:
+        counts = ordered.value_counts(df, cols, as_type="string")
+        best = (
+            counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
+            .filter(F.col("rank") <= top)
+        )
         one = df.agg(F.count(F.lit(1)).alias("rows"))
         names = one.select("rows", F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
         per = names.join(counts.groupBy("column").agg(F.sum("n").alias("filled"), F.count(F.lit(1)).alias("unique")), "column", "left")
-    shares = per.select("column", (F.coalesce("filled", F.lit(0)) * 100 / F.col("rows")).alias("non_null_pct"),
-                        (F.coalesce("unique", F.lit(0)) * 100 / F.col("rows")).alias("unique_pct"))
-    return shares.join(best, "column", "left").select("column", "non_null_pct", "unique_pct", "rank", "value", "n")
+        shares = per.select("column", (F.coalesce("filled", F.lit(0)) * 100 / F.col("rows")).alias("non_null_pct"),
+                            (F.coalesce("unique", F.lit(0)) * 100 / F.col("rows")).alias("unique_pct"))
+        shown = shares.join(best, "column", "left").select("column", "non_null_pct", "unique_pct", "rank", "value", "n")
+    if not histogram:
+        return shown
+    drawn = histograms(df, numeric_columns(df), bins).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("low", "high", "n"))).alias("histogram"))
+    return shown.join(drawn, "column", "left")
 
 
 def profile_json(df: DataFrame, minimal: bool = False) -> DataFrame:

@@ -189,9 +189,80 @@ def profile_sql(table: str, cols: list[str]) -> str:
           FROM {table} WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 5""" for c in cols)
 
 
-@query("profile", profile_sql("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]))
+@query("profile", profile_sql("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]))
 def _(t: Tables):
-    return rounded(stats.profile(t.part.drop("p_retailprice")))
+    return rounded(stats.profile(t.part))
+
+
+@query("profile_approx", profile_sql("orders", ["o_orderstatus", "o_orderpriority"]))
+def _(t: Tables):
+    return rounded(stats.profile(t.orders.select("o_orderstatus", "o_orderpriority"), approx=True))
+
+
+def _near_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS "column", true AS near_filled, true AS near_unique FROM region WHERE r_regionkey = 0"""
+
+
+@query("profile_approx_bounds", " UNION ALL ".join(map(_near_sql, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                                                                    "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"])))
+def _(t: Tables):
+    exact = stats.profile(t.lineitem, top=1).select("column", F.col("non_null_pct").alias("filled"), F.col("unique_pct").alias("distinct"))
+    near = stats.profile(t.lineitem, top=1, approx=True).select("column", "non_null_pct", "unique_pct")
+    off = F.abs(F.col("unique_pct") - F.col("distinct")) <= 5 * stats.RELATIVE_ERROR * F.col("distinct")
+    return near.join(exact, "column").select("column", (F.col("non_null_pct") == F.col("filled")).alias("near_filled"), off.alias("near_unique"))
+
+
+def _bars_sql(table: str, c: str, bins: int) -> str:
+    return f"""SELECT '{c}' AS "column", i AS bin, round(a, 6) AS low, round(z, 6) AS high, n FROM (
+      SELECT CAST(r.i AS INTEGER) AS i, lo + r.i * ((hi - lo) / {bins}) AS a, lo + (r.i + 1) * ((hi - lo) / {bins}) AS z,
+             (SELECT count(*) FROM {table} WHERE least({bins - 1}, floor((CAST({c} AS DOUBLE) - lo) / (hi - lo) * {bins})) = r.i) AS n
+      FROM (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM {table}), range({bins}) AS r(i))"""
+
+
+@query("profile_histogram", " UNION ALL ".join(_bars_sql("part", c, 20) for c in ["p_partkey", "p_size", "p_retailprice"]))
+def _(t: Tables):
+    found = stats.profile(t.part, top=1, histogram=True).filter("rank = 1 AND histogram IS NOT NULL")
+    bars = found.select("column", F.posexplode("histogram").alias("bin", "bar")).select("column", "bin", F.col("bar.low").alias("low"), F.col("bar.high").alias("high"), F.col("bar.n").alias("n"))
+    return rounded(bars)
+
+
+@query("profile_sample", """SELECT count(*) AS "columns", CAST(round(0.25 * (SELECT count(*) FROM orders)) AS BIGINT) AS distinct_keys FROM (SELECT unnest([1, 2, 3, 4, 5, 6]))""")
+def _(t: Tables):
+    size = F.lit(0.25) * t.orders.agg(F.count("*")).scalar()
+    found = stats.profile(t.orders, top=1, sample=0.25, key="o_orderkey", seed=3).filter("rank = 1")
+    keys = F.max(F.when(F.col("column") == "o_orderkey", F.col("unique_pct")))
+    return found.agg(F.count("*").alias("columns"), F.round(keys / 100 * F.round(size)).cast("long").alias("distinct_keys"))
+
+
+@query("describe_approx", """
+    SELECT "column", metric, value, text FROM (
+      SELECT 'o_orderstatus' AS "column", o_orderstatus AS top, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) AS place FROM orders GROUP BY o_orderstatus) m,
+      LATERAL (VALUES ('count', (SELECT CAST(count(o_orderstatus) AS DOUBLE) FROM orders), NULL), ('unique', (SELECT CAST(count(DISTINCT o_orderstatus) AS DOUBLE) FROM orders), NULL),
+                      ('top', NULL, top), ('freq', CAST(n AS DOUBLE), NULL)) v(metric, value, text) WHERE place = 1""")
+def _(t: Tables):
+    return stats.describe(t.orders.select("o_orderstatus"), approx=True)
+
+
+@query("groupby_median_approx", "SELECT l_returnflag, count(*) AS rows, true AS near FROM lineitem GROUP BY l_returnflag")
+def _(t: Tables):
+    found = stats.groupby(t.lineitem, "l_returnflag", "l_extendedprice:median,l_extendedprice:count", approx=True).withColumnRenamed("l_returnflag", "flag")
+    rank = t.lineitem.join(F.broadcast(found), F.col("l_returnflag") == F.col("flag")).groupBy("l_returnflag").agg(  # a row per flag
+        F.count("*").alias("rows"), F.count_if(F.col("l_extendedprice") <= F.col("l_extendedprice_median")).alias("upto"))
+    return rank.select("l_returnflag", "rows", (F.abs(F.col("upto") / F.col("rows") - 0.5) <= 2 / stats.ACCURACY + 1 / F.col("rows")).alias("near"))
+
+
+@query("crosstab_sparse", "SELECT CAST(l_partkey AS VARCHAR) AS row, CAST(l_suppkey AS VARCHAR) AS col, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY l_partkey, l_suppkey")
+def _(t: Tables):
+    return stats.crosstab(t.lineitem, "l_partkey", "l_suppkey", zeros=False)
+
+
+@query("crosstab_many_labels", """
+    WITH c AS (SELECT l_suppkey AS r, l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    full_ AS (SELECT s.r, p.k, coalesce(n, 0) AS n FROM (SELECT DISTINCT r FROM c) s CROSS JOIN (SELECT DISTINCT k FROM c) p LEFT JOIN c ON c.r = s.r AND c.k = p.k)
+    SELECT CAST(r AS VARCHAR) AS row, count(*) AS cells, count(*) FILTER (n = 0) AS empty, round(sum(CAST(n AS DOUBLE) / (SELECT sum(n) FROM c c2 WHERE c2.r = full_.r)), 6) AS share FROM full_ GROUP BY r""")
+def _(t: Tables):
+    cells = stats.crosstab(t.lineitem, "l_suppkey", "l_partkey", normalize="index")
+    return rounded(cells.groupBy("row").agg(F.count("*").alias("cells"), F.count_if(F.col("value") == 0).alias("empty"), F.sum("value").alias("share")))
 
 
 @query("profile_json", """

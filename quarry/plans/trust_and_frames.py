@@ -285,9 +285,9 @@ def _(t: Tables):
     return rounded(frames.eda(t.part.drop("p_partkey", "p_name"))["associations"], 5)
 
 
-@query("eda_profile", profile_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
+@query("eda_profile", profile_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]))
 def _(t: Tables):
-    return rounded(frames.eda(t.customer.drop("c_acctbal"))["profile"])
+    return rounded(frames.eda(t.customer)["profile"])
 
 
 @query("compare_tables", """
