@@ -11,6 +11,8 @@ A line is removed where the same line, or one at most k edits away, begins earli
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,11 +133,18 @@ def _among(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted, on, "left_semi")
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of an indexed line and any other line of its key, from distinct (id, probe, key); written out."""
-    indexed = members.filter("not probe").select("key", F.col("id").alias("a"))
-    met = indexed.join(members.select("key", F.col("id").alias("b")), "key").filter("a <> b")
-    return write_out(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+def _first_keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(id, probe, key) of the first cut: what ``_refined(_started(lines))`` gives, as one flat list of expressions per line."""
+    n, cells = F.length("line"), []
+    for d in range(edits + 1):  # taken as a line of d characters less
+        size = n - d
+        for j, s in _cuts(edits):
+            if abs(d - s) > edits - j:
+                continue
+            start, end = F.floor(size * j / (edits + 1)).cast("int"), F.floor(size * (j + 1) / (edits + 1)).cast("int")
+            key = F.xxhash64(F.xxhash64(size), F.lit(0), F.lit(j), F.substring("line", start + s + 1, end - start))
+            cells.append(F.when((size >= min_chars) & (start + s >= 0) & (end + s <= n), F.struct(F.lit(d > 0 or s != 0).alias("probe"), key.alias("key"))))
+    return lines.select("id", F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL").select("id", "c.probe", "c.key")
 
 
 def _starred(members: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -151,41 +160,48 @@ def _starred(members: DataFrame, firsts: DataFrame) -> DataFrame:
     return write_out(star.unionByName(rest).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
 
 
-def _candidates(lines: DataFrame, firsts: DataFrame, group: int, edits: int, min_chars: int) -> DataFrame:
-    """Pairs (u, v) of lines (id, line), repeated ones included, that may be within ``edits``; written out.
+def _candidates(lines: DataFrame, firsts: DataFrame, group: int, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Members (id, probe, key) of keys that few lines share, and pairs (u, v) of groups in which nothing is left to cut.
 
-    Every line that comes within ``edits`` of an earlier one is in a pair with such a line; few other pairs are made.
+    Lines (id, line) may repeat. Every line that comes within ``edits`` of an earlier one shares a key with it, one of the two
+    being no probe there, or is in a pair with such a line. Both results are written out.
     """
-    states = _started(lines, edits, min_chars)
-    found = []
-    while True:
-        states = _refined(states, edits)
-        slim = states.select("id", "probe", "key")  # made twice: written, it would be several times the input
-        shared = write_out(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("least"), F.min("id").alias("low"), F.max("id").alias("high"))
-                           .filter("not least and low < high").select("key", "n"))
-        found.append(_pairs(_among(slim, shared.filter(F.col("n") <= group).select("key"), ["key"]).distinct()))
-        large = shared.filter(F.col("n") > group).select("key")
-        if not large.take(1):
-            break
+    keys = _first_keys(lines, edits, min_chars)  # made twice: written, it would be several times the input
+    shared = write_out(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("least"), F.min("id").alias("low"), F.max("id").alias("high"))
+                       .filter("not least and low < high").select("key"))
+    met = write_out(_among(keys, shared, ["key"]).distinct())
+    sizes = write_out(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    found = [met.join(sizes.filter(F.col("n") <= group).select("key"), "key", "left_semi")]
+    starred = [firsts.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)]
+    large = write_out(sizes.filter(F.col("n") > group).select("key"))
+    states = None
+    if large.take(1):
+        ids = write_out(_among(met, large, ["key"]).select("id").distinct())  # only lines that share a large key are cut further
+        states = _refined(_started(_among(lines, ids, ["id"]).dropDuplicates(["id", "line"]), edits, min_chars), edits)
+    while states is not None:
         spare = F.array_max(F.transform("gaps", lambda g: g["size"] - g["most"]))
         sure = F.forall("gaps", lambda g: F.greatest(g["size"], g["wide"]) <= g["most"])
-        own = write_out(_among(states, large, ["key"]).dropDuplicates(["id", "probe", "key"]).withColumn("spare", spare).withColumn("sure", sure))
+        own = write_out(_among(states, large, ["key"]).dropDuplicates(["id", "probe", "key", "gaps"]).withColumn("spare", spare).withColumn("sure", sure))
         facts = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("twin").alias("low"), F.max("twin").alias("high"), F.max("side").alias("side"), F.max("spare").alias("spare"))
         # Where all lines agree before the segment, though edits were to lie there, an earlier segment's key has the same pairs.
         facts = write_out(facts.filter("not (side and low = high)"))
         small, done = F.col("n") <= group, F.col("spare") <= 0
         members = own.select("id", "probe", "key", "sure")
-        found.append(_pairs(_among(members, facts.filter(small).select("key"), ["key"])))
+        found.append(_among(members, facts.filter(small).select("key"), ["key"]).select("id", "probe", "key").distinct())
         if facts.filter(~small & done).take(1):
-            found.append(_starred(_among(members, facts.filter(~small & done).select("key"), ["key"]), firsts))
+            starred.append(_starred(_among(members, facts.filter(~small & done).select("key"), ["key"]), firsts))
         hot = facts.filter(~small & ~done).select("key")
         if not hot.take(1):
             break
-        states = write_out(_among(own, hot, ["key"]).select("id", "line", "probe", "key", "gaps"))
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return write_out(whole.distinct())
+        states = _refined(write_out(_among(own, hot, ["key"]).select("id", "line", "probe", "key", "gaps")), edits)
+        slim = states.select("id", "probe", "key").distinct()
+        shared = write_out(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("least"), F.min("id").alias("low"), F.max("id").alias("high"))
+                           .filter("not least and low < high").select("key", "n"))
+        found.append(_among(slim, write_out(shared.filter(F.col("n") <= group).select("key")), ["key"]))
+        large = write_out(shared.filter(F.col("n") > group).select("key"))
+        if not large.take(1):
+            break
+    return write_out(reduce(DataFrame.unionByName, found).distinct()), write_out(reduce(DataFrame.unionByName, starred).distinct())
 
 
 def _still_close(long: Column, short: Column, edits: int) -> Column:
@@ -225,21 +241,38 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GRO
         raise ValueError("edits must be at least 1")
     lines = lines_of(docs, key, text, min_chars, copies_from)
     firsts = write_out(lines.groupBy("id", "more").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
-    pairs = _candidates(lines.filter(F.length("line") >= min_chars).select("id", "line"), firsts, group, edits, min_chars)
-    ids = write_out(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    held = _among(lines.filter(F.length("line") >= min_chars).select("id", "more", "line"), ids, ["id"]).distinct()
+    long_lines = lines.filter(F.length("line") >= min_chars)
+    members, starred = _candidates(long_lines.select("id", "line"), firsts, group, edits, min_chars)
+    ids = write_out(members.select("id").unionAll(starred.select(F.explode(F.array("u", "v")).alias("id"))).distinct())
+    held = _among(long_lines.select("id", "more", "line"), ids, ["id"]).distinct()
     texts = write_out(held.join(_among(firsts, ids, ["id"]), ["id", "more"]))
-    both = pairs
-    for side in "uv":
-        both = both.join(texts.select(F.col("id").alias(side), F.col("more").alias(f"more_{side}"), F.col("first").alias(f"first_{side}"), F.col("line").alias(f"line_{side}")), side)
-    ahead = F.length("line_u") >= F.length("line_v")
-    both = both.select("*", F.when(ahead, F.col("line_u")).otherwise(F.col("line_v")).alias("long"), F.when(ahead, F.col("line_v")).otherwise(F.col("line_u")).alias("short"))
-    near = both.filter((F.length("long") - F.length("short") <= edits) & _still_close(F.col("long"), F.col("short"), edits))
-    links = near.filter(edit_distance(F.col("long"), F.col("short"), edits) <= edits)
-    later_is_u = F.col("first_u") > F.col("first_v")
-    late = links.select(F.when(later_is_u, F.col("u")).otherwise(F.col("v")).alias("id"), F.when(later_is_u, F.col("more_u")).otherwise(F.col("more_v")).alias("more")).distinct()
+
+    def late(pairs: DataFrame) -> DataFrame:
+        """(id, more) of the later line of every pair within the edits; written out."""
+        both = pairs
+        for side in "uv":
+            both = both.join(texts.select(F.col("id").alias(side), F.col("more").alias(f"more_{side}"), F.col("first").alias(f"first_{side}"), F.col("line").alias(f"line_{side}")), side)
+        ahead = F.length("line_u") >= F.length("line_v")
+        both = both.select("*", F.when(ahead, F.col("line_u")).otherwise(F.col("line_v")).alias("long"), F.when(ahead, F.col("line_v")).otherwise(F.col("line_u")).alias("short"))
+        near = both.filter((F.length("long") - F.length("short") <= edits) & _still_close(F.col("long"), F.col("short"), edits))
+        links = near.filter(edit_distance(F.col("long"), F.col("short"), edits) <= edits)
+        later_is_u = F.col("first_u") > F.col("first_v")
+        return write_out(links.select(F.when(later_is_u, F.col("u")).otherwise(F.col("v")).alias("id"), F.when(later_is_u, F.col("more_u")).otherwise(F.col("more_v")).alias("more")).distinct())
+
+    # A line needs one earlier line that is close: first each key's earliest line is tried, then, for lines it did not settle,
+    # all earlier lines of their keys. So a group of near copies makes few pairs, not all.
+    placed = write_out(members.join(texts.groupBy("id").agg(F.min("first").alias("first")), "id"))
+    heads = placed.groupBy("key").agg(F.min_by("id", "first").alias("a"))
+    ordered_pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    star = heads.join(members.select("key", F.col("id").alias("b")), "key").filter("a <> b").select(*ordered_pair("a", "b"))
+    tried = write_out(star.unionByName(starred).distinct())
+    settled = late(tried)
+    open_ids = write_out(texts.select("id", "more").join(settled, ["id", "more"], "left_anti").select("id").distinct())
+    open_lines = placed.join(open_ids, "id", "left_semi").select("key", F.col("id").alias("b"), F.col("probe").alias("probe_b"), F.col("first").alias("first_b"))
+    rest = placed.join(open_lines, "key").filter("first < first_b AND NOT (probe AND probe_b)").select(*ordered_pair("id", "b"))
+    late_lines = settled.unionByName(late(write_out(rest.distinct().join(tried, ["u", "v"], "left_anti")))).distinct()
     copied = firsts.filter("n > 1").select("id", "more", "first")
-    doomed = write_out(copied.join(late.withColumn("late", F.lit(True)), ["id", "more"], "full_outer"))  # first: the place that stays, unless late
+    doomed = write_out(copied.join(late_lines.withColumn("late", F.lit(True)), ["id", "more"], "full_outer"))  # first: the place that stays, unless late
     places = lines.select("doc_id", "line_no", "id", "more")
     gone = (places.join(doomed, ["id", "more"])
             .filter(F.col("late").isNotNull() | (F.struct("doc_id", "line_no") != F.col("first"))))

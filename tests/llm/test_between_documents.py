@@ -372,7 +372,7 @@ def test_pipeline_same_as_plain_stages(spark, documents):
             assert all(not (counts[0] < 20) for counts in [(len(t.split()),) for t in new.values()])
             assert set(new) < set(texts) and all(new[k] == texts[k] for k in new)
         elif stage == "line_dedup":
-            gone = removed(list(texts.items()), 20)
+            gone = removed_within(list(texts.items()), 20, 3, 1)
             assert new == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(k, ())) for k, t in texts.items()}
         elif stage == "near_duplicates":
             assert set(new) == {k for k, v in linked(list(texts.items()), 5).items() if v[2]}
