@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without lines that repeat an earlier line or come within three edits of it."""
-    kept = line_dedup.dedup_lines(docs, line_dedup.repeated_lines(docs, min_chars=20, edits=3, copies_from=20))
+    """All documents, their texts without lines that repeat an earlier line that is not blank, or come within three edits of one."""
+    kept = line_dedup.dedup_lines(docs, line_dedup.repeated_lines(docs, min_chars=20, edits=3))
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else kept
 
 
