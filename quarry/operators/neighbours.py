@@ -91,6 +91,23 @@ def _box_reach(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return np.sqrt((np.maximum(np.abs(points - low), np.abs(high - points)) ** 2).sum(axis=1))
 
 
+def _one_cell(queries: DataFrame, points: DataFrame, k: int, slack: float) -> DataFrame:
+    """``cells_join`` where the points fill one cell: they are sent to the queries, with the same distances and ties."""
+    held = points.orderBy("p").collect()  # at most the points of a cell
+    shared = points.sparkSession.sparkContext.broadcast(([r["p"] for r in held], np.array([r["v"] for r in held], dtype=float)))
+    near = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("p", points.schema["p"].dataType)]))
+    shape = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("near", near)])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, at = shared.value
+        for pdf in batches:
+            if len(pdf):
+                found = closest(np.stack(pdf["v"].to_numpy()).astype(float), at, k, euclidean_block, slack)
+                yield pd.DataFrame({"v": pdf["v"], "near": [[{"d": float(d), "p": ids[i]} for i, d in zip(which, far)] for which, far in found]})
+
+    return queries.select("v").mapInPandas(search, shape)
+
+
 def cells_join(queries: DataFrame, points: DataFrame, k: int, leaf_points: int = LEAF_POINTS,
                visits_per_task: int = VISITS_PER_TASK, slack: float = 0.0) -> DataFrame:
     """(v, near): the ``k`` nearest points (d, p) of every distinct query vector, exactly.
@@ -109,6 +126,8 @@ def cells_join(queries: DataFrame, points: DataFrame, k: int, leaf_points: int =
     if not rows:
         return queries.select("v", F.array().cast("array<struct<d: double, p: string>>").alias("near"))
     levels = min(MAX_TREE_LEVELS, max(0, int(np.ceil(np.log2(max(1.0, rows / leaf_points))))))
+    if not levels:  # one cell: every query would visit it
+        return _one_cell(queries, points, k, slack)
     wanted = 16 * 2 ** levels  # half a million vectors at most
     sample = np.array([r[0] for r in points.select("v").sample(min(1.0, 1.5 * wanted / rows), seed=5).limit(2 * wanted).collect()] or
                       [points.first()["v"]], dtype=float)

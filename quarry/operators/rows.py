@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import as_list, missing, name, require, text_columns
 from quarry.functions.patterns import java_pattern, literal_pattern
 from quarry.functions.predicate import predicate
+from quarry.session import write_out
 
 HASH_BITS = 16  # leading bits of the hash that name a cell; the one cell that is ranked holds about 2 ** -16 of a group
+RANKED_ROWS = 10_000
 
 
 def _ascending(cols: Sequence[str]) -> list[Column]:
@@ -38,34 +40,45 @@ def mark_by_hash(df: DataFrame, key: Sequence[str], seed: int, quota: DataFrame
     """Mark exactly ``quota`` rows (per ``by`` value when given as a table by, quota), repeatably.
 
     The rows with the smallest hashes of their keys are taken. Cells of equal leading bits are counted first;
-    rows in cells below and above the boundary are decided by a comparison, and only the one boundary cell is
-    ranked, so the choice does not depend on the number of cells.
+    rows in cells below and above the boundary are decided by a comparison. A boundary cell of more than ``RANKED_ROWS``
+    rows is cut by further bits of the hash, so only a cell of bounded size (or rows of one hash) is ranked, however many
+    rows there are; the choice does not depend on the cells.
     """
     require(df, *key, by)
     spark = df.sparkSession
     mixed = F.xxhash64(F.lit(seed), *[name(k) for k in key])
     group = F.lit(0) if by is None else name(by)
-    hashed = df.withColumn("_hash", mixed).withColumn("_cell", F.shiftright("_hash", 64 - HASH_BITS))
-    hashed = hashed.withColumn("_group", group)
+    hashed = df.withColumn("_hash", mixed).withColumn("_group", group)
+    prefix = lambda bits: F.shiftright("_hash", 64 - bits)
     if not isinstance(quota, DataFrame):
         quota = spark.range(1).select(F.lit(0).alias("_group"), F.lit(quota).cast("long").alias("_quota"))
     else:
         quota = quota.select(name(by).alias("_group"), F.col("quota").cast("long").alias("_quota"))
     group_cells = Window.partitionBy("_group")
     before = group_cells.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        hashed.groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_size", F.sum("_n").over(group_cells))
-    )
-    # Per group: the first cell whose end reaches the quota, and how many of its rows are still wanted.
-    wanted = F.least(F.col("_quota"), F.col("_size"))
-    edge = (
-        cells.alias("c").join(quota.alias("q"), F.col("c._group").eqNullSafe(F.col("q._group")))
-        .filter(F.col("_before") + F.col("_n") >= wanted)
-        .groupBy("c._group").agg(F.min_by(F.struct("_cell", (wanted - F.col("_before")).alias("_rest")), "_cell").alias("e"))
-        .select(F.col("_group").alias("_of"), F.col("e._cell").alias("_edge"), F.col("e._rest").alias("_rest"))
-    )
+    slim = hashed.select("_group", "_hash")
+    bits, edge = 0, None
+    while True:
+        # Per group: the first cell whose end reaches the quota, and how many of its rows are still wanted.
+        more = min(64, bits + HASH_BITS)
+        inside = slim if edge is None else slim.join(edge, F.col("_group").eqNullSafe(F.col("_of"))).filter(prefix(bits) == F.col("_edge"))
+        cells = (
+            inside.groupBy("_group", prefix(more).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            .withColumn("_size", F.sum("_n").over(group_cells))
+        )
+        wanted = F.least(F.col("_quota"), F.col("_size"))
+        edge = (
+            cells.alias("c").join(quota.alias("q"), F.col("c._group").eqNullSafe(F.col("q._group")))
+            .filter(F.col("_before") + F.col("_n") >= wanted)
+            .groupBy("c._group").agg(F.min_by(F.struct("_cell", (wanted - F.col("_before")).alias("_rest"), "_n"), "_cell").alias("e"))
+            .select(F.col("_group").alias("_of"), F.col("e._cell").alias("_edge"), F.col("e._rest").alias("_rest"), F.col("e._n").alias("_rows"))
+        )
+        edge, bits = write_out(edge), more
+        if bits == 64 or not edge.filter((F.col("_rows") > RANKED_ROWS) & (F.col("_rest") > 0) & (F.col("_rest") < F.col("_rows"))).take(1):
+            break
+        quota = edge.select(F.col("_of").alias("_group"), F.col("_rest").alias("_quota"))
+    hashed, edge = hashed.withColumn("_cell", prefix(bits)), edge.drop("_rows")
     placed = hashed.join(edge, F.col("_group").eqNullSafe(F.col("_of")))
     whole = placed.filter(F.col("_cell") != F.col("_edge")).withColumn(out, F.col("_cell") < F.col("_edge"))
     rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", *[name(k) for k in key]))

@@ -21,6 +21,7 @@ ACCURACY = 10_000  # approximate percentiles: the share of the rows that a rank
 RELATIVE_ERROR = 0.02  # of approximate distinct counts
 ITEMS = 10_000  # counters per column for frequent values
 LABELS_PER_BLOCK = 1_000
+BROADCAST_VALUES = 100_000  # distinct values whose ranks may be sent to the rows
 
 _FUNCS = {
     "mean": F.avg, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp,
@@ -112,11 +113,13 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, func: str = "mea
     # sums and counts of no values are 0, other statistics have no cell then
     rows = present(df, index, columns, *([] if func in ("sum", "count") else [values]))
     heads = _pivot_values(rows, columns)
-    wide = rows.groupBy(name(index)).pivot(columns, heads).agg(_FUNCS[func](_clean(df, values)))
+    grouped = rows.groupBy(name(index)).pivot(columns, heads)
     if func == "sum":  # a pair of index and column that never occurs stays empty
-        seen = rows.groupBy(name(index)).pivot(columns, heads).agg(F.count(F.lit(1)))
-        wide = wide.alias("w").join(seen.alias("s"), index).select(
-            name(index), *[F.when(F.col(f"s.`{h}`") > 0, F.col(f"w.`{h}`")).alias(h) for h in wide.columns if h != index])
+        both = grouped.agg(_FUNCS[func](_clean(df, values)).alias("sum"), F.count(F.lit(1)).alias("rows"))
+        cells = both.columns[1:]  # a sum and a count for each head
+        wide = both.select(name(index), *[F.when(name(n) > 0, name(v)).alias(v.removesuffix("_sum")) for v, n in zip(cells[::2], cells[1::2])])
+    else:
+        wide = grouped.agg(_FUNCS[func](_clean(df, values)))
     if fill_value is None:
         return wide
     if isinstance(fill_value, str):
@@ -365,30 +368,63 @@ def with_diagonal(df: DataFrame, cols: Sequence[str], found: DataFrame, least: i
     return _matrix(found).unionByName(diagonal)
 
 
+def _average_ranks(base: DataFrame, width: int, gaps: Sequence[int], rows_per_range: int) -> DataFrame:
+    """(i, value, r), written: per column i of ``base`` (v0, v1, …) and distinct value its average ranks.
+
+    The first is the rank among all values of the column; then one for each column of ``gaps``, among the rows that have a
+    value there. All come from one running total over the distinct values, with a count for each of these.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("value")) for i in range(width)])
+    held = [F.col(f"v{g}").isNotNull().alias(f"h{g}") for g in gaps]
+    counts = write_out(base.select(*held, F.inline(sides)).filter("value IS NOT NULL").groupBy("i", "value").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(f"h{g}").alias(f"n{g}") for g in gaps]))
+    totals = ordered.running_total(counts, {"upto": F.col("n")} | {f"upto{g}": F.col(f"n{g}") for g in gaps}, ["value"], ["i"], rows_per_range)
+    middle = lambda upto, n: F.col(upto) - (F.col(n) - 1) / 2
+    return write_out(totals.select("i", "value", F.array(middle("upto", "n"), *[middle(f"upto{g}", f"n{g}") for g in gaps]).alias("r")))
+
+
 def corr_spearman(df: DataFrame, min_periods: int | None = None, cols: Sequence[str] | None = None,
                   rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
     """Pearson on average ranks taken over the rows where both columns have a value.
 
-    The ranks of all pairs come from one running total over the distinct values, grouped by pair and side.
+    Ranks are computed per column, not per pair, and joined to the rows once per column (where a column has few distinct
+    values without a shuffle); one pass then sums the products of all pairs. A column's ranks differ between pairs only where
+    the other column has gaps, so each value carries one more rank for every column that has some.
     """
     cols = list(cols or numeric_columns(df))
     require_numeric(df, *cols)
     least = max(1, min_periods or 1)
-    pairs = list(combinations(cols, 2))
-    joint = complete_pairs(df, pairs)
-    sides = F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")), F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))
-    counts = write_out(joint.select("pair", "w", F.inline(sides)).groupBy("pair", "side", "value").agg(F.sum("w").alias("n")))
-    ranks = ordered.running_total(counts, {"upto": F.col("n")}, ["value"], ["pair", "side"], rows_per_range).select(
-        "pair", "side", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
-    rank_of = lambda side: ranks.filter(F.col("side") == side).select("pair", F.col("value").alias(side), F.col("rank").alias(f"r{side}"))
-    paired = joint.join(rank_of("x"), ["pair", "x"]).join(rank_of("y"), ["pair", "y"])
-    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
-    sums = paired.groupBy("pair").agg(F.sum("w").alias("n"), F.sum(w * rx * ry).alias("xy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"))
-    count = F.col("n").cast("double")  # the product of counts leaves the range of long
-    flat = count * (count + 1) * (count + 1) / 4  # n times the squared mean rank
-    spread = F.sqrt((F.col("xx") - flat) * (F.col("yy") - flat))
-    found = pair_names(df.sparkSession, pairs).join(sums, "pair", "left").select(
-        "a", "b", F.when(F.col("n") >= least, F.try_divide(F.col("xy") - flat, spread)).alias("corr"), F.coalesce("n", F.lit(0)).alias("n"))
+    base = df.select(*[_clean(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    filled = base.agg(F.count(F.lit(1)), *[F.count(f"v{i}") for i in range(len(cols))]).first()
+    gaps = [i for i in range(len(cols)) if filled[i + 1] < filled[0]]
+    ranks = _average_ranks(base, len(cols), gaps, rows_per_range)
+    distinct = {r["i"]: r["count"] for r in ranks.groupBy("i").count().collect()}
+    ranked = base
+    for i in range(len(cols)):
+        side = ranks.filter(F.col("i") == i).select(F.col("value").alias(f"value{i}"), F.col("r").alias(f"r{i}"))
+        few = distinct.get(i, 0) <= BROADCAST_VALUES
+        ranked = ranked.join(F.broadcast(side) if few else side, F.col(f"v{i}") == F.col(f"value{i}"), "left").drop(f"value{i}")
+    place = {g: k + 1 for k, g in enumerate(gaps)}
+    pairs = list(combinations(range(len(cols)), 2))
+    middle = (filled[0] + 1) / 2  # ranks are taken from here, so that sums of squares stay exact for longer
+    sums = []
+    for a, b in pairs:
+        both = F.col(f"v{a}").isNotNull() & F.col(f"v{b}").isNotNull()
+        x, y = (F.when(both, F.get(f"r{one}", F.lit(place.get(other, 0))) - middle) for one, other in ((a, b), (b, a)))
+        sums += [F.count_if(both).alias(f"n_{a}_{b}"), F.sum(x * y).alias(f"xy_{a}_{b}"), F.sum(x * x).alias(f"xx_{a}_{b}"), F.sum(y * y).alias(f"yy_{a}_{b}"),
+                 ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias(f"vary_{a}_{b}")]
+    cells = []
+    for a, b in pairs:
+        n = F.col(f"n_{a}_{b}").cast("double")
+        off = (n + 1) / 2 - middle
+        less = n * off * off  # n times the squared mean
+        spread = F.sqrt(F.col(f"xx_{a}_{b}") - less) * F.sqrt(F.col(f"yy_{a}_{b}") - less)
+        corr = F.when((F.col(f"n_{a}_{b}") >= least) & F.col(f"vary_{a}_{b}"), F.try_divide(F.col(f"xy_{a}_{b}") - less, spread))
+        cells.append(F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"), corr.alias("corr"), F.col(f"n_{a}_{b}").alias("n")))
+    if not cells:
+        found = df.sparkSession.createDataFrame([], "a string, b string, corr double, n long")
+    else:
+        found = ranked.agg(*sums).select(F.inline(F.array(*cells)))
     return with_diagonal(df, cols, found, least)
 
 

@@ -68,7 +68,8 @@ def rank(df: DataFrame, col: str, method: str = "average", pct: bool = False, or
          rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
     """Ascending rank as ``<col>_rank``, missing values unranked.
 
-    Ranks are computed on distinct values and joined back; only ``first`` numbers the rows themselves.
+    Ranks are computed on distinct values and joined back; only ``first`` numbers the rows themselves, reading ``df`` several
+    times: pass a table, not a long computation.
     """
     require(df, col)
     if method not in ("average", "min", "max", "first", "dense"):
@@ -78,7 +79,8 @@ def rank(df: DataFrame, col: str, method: str = "average", pct: bool = False, or
         order = as_list(order_by)
         if not order:
             raise ValueError("method 'first' needs order_by")
-        numbered = ordered.running_total(write_out(present(df, col)), {out: F.lit(1).cast("long")}, [col, *order], (), rows_per_range)
+        # the table itself is read again for the cut points and range sizes, of which only the order columns are needed
+        numbered = ordered.running_total(present(df, col), {out: F.lit(1).cast("long")}, [col, *order], (), rows_per_range)
         place = F.col(out) / F.col(f"{out}_all") if pct else F.col(out)
         ranked = numbered.select(*map(name, df.columns), place.cast("double").alias(out))
         return ranked.unionByName(df.filter(missing(df, col)).withColumn(out, F.lit(None).cast("double")))

@@ -112,10 +112,10 @@ def test_segments_lose_no_pair(spark, threshold, letters, few):
 def test_candidates_follow_the_texts_not_their_pairs(spark):
     """Ten times the texts make about ten times the candidates at a threshold of 80, not a hundred times."""
     made = []
-    for n in (600, 6000):
+    for n in (300, 3000):
         df = spark.createDataFrame(_misspelt(n), "id long, word string")
         made.append(segments.candidates(df.join(fuzzy._letter_masks(df), "id"), 80, few_pairs=16).count())
-    assert made[0] >= 250 and made[1] <= 25 * made[0] and made[1] < 6000 * 20
+    assert made[0] >= 130 and made[1] <= 20 * made[0] and made[1] < 3000 * 10
 
 
 def test_alike_texts_are_not_cut_for_nothing(spark):

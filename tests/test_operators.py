@@ -469,5 +469,9 @@ def test_a_step_that_fails_while_running_is_told(spark):
 def test_the_sample_does_not_depend_on_the_cells(spark, monkeypatch):
     df = spark.range(5000)
     one = ids(rows.sample(df, n=700, seed=3, key="id"))
-    monkeypatch.setattr(rows, "HASH_BITS", 3)
-    assert ids(rows.sample(df, n=700, seed=3, key="id")) == one and len(one) == 700
+    for bits, most in ((3, 10_000), (3, 5), (2, 1), (16, 1)):  # the boundary cell is cut until few rows are left to rank
+        monkeypatch.setattr(rows, "HASH_BITS", bits)
+        monkeypatch.setattr(rows, "RANKED_ROWS", most)
+        assert ids(rows.sample(df, n=700, seed=3, key="id")) == one and len(one) == 700
+    hot = spark.range(900).select((F.col("id") % 2).alias("id"))  # rows of one hash cannot be told apart
+    assert rows.sample(hot, n=500, seed=3, key="id").count() == 500
