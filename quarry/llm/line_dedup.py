@@ -134,17 +134,22 @@ def _among(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _first_keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(id, probe, key) of the first cut: what ``_refined(_started(lines))`` gives, as one flat list of expressions per line."""
-    n, cells = F.length("line"), []
-    for d in range(edits + 1):  # taken as a line of d characters less
-        size = n - d
-        for j, s in _cuts(edits):
-            if abs(d - s) > edits - j:
-                continue
-            start, end = F.floor(size * j / (edits + 1)).cast("int"), F.floor(size * (j + 1) / (edits + 1)).cast("int")
-            key = F.xxhash64(F.xxhash64(size), F.lit(0), F.lit(j), F.substring("line", start + s + 1, end - start))
-            cells.append(F.when((size >= min_chars) & (start + s >= 0) & (end + s <= n), F.struct(F.lit(d > 0 or s != 0).alias("probe"), key.alias("key"))))
-    return lines.select("id", F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL").select("id", "c.probe", "c.key")
+    """(id, probe, key) of the first cut: what ``_refined(_started(lines))`` gives, without states.
+
+    A row per length that a line is taken for, then one per place of a segment: so the generated code stays short enough to be
+    compiled, and lengths are measured once.
+    """
+    size, wide, d = F.col("size"), F.col("wide"), F.col("d")
+    roles = lines.select("id", "line", F.length("line").alias("wide")).select("*", F.explode(F.array(*[F.lit(x) for x in range(edits + 1)])).alias("d"))
+    sized = roles.select("*", (wide - d).alias("size")).filter(size >= min_chars)
+    cut = sized.select("*", F.xxhash64("size").alias("whole"), *[F.expr(f"(size * {j}) div {edits + 1}").cast("int").alias(f"at{j}") for j in range(1, edits + 1)])
+    at = [F.lit(0), *[F.col(f"at{j}") for j in range(1, edits + 1)], size]
+    cells = []
+    for j, s in _cuts(edits):
+        fits = (F.abs(d - s) <= edits - j) & (at[j] + s >= 0) & (at[j + 1] + s <= wide)
+        key = F.xxhash64("whole", F.lit(0), F.lit(j), F.substring(F.col("line"), at[j] + s + 1, at[j + 1] - at[j]))
+        cells.append(F.when(fits, F.struct(((d > 0) | F.lit(s != 0)).alias("probe"), key.alias("key"))))
+    return cut.select("id", F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL").select("id", "c.probe", "c.key")
 
 
 def _starred(members: DataFrame, firsts: DataFrame) -> DataFrame:

@@ -389,3 +389,11 @@ def test_pipeline_stages_take_odd_documents(spark, odd, none):
     for frame in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, frame, FOLDER).count() <= frame.count()
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_first_keys_are_those_of_the_states(spark, most):
+    lines = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).select(F.explode(F.split("text", "\n")).alias("line")).distinct().withColumn("id", F.xxhash64("line"))
+    flat = line_dedup._first_keys(lines, most, 20)
+    states = line_dedup._refined(line_dedup._started(lines, most, 20), most).select("id", "probe", "key")
+    assert flat.count() == states.count() > 0 and flat.exceptAll(states).count() == 0
