@@ -23,6 +23,7 @@ from quarry.session import write_out
 EDITS = 1  # of callers that name no threshold
 MIN_CHARS = 20  # shorter lines are compared for equality alone
 COPIES_FROM = 1  # lines shorter than this, and blank ones under MIN_CHARS, are left alone
+LETTERS = ("aA", "eE", "iI", "oO", "nN", "tT", "rR", "sS")  # counted in every candidate; any letters would be right
 GROUP = 64  # lines sharing a key beyond which the key is refined instead of paired
 SMALL_IDS = 2_000_000  # keys of eight bytes that may be broadcast: 16 MB; they spare a shuffle of the lines' text
 
@@ -250,13 +251,17 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GRO
     members, starred = _candidates(long_lines.select("id", "line"), firsts, group, edits, min_chars)
     ids = write_out(members.select("id").unionAll(starred.select(F.explode(F.array("u", "v")).alias("id"))).distinct())
     held = _among(long_lines.select("id", "more", "line"), ids, ["id"]).distinct()
-    texts = write_out(held.join(_among(firsts, ids, ["id"]), ["id", "more"]))
+    letters = [(F.length("line") - F.length(F.translate(F.col("line"), group_, ""))).alias(f"c{i}") for i, group_ in enumerate(LETTERS)]
+    texts = write_out(held.join(_among(firsts, ids, ["id"]), ["id", "more"]).select("*", *letters))
 
     def late(pairs: DataFrame) -> DataFrame:
         """(id, more) of the later line of every pair within the edits; written out."""
         both = pairs
         for side in "uv":
-            both = both.join(texts.select(F.col("id").alias(side), F.col("more").alias(f"more_{side}"), F.col("first").alias(f"first_{side}"), F.col("line").alias(f"line_{side}")), side)
+            both = both.join(texts.select(F.col("id").alias(side), F.col("more").alias(f"more_{side}"), F.col("first").alias(f"first_{side}"), F.col("line").alias(f"line_{side}"),
+                                          *[F.col(f"c{i}").alias(f"c{i}_{side}") for i in range(len(LETTERS))]), side)
+        # an edit changes two of these counts by one at most
+        both = both.filter(reduce(lambda x, y: x + y, [F.abs(F.col(f"c{i}_u") - F.col(f"c{i}_v")) for i in range(len(LETTERS))]) <= 2 * edits)
         ahead = F.length("line_u") >= F.length("line_v")
         both = both.select("*", F.when(ahead, F.col("line_u")).otherwise(F.col("line_v")).alias("long"), F.when(ahead, F.col("line_v")).otherwise(F.col("line_u")).alias("short"))
         near = both.filter((F.length("long") - F.length("short") <= edits) & _still_close(F.col("long"), F.col("short"), edits))
