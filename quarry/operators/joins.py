@@ -13,10 +13,14 @@ every part of the other in a task of its own.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +31,7 @@ from quarry.session import write_out
 ROWS_PER_BUCKET = 20_000
 PAIRS_PER_TASK = 20_000_000
 ROWS_PER_PART = 50_000
+MAX_BUCKETS = 20_000
 LEVEL = 1 << 40  # a node is its level times this, plus its place on the level
 
 
@@ -37,10 +42,29 @@ def _line(df: DataFrame, col: str) -> Column:
     return name(col)
 
 
-def _bucket(value: Column, points: Column, count: int) -> Column:
-    """The number of cut points at or below ``value``, by halving strides."""
-    strides = F.array(*[F.lit(2 ** i) for i in reversed(range(count.bit_length()))])
-    return F.aggregate(strides, F.lit(0), lambda at, step: F.when((at + step <= count) & (value >= F.get(points, at + step - 1)), at + step).otherwise(at))
+def _bucketed(df: DataFrame, outs: Sequence[str], cuts: str, kind: str, count: int) -> DataFrame:
+    """Replace every value column in ``outs`` by the number of cut points at or below it.
+
+    Each value is computed once and looked up once: conditions on the bucket must not be pushed below the search.
+    """
+    if not count:
+        return df.withColumns({o: F.lit(0) for o in outs})
+    if kind == "array<double>":
+        shared = df.sparkSession.sparkContext.broadcast(np.array(json.loads(cuts), dtype=float))  # MAX_BUCKETS at most
+
+        @F.pandas_udf(T.IntegerType())
+        def place(value: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(shared.value, value.to_numpy(), side="right").astype("int32"))
+
+        return df.withColumns({o: place.asNondeterministic()(o) for o in outs})
+    points, kept = F.from_json(F.lit(cuts), kind), [c for c in df.columns if c not in outs]
+    value = lambda o: f"{o}_value"
+    found = df.select(*kept, *[F.col(o).alias(value(o)) for o in outs], *[F.lit(0).alias(o) for o in outs])
+    for stride in (2 ** i for i in reversed(range(count.bit_length()))):
+        reached = lambda o: F.col(o) + stride
+        found = found.select(*kept, *map(value, outs), *[
+            F.when((reached(o) <= count) & (F.col(value(o)) >= F.get(points, reached(o) - 1)), reached(o)).otherwise(F.col(o)).alias(o) for o in outs])
+    return write_out(found.drop(*map(value, outs)))
 
 
 def _nodes(first: Column, last: Column, depth: int) -> Column:
@@ -72,27 +96,25 @@ def _pairs(points: DataFrame, intervals: DataFrame, point: str, low: str | None,
             intervals = intervals.filter(~missing(intervals, end))
     above = {"both": ">=", "left": ">=", "right": ">", "neither": ">"}[closed]
     below = {"both": "<=", "left": "<", "right": "<=", "neither": "<"}[closed]
-    cuts, kind, count = ordered._cut_points(points, _line(points, point), rows_per_bucket)
-    grid = F.from_json(F.lit(cuts), kind) if count else F.array()
+    cuts, kind, count = ordered._cut_points(points, _line(points, point), rows_per_bucket, MAX_BUCKETS)
     depth = max(1, count.bit_length())
-    spread = lambda df, col: _bucket(_line(df, col), grid, count) if count else F.lit(0)
-    first = spread(intervals, low) if low is not None else F.lit(0)
-    last = spread(intervals, high) if high is not None else F.lit(count)
+    ends = {out: _line(intervals, end).alias(out) for out, end in (("first", low), ("last", high)) if end is not None}
     node, keys = f"node_{tag}", [f"node_{tag}", *[f"on{i}_{tag}" for i in range(len(on))]]
     equal = [name(c).alias(k) for c, k in zip(on, keys[1:])]
     scan = F.monotonically_increasing_id().alias("scan")  # tells equal rows apart; taken before any shuffle, so a task run again deals alike
-    b = intervals.select(F.struct(*map(name, intervals.columns)).alias("b"), scan, *equal, first.alias("first"), last.alias("last")).filter(F.col("first") <= F.col("last"))
+    b = _bucketed(intervals.select(F.struct(*map(name, intervals.columns)).alias("b"), scan, *equal, *ends.values()), list(ends), cuts, kind, count)
+    b = b.withColumns({out: F.lit(open_) for out, open_ in (("first", 0), ("last", count)) if out not in ends}).filter(F.col("first") <= F.col("last"))
     b = b.select("b", "scan", *keys[1:], F.explode(_nodes(F.col("first"), F.col("last"), depth)).alias(node))
     used = sorted(r[0] for r in b.select(F.floor(F.col(node) / LEVEL).cast("int").alias("level")).distinct().collect())  # a few levels
-    a = points.select(F.struct(*map(name, points.columns)).alias("a"), scan, *equal, spread(points, point).cast("long").alias("leaf"))
-    a = a.select("a", "scan", *keys[1:], F.explode(F.array(*[F.lit(v * LEVEL) + F.shiftright("leaf", v) for v in used] or [F.lit(-1).cast("long")])).alias(node))
+    a = _bucketed(points.select(F.struct(*map(name, points.columns)).alias("a"), scan, *equal, _line(points, point).alias("leaf")), ["leaf"], cuts, kind, count)
+    a = a.withColumn("leaf", F.col("leaf").cast("long")).select("a", "scan", *keys[1:], F.explode(F.array(*[F.lit(v * LEVEL) + F.shiftright("leaf", v) for v in used] or [F.lit(-1).cast("long")])).alias(node))
     for k in keys[1:]:
         a, b = a.filter(F.col(k).isNotNull()), b.filter(F.col(k).isNotNull())
     hot = _split(a.select(*keys), b.select(*keys), keys, pairs_per_task, rows_per_part)
     if hot.isEmpty():
         met = a.drop("scan").join(b.drop("scan"), keys)
     else:
-        hot = F.broadcast(hot) if hot.count() <= ordered.MAX_RANGES else hot
+        hot = F.broadcast(hot) if hot.count() <= MAX_BUCKETS else hot
         deal = lambda side, own, other: (
             side.join(hot, keys, "left").fillna(1, ["parts_a", "parts_b"])
             .withColumn(own, F.pmod(F.xxhash64("scan"), F.col(f"parts_{own}")).cast("int"))
@@ -109,6 +131,50 @@ def _pairs(points: DataFrame, intervals: DataFrame, point: str, low: str | None,
     return met.filter(holds).select("a", "b")
 
 
+def _alike(points: DataFrame, point: str, intervals: DataFrame, low: str | None, high: str | None) -> bool:
+    """Whether points and ends are of one type, all numbers, or all times, so that the least and the largest of them decide comparisons."""
+    kinds = [points.schema[point].dataType, *[intervals.schema[e].dataType for e in (low, high) if e is not None]]
+    return len(set(kinds)) == 1 or any(all(isinstance(k, family) for k in kinds) for family in (T.NumericType, T.DatetimeType))
+
+
+def _covered(points: DataFrame, intervals: DataFrame, point: str, low: str | None, high: str | None, on: Sequence[str], closed: str) -> tuple[DataFrame, list[str]]:
+    """The distinct (on…, point) that some interval holds, and the names these have; no pairs are made.
+
+    A value is held when the highest end of all intervals that begin at or before it lies at or behind it. With one side open
+    a single end per group decides. Otherwise beginnings and points are laid out in order and cut into ranges, each with a
+    running highest end, to which the highest one of the earlier ranges is added.
+    """
+    tag = uuid.uuid4().hex[:8]
+    keys, at, reach = [f"on{i}_{tag}" for i in range(len(on))], f"at_{tag}", f"reach_{tag}"
+    points = points.filter(~missing(points, point))
+    for end in (low, high):
+        if end is not None:
+            intervals = intervals.filter(~missing(intervals, end))
+    for c in on:
+        points, intervals = points.filter(name(c).isNotNull()), intervals.filter(name(c).isNotNull())
+    equal = [name(c).alias(k) for c, k in zip(on, keys)]
+    asked = points.select(*equal, name(point).alias(at)).distinct()
+    from_low = (lambda p, e: p >= e) if closed in ("both", "left") else (lambda p, e: p > e)
+    to_high = (lambda p, e: p <= e) if closed in ("both", "right") else (lambda p, e: p < e)
+    if low is None or high is None:
+        least = F.min(name(low)) if high is None else F.max(name(high))
+        far = intervals.groupBy(*equal).agg(least.alias(reach)) if on else F.broadcast(intervals.agg(least.alias(reach)))
+        both = asked.join(far, keys) if on else asked.crossJoin(far)
+        return both.filter((from_low if high is None else to_high)(F.col(at), F.col(reach))).select(*keys, at), [*keys, at]
+    first = closed in ("both", "left")  # beginnings come before points of the same value, or after them
+    starts = intervals.groupBy(*equal, name(low).alias(at)).agg(F.max(name(high)).alias(reach)).withColumn("asked", F.lit(not first))
+    waiting = asked.withColumn(reach, F.lit(None).cast(starts.schema[reach].dataType)).withColumn("asked", F.lit(first))
+    line = write_out(starts.unionByName(waiting))
+    key = ordered._order_key(line, [*keys, at])
+    cuts, kind, count = ordered._cut_points(line, key, ordered.ROWS_PER_RANGE)
+    ranged = ordered._with_range(line, key, cuts, kind, count) if count else line.withColumn("_range", F.lit(0))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy(*keys, "_range").agg(F.max(reach).alias("_top")).select(*keys, "_range", F.max("_top").over(earlier).alias("_before"))
+    upto = Window.partitionBy(*keys, "_range").orderBy(at, "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = ranged.withColumn("_here", F.max(reach).over(upto)).join(tops, [*keys, "_range"])
+    return swept.filter((F.col("asked") == first) & to_high(F.col(at), F.greatest("_here", "_before"))).select(*keys, at), [*keys, at]
+
+
 def _columns(a: DataFrame, b: DataFrame, suffix: str) -> list[tuple[str, str]]:
     """(column of ``b``, its name in the result): ``suffix`` is added while the name is taken."""
     taken, found = set(a.columns), []
@@ -146,16 +212,21 @@ def interval_join(points: DataFrame, intervals: DataFrame, point: str, low: str
     if how == "inner":
         met = _pairs(points, intervals, point, low, high, on, closed, *limits)
         return met.select(*[F.col("a")[c].alias(c) for c in points.columns], *[F.col("b")[c].alias(o) for c, o in outs])
-    row = f"row_{uuid.uuid4().hex[:8]}"
-    held = write_out(points.withColumn(row, F.monotonically_increasing_id()))
-    slim = held.select(row, *{c: name(c) for c in [point, *on]}.values())
-    if how != "left":
+    if not _alike(points, point, intervals, low, high):  # ends of another kind than the points have no order in common with them
+        row = f"row_{uuid.uuid4().hex[:8]}"
+        held = write_out(points.withColumn(row, F.monotonically_increasing_id()))
+        slim = held.select(row, *{c: name(c) for c in [point, *on]}.values())
         ends = intervals.select(*{c: name(c) for c in [low, high, *on] if c is not None}.values()).distinct()
         met = _pairs(slim, ends, point, low, high, on, closed, *limits).select(F.col("a")[row].alias(row)).distinct()
-        return held.join(met, row, f"left_{how}").drop(row)
-    met = _pairs(slim, intervals, point, low, high, on, closed, *limits).select(F.col("a")[row].alias(row), "b")
-    joined = held.join(met.withColumnRenamed("b", f"b_{row}"), row, "left")
-    return joined.select(*map(name, points.columns), *[F.col(f"b_{row}")[c].alias(o) for c, o in outs])
+        lone = lambda kind: held.join(met, row, kind).drop(row)
+    else:
+        met, same = _covered(points, intervals, point, low, high, on, closed)
+        lone = lambda kind: points.join(met, reduce(lambda x, y: x & y, [name(c) == F.col(k) for c, k in zip([*on, point], same)]), kind)
+    if how != "left":
+        return lone(f"left_{how}")
+    # the pairs go straight to the result; only points without one are looked up
+    empty = [F.lit(None).cast(intervals.schema[c].dataType).alias(o) for c, o in outs]
+    return interval_join(points, intervals, point, low, high, "inner", on, closed, suffix, *limits).unionAll(lone("left_anti").select(*map(name, points.columns), *empty))
 
 
 def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, below: float, above: float, how: str = "inner", on: str | Sequence[str] | None = None,

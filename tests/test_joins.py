@@ -129,3 +129,31 @@ def test_not_in(spark, listed, want):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "listed int, t string")
     found = joins.not_in(df, "listed", spark.createDataFrame([(x,) for x in listed], "k int"), "k")
     assert sorted([r["listed"] for r in found.collect()], key=lambda x: (x is not None, x or 0)) == want
+
+
+def test_points_with_and_without_intervals_need_no_pairs(spark, monkeypatch):
+    """Semi and anti joins lay both sides out in order, and a left join sends its pairs straight to the result."""
+    made = []
+    real = joins._pairs
+    monkeypatch.setattr(joins, "_pairs", lambda *a: made.append(1) or real(*a))
+    monkeypatch.setattr(joins.ordered, "ROWS_PER_RANGE", 7)
+    random.seed(11)
+    points = [(i, random.choice([None, 1, 2]), random.choice([None, float("nan"), *map(float, range(30))])) for i in range(120)]
+    spans = [(random.choice([None, 1, 2]), random.choice([None, *range(30)]), random.choice([None, *range(30)])) for _ in range(9)]
+    a, b = spark.createDataFrame(points, "id int, g int, x double"), spark.createDataFrame(spans, "g int, low int, high int")
+    good = lambda x: x is not None and x == x
+    for closed, low, high, on in (("both", "low", "high", "g"), ("neither", "low", "high", None), ("left", "low", None, "g"), ("right", None, "high", None)):
+        above = lambda p, e: low is None or e is not None and (p >= e if closed in ("both", "left") else p > e)
+        below = lambda p, e: high is None or e is not None and (p <= e if closed in ("both", "right") else p < e)
+        want = sorted(i for i, g, x in points if good(x) and any((not on or g is not None and g == h) and above(x, f) and below(x, t) for h, f, t in spans))
+        for how, ids in (("semi", want), ("anti", sorted({i for i, _, _ in points} - set(want)))):
+            assert sorted(r["id"] for r in joins.interval_join(a, b, "x", low, high, how, on=on, closed=closed).collect()) == ids
+    assert not made
+    left = joins.interval_join(a, b, "x", "low", "high", "left", on="g")
+    assert left._jdf.queryExecution().optimizedPlan().nodeName() == "Union" and {r["id"] for r in left.collect()} == set(range(120))
+
+
+def test_a_bucket_is_looked_up_once(spark):
+    stays = spark.range(300).selectExpr("id % 3 AS g", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS since").selectExpr("*", "since + INTERVAL 3 HOURS AS till")
+    met = joins.overlap_join(stays, stays, "since", "till", on="g", rows_per_bucket=10)
+    assert "aggregate(" not in _plan(met) and len(_plan(met)) < 60_000 and met.count() == 300 + 2 * 297
