@@ -17,6 +17,8 @@ from quarry.session import write_out
 BROADCAST_CELLS = 100_000  # numbers in the broadcast matrix; beyond, the cell tree also does less work
 BLOCK_CELLS = 4_000_000
 LEAF_POINTS = 1_000
+FINE_LEAF_POINTS = 128  # where there are more points than fill a leaf
+PROBES = 4_096  # vectors sent to every task, whose distances bound the search over vectors with gaps
 MAX_TREE_LEVELS = 15
 VISITS_PER_TASK = 50_000
 
@@ -43,18 +45,38 @@ def gap_aware_block(width: int) -> Distance:
     return distance
 
 
-def closest(queries: np.ndarray, points: np.ndarray, k: int, distance: Distance, slack: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query the positions and distances of its ``k`` nearest points, the earlier point on a tie; with ``slack`` near ties as well."""
+def closest_flat(queries: np.ndarray, points: np.ndarray, k: int, distance: Distance, slack: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (query, position, distance): the ``k`` nearest points of every query in order, the earlier point on a tie; with ``slack`` near ties as well."""
     step = max(1, BLOCK_CELLS // max(1, len(points)))
     for start in range(0, len(queries), step):
         block = distance(queries[start:start + step], points)
         far = np.where(np.isnan(block), np.inf, block)
         kth = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
-        for row, limit in zip(far, kth * (1 + slack) + 1e-11 if slack else kth):
-            near = np.flatnonzero((row <= limit) & np.isfinite(row))
-            near = near[np.argsort(row[near], kind="stable")]
-            near = near if slack else near[:k]
-            yield near, row[near]
+        who, which = np.nonzero((far <= (kth * (1 + slack) + 1e-11 if slack else kth)[:, None]) & np.isfinite(far))
+        d = far[who, which]
+        order = np.lexsort((d, who))  # stable: earlier points first among equals
+        who, which, d = who[order], which[order], d[order]
+        if not slack:
+            first = np.arange(len(who)) - np.searchsorted(who, who) < k
+            who, which, d = who[first], which[first], d[first]
+        yield who + start, which, d
+
+
+def closest(queries: np.ndarray, points: np.ndarray, k: int, distance: Distance, slack: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per query the positions and distances of ``closest_flat``."""
+    done = 0
+    for who, which, d in closest_flat(queries, points, k, distance, slack):
+        upto = min(len(queries), done + max(1, BLOCK_CELLS // max(1, len(points))))
+        ends = np.searchsorted(who, np.arange(done + 1, upto))
+        yield from zip(np.split(which, ends), np.split(d, ends))
+        done = upto
+
+
+def _matches(left: pd.DataFrame, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int, distance: Distance, slack: float = 0.0) -> pd.DataFrame:
+    """(v, d, p) of the points ``b`` with their ``ids`` nearest to the vectors ``a`` of ``left``."""
+    found = list(closest_flat(a, b, k, distance, slack))
+    who, which, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+    return pd.DataFrame({"v": left["v"].to_numpy()[who], "d": d, "p": ids[which]})
 
 
 def _grow_cells(sample: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +147,9 @@ def cells_join(queries: DataFrame, points: DataFrame, k: int, leaf_points: int =
     dims = points.select(F.size("v")).first()[0] if rows else 0
     if not rows:
         return queries.select("v", F.array().cast("array<struct<d: double, p: string>>").alias("near"))
-    levels = min(MAX_TREE_LEVELS, max(0, int(np.ceil(np.log2(max(1.0, rows / leaf_points))))))
-    if not levels:  # one cell: every query would visit it
+    if rows <= leaf_points:  # one cell: every query would visit it
         return _one_cell(queries, points, k, slack)
+    levels = min(MAX_TREE_LEVELS, max(1, int(np.ceil(np.log2(rows / min(leaf_points, FINE_LEAF_POINTS))))))
     wanted = 16 * 2 ** levels  # half a million vectors at most
     sample = np.array([r[0] for r in points.select("v").sample(min(1.0, 1.5 * wanted / rows), seed=5).limit(2 * wanted).collect()] or
                       [points.first()["v"]], dtype=float)
@@ -189,8 +211,7 @@ def cells_join(queries: DataFrame, points: DataFrame, k: int, leaf_points: int =
         right = right.sort_values("p", kind="stable")
         a, b = np.stack(left["v"].to_numpy()).astype(float), np.stack(right["v"].to_numpy()).astype(float)
         ids = right["p"].to_numpy()
-        found = [(v, d, ids[i]) for v, (near, far) in zip(left["v"], closest(a, b, k, euclidean_block, slack)) for i, d in zip(near, far)]
-        return pd.DataFrame(found, columns=["v", "d", "p"])
+        return _matches(left, a, ids, b, k, euclidean_block, slack)
 
     shape = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("d", T.DoubleType()), T.StructField("p", kind)])
     pairs = asked.groupBy("cell", "copy").cogroup(offered.groupBy("cell", "copy")).applyInPandas(match, shape)
@@ -342,6 +363,15 @@ def _gap_bounds(at: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndar
     return np.where(possible.any(axis=1), least, np.inf), np.where(sure.any(axis=1), most, np.inf)
 
 
+def _probes(points: DataFrame, most: int = PROBES) -> np.ndarray:
+    """Some vectors of every pattern of gaps, or of the most frequent patterns; all of a pattern that has few."""
+    pattern = F.transform("v", lambda x: x.isNotNull())
+    counts = points.groupBy(pattern.alias("known")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "known").limit(most // 16)
+    each = most // max(1, counts.count())
+    wanted = points.select("v", pattern.alias("known")).join(F.broadcast(counts), "known").filter(F.rand(3) * F.col("n") < each)
+    return np.array([r["v"] for r in wanted.select("v").limit(2 * most).collect()], dtype=float)
+
+
 def gap_cells_join(queries: DataFrame, points: DataFrame, k: int, width: int, leaf_points: int = LEAF_POINTS, visits_per_task: int = VISITS_PER_TASK) -> DataFrame:
     """(v, d, p): the ``k`` points nearest to every distinct query vector by the distance of ``gap_aware_block``, the smaller p on a tie.
 
@@ -389,13 +419,19 @@ def gap_cells_join(queries: DataFrame, points: DataFrame, k: int, width: int, le
         a, b = 2 * node + 1, 2 * node + 2
         count[node], low[node], high[node] = count[a] + count[b], np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
         all_[node], any_[node] = all_[a] & all_[b], any_[a] | any_[b]
-    tree = spark.sparkContext.broadcast((dim, cut, known, count, low, high, all_, any_))  # at most 2 ** MAX_TREE_LEVELS cells
+    probes = _probes(points).reshape(-1, dims)
+    tree = spark.sparkContext.broadcast((probes, dim, cut, known, count, low, high, all_, any_))  # at most 2 ** MAX_TREE_LEVELS cells
 
     @F.pandas_udf("array<int>")
     def visited(v: pd.Series) -> pd.Series:
-        dim_, cut_, known_, count_, *boxes = tree.value
+        probes_, dim_, cut_, known_, count_, *boxes = tree.value
         at = matrix(v)
         radius, node = np.full(len(at), np.inf), np.zeros(len(at), dtype=int)
+        if len(probes_) >= k:  # the k-th nearest of some points is no nearer than that of all
+            step = max(1, BLOCK_CELLS // len(probes_))
+            for start in range(0, len(at), step):
+                far = gap_aware_block(width)(at[start:start + step], probes_)
+                radius[start:start + step] = np.partition(np.where(np.isnan(far), np.inf, far), k - 1, axis=1)[:, k - 1]
         for level in range(levels + 1):
             enough = np.flatnonzero(count_[node] >= k)
             if len(enough):
@@ -429,8 +465,7 @@ def gap_cells_join(queries: DataFrame, points: DataFrame, k: int, width: int, le
             return pd.DataFrame({"v": [], "d": [], "p": []})
         right = right.sort_values("p", kind="stable")
         ids = right["p"].to_numpy()
-        near = closest(matrix(left["v"]), matrix(right["v"]), k, gap_aware_block(width))
-        return pd.DataFrame([(v, d, ids[i]) for v, (which, far) in zip(left["v"], near) for i, d in zip(which, far)], columns=["v", "d", "p"])
+        return _matches(left, matrix(left["v"]), ids, matrix(right["v"]), k, gap_aware_block(width))
 
     pairs = asked.groupBy("cell", "copy").cogroup(offered.groupBy("cell", "copy")).applyInPandas(match, shape)
     best = Window.partitionBy("v").orderBy("d", "p")
