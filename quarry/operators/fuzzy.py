@@ -2,8 +2,9 @@
 
 Similarity is 100 · 2 · LCS / (length + length), where LCS is the longest common subsequence. From a
 threshold of 87 on, two values that reach it must share one of their rarest character q-grams (prefix
-filter), so only values with such a gram in common are compared; below it values meet through an index
-of segments (``segments``).
+filter), so only values with such a gram in common are compared; texts too short to differ by more than
+two letters meet on what is left without a letter. Below it values meet through an index of segments
+(``segments``).
 """
 
 from __future__ import annotations
@@ -109,18 +110,43 @@ def similar_pairs(words: DataFrame, threshold: float) -> DataFrame:
     q, short = _gram_plan(threshold)
     if q == 1:  # single characters tell too little apart
         return _verified(words, segments.candidates(words.join(_letter_masks(words), "id", "left").fillna(0, ["mask"]), threshold), threshold)
+    brief = math.ceil(3 / (2 * (1 - t)) - 1e-6) - 1 if t < 1 else 0  # longest text of which two may differ by two edits at most
+    met = _one_letter_off(words.filter(F.length("word") <= brief))
+    if not words.filter(F.length("word") > brief).take(1):
+        return _verified(words, met, threshold)
     signs = _signatures(words, q, threshold)
     if short:
         signs = signs.unionByName(_signatures(words.filter(F.length("word") <= short), 1, threshold))
     signs = write_out(signs.join(_letter_masks(words), "id"))
-    a = signs.select(F.col("id").alias("u"), F.col("size").alias("n"), "key", F.col("at").alias("i"), F.col("mask").alias("s"))
+    a = signs.filter(F.col("size") > brief).select(F.col("id").alias("u"), F.col("size").alias("n"), "key", F.col("at").alias("i"), F.col("mask").alias("s"))
     b = signs.select(F.col("id").alias("v"), F.col("size").alias("m"), "key", F.col("at").alias("j"), F.col("mask").alias("t"))
     allowed = F.floor((1 - t) * (F.col("n") + F.col("m")) + 1e-9)  # insertions plus deletions
     shift = F.abs(F.col("i") - F.col("j"))
-    meet = (F.col("u") < F.col("v")) & (F.abs(F.col("n") - F.col("m")) <= allowed) & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= allowed)
+    meet = ((F.col("u") < F.col("v")) | (F.col("m") <= brief)) & (F.abs(F.col("n") - F.col("m")) <= allowed) & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= allowed)
     close = shift <= allowed if not short else F.lit(True)
     # The letter test inside the join keeps texts apart that share a common gram only.
-    return _verified(words, a.join(b, "key").filter(meet & close).select("u", "v").distinct(), threshold)
+    long = a.join(b, "key").filter(meet & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return _verified(words, met.unionByName(long).distinct(), threshold)
+
+
+def _one_letter_off(words: DataFrame) -> DataFrame:
+    """(u, v), u < v: all pairs of (id, word) at most two insertions and deletions apart.
+
+    Texts of one length agree where each has lost a letter, others where the longer one has lost what it is longer by. So few
+    texts share a key however many there are; equal hashes only add candidates.
+    """
+    words = words.withColumn("size", F.length("word"))
+    less = lambda text: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    lost = lambda df: df.select("id", F.explode(F.array_distinct(less(F.col("word")))).alias("word"))
+    sizes = words.select("size").distinct()
+    longer = lambda by: words.join(F.broadcast(sizes.select((F.col("size") + by).alias("size"))), "size", "left_semi").filter(F.col("size") >= by)  # as many as there are lengths
+    key = F.xxhash64("word").alias("key")
+    one = write_out(lost(words.filter("size > 0")).select("id", key))
+    whole = words.select(F.col("id").alias("u"), key)
+    two = lost(lost(longer(2))).select(F.col("id").alias("v"), key).unionByName(one.select(F.col("id").alias("v"), "key"))
+    same = one.withColumnRenamed("id", "u").join(one.withColumnRenamed("id", "v"), "key").filter("u < v")
+    found = same.select("u", "v").unionByName(whole.join(two, "key").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    return write_out(found.filter("u < v").distinct())
 
 
 def _verified(words: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
