@@ -168,11 +168,13 @@ def _covered(points: DataFrame, intervals: DataFrame, point: str, low: str | Non
     key = ordered._order_key(line, [*keys, at])
     cuts, kind, count = ordered._cut_points(line, key, ordered.ROWS_PER_RANGE)
     ranged = ordered._with_range(line, key, cuts, kind, count) if count else line.withColumn("_range", F.lit(0))
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = ranged.groupBy(*keys, "_range").agg(F.max(reach).alias("_top")).select(*keys, "_range", F.max("_top").over(earlier).alias("_before"))
     upto = Window.partitionBy(*keys, "_range").orderBy(at, "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = ranged.withColumn("_here", F.max(reach).over(upto)).join(tops, [*keys, "_range"])
-    return swept.filter((F.col("asked") == first) & to_high(F.col(at), F.greatest("_here", "_before"))).select(*keys, at), [*keys, at]
+    swept, top = ranged.withColumn("_here", F.max(reach).over(upto)), F.col("_here")
+    if count:
+        earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        tops = ranged.groupBy(*keys, "_range").agg(F.max(reach).alias("_top")).select(*keys, "_range", F.max("_top").over(earlier).alias("_before"))
+        swept, top = swept.join(tops, [*keys, "_range"]), F.greatest("_here", "_before")
+    return swept.filter((F.col("asked") == first) & to_high(F.col(at), top)).select(*keys, at), [*keys, at]
 
 
 def _columns(a: DataFrame, b: DataFrame, suffix: str) -> list[tuple[str, str]]:
