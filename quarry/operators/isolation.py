@@ -1,4 +1,4 @@
-"""Isolation forest: trees grown on small samples in parallel, all rows scored in Arrow batches."""
+"""Isolation forest: trees grown on small samples in parallel, or level by level on all rows; all rows scored in Arrow batches."""
 
 from __future__ import annotations
 
@@ -97,10 +97,101 @@ def _sample_per_tree(df: DataFrame, cols: Sequence[str], key: Sequence[str], tre
     return drawn.withColumn("place", place).filter(F.col("place") <= size)
 
 
+def _grow_on_samples(picked: DataFrame, inputs: list[str], limit: int, seed: int) -> list:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        points = pdf.sort_values("place")[inputs].to_numpy()
+        grown = grow_tree(points, limit, np.random.default_rng([seed, tree]))
+        return pd.DataFrame({"tree": [tree], **{c: [v] for c, v in grown.items()}})
+
+    shape = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, rest array<double>"
+    # Bounded result: n_estimators trees of at most 2 * max_samples nodes.
+    return picked.groupBy("tree").applyInPandas(grow, shape).orderBy("tree").collect()
+
+
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """A small input may sit in one file split: dealt out to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SMALL_INPUT_ROWS else df
+
+
+def _walk(points: np.ndarray, roots: np.ndarray, feature: np.ndarray, cut: np.ndarray, child: np.ndarray, steps: int) -> np.ndarray:
+    """The node of every tree (second axis) that a row reaches in so many steps; leaves lead to themselves."""
+    values, row, sides = points.ravel(), np.arange(len(points)) * points.shape[1], child.ravel()
+    reached = np.empty((len(points), len(roots)), dtype=np.int64)
+    for tree, root in enumerate(roots):
+        node = np.full(len(points), root)
+        for _ in range(steps):
+            node = sides.take(2 * node + (values.take(row + feature.take(node)) > cut.take(node)))
+        reached[:, tree] = node
+    return reached
+
+
+def _grow_on_all(values: DataFrame, trees: int, dims: int, limit: int, seed: int) -> list[dict[str, list]]:
+    """Trees on all rows of ``values`` (f0…), one pass a level: every task reduces its rows to a count and the extents of each open node."""
+    sc = values.sparkSession.sparkContext
+    grown = [{"feature": [-1], "cut": [0.0], "left": [-1], "right": [-1], "rest": [math.nan]} for _ in range(trees)]
+    small = np.int16 if limit < 14 else np.int32  # small numbers are sorted by their digits
+    rngs = [np.random.default_rng([seed, tree]) for tree in range(trees)]
+    shape = "node int, n long, " + ", ".join(f"low{i} double, high{i} double" for i in range(dims))
+    extremes = [made(f"{c}{i}").alias(f"{c}{i}") for c, made in (("low", F.min), ("high", F.max)) for i in range(dims)]
+    for depth in range(limit + 1):
+        flat = _flat_forest(grown)
+        shared = sc.broadcast(flat[:4])
+
+        def extents(batches: Iterator[pd.DataFrame], depth: int = depth, shared=shared) -> Iterator[pd.DataFrame]:
+            forest = shared.value
+            nodes = len(forest[1])
+            count, low, high = np.zeros(nodes, dtype=np.int64), np.full((nodes, dims), np.inf), np.full((nodes, dims), -np.inf)
+            for pdf in batches:
+                points = pdf.to_numpy(dtype=float)
+                if not len(points):
+                    continue
+                for node, root in zip(_walk(points, *forest, depth).T, forest[0]):
+                    order = np.argsort((node - root).astype(small), kind="stable")
+                    node = node.take(order)
+                    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                    here = node.take(starts)
+                    count[here] += np.diff(starts, append=len(node))
+                    for i in range(dims):
+                        value = points[:, i].take(order)
+                        low[here, i] = np.minimum(low[here, i], np.minimum.reduceat(value, starts))
+                        high[here, i] = np.maximum(high[here, i], np.maximum.reduceat(value, starts))
+            seen = np.flatnonzero(count)
+            yield pd.DataFrame({"node": seen.astype("int32"), "n": count[seen]} | {f"{c}{i}": at[seen, i] for i in range(dims) for c, at in (("low", low), ("high", high))})
+
+        found = values.mapInPandas(extents, shape).groupBy("node").agg(F.sum("n").alias("n"), *extremes)
+        known = {r["node"]: r for r in found.collect()}  # at most trees * 2 ** (limit + 1) rows
+        for tree, start, rng in zip(grown, flat[0], rngs):
+            feature, cut, left, right, rest = tree.values()
+            for node in range(len(feature)):
+                if not math.isnan(rest[node]):
+                    continue
+                facts = known[int(start) + node]
+                low, high = (np.array([facts[f"{c}{i}"] for i in range(dims)]) for c in ("low", "high"))
+                varying = np.flatnonzero(high > low)
+                if depth == limit or facts["n"] <= 1 or not len(varying):
+                    rest[node] = depth + _usual_path(facts["n"])
+                    continue
+                f = int(rng.choice(varying))
+                feature[node], cut[node] = f, min(float(rng.uniform(low[f], high[f])), float(np.nextafter(high[f], low[f])))
+                left[node], right[node], rest[node] = len(feature), len(feature) + 1, 0.0
+                for column, value in ((feature, -1), (cut, 0.0), (left, -1), (right, -1), (rest, math.nan)):
+                    column += [value, value]
+        shared.unpersist()
+        if not any(math.isnan(x) for tree in grown for x in tree["rest"]):
+            break
+    return grown
+
+
 def isolation_forest(df: DataFrame, features: str | Sequence[str], key: str | Sequence[str], n_estimators: int = 100,
                      max_samples: int | float | str = "auto", contamination: float | str = "auto", seed: int = 0,
-                     out: str = "anomaly_score") -> DataFrame:
-    """Add an anomaly score; negative means more isolated than usual. Rows with gaps get null."""
+                     out: str = "anomaly_score", max_depth: int | None = None) -> DataFrame:
+    """Add an anomaly score; negative means more isolated than usual. Rows with gaps get null.
+
+    Trees grown on few rows seldom see a rare one, which then looks like the outermost of those they saw. With
+    ``max_samples=1.0`` and a ``max_depth`` (up to about 12, for the size of the trees) every tree grows on all rows, without
+    gathering them.
+    """
     cols, keys = as_list(features), as_list(key)
     require_numeric(df, *cols)
     require(df, *keys)
@@ -113,18 +204,15 @@ def isolation_forest(df: DataFrame, features: str | Sequence[str], key: str | Se
     else:
         size = min(rows, int(max_samples) if float(max_samples) > 1 else max(1, int(float(max_samples) * rows)))
     limit = max(1, math.ceil(math.log2(max(size, 2))))
-    picked = _sample_per_tree(usable, cols, keys, n_estimators, size, rows, seed)
+    if max_depth is not None:
+        if max_depth < 1:
+            raise ValueError("max_depth must be at least 1")
+        limit = min(limit, max_depth)
     inputs = [f"f{i}" for i in range(len(cols))]
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        points = pdf.sort_values("place")[inputs].to_numpy()
-        grown = grow_tree(points, limit, np.random.default_rng([seed, tree]))
-        return pd.DataFrame({"tree": [tree], **{c: [v] for c, v in grown.items()}})
-
-    shape = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, rest array<double>"
-    # Bounded result: n_estimators trees of at most 2 * max_samples nodes.
-    grown = picked.groupBy("tree").applyInPandas(grow, shape).orderBy("tree").collect()
+    if max_depth is not None and size == rows:
+        grown = _grow_on_all(write_out(_dealt(usable.select(*[name(c).cast("double").alias(f) for c, f in zip(cols, inputs)]), rows)), n_estimators, len(cols), limit, seed)
+    else:
+        grown = _grow_on_samples(_sample_per_tree(usable, cols, keys, n_estimators, size, rows, seed), inputs, limit, seed)
     shared = df.sparkSession.sparkContext.broadcast(_flat_forest(grown))
     usual = _usual_path(size) or 1.0
 
@@ -133,17 +221,11 @@ def isolation_forest(df: DataFrame, features: str | Sequence[str], key: str | Se
         roots, feature, cut, child, rest = shared.value
         for columns in batches:
             points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            row = np.arange(len(points))[:, None]
-            node = np.repeat(roots[None, :], len(points), axis=0)
-            for _ in range(limit):  # leaves lead to themselves
-                above = points[row, feature[node]] > cut[node]
-                node = child[node, above.astype(np.int8)]
+            node = _walk(points, roots, feature, cut, child, limit)
             score = np.power(2.0, -rest[node].mean(axis=1) / usual)
             yield pd.Series(np.where(np.isnan(points).any(axis=1), np.nan, -score))
 
-    if rows <= SMALL_INPUT_ROWS:  # a small input may sit in one file split: deal it out to all cores
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    scored = df.withColumn(out, F.nanvl(isolation(*[name(c).cast("double") for c in cols]), F.lit(None).cast("double")))
+    scored = _dealt(df, rows).withColumn(out, F.nanvl(isolation(*[name(c).cast("double") for c in cols]), F.lit(None).cast("double")))
     if contamination == "auto":
         return scored.withColumn(out, F.col(out) + 0.5)
     offset = ordered.quantiles(scored.select(out), [out], [float(contamination)]).first()["quantile"]

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import fuzzy, neighbours, ordered
+import __spark_entry__ as registry
+from quarry.operators import fuzzy, isolation, neighbours, ordered
 
 
 def test_cut_points_do_not_grow_with_the_table(spark):
@@ -44,3 +46,21 @@ def test_short_texts_meet_without_grams(spark, monkeypatch):
     found = fuzzy.fuzzy_pairs(spark.createDataFrame([(n,) for n in long], "w string"), "w", 92)
     want = sorted((x, y) for x in set(long) for y in set(long) if x < y and score(x, y) >= 92)
     assert sorted((r["value"], r["other"]) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_trees_on_all_rows_find_the_rare_ones(spark, partitions):
+    """Three rows far out among many: trees on 256 rows do not see them, trees on all rows do."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(u), float(v)) for i, (u, v) in enumerate(rng.integers(0, 50, (4000, 2)))] + [(-i, i * 5000.0, i * -9e6) for i in (1, 2, 3)] + [(5000, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, u double, v double").repartition(partitions)
+    scored = isolation.isolation_forest(df, "u,v", "id", n_estimators=10, max_samples=1.0, max_depth=8)
+    found = scored.filter("anomaly_score is not null").orderBy("anomaly_score").limit(3).collect()
+    assert sorted(r["id"] for r in found) == [-3, -2, -1] and scored.filter("anomaly_score is null").count() == 1
+    same = isolation.isolation_forest(spark.createDataFrame([(i, 1.0, 2.0) for i in range(5)], "id long, u double, v double"), "u,v", "id", max_samples=1.0, max_depth=8)
+    assert same.select("anomaly_score").distinct().count() == 1
+
+
+def test_planted_rows_come_first_of_the_whole_table():
+    sql = registry.oracle_sql()["isolation_forest_planted"]
+    assert "tie" not in sql and "low" not in sql and "range(1, 4)" in sql
