@@ -20,16 +20,21 @@ LEAF_POINTS = 1_000
 FINE_LEAF_POINTS = 128  # where there are more points than fill a leaf
 PROBES = 4_096  # vectors sent to every task, whose distances bound the search over vectors with gaps
 MAX_TREE_LEVELS = 15
+MAX_PATTERNS = 32  # patterns of gaps, of queries and of points, up to which every pair of patterns has a tree of its own
 VISITS_PER_TASK = 50_000
 
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def euclidean_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
         total += (a[:, j, None] - b[None, :, j]) ** 2
-    return np.sqrt(total)
+    return total
+
+
+def euclidean_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(_squares(a, b))
 
 
 def gap_aware_block(width: int) -> Distance:
@@ -378,6 +383,7 @@ def gap_cells_join(queries: DataFrame, points: DataFrame, k: int, width: int, le
     Vectors may have gaps (null), in any pattern. One tree holds all points: its upper splits ask which coordinates are known,
     the lower ones cut at medians. A cell keeps the extent of each coordinate and which coordinates all or any of its points
     know; these bound the distance from a query with gaps of its own, so the number of jobs does not depend on the patterns.
+    Where there are few patterns, as usual, ``_pattern_cells_join`` does the same without visits to points that tie.
     """
     spark = points.sparkSession
     points = write_out(points.select("p", "v"))
@@ -387,6 +393,10 @@ def gap_cells_join(queries: DataFrame, points: DataFrame, k: int, width: int, le
     if not rows:
         return spark.createDataFrame([], shape)
     dims = points.select(F.size("v")).first()[0]
+    if dims <= 30:
+        asked_, held_ = ([r[0] for r in df.select(_mask(dims)).distinct().limit(MAX_PATTERNS + 1).collect()] for df in (queries, points))
+        if max(len(asked_), len(held_)) <= MAX_PATTERNS:
+            return _pattern_cells_join(queries, points, k, width, leaf_points, visits_per_task, asked_, dims)
     levels = min(MAX_TREE_LEVELS, max(0, int(np.ceil(np.log2(max(1.0, rows / leaf_points))))))
     wanted = 16 * 2 ** levels
     picked = points.select("v").sample(min(1.0, 1.5 * wanted / rows), seed=5).limit(2 * wanted).collect() or [points.first()]
@@ -472,6 +482,136 @@ def gap_cells_join(queries: DataFrame, points: DataFrame, k: int, width: int, le
     return pairs.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
+def _mask(dims: int) -> Column:
+    """Which coordinates of ``v`` are known, as a number."""
+    known = F.lit(0).cast("long")
+    for i in range(dims):
+        known = known + F.when(F.col("v")[i].isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    return known
+
+
+def _pattern_cells_join(queries: DataFrame, points: DataFrame, k: int, width: int, leaf_points: int, visits_per_task: int, patterns: Sequence[int], dims: int) -> DataFrame:
+    """``gap_cells_join`` over a group of points per pattern of the queries and coordinates shared with it.
+
+    A group's points are reduced to the shared coordinates, and of those at one place only the ``k`` smallest p stay, so points
+    that tie on few coordinates are few. Each group has a cell tree, all groups share the jobs. A query looks first into one
+    cell of each of its groups; the k-th distance found there, over all groups, bounds which cells it visits.
+    """
+    spark = points.sparkSession
+    kind = points.schema["p"].dataType
+    cols = [f"c{i}" for i in range(dims)]
+    low_bits = (1 << dims) - 1
+    place = [F.col("v")[i].alias(f"x{i}") for i in range(dims)]
+    # a group's number holds the queries' pattern and the shared coordinates
+    pattern, shared = F.shiftright("g", dims), F.col("g").bitwiseAND(F.lit(low_bits).cast("long"))
+    projected = [F.when(shared.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.col(f"x{i}")).alias(c) for i, c in enumerate(cols)]
+    group = F.filter(F.transform(F.array(*[F.lit(q).cast("long") for q in patterns]), lambda q: F.struct((q.bitwiseAND(F.col("m")) != 0).alias("any"), (q * (low_bits + 1) + q.bitwiseAND(F.col("m"))).alias("g"))), lambda x: x["any"])
+    spread = points.select("p", *place, _mask(dims).alias("m")).select("p", *[f"x{i}" for i in range(dims)], F.explode(F.transform(group, lambda x: x["g"])).alias("g")).select("p", "g", *projected)
+    first = F.row_number().over(Window.partitionBy("g", *cols).orderBy("p"))
+    held = write_out(spread.withColumn("_n", first).filter(F.col("_n") <= k).drop("_n"))
+    sizes = {r["g"]: r["n"] for r in held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the pairs of patterns
+    target = max(1.0, leaf_points, sum(sizes.values()) / 2 ** (MAX_TREE_LEVELS - 1))
+    levels = {g: max(0, int(np.ceil(np.log2(n / target)))) for g, n in sizes.items()}
+    picked = held.filter(F.rand(5) < 12.0 / target).select("g", *cols).toPandas()  # 12 a cell
+    samples = {g: at[cols].to_numpy(dtype=float) for g, at in picked.groupby("g")}
+    trees, cells = {}, 0
+    for g in sorted(sizes):
+        own = np.flatnonzero([g >> i & 1 for i in range(dims)])
+        trees[g] = (own, *_grow_cells(samples.get(g, np.empty((0, dims)))[:, own], levels[g]), levels[g], cells)
+        cells += 2 ** levels[g]
+    planted = spark.sparkContext.broadcast(trees)
+
+    def by_group(g: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+        numbers, at = np.unique(g.to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        return zip(numbers.tolist(), np.split(order, np.searchsorted(at[order], np.arange(1, len(numbers)))))
+
+    @F.pandas_udf(T.IntegerType())
+    def cell_of(g: pd.Series, *at: pd.Series) -> pd.Series:
+        points_, found = np.column_stack([c.to_numpy(dtype=float) for c in at]), np.zeros(len(g), dtype="int32")
+        for number, rows in by_group(g) if len(g) else ():
+            own, dim, cut, deep, start = planted.value[number]
+            found[rows] = start + _leaf_of(points_[rows][:, own], dim, cut, deep)
+        return pd.Series(found)
+
+    placed = write_out(held.withColumn("cell", cell_of("g", *cols)))
+    bounds = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[made(c).alias(f"{what}{c}") for c in cols for what, made in (("low", F.min), ("high", F.max))]).toPandas()  # one row per cell
+    count = np.zeros(cells, dtype=np.int64)
+    low, high = np.full((cells, dims), np.inf), np.full((cells, dims), -np.inf)
+    seen = bounds["cell"].to_numpy(dtype=int)
+    count[seen], low[seen], high[seen] = bounds["n"], bounds[[f"low{c}" for c in cols]].to_numpy(dtype=float), bounds[[f"high{c}" for c in cols]].to_numpy(dtype=float)
+    boxed = {}
+    for g, (own, dim, cut, deep, start) in trees.items():
+        leaves = 2 ** deep
+        n, a, b = np.zeros(2 * leaves - 1, dtype=np.int64), np.full((2 * leaves - 1, len(own)), np.inf), np.full((2 * leaves - 1, len(own)), -np.inf)
+        n[leaves - 1:], a[leaves - 1:], b[leaves - 1:] = count[start:start + leaves], low[start:start + leaves][:, own], high[start:start + leaves][:, own]
+        for node in reversed(range(leaves - 1)):
+            x, y = 2 * node + 1, 2 * node + 2
+            n[node], a[node], b[node] = n[x] + n[y], np.minimum(a[x], a[y]), np.maximum(b[x], b[y])
+        boxed[g] = (own, dim, cut, deep, start, n, a, b)
+    forest = spark.sparkContext.broadcast(boxed)
+
+    @F.pandas_udf("array<int>")
+    def visited(g: pd.Series, reach: pd.Series, *at: pd.Series) -> pd.Series:
+        points_, bound = np.column_stack([c.to_numpy(dtype=float) for c in at]), reach.fillna(np.inf).to_numpy(dtype=float)
+        found = np.empty(len(g), dtype=object)
+        for number, rows in by_group(g) if len(g) else ():
+            own, dim, cut, deep, start, n, a, b = forest.value[number]
+            here = points_[rows][:, own]
+            # as euclidean distances over the shared coordinates
+            radius, node = bound[rows] / np.sqrt(width / len(own)), np.zeros(len(rows), dtype=int)
+            for level in range(deep + 1):
+                enough = np.flatnonzero(n[node] >= k)
+                radius[enough] = np.minimum(radius[enough], _box_reach(here[enough], a[node[enough]], b[node[enough]]))
+                if level < deep:
+                    node = 2 * node + 1 + (here[np.arange(len(here)), dim[node]] > cut[node])
+            radius = radius * (1 + 1e-9)
+            who, where = np.arange(len(here)), np.zeros(len(here), dtype=int)
+            for level in range(deep + 1):
+                near = n[where] > 0
+                who, where = who[near], where[near]
+                near = _box_gap(here[who], a[where], b[where]) <= radius[who]
+                who, where = who[near], where[near]
+                if level < deep:
+                    who, where = np.repeat(who, 2), (2 * where[:, None] + np.array([1, 2])).ravel()
+            order = np.argsort(who, kind="stable")
+            ends = np.searchsorted(who[order], np.arange(1, len(here)))
+            for row, x in zip(rows, np.split(start + where[order] - (2 ** deep - 1), ends)):
+                found[row] = x.astype("int32")
+        return pd.Series(found)
+
+    def match(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"no": [], "d": [], "p": []})
+        right = right.sort_values("p", kind="stable")
+        own = [c for c in cols if right[c].notna().iloc[0]]  # the same for all points of a group
+        a, b = left[own].to_numpy(dtype=float), right[own].to_numpy(dtype=float)
+        found = list(closest_flat(a, b, k, lambda x, y: np.sqrt(_squares(x, y) / float(len(own)) * width)))
+        who, which, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+        near = d <= left["reach"].fillna(np.inf).to_numpy(dtype=float)[who]
+        return pd.DataFrame({"no": left["no"].to_numpy()[who[near]], "d": d[near], "p": right["p"].to_numpy()[which[near]]})
+
+    shape = T.StructType([T.StructField("no", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("p", kind)])
+
+    def searched(visits: DataFrame) -> DataFrame:
+        visits = write_out(visits)
+        copies = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / visits_per_task).cast("int").alias("copies"))
+        # fresh column identities, so that the two sides of the cogroup share none
+        asked = visits.join(copies, "cell").select(F.col("cell").alias("at"), F.pmod(F.xxhash64("no"), F.col("copies")).cast("int").alias("copy"), F.col("no").alias("no"), F.col("reach").alias("reach"), *[F.col(c).alias(c) for c in cols])
+        offered = placed.join(copies, "cell").select(F.col("cell").alias("at"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("p").alias("p"), *[F.col(c).alias(c) for c in cols])
+        return write_out(asked.groupBy("at", "copy").cogroup(offered.groupBy("at", "copy")).applyInPandas(match, shape))
+
+    numbered = write_out(queries.select(F.monotonically_increasing_id().alias("no"), "v"))
+    groups = write_out(held.select("g").distinct())
+    asked = numbered.select("no", *place, _mask(dims).alias("m")).join(F.broadcast(groups), F.col("m") == pattern).select("no", "g", *projected)
+    tried = searched(asked.select("no", F.lit(None).cast("double").alias("reach"), cell_of("g", *cols).alias("cell"), *cols))
+    reach = tried.groupBy("no").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias("reach"))  # k for each of its groups
+    bounded = write_out(asked.join(reach, "no", "left"))
+    found = searched(bounded.select("no", "reach", F.explode(visited("g", "reach", *cols)).alias("cell"), *cols))
+    best = Window.partitionBy("no").orderBy("d", "p")
+    return found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).join(numbered, "no").select("v", "d", "p")
+
+
 def _knn_impute_large(df, col, keys, neighbors, weights, others, width, mean, leaf_points, clean, filled) -> DataFrame:
     """Receivers and donors both too many to broadcast: one cell tree for all gap patterns."""
     vector = F.array(*[clean(c) for c in others])

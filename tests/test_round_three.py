@@ -64,3 +64,19 @@ def test_trees_on_all_rows_find_the_rare_ones(spark, partitions):
 def test_planted_rows_come_first_of_the_whole_table():
     sql = registry.oracle_sql()["isolation_forest_planted"]
     assert "tie" not in sql and "low" not in sql and "range(1, 4)" in sql
+
+
+def test_knn_over_gaps_does_not_visit_ties(spark, monkeypatch):
+    """Many donors know one coarse coordinate alone and tie on it: a pair of patterns holds few of them, and the answer is the plain search's."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), float(rng.integers(3)) if rng.random() < 0.8 else None, float(i) if rng.random() < 0.6 else None, float(rng.random()) if rng.random() < 0.7 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, z double")
+    small = neighbours.knn_impute(df, "z", "id", 3, "distance", ["a", "b"])
+    met, whole = [], neighbours._pattern_cells_join
+    monkeypatch.setattr(neighbours, "_pattern_cells_join", lambda *x: met.append(whole(*x)) or met[-1])
+    large = neighbours.knn_impute(df, "z", "id", 3, "distance", ["a", "b"], broadcast_cells=0, leaf_points=20)
+    a, b = ({r["id"]: r["z"] for r in x.collect()} for x in (small, large))
+    assert len(met) == 1 and a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
+    monkeypatch.setattr(neighbours, "MAX_PATTERNS", 1)  # more patterns: the one tree
+    one = neighbours.knn_impute(df, "z", "id", 3, "distance", ["a", "b"], broadcast_cells=0, leaf_points=20)
+    assert len(met) == 1 and all(r["z"] == pytest.approx(a[r["id"]], abs=1e-9) for r in one.collect())
