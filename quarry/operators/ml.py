@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import as_list, is_numeric, name, present, require, require_numeric
 from quarry.operators import ordered
 from quarry.operators.rows import mark_by_hash
-from quarry.session import write_out
+from quarry.session import scratch_path, write_out
 
 MAX_TREE_DEPTH = 30  # the deepest Spark ML grows
 FEATURES = "_features"
@@ -99,6 +99,13 @@ def _held_out(df: DataFrame, key: Sequence[str], used: Sequence[str], test_size:
     return marked.filter("_train").drop("_train"), marked.filter("NOT _train").drop("_train"), n_train
 
 
+def _reloaded(fitted: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model as it is read back: without the training summary, whose session tasks cannot take along once a table was observed."""
+    path = scratch_path(spark)
+    fitted.write().save(path)
+    return PipelineModel.load(path)
+
+
 def train_classifier(df: DataFrame, target: str, features: str | Sequence[str], key: str | Sequence[str],
                      model: str = "random_forest", test_size: float = 0.2, seed: int = 0, n_estimators: int = 100,
                      max_depth: int | None = None, max_iter: int = 100) -> tuple[Model, float]:
@@ -117,7 +124,7 @@ def train_classifier(df: DataFrame, target: str, features: str | Sequence[str],
         learner = LogisticRegression(maxIter=max_iter, regParam=1.0 / max(n_train, 1), standardization=False, **common)
     else:
         raise ValueError("model must be random_forest or logistic_regression")
-    fitted = Pipeline(stages=[*stages, learner]).fit(index.transform(labelled))
+    fitted = _reloaded(Pipeline(stages=[*stages, learner]).fit(index.transform(labelled)), df.sparkSession)
     back = IndexToString(inputCol="_index", outputCol="_predicted", labels=list(index.labelsArray[0]))
     trained = Model(PipelineModel([*fitted.stages, back]), f"classifier:{df.schema[target].dataType.simpleString()}", target, cols, names)
     scored = predict(test, trained, "_guess")
@@ -146,7 +153,7 @@ def train_regressor(df: DataFrame, target: str, features: str | Sequence[str], k
         learner = LinearRegression(solver="normal", regParam=alpha * spread / max(n_train, 1), elasticNetParam=0.0, standardization=False, **common)
     else:
         raise ValueError("model must be linear_regression, ridge or random_forest")
-    fitted = Pipeline(stages=[*stages, learner]).fit(labelled)
+    fitted = _reloaded(Pipeline(stages=[*stages, learner]).fit(labelled), df.sparkSession)
     trained = Model(fitted, "regressor", target, cols, names)
     scored = score(predict(test, trained, "_guess"), target, "_guess", "r2")
     return trained, scored.first()["value"]

@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from quarry.operators import fuzzy, isolation, neighbours, ordered
+from quarry.operators import fuzzy, isolation, ml, neighbours, ordered
 
 
 def test_cut_points_do_not_grow_with_the_table(spark):
@@ -80,3 +81,13 @@ def test_knn_over_gaps_does_not_visit_ties(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "MAX_PATTERNS", 1)  # more patterns: the one tree
     one = neighbours.knn_impute(df, "z", "id", 3, "distance", ["a", "b"], broadcast_cells=0, leaf_points=20)
     assert len(met) == 1 and all(r["z"] == pytest.approx(a[r["id"]], abs=1e-9) for r in one.collect())
+
+
+@pytest.mark.parametrize("learner", ["random_forest", "logistic_regression"])
+def test_models_predict_after_an_observation(spark, learner):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 5
+    df = spark.createDataFrame([(i, float(i % 10), int(i % 10 > 4)) for i in range(200)], "id long, x double, y int")
+    model, _ = ml.train_classifier(df, "y", "x", "id", learner)
+    assert ml.predict(df, model, "guess").filter("guess is not null").count() == 200
