@@ -2,7 +2,7 @@
 
 Of two lines at most k edits apart, the shorter one cut into k + 1 segments, one segment is found in the other line, shifted
 by no more than the edits before it. So every distinct line is indexed by its segments, probed with the places for its own
-length and for one to k characters less, and candidates are verified by a banded bit-parallel edit distance. A segment that
+length and for one to k characters less, and candidates are verified by a edit distance along diagonals. A segment that
 very many lines share is not expanded into pairs: the gaps beside it, which share the k edits, are cut in the same way, until
 few lines share a key or no gap is longer than its edits; the lines of such a group are all close to the earliest one.
 
@@ -23,60 +23,48 @@ from quarry.session import write_out
 EDITS = 1  # of callers that name no threshold
 MIN_CHARS = 20  # shorter lines are compared for equality alone
 COPIES_FROM = 1  # lines shorter than this, and blank ones under MIN_CHARS, are left alone
-LETTERS = ("aA", "eE", "iI", "oO", "nN", "tT", "rR", "sS")  # counted in every candidate; any letters would be right
-GROUP = 64  # lines sharing a key beyond which the key is refined instead of paired
+LETTERS = ("aA", "eE", "iI", "oO", "nN", "tT", "rR", "sS", "hH", "dD", "lL", "uU", "wWgG", "yYbBfF")  # counted in every candidate; any letters would be right
+GROUP = 512  # lines sharing a key beyond which the key is refined instead of paired; pairs of fewer are parted by their letters in the join
 SMALL_IDS = 2_000_000  # keys of eight bytes that may be broadcast: 16 MB; they spare a shuffle of the lines' text
 
 
 def edit_distance(long: Column, short: Column, most: int = EDITS) -> Column:
     """Edit distance of two texts whose lengths differ by ``most`` at most, exact up to ``most`` and larger beyond.
 
-    ``long`` is the longer text. Column by column, a word of 2 * most + 1 bits holds the vertical differences of the
-    cells in the band; the cell on the diagonal that ends in the last one counts the distance.
+    ``long`` is the longer text. Edit by edit, ``far`` holds how many characters of the shorter text are settled at most on each
+    diagonal, which is how much further on the longer text is read. Between edits the texts agree, and how far is found by
+    halving: the work grows with the number of edits, not with every character.
     """
-    bits = 2 * most + 1
-    full = (1 << bits) - 1
+    unreached = -2 * most - 2
 
-    def number(n: int) -> Column:
-        return F.lit(n).cast("long")
+    def measured(both: Column) -> Column:
+        rows, cols, high, wide, steps = both["rows"], both["cols"], both["high"], both["wide"], both["steps"]
 
-    def column(both: Column) -> Column:
-        rows, cols = both["rows"], both["cols"]
-        extra = F.size(rows) - F.size(cols)  # 0 … most: how far the last cell lies below the main diagonal
-        watched = F.element_at(F.array(*[number(1 << (most + e)) for e in range(most + 1)]), extra + 1)
+        def agreed(at: Column, d: Column) -> Column:
+            """``at``, moved on by what the texts agree in from there on diagonal ``d``."""
+            end = F.least(wide, high - d)
+            return F.aggregate(steps, at, lambda x, step: F.when((x + step <= end) & (F.substring(cols, x + 1, step) == F.substring(rows, x + d + 1, step)), x + step).otherwise(x))
 
-        def equal(j: Column) -> Column:
-            at = [F.when((j + b - most >= 0) & (F.get(rows, F.greatest(j + b - most, F.lit(0))) == F.get(cols, j)), number(1 << b)).otherwise(number(0)) for b in range(bits)]
-            word = at[0]
-            for one in at[1:]:
-                word = word.bitwiseOR(one)
-            return word
+        def after(a: Column, e: Column) -> Column:
+            def reach(d: Column) -> Column:
+                far = lambda by: F.coalesce(F.get(a["far"], F.greatest(d + by + most, F.lit(0))), F.lit(unreached))
+                before = F.when(d > -most, far(-1)).otherwise(F.lit(unreached))
+                at = F.least(F.greatest(far(0) + 1, before, far(1) + 1), wide, high - d)
+                useful = F.abs(d - (high - wide)) <= most - e  # else the ends are out of reach
+                return F.element_at(F.transform(F.array(at), lambda x: F.when(useful & (x >= 0), agreed(x, d)).otherwise(F.lit(unreached))), 1)
 
-        def step(a: Column, j: Column) -> Column:
-            def flipped(x: Column) -> Column:
-                return x.bitwiseXOR(number(full))
+            far = F.transform(F.array(*[F.lit(d) for d in range(-most, most + 1)]), reach)
+            moved = F.element_at(F.transform(F.array(far), lambda f: F.struct(F.when(F.get(f, high - wide + most) == wide, e).otherwise(F.lit(most + 1)).alias("score"), f.alias("far"))), 1)
+            return F.when(a["score"] <= most, a).otherwise(moved)
 
-            def after(match: Column) -> Column:
-                up, down = a["up"], a["down"]
+        same = agreed(F.lit(0), F.lit(0))
+        far = F.array(*[same if d == 0 else F.lit(unreached) for d in range(-most, most + 1)])
+        start = F.struct(F.when(rows == cols, 0).otherwise(F.lit(most + 1)).alias("score"), far.alias("far"))
+        return F.aggregate(F.array(*[F.lit(e) for e in range(1, most + 1)]), start, after, lambda a: a["score"])
 
-                def moved(diagonal: Column) -> Column:
-                    grow, fall = down.bitwiseOR(flipped(diagonal.bitwiseOR(up))), diagonal.bitwiseAND(up)
-                    below = F.shiftright(diagonal, 1)
-                    return F.struct(fall.bitwiseOR(flipped(below.bitwiseOR(grow))).alias("up"), below.bitwiseAND(grow).alias("down"),
-                                    (a["score"] + F.when(diagonal.bitwiseAND(watched) == 0, 1).otherwise(0)).alias("score"))
-
-                sums = (match.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(match).bitwiseOR(down).bitwiseAND(number(full))
-                return F.element_at(F.transform(F.array(sums), moved), 1)
-
-            return F.element_at(F.transform(F.array(equal(j)), after), 1)
-
-        start = F.struct(number(full ^ ((1 << most) - 1)).alias("up"), number(0).alias("down"), extra.alias("score"))
-        # bit b stands for row j + b - most, counted from 0; rows from the first one on begin one apart
-        return F.when(F.size(cols) == 0, extra).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(cols) - 1), start, step, lambda a: a["score"]))
-
-    halves = F.struct(F.when(F.length(long) > 0, F.split(long, "")).otherwise(F.array()).alias("rows"),
-                      F.when(F.length(short) > 0, F.split(short, "")).otherwise(F.array()).alias("cols"))
-    return F.element_at(F.transform(F.array(halves), column), 1)
+    halving = F.transform(F.sequence(F.floor(F.log2(F.length(short) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda x: F.pow(F.lit(2), x).cast("int"))
+    parts = F.struct(long.alias("rows"), short.alias("cols"), F.length(long).alias("high"), F.length(short).alias("wide"), halving.alias("steps"))
+    return F.element_at(F.transform(F.array(parts), measured), 1)
 
 
 def _cuts(most: int) -> list[tuple[int, int]]:
@@ -210,21 +198,6 @@ def _candidates(lines: DataFrame, firsts: DataFrame, group: int, edits: int, min
     return write_out(reduce(DataFrame.unionByName, found).distinct()), write_out(reduce(DataFrame.unionByName, starred).distinct())
 
 
-def _still_close(long: Column, short: Column, edits: int) -> Column:
-    """Cheap test that every pair within ``edits`` passes: segments agree, and those that what lies beside them is cut into."""
-    places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in _cuts(edits)])
-
-    def agree(gap: Column, level: int) -> Column:
-        def there(c: Column) -> Column:
-            start, end, fits, beside = _parts(gap, c["j"], c["s"])
-            same = F.substring(short, gap["at"] + start + 1, end - start) == F.substring(long, gap["to"] + start + c["s"] + 1, end - start)
-            return fits & same & (F.forall(beside, lambda g: agree(g, level - 1)) if level else F.lit(True))
-
-        return F.exists(places, there)
-
-    return agree(_whole(F.length(short), F.length(long), edits), 1)
-
-
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, copies_from: int = COPIES_FROM) -> DataFrame:
     """(doc_id, line_no, line, id, more): lines of at least ``min_chars`` characters and shorter ones of at least ``copies_from``
     that are not blank, with two hashes that identify their text."""
@@ -252,34 +225,42 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GRO
     ids = write_out(members.select("id").unionAll(starred.select(F.explode(F.array("u", "v")).alias("id"))).distinct())
     held = _among(long_lines.select("id", "more", "line"), ids, ["id"]).distinct()
     letters = [(F.length("line") - F.length(F.translate(F.col("line"), group_, ""))).alias(f"c{i}") for i, group_ in enumerate(LETTERS)]
-    texts = write_out(held.join(_among(firsts, ids, ["id"]), ["id", "more"]).select("*", *letters))
+    texts = write_out(held.join(_among(firsts, ids, ["id"]), ["id", "more"]).select("*", F.length("line").alias("size"), *letters)
+                      .withColumn("others", reduce(lambda x, y: x - y, [F.col(f"c{i}") for i in range(len(LETTERS))], F.col("size"))))
+
+    counts = [*[f"c{i}" for i in range(len(LETTERS))], "others"]
+
+    def alike(a: str, b: str) -> Column:
+        """Cheap test that every pair within the edits passes: an edit changes two of the counts by one, or one of them and the length."""
+        return reduce(lambda x, y: x + y, [F.abs(F.col(f"{c}_{a}") - F.col(f"{c}_{b}")) for c in ("size", *counts)]) <= 2 * edits
+
+    def sided(rows: DataFrame, side: str, *kept: str) -> DataFrame:
+        return rows.select(*kept, F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("first", "size", *counts)])
 
     def late(pairs: DataFrame) -> DataFrame:
         """(id, more) of the later line of every pair within the edits; written out."""
         both = pairs
         for side in "uv":
-            both = both.join(texts.select(F.col("id").alias(side), F.col("more").alias(f"more_{side}"), F.col("first").alias(f"first_{side}"), F.col("line").alias(f"line_{side}"),
-                                          *[F.col(f"c{i}").alias(f"c{i}_{side}") for i in range(len(LETTERS))]), side)
-        # an edit changes two of these counts by one at most
-        both = both.filter(reduce(lambda x, y: x + y, [F.abs(F.col(f"c{i}_u") - F.col(f"c{i}_v")) for i in range(len(LETTERS))]) <= 2 * edits)
+            both = both.join(sided(texts, side, F.col("more").alias(f"more_{side}"), F.col("line").alias(f"line_{side}")), side)
+        both = both.filter(alike("u", "v"))
         ahead = F.length("line_u") >= F.length("line_v")
         both = both.select("*", F.when(ahead, F.col("line_u")).otherwise(F.col("line_v")).alias("long"), F.when(ahead, F.col("line_v")).otherwise(F.col("line_u")).alias("short"))
-        near = both.filter((F.length("long") - F.length("short") <= edits) & _still_close(F.col("long"), F.col("short"), edits))
-        links = near.filter(edit_distance(F.col("long"), F.col("short"), edits) <= edits)
+        links = both.filter(edit_distance(F.col("long"), F.col("short"), edits) <= edits)
         later_is_u = F.col("first_u") > F.col("first_v")
         return write_out(links.select(F.when(later_is_u, F.col("u")).otherwise(F.col("v")).alias("id"), F.when(later_is_u, F.col("more_u")).otherwise(F.col("more_v")).alias("more")).distinct())
 
     # A line needs one earlier line that is close: first each key's earliest line is tried, then, for lines it did not settle,
     # all earlier lines of their keys. So a group of near copies makes few pairs, not all.
-    placed = write_out(members.join(texts.groupBy("id").agg(F.min("first").alias("first")), "id"))
+    placed = write_out(members.join(texts.drop("more", "line"), "id"))
     heads = placed.groupBy("key").agg(F.min_by("id", "first").alias("a"))
     ordered_pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     star = heads.join(members.select("key", F.col("id").alias("b")), "key").filter("a <> b").select(*ordered_pair("a", "b"))
     tried = write_out(star.unionByName(starred).distinct())
     settled = late(tried)
     open_ids = write_out(texts.select("id", "more").join(settled, ["id", "more"], "left_anti").select("id").distinct())
-    open_lines = placed.join(open_ids, "id", "left_semi").select("key", F.col("id").alias("b"), F.col("probe").alias("probe_b"), F.col("first").alias("first_b"))
-    rest = placed.join(open_lines, "key").filter("first < first_b AND NOT (probe AND probe_b)").select(*ordered_pair("id", "b"))
+    open_lines = sided(_among(placed, open_ids, ["id"]), "b", "key", F.col("probe").alias("probe_b"))
+    rest = (sided(placed, "a", "key", "probe").join(open_lines, "key").filter("a <> b AND first_a < first_b AND NOT (probe AND probe_b)").filter(alike("a", "b"))
+            .select(*ordered_pair("a", "b")))
     late_lines = settled.unionByName(late(write_out(rest.distinct().join(tried, ["u", "v"], "left_anti")))).distinct()
     copied = firsts.filter("n > 1").select("id", "more", "first")
     doomed = write_out(copied.join(late_lines.withColumn("late", F.lit(True)), ["id", "more"], "full_outer"))  # first: the place that stays, unless late

@@ -397,3 +397,24 @@ def test_first_keys_are_those_of_the_states(spark, most):
     flat = line_dedup._first_keys(lines, most, 20)
     states = line_dedup._refined(line_dedup._started(lines, most, 20), most).select("id", "probe", "key")
     assert flat.count() == states.count() > 0 and flat.exceptAll(states).count() == 0
+
+
+def test_lines_of_one_group_make_few_keys(spark):
+    """Near copies that differ by whole words: twice as many lines make about twice as many keys."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    base, lines = [word() for _ in range(20)], []
+    while len(lines) < 800:
+        line = list(base)
+        for i in rng.sample(range(20), rng.choice([1, 2, 2, 3])):
+            line[i] = word()
+        lines.append(" ".join(line))
+    keys = []
+    for n in (400, 800):
+        frame = spark.createDataFrame(list(enumerate(lines[:n])), "doc_id long, text string")
+        rows = line_dedup.lines_of(frame)
+        firsts = rows.groupBy("id", "more").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+        keys.append(line_dedup._candidates(rows.select("id", "line"), firsts, line_dedup.GROUP, 3, 20)[0].count())
+    assert 0 < keys[1] <= 2.5 * keys[0] and keys[1] <= 26 * 800, keys
+    found = {r["doc_id"]: list(r["removed"]) for r in line_dedup.repeated_lines(frame, 20, edits=3).collect()}
+    assert found == removed_within(list(enumerate(lines)), 20, 3) != {}
