@@ -25,6 +25,7 @@ MIN_CHARS = 20  # shorter lines are compared for equality alone
 COPIES_FROM = 1  # lines shorter than this, and blank ones under MIN_CHARS, are left alone
 LETTERS = ("aA", "eE", "iI", "oO", "nN", "tT", "rR", "sS", "hH", "dD", "lL", "uU", "wWgG", "yYbBfF")  # counted in every candidate; any letters would be right
 GROUP = 512  # lines sharing a key beyond which the key is refined instead of paired; pairs of fewer are parted by their letters in the join
+LISTED = 32  # keys of a line by which a pair that meets under several is made under one; pairs past these are made again
 SMALL_IDS = 2_000_000  # keys of eight bytes that may be broadcast: 16 MB; they spare a shuffle of the lines' text
 
 
@@ -251,16 +252,19 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GRO
 
     # A line needs one earlier line that is close: first each key's earliest line is tried, then, for lines it did not settle,
     # all earlier lines of their keys. So a group of near copies makes few pairs, not all.
-    placed = write_out(members.join(texts.drop("more", "line"), "id"))
+    listed = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, LISTED)
+    lists = members.groupBy("id").agg(listed(F.col("key")).alias("keys"), listed(F.when(~F.col("probe"), F.col("key"))).alias("own"))
+    placed = write_out(members.join(lists, "id").join(texts.drop("more", "line"), "id"))
     heads = placed.groupBy("key").agg(F.min_by("id", "first").alias("a"))
     ordered_pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     star = heads.join(members.select("key", F.col("id").alias("b")), "key").filter("a <> b").select(*ordered_pair("a", "b"))
     tried = write_out(star.unionByName(starred).distinct())
     settled = late(tried)
     open_ids = write_out(texts.select("id", "more").join(settled, ["id", "more"], "left_anti").select("id").distinct())
-    open_lines = sided(_among(placed, open_ids, ["id"]), "b", "key", F.col("probe").alias("probe_b"))
-    rest = (sided(placed, "a", "key", "probe").join(open_lines, "key").filter("a <> b AND first_a < first_b AND NOT (probe AND probe_b)").filter(alike("a", "b"))
-            .select(*ordered_pair("a", "b")))
+    open_lines = sided(_among(placed, open_ids, ["id"]), "b", "key", F.col("probe").alias("probe_b"), F.col("keys").alias("keys_b"), F.col("own").alias("own_b"))
+    met = F.array_min(F.concat(F.array_intersect("own", "keys_b"), F.array_intersect("keys", "own_b")))  # a key of both, one of them no probe
+    rest = (sided(placed, "a", "key", "probe", "keys", "own").join(open_lines, "key").filter("a <> b AND first_a < first_b AND NOT (probe AND probe_b)").filter(alike("a", "b"))
+            .filter(F.coalesce(met, F.col("key")) >= F.col("key")).select(*ordered_pair("a", "b")))
     late_lines = settled.unionByName(late(write_out(rest.distinct().join(tried, ["u", "v"], "left_anti")))).distinct()
     copied = firsts.filter("n > 1").select("id", "more", "first")
     doomed = write_out(copied.join(late_lines.withColumn("late", F.lit(True)), ["id", "more"], "full_outer"))  # first: the place that stays, unless late
