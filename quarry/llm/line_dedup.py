@@ -68,6 +68,19 @@ def edit_distance(long: Column, short: Column, most: int = EDITS) -> Column:
     return F.element_at(F.transform(F.array(parts), measured), 1)
 
 
+def _coded(line: Column) -> Column:
+    """The characters of a line as four bytes each: a piece of it is found without reading what lies before."""
+    return F.encode(line, "UTF-32")
+
+
+def _width(coded: Column) -> Column:
+    return F.coalesce(F.shiftright(F.octet_length(coded), 2), F.lit(0))  # never null: Spark would code each line again to test it
+
+
+def _piece(coded: Column, start: Column, size: Column) -> Column:
+    return F.substring(coded, 4 * start + 1, 4 * size)
+
+
 def _cuts(most: int) -> list[tuple[int, int]]:
     """(segment, shift): which of ``most`` + 1 segments may be found how far from its own place, after so many edits before it."""
     return [(j, s) for j in range(most + 1) for s in range(-j, j + 1)]
@@ -94,9 +107,10 @@ def _whole(size: Column, wide: Column, most: int) -> Column:
 
 def _started(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """States of lines (id, line) that agree on nothing yet: each taken as a line of its own length, and as one up to ``edits`` shorter."""
-    roles = F.filter(F.array(*[F.struct((F.length("line") - d).alias("size"), F.lit(d > 0).alias("probe")) for d in range(edits + 1)]), lambda r: r["size"] >= min_chars)
-    return (lines.select("id", "line", F.explode(roles).alias("r"))
-            .select("id", "line", "r.probe", F.xxhash64("r.size").alias("key"), F.array(_whole(F.col("r.size"), F.length("line"), edits)).alias("gaps")))
+    wide = _width(_coded(F.col("line")))
+    roles = F.filter(F.array(*[F.struct((F.col("wide") - d).alias("size"), F.lit(d > 0).alias("probe")) for d in range(edits + 1)]), lambda r: r["size"] >= min_chars)
+    return (lines.select("id", "line", wide.alias("wide")).select("id", "line", "wide", F.explode(roles).alias("r"))
+            .select("id", "line", "r.probe", F.xxhash64("r.size").alias("key"), F.array(_whole(F.col("r.size"), F.col("wide"), edits)).alias("gaps")))
 
 
 def _refined(states: DataFrame, edits: int) -> DataFrame:
@@ -106,7 +120,7 @@ def _refined(states: DataFrame, edits: int) -> DataFrame:
     A line's own segments at their own places are indexed, all others are probes.
     """
     longest = F.array_max(F.transform("gaps", lambda g, i: F.struct((g["size"] - g["most"]).alias("spare"), (-i).alias("i"))))["i"]
-    chosen = states.select("id", "line", "probe", "key", "gaps", (-longest).cast("int").alias("nth")).withColumn("gap", F.get("gaps", F.col("nth")))
+    chosen = states.select("id", "line", "probe", "key", "gaps", _coded(F.col("line")).alias("coded"), (-longest).cast("int").alias("nth")).withColumn("gap", F.get("gaps", F.col("nth")))
     places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in _cuts(edits)])
     fitting = F.filter(places, lambda c: _parts(F.col("gap"), c["j"], c["s"])[2])
     cut = chosen.select("*", F.explode(fitting).alias("c"))
@@ -114,8 +128,8 @@ def _refined(states: DataFrame, edits: int) -> DataFrame:
     start, end, _, beside = _parts(gap, j, shift)
     rest = F.concat(F.filter("gaps", lambda g, i: i < F.col("nth")), beside, F.filter("gaps", lambda g, i: i > F.col("nth")))
     to = gap["to"] + shift
-    return cut.select("id", "line", (F.col("probe") | (shift != 0)).alias("probe"), F.xxhash64("key", "nth", j, F.substring("line", to + start + 1, end - start)).alias("key"),
-                      rest.alias("gaps"), (j > 0).alias("side"), F.xxhash64(F.substring("line", gap["to"] + 1, start + shift)).alias("twin"))
+    return cut.select("id", "line", (F.col("probe") | (shift != 0)).alias("probe"), F.xxhash64("key", "nth", j, _piece(F.col("coded"), to + start, end - start)).alias("key"),
+                      rest.alias("gaps"), (j > 0).alias("side"), F.xxhash64(_piece(F.col("coded"), gap["to"], start + shift)).alias("twin"))
 
 
 def _among(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
@@ -126,20 +140,16 @@ def _among(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
 def _first_keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(id, probe, key) of the first cut: what ``_refined(_started(lines))`` gives, without states.
 
-    A row per length that a line is taken for, then one per place of a segment: so the generated code stays short enough to be
-    compiled, and lengths are measured once.
+    A row per place of a segment in a line of some length, from one list of places: so the generated code stays short enough to
+    be compiled, and each line is coded and measured once.
     """
-    size, wide, d = F.col("size"), F.col("wide"), F.col("d")
-    roles = lines.select("id", "line", F.length("line").alias("wide")).select("*", F.explode(F.array(*[F.lit(x) for x in range(edits + 1)])).alias("d"))
-    sized = roles.select("*", (wide - d).alias("size")).filter(size >= min_chars)
-    cut = sized.select("*", F.xxhash64("size").alias("whole"), *[F.expr(f"(size * {j}) div {edits + 1}").cast("int").alias(f"at{j}") for j in range(1, edits + 1)])
-    at = [F.lit(0), *[F.col(f"at{j}") for j in range(1, edits + 1)], size]
-    cells = []
-    for j, s in _cuts(edits):
-        fits = (F.abs(d - s) <= edits - j) & (at[j] + s >= 0) & (at[j + 1] + s <= wide)
-        key = F.xxhash64("whole", F.lit(0), F.lit(j), F.substring(F.col("line"), at[j] + s + 1, at[j + 1] - at[j]))
-        cells.append(F.when(fits, F.struct(((d > 0) | F.lit(s != 0)).alias("probe"), key.alias("key"))))
-    return cut.select("id", F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL").select("id", "c.probe", "c.key")
+    size, wide, start, end, d, s = (F.col(c) for c in ("size", "wide", "start", "end", "d", "s"))
+    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(j).alias("j"), F.lit(s).alias("s")) for d in range(edits + 1) for j, s in _cuts(edits) if abs(d - s) <= edits - j])
+    placed = lines.select("id", _coded(F.col("line")).alias("coded")).select("id", "coded", _width(F.col("coded")).alias("wide")).select("*", F.inline(places))
+    sized = placed.select("*", (wide - d).alias("size")).filter(size >= min_chars)
+    cut = sized.select("*", *[F.expr(f"cast((size * {j}) div {edits + 1} as int)").alias(c) for c, j in (("start", "j"), ("end", "(j + 1)"))])
+    fitting = cut.filter((start + s >= 0) & (end + s <= wide))
+    return fitting.select("id", ((d > 0) | (s != 0)).alias("probe"), F.xxhash64(F.xxhash64("size"), F.lit(0), "j", _piece(F.col("coded"), start + s, end - start)).alias("key"))
 
 
 def _starred(members: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -161,11 +171,15 @@ def _candidates(lines: DataFrame, firsts: DataFrame, group: int, edits: int, min
     Lines (id, line) may repeat. Every line that comes within ``edits`` of an earlier one shares a key with it, one of the two
     being no probe there, or is in a pair with such a line. Both results are written out.
     """
-    keys = _first_keys(lines, edits, min_chars)  # made twice: written, it would be several times the input
-    shared = write_out(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("least"), F.min("id").alias("low"), F.max("id").alias("high"))
-                       .filter("not least and low < high").select("key"))
-    met = write_out(_among(keys, shared, ["key"]).distinct())
-    sizes = write_out(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    # The lines' own keys are written; probes, most of the keys, pass the shuffle once, in which few of them meet an own key.
+    keys = _first_keys(lines, edits, min_chars)
+    own = write_out(keys.filter("not probe").select("id", "key"))
+    probes = keys.filter("probe").select("id", "key")
+    hits = write_out(probes.join(own.select("key").hint("shuffle_hash"), "key", "left_semi").distinct().select("id", F.lit(True).alias("probe"), "key"))
+    twice = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    asked = write_out(twice.unionAll(hits.select("key")).distinct())
+    met = write_out(_among(own, asked, ["key"]).distinct().select("id", F.lit(False).alias("probe"), "key").unionAll(hits))
+    sizes = write_out(met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "n"))
     found = [met.join(sizes.filter(F.col("n") <= group).select("key"), "key", "left_semi")]
     starred = [firsts.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)]
     large = write_out(sizes.filter(F.col("n") > group).select("key"))
@@ -203,9 +217,20 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     """(doc_id, line_no, line, id, more): lines of at least ``min_chars`` characters and shorter ones of at least ``copies_from``
     that are not blank, with two hashes that identify their text."""
     size = F.length("line")
-    slim = docs.select(name(key).alias("doc_id"), F.split(name(text).cast("string"), "\n").alias("lines")).filter("doc_id is not null")
-    return (slim.select("doc_id", F.posexplode("lines").alias("line_no", "line")).filter((size >= min_chars) | (size >= copies_from) & F.col("line").rlike(r"\S"))
-            .select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.reverse("line")).alias("more")))
+    slim = docs.select(name(key).alias("doc_id"), name(text).cast("string").alias("text")).filter("doc_id is not null")
+    # the split inside the generator: as a column of its own it would be made anew for each filter that Spark infers from it
+    return (slim.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter((size >= min_chars) | (size >= copies_from) & F.col("line").rlike(r"\S"))
+            .select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("more")))
+
+
+def _ring_marks(*counts: str) -> Column:
+    """Up to 16 counts as 64 bits, of which any two rows differ in no more than their counts' differences add up to.
+
+    Four bits a count, along a ring of eight marks: one more or less changes one bit. So a join compares two numbers, not all
+    counts, and its code stays short enough to be compiled.
+    """
+    ring = F.array(*[F.lit(x) for x in (0, 1, 3, 7, 15, 14, 12, 8)])
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.get(ring, F.pmod(F.col(c), F.lit(8)).cast("int")).cast("long"), 4 * i) for i, c in enumerate(counts)])
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GROUP, key: str = "doc_id", text: str = "text", edits: int = EDITS,
@@ -225,7 +250,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GRO
     members, starred = _candidates(long_lines.select("id", "line"), firsts, group, edits, min_chars)
     ids = write_out(members.select("id").unionAll(starred.select(F.explode(F.array("u", "v")).alias("id"))).distinct())
     held = _among(long_lines.select("id", "more", "line"), ids, ["id"]).distinct()
-    letters = [(F.length("line") - F.length(F.translate(F.col("line"), group_, ""))).alias(f"c{i}") for i, group_ in enumerate(LETTERS)]
+    without = lambda group_: reduce(lambda rest, letter: F.replace(rest, F.lit(letter), F.lit("")), group_, F.col("line"))
+    letters = [(F.octet_length("line") - F.octet_length(without(group_))).alias(f"c{i}") for i, group_ in enumerate(LETTERS)]  # a byte each
     texts = write_out(held.join(_among(firsts, ids, ["id"]), ["id", "more"]).select("*", F.length("line").alias("size"), *letters)
                       .withColumn("others", reduce(lambda x, y: x - y, [F.col(f"c{i}") for i in range(len(LETTERS))], F.col("size"))))
 
@@ -235,14 +261,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GRO
         """Cheap test that every pair within the edits passes: an edit changes two of the counts by one, or one of them and the length."""
         return reduce(lambda x, y: x + y, [F.abs(F.col(f"{c}_{a}") - F.col(f"{c}_{b}")) for c in ("size", *counts)]) <= 2 * edits
 
-    def sided(rows: DataFrame, side: str, *kept: str) -> DataFrame:
-        return rows.select(*kept, F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("first", "size", *counts)])
+    def sided(rows: DataFrame, side: str, told: tuple[str, ...], *kept: str) -> DataFrame:
+        return rows.select(*kept, F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("first", *told)])
 
     def late(pairs: DataFrame) -> DataFrame:
         """(id, more) of the later line of every pair within the edits; written out."""
         both = pairs
         for side in "uv":
-            both = both.join(sided(texts, side, F.col("more").alias(f"more_{side}"), F.col("line").alias(f"line_{side}")), side)
+            both = both.join(sided(texts, side, ("size", *counts), F.col("more").alias(f"more_{side}"), F.col("line").alias(f"line_{side}")), side)
         both = both.filter(alike("u", "v"))
         ahead = F.length("line_u") >= F.length("line_v")
         both = both.select("*", F.when(ahead, F.col("line_u")).otherwise(F.col("line_v")).alias("long"), F.when(ahead, F.col("line_v")).otherwise(F.col("line_u")).alias("short"))
@@ -254,16 +280,17 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GRO
     # all earlier lines of their keys. So a group of near copies makes few pairs, not all.
     listed = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, LISTED)
     lists = members.groupBy("id").agg(listed(F.col("key")).alias("keys"), listed(F.when(~F.col("probe"), F.col("key"))).alias("own"))
-    placed = write_out(members.join(lists, "id").join(texts.drop("more", "line"), "id"))
+    placed = write_out(members.join(lists, "id").join(texts.select("id", "first", _ring_marks("size", *counts).alias("marks")), "id"))
     heads = placed.groupBy("key").agg(F.min_by("id", "first").alias("a"))
     ordered_pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     star = heads.join(members.select("key", F.col("id").alias("b")), "key").filter("a <> b").select(*ordered_pair("a", "b"))
     tried = write_out(star.unionByName(starred).distinct())
     settled = late(tried)
     open_ids = write_out(texts.select("id", "more").join(settled, ["id", "more"], "left_anti").select("id").distinct())
-    open_lines = sided(_among(placed, open_ids, ["id"]), "b", "key", F.col("probe").alias("probe_b"), F.col("keys").alias("keys_b"), F.col("own").alias("own_b"))
+    open_lines = sided(_among(placed, open_ids, ["id"]), "b", ("marks",), "key", F.col("probe").alias("probe_b"), F.col("keys").alias("keys_b"), F.col("own").alias("own_b"))
     met = F.array_min(F.concat(F.array_intersect("own", "keys_b"), F.array_intersect("keys", "own_b")))  # a key of both, one of them no probe
-    rest = (sided(placed, "a", "key", "probe", "keys", "own").join(open_lines, "key").filter("a <> b AND first_a < first_b AND NOT (probe AND probe_b)").filter(alike("a", "b"))
+    close = F.bit_count(F.col("marks_a").bitwiseXOR(F.col("marks_b"))) <= 2 * edits
+    rest = (sided(placed, "a", ("marks",), "key", "probe", "keys", "own").join(open_lines, "key").filter("a <> b AND first_a < first_b AND NOT (probe AND probe_b)").filter(close)
             .filter(F.coalesce(met, F.col("key")) >= F.col("key")).select(*ordered_pair("a", "b")))
     late_lines = settled.unionByName(late(write_out(rest.distinct().join(tried, ["u", "v"], "left_anti")))).distinct()
     copied = firsts.filter("n > 1").select("id", "more", "first")

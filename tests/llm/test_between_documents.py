@@ -418,3 +418,17 @@ def test_lines_of_one_group_make_few_keys(spark):
     assert 0 < keys[1] <= 2.5 * keys[0] and keys[1] <= 26 * 800, keys
     found = {r["doc_id"]: list(r["removed"]) for r in line_dedup.repeated_lines(frame, 20, edits=3).collect()}
     assert found == removed_within(list(enumerate(lines)), 20, 3) != {}
+
+
+def test_lines_are_split_once(spark):
+    """Spark infers filters from what a generator reads: the split is inside it, so it is not made again for each of them."""
+    rows = line_dedup.lines_of(spark.range(3).selectExpr("id AS doc_id", "concat('one\\n', id) AS text").repartition(2), min_chars=1)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("split(") == 1
+    assert rows.count() == 6
+
+
+def test_ring_marks_tell_no_close_counts_apart(spark):
+    pairs = [(a, b) for a in range(20) for b in range(20)]
+    df = spark.createDataFrame([(a, b, 7, 7) for a, b in pairs], "a int, b int, c int, d int")
+    got = df.select("a", "b", F.bit_count(line_dedup._ring_marks("a", "c").bitwiseXOR(line_dedup._ring_marks("b", "d"))).alias("n")).collect()
+    assert all(r["n"] <= abs(r["a"] - r["b"]) and (r["n"] == abs(r["a"] - r["b"]) or abs(r["a"] - r["b"]) > 4) for r in got)
