@@ -4,7 +4,8 @@ Similarity is 100 · 2 · LCS / (length + length), where LCS is the longest comm
 threshold of 87 on, two values that reach it must share one of their rarest character q-grams (prefix
 filter), so only values with such a gram in common are compared; texts too short to differ by more than
 two letters meet on what is left without a letter. Below it values meet through an index of segments
-(``segments``).
+(``segments``). Clusters need no list of all pairs: short texts of one length that agree without a letter are
+all similar, so what is left of them serves as their common key, and heads are found on keys.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +28,7 @@ from quarry.session import write_out
 
 
 ONE_TASK_EDGES = 500_000
-FRONT_VERTICES = 1_000
+FRONT_STEPS = 4_096  # the vertices in order, in so many steps; a row for each reaches the driver
 
 
 def common_length(a: str, b: str) -> int:
@@ -110,10 +113,24 @@ def similar_pairs(words: DataFrame, threshold: float) -> DataFrame:
     q, short = _gram_plan(threshold)
     if q == 1:  # single characters tell too little apart
         return _verified(words, segments.candidates(words.join(_letter_masks(words), "id", "left").fillna(0, ["mask"]), threshold), threshold)
-    brief = math.ceil(3 / (2 * (1 - t)) - 1e-6) - 1 if t < 1 else 0  # longest text of which two may differ by two edits at most
+    brief = _brief(threshold)
     met = _one_letter_off(words.filter(F.length("word") <= brief))
+    rest = _longer_pairs(words, threshold)
+    return _verified(words, met if rest is None else met.unionByName(rest).distinct(), threshold)
+
+
+def _brief(threshold: float) -> int:
+    """Length of the longest text of which two may differ by two insertions and deletions at most."""
+    t = threshold / 100.0
+    return math.ceil(3 / (2 * (1 - t)) - 1e-6) - 1 if t < 1 else 0
+
+
+def _longer_pairs(words: DataFrame, threshold: float) -> DataFrame | None:
+    """(u, v), u < v: candidates of which one at least is no brief text, met through grams; None if all are brief."""
+    t, brief = threshold / 100.0, _brief(threshold)
+    q, short = _gram_plan(threshold)
     if not words.filter(F.length("word") > brief).take(1):
-        return _verified(words, met, threshold)
+        return None
     signs = _signatures(words, q, threshold)
     if short:
         signs = signs.unionByName(_signatures(words.filter(F.length("word") <= short), 1, threshold))
@@ -125,30 +142,62 @@ def similar_pairs(words: DataFrame, threshold: float) -> DataFrame:
     meet = ((F.col("u") < F.col("v")) | (F.col("m") <= brief)) & (F.abs(F.col("n") - F.col("m")) <= allowed) & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= allowed)
     close = shift <= allowed if not short else F.lit(True)
     # The letter test inside the join keeps texts apart that share a common gram only.
-    long = a.join(b, "key").filter(meet & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return _verified(words, met.unionByName(long).distinct(), threshold)
+    return a.join(b, "key").filter(meet & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
 
+def _less(text: Column) -> Column:
+    """The different texts that are left when ``text`` loses a letter."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
 
-def _one_letter_off(words: DataFrame) -> DataFrame:
-    """(u, v), u < v: all pairs of (id, word) at most two insertions and deletions apart.
+
+def _one_letter_off(words: DataFrame, one_length: bool = True) -> DataFrame:
+    """(u, v), u < v: all pairs of (id, word) at most two insertions and deletions apart, or only those of different lengths.
 
     Texts of one length agree where each has lost a letter, others where the longer one has lost what it is longer by. So few
     texts share a key however many there are; equal hashes only add candidates.
     """
     words = words.withColumn("size", F.length("word"))
-    less = lambda text: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
-    lost = lambda df: df.select("id", F.explode(F.array_distinct(less(F.col("word")))).alias("word"))
+    lost = lambda df: df.select("id", F.explode(_less(F.col("word"))).alias("word"))
     sizes = words.select("size").distinct()
     longer = lambda by: words.join(F.broadcast(sizes.select((F.col("size") + by).alias("size"))), "size", "left_semi").filter(F.col("size") >= by)  # as many as there are lengths
     key = F.xxhash64("word").alias("key")
-    one = write_out(lost(words.filter("size > 0")).select("id", key))
+    one = write_out(lost(words.filter("size > 0") if one_length else longer(1)).select("id", key))
     whole = words.select(F.col("id").alias("u"), key)
     two = lost(lost(longer(2))).select(F.col("id").alias("v"), key).unionByName(one.select(F.col("id").alias("v"), "key"))
-    same = one.withColumnRenamed("id", "u").join(one.withColumnRenamed("id", "v"), "key").filter("u < v")
-    found = same.select("u", "v").unionByName(whole.join(two, "key").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    found = whole.join(two, "key").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    if one_length:
+        same = one.withColumnRenamed("id", "u").join(one.withColumnRenamed("id", "v"), "key").filter("u < v")
+        found = found.unionByName(same.select("u", "v"))
     return write_out(found.filter("u < v").distinct())
 
 
+def _links(words: DataFrame, threshold: float) -> DataFrame:
+    """(id, key): two texts of (id, word) reach the threshold just where they share a key; words are distinct, texts without a key are like no other.
+
+    Brief texts of one length are similar where each can lose a letter so that the same is left. That text is their key, named by
+    the first of them and the place of the loss there: a row for every text and letter, however many pairs they make. All other
+    pairs have a key of their own.
+    """
+    q = _gram_plan(threshold)[0]
+    brief = 0 if q == 1 else _brief(threshold)
+    if brief:
+        words = words.withColumn("size", F.length("word"))
+        two_edits = F.lit(100.0) * (F.lit(1.0) - F.lit(2.0) / (2 * F.col("size"))) >= threshold  # as ``similarity`` reckons
+        left = words.filter((F.col("size") > 0) & (F.col("size") <= brief) & two_edits).select("id", F.posexplode(_less(F.col("word"))).alias("at", "left"))
+        alike = Window.partitionBy("left")
+        named = left.select("id", F.min(F.struct("id", "at")).over(alike).alias("first"), F.count(F.lit(1)).over(alike).alias("n"))
+        shared = named.filter("n > 1").select("id", (F.col("first.id") * (brief + 1) + F.col("first.at")).alias("key"))
+        words = words.drop("size")
+        met, rest = _one_letter_off(words.filter(F.length("word") <= brief), one_length=False), _longer_pairs(words, threshold)
+        return shared.unionByName(_own_keys(_verified(words, met if rest is None else met.unionByName(rest).distinct(), threshold)))
+    return _own_keys(similar_pairs(words, threshold))
+
+
+def _own_keys(pairs: DataFrame) -> DataFrame:
+    """(id, key) with a key below 0 for every pair (u, v); to be written before it is used twice."""
+    return pairs.select("u", "v", (-1 - F.monotonically_increasing_id()).alias("key")).select(F.explode(F.array("u", "v")).alias("id"), "key")
+
+
 def _verified(words: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
     """(u, v, score) of the pairs met that reach the threshold."""
     texts = met.join(words.select(F.col("id").alias("u"), F.col("word").alias("a")), "u").join(
@@ -194,59 +243,65 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
             .select(*map(name, left.columns), *[name(o) for _, o in outs], score))
 
 
-def _heads_in_order(edges: pd.DataFrame) -> list[int]:
-    """The sequential rule on a bounded set of edges u < v: a vertex is a head when no smaller neighbour is."""
-    smaller: dict[int, list[int]] = {}
-    for u, v in zip(edges["u"].tolist(), edges["v"].tolist()):
-        smaller.setdefault(v, []).append(u)
-        smaller.setdefault(u, [])
-    heads: set[int] = set()
-    for vertex in sorted(smaller):
-        if heads.isdisjoint(smaller[vertex]):
-            heads.add(vertex)
-    return sorted(heads)
+def _heads_in_order(links: pd.DataFrame) -> list[int]:
+    """The sequential rule on bounded rows (id, key): a vertex is a head when none of its keys has one."""
+    links = links.sort_values("id")
+    ids, keys = links["id"].to_numpy(), links["key"].tolist()
+    ends = [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+    taken: set[int] = set()
+    heads, start = [], 0
+    for end in ends:
+        mine = keys[start:end]
+        if taken.isdisjoint(mine):
+            taken.update(mine)
+            heads.append(int(ids[start]))
+        start = end
+    return heads
 
 
-def _settle(edges: DataFrame) -> DataFrame:
-    """(id) of the heads among the vertices of a bounded edge set, in one task."""
-    return edges.groupBy(F.lit("all")).applyInPandas(lambda pdf: pd.DataFrame({"id": _heads_in_order(pdf)}), "id long")
+def _settle(links: DataFrame) -> DataFrame:
+    """(id) of the heads among the vertices of bounded rows, in one task."""
+    return links.groupBy(F.lit("all")).applyInPandas(lambda pdf: pd.DataFrame({"id": _heads_in_order(pdf)}), "id long")
 
 
-def greedy_heads(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, front: int = FRONT_VERTICES) -> DataFrame:
-    """(id, head): every vertex on an edge with the head of its cluster, in order of vertex number.
+def heads_by_keys(links: DataFrame, one_task_rows: int = ONE_TASK_EDGES, steps: int = FRONT_STEPS) -> DataFrame:
+    """(id, head): every vertex of (id, key) with the head of its cluster, in order of vertex number; vertices that share a key are neighbours.
 
     The sequential rule, take the first free vertex and claim all its free neighbours, makes a vertex a
-    head when no smaller neighbour is one. Each round settles all vertices without a smaller open
-    neighbour, and the first ``front`` open vertices among themselves, so that long chains cannot stall
-    it; once few edges are left one task settles the rest. Every round is written out. A vertex that is
-    no head joins its smallest neighbouring head.
+    head when no smaller neighbour is one. Each round settles all vertices that come first under each of
+    their keys, and the first open vertices among themselves, as many as one task holds, so that long chains
+    cannot stall it. Neighbours are never paired: a head takes its keys, and whoever holds one of them is
+    claimed. Every round is written out. A vertex that is no head joins its smallest neighbouring head.
     """
-    edges = write_out(edges.select("u", "v"))
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    waiting = write_out(both.select(F.col("u").alias("id")).distinct())
-    open_edges, heads = edges, None
-    while not waiting.isEmpty():
-        free = waiting.join(open_edges.select(F.col("v").alias("id")).distinct(), "id", "left_anti")
-        if open_edges.count() <= one_task_edges:
-            new, last = free.unionByName(_settle(open_edges)).distinct(), True
+    links = open_ = write_out(links.select("id", "key"))
+    heads = None
+    while (rows := open_.count()) or heads is None:
+        if rows <= one_task_rows:
+            new = _settle(open_)
         else:
-            first = write_out(waiting.orderBy("id").limit(front))
-            ahead = (open_edges.join(first.select(F.col("id").alias("u")), "u", "left_semi")
-                     .join(first.select(F.col("id").alias("v")), "v", "left_semi"))
-            # a front vertex without an edge inside the front has no smaller open neighbour: it is free
-            new, last = free.unionByName(_settle(ahead)).distinct(), False
+            low, high = open_.agg(F.min("id"), F.max("id")).first()
+            width = (high - low) // steps + 1
+            step = F.floor((F.col("id") - low) / width)
+            held = sorted(tuple(r) for r in open_.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())  # ``steps`` at most
+            fits = [k for (k, _), upto in zip(held, accumulate(n for _, n in held)) if upto <= one_task_rows]
+            front = open_.filter(step <= (fits[-1] if fits else held[0][0]))
+            first = open_.select("id", (F.min("id").over(Window.partitionBy("key")) == F.col("id")).alias("first"))
+            free = first.groupBy("id").agg(F.min("first").alias("first")).filter("first").select("id")
+            new = free.unionByName(_settle(front)).distinct()
         new = write_out(new)
         heads = new if heads is None else write_out(heads.unionByName(new))
-        if last:
+        if rows <= one_task_rows:
             break
-        claimed = both.join(new.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
-        waiting = write_out(waiting.join(new.unionByName(claimed), "id", "left_anti"))
-        open_edges = write_out(open_edges.join(waiting.select(F.col("id").alias("u")), "u", "left_semi")
-                               .join(waiting.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v"))
-    if heads is None:
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("head"))
-    joined = both.join(heads.select(F.col("id").alias("v")), "v").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("head"))
-    return heads.select("id", F.col("id").alias("head")).unionByName(joined.join(heads, "id", "left_anti"))
+        taken = open_.join(new, "id", "left_semi").select("key").distinct()
+        claimed = open_.join(taken, "key", "left_semi").select("id").distinct()  # the heads themselves hold keys that are taken
+        open_ = write_out(open_.join(claimed, "id", "left_anti"))
+    owners = links.join(heads, "id").select("key", F.col("id").alias("head"))  # a key has one head at most
+    return links.join(owners, "key").groupBy("id").agg(F.min("head").alias("head"))
+
+
+def greedy_heads(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, front: int = FRONT_STEPS) -> DataFrame:
+    """``heads_by_keys`` for edges (u, v), each a key of its own."""
+    return heads_by_keys(_own_keys(edges), one_task_edges, front)
 
 
 def _numbered_values(df: DataFrame, col: str, order: Sequence[str] | None) -> DataFrame:
@@ -273,16 +328,13 @@ def fuzzy_clusters(df: DataFrame, col: str, threshold: float = 90, order_by: str
     if not as_list(order_by):
         raise ValueError("fuzzy_clusters needs order_by, which defines first appearance")
     words = _numbered_values(df, col, as_list(order_by))
-    pairs = write_out(similar_pairs(words, threshold))
-    heads = write_out(greedy_heads(pairs))
-    scores = pairs.select("u", "v", "score").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"))
+    heads = write_out(heads_by_keys(_links(words, threshold)))
     grown = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head")
-    members = heads.join(grown, "head").join(scores, (F.col("id") == F.col("u")) & (F.col("head") == F.col("v")), "left")
     return (
-        members.select("id", "head", F.when(F.col("id") == F.col("head"), 100.0).otherwise(F.col("score")).alias("score"))
+        heads.join(grown, "head")
         .join(words.select("id", F.col("word").alias("value")), "id")
         .join(words.select(F.col("id").alias("head"), F.col("word").alias("cluster")), "head")
-        .select("cluster", "value", "score")
+        .select("cluster", "value", similarity("cluster", "value").alias("score"))
     )
 
 
@@ -295,7 +347,7 @@ def harmonize(df: DataFrame, col: str, threshold: float = 90) -> DataFrame:
     """Replace every value by the most frequent similar one (the smaller text on a tie)."""
     require(df, col)
     words = _numbered_values(df, col, None)
-    heads = greedy_heads(similar_pairs(words, threshold)).filter("id <> head")
+    heads = heads_by_keys(_links(words, threshold)).filter("id <> head")
     mapping = (heads.join(words.select("id", F.col("word").alias("key")), "id")
                .join(words.select(F.col("id").alias("head"), F.col("word").alias("value")), "head").select("key", "value"))
     return map_values(df, col, write_out(mapping))
