@@ -5,15 +5,18 @@ buckets are the leaves of a binary tree. An interval is stored at the two leaves
 nodes that together cover what lies between, so even one that spans everything has a few rows per level of the tree. A
 point is looked up at its leaf and at the leaf's ancestors. A point and an interval that holds it meet at exactly one node,
 so the join on nodes is an ordinary join on equal keys that gives each pair once. Only leaves can bring pairs together
-that do not belong to each other; the condition itself is checked on every pair.
+that do not belong to each other; the condition itself is checked on every pair. So leaves are narrow where intervals are:
+cut points are taken finely, and the tree begins at the level where pairs and rows together cost least.
 
 Nodes where many points meet many intervals are split: both sides are dealt into parts, and every part of one side meets
-every part of the other in a task of its own.
+every part of the other in a task of its own. Intervals meet points in blocks that are taken apart last, so pairs follow each
+other block by block: both sides repeat within short distances, and a written result packs well.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -32,6 +35,10 @@ ROWS_PER_BUCKET = 20_000
 PAIRS_PER_TASK = 20_000_000
 ROWS_PER_PART = 50_000
 MAX_BUCKETS = 20_000
+ROWS_PER_LEAF = 32  # at the finest
+PAIRS_PER_ROW = 60  # a row stored, shuffled and sorted takes as long as so many pairs compared
+INTERVALS_PER_BLOCK = 128
+MAX_TASKS = 2_000
 LEVEL = 1 << 40  # a node is its level times this, plus its place on the level
 
 
@@ -77,13 +84,33 @@ def _nodes(first: Column, last: Column, depth: int) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def _split(points: DataFrame, intervals: DataFrame, keys: Sequence[str], pairs_per_task: int, rows_per_part: int) -> DataFrame:
-    """(keys…, parts_a, parts_b) of the nodes that one task should not have to itself; written out."""
+def _base_level(spans: Sequence[tuple[int, int]], points: int, buckets: int, most: int) -> int:
+    """The level, ``most`` at the highest, whose nodes serve best as leaves; ``spans``: (bits, n) for n intervals over 2 ** bits buckets at most.
+
+    Finer leaves bring fewer pairs together that do not belong to each other, and store points and intervals more often.
+    """
+    def cost(level: int) -> float:
+        leaf, pairs, rows, levels = points / buckets * 2 ** level, 0.0, 0.0, 1
+        for bits, n in spans:
+            wide = 0.75 * 2 ** (bits - level) if bits else 0.0
+            pairs += n * min(2.0, 1 + wide) * leaf
+            rows += n * (min(2.0, 1 + wide) + math.log2(max(1.0, wide)))
+            levels = max(levels, bits - level)
+        return pairs + PAIRS_PER_ROW * (rows + points * levels)
+
+    return min(range(most + 1), key=cost)
+
+
+def _split(points: DataFrame, intervals: DataFrame, keys: Sequence[str], pairs_per_task: int, rows_per_part: int) -> tuple[DataFrame, int]:
+    """(keys…, parts_a, parts_b) of the nodes that one task should not have to itself, from a written table; and how many tasks all pairs fill."""
     a = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("a"))
     b = intervals.groupBy(*keys).agg(F.count(F.lit(1)).alias("b"))
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / rows_per_part)).cast("int")
-    both = a.join(b, list(keys)).filter(F.col("a").cast("double") * F.col("b") > pairs_per_task)
-    return write_out(both.select(*keys, parts("a").alias("parts_a"), parts("b").alias("parts_b")))
+    edge = max(1, min(rows_per_part, math.isqrt(pairs_per_task)))
+    parts = lambda n: F.ceil(F.col(n) / edge).cast("int")
+    both, pairs = write_out(a.join(b, list(keys))), F.col("a").cast("double") * F.col("b")
+    filled = both.agg(F.sum(pairs)).first()[0] or 0
+    large = (pairs > pairs_per_task) | (F.col("a") > rows_per_part) | (F.col("b") > 4 * edge)
+    return both.filter(large).select(*keys, parts("a").alias("parts_a"), parts("b").alias("parts_b")), math.ceil(filled / pairs_per_task)
 
 
 def _pairs(points: DataFrame, intervals: DataFrame, point: str, low: str | None, high: str | None, on: Sequence[str], closed: str,
@@ -96,23 +123,36 @@ def _pairs(points: DataFrame, intervals: DataFrame, point: str, low: str | None,
             intervals = intervals.filter(~missing(intervals, end))
     above = {"both": ">=", "left": ">=", "right": ">", "neither": ">"}[closed]
     below = {"both": "<=", "left": "<", "right": "<=", "neither": "<"}[closed]
-    cuts, kind, count = ordered._cut_points(points, _line(points, point), rows_per_bucket, MAX_BUCKETS)
-    depth = max(1, count.bit_length())
+    rows, finest = points.count(), rows_per_bucket
+    if points.select(_line(points, point)).dtypes[0][1] == "double" and rows * intervals.count() > pairs_per_task:
+        finest = max(1, min(rows_per_bucket, ROWS_PER_LEAF))
+    cuts, kind, count = ordered._cut_points(points, _line(points, point), finest, MAX_BUCKETS)
     ends = {out: _line(intervals, end).alias(out) for out, end in (("first", low), ("last", high)) if end is not None}
     node, keys = f"node_{tag}", [f"node_{tag}", *[f"on{i}_{tag}" for i in range(len(on))]]
     equal = [name(c).alias(k) for c, k in zip(on, keys[1:])]
     scan = F.monotonically_increasing_id().alias("scan")  # tells equal rows apart; taken before any shuffle, so a task run again deals alike
     b = _bucketed(intervals.select(F.struct(*map(name, intervals.columns)).alias("b"), scan, *equal, *ends.values()), list(ends), cuts, kind, count)
     b = b.withColumns({out: F.lit(open_) for out, open_ in (("first", 0), ("last", count)) if out not in ends}).filter(F.col("first") <= F.col("last"))
-    b = b.select("b", "scan", *keys[1:], F.explode(_nodes(F.col("first"), F.col("last"), depth)).alias(node))
-    used = sorted(r[0] for r in b.select(F.floor(F.col(node) / LEVEL).cast("int").alias("level")).distinct().collect())  # a few levels
+    base, highest = 0, count.bit_length()
+    if finest < rows_per_bucket and count:
+        bits = F.when(F.col("last") > F.col("first"), F.floor(F.log2(F.col("last") - F.col("first"))) + 1).otherwise(0).cast("int")
+        spans = [tuple(r) for r in b.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()]  # a few lengths
+        base = _base_level(spans, rows, count + 1, max(0, min(count.bit_length(), math.floor(math.log2(rows_per_bucket * (count + 1) / rows)))))
+        highest = max((bits for bits, _ in spans), default=0)  # no node is larger than the longest interval
+    depth = max(1, min((count >> base).bit_length(), highest - base + 1))
+    leaf = lambda bucket: F.shiftright(bucket, base) if base else F.col(bucket)
+    b = b.select("b", "scan", *keys[1:], F.explode(_nodes(leaf("first"), leaf("last"), depth)).alias(node))
+    stored = write_out(b.select(node).distinct())  # two for every bucket at most
+    used = sorted(r[0] for r in stored.select(F.floor(F.col(node) / LEVEL).cast("int").alias("level")).distinct().collect())  # a few levels
     a = _bucketed(points.select(F.struct(*map(name, points.columns)).alias("a"), scan, *equal, _line(points, point).alias("leaf")), ["leaf"], cuts, kind, count)
-    a = a.withColumn("leaf", F.col("leaf").cast("long")).select("a", "scan", *keys[1:], F.explode(F.array(*[F.lit(v * LEVEL) + F.shiftright("leaf", v) for v in used] or [F.lit(-1).cast("long")])).alias(node))
+    a = a.withColumn("leaf", leaf("leaf").cast("long")).select("a", "scan", *keys[1:], F.explode(F.array(*[F.lit(v * LEVEL) + F.shiftright("leaf", v) for v in used] or [F.lit(-1).cast("long")])).alias(node))
+    if finest < rows_per_bucket:  # many pairs: points away from all intervals need not be shuffled
+        a = a.join(stored, node, "left_semi")
     for k in keys[1:]:
         a, b = a.filter(F.col(k).isNotNull()), b.filter(F.col(k).isNotNull())
-    hot = _split(a.select(*keys), b.select(*keys), keys, pairs_per_task, rows_per_part)
+    hot, filled = _split(a.select(*keys), b.select(*keys), keys, pairs_per_task, rows_per_part)
     if hot.isEmpty():
-        met = a.drop("scan").join(b.drop("scan"), keys)
+        left, right = a.drop("scan"), b.drop("scan")
     else:
         hot = F.broadcast(hot) if hot.count() <= MAX_BUCKETS else hot
         deal = lambda side, own, other: (
@@ -122,7 +162,16 @@ def _pairs(points: DataFrame, intervals: DataFrame, point: str, low: str | None,
         names = {"a": f"part_a_{tag}", "b": f"part_b_{tag}"}
         left = deal(a.withColumnRenamed("a", "row"), "a", "b").withColumnsRenamed({"a": names["a"], "b": names["b"], "row": "a"}).drop("scan")
         right = deal(b.withColumnRenamed("b", "row"), "b", "a").withColumnsRenamed({"a": names["a"], "b": names["b"], "row": "b"}).drop("scan")
-        met = left.join(right, [*keys, *names.values()])
+        keys = [*keys, *names.values()]
+    if filled <= 1:
+        met = left.join(right, keys)
+    else:  # tasks by the number of pairs, as few rows make many
+        tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(filled, MAX_TASKS))
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+        blocks = right.groupBy(*keys).agg(F.collect_list("b").alias("all"))  # as many as four parts hold at most
+        starts = F.sequence(F.lit(1), F.size("all"), F.lit(INTERVALS_PER_BLOCK))
+        blocks = blocks.select(*keys, F.explode(F.transform(starts, lambda at: F.slice("all", at, INTERVALS_PER_BLOCK))).alias("block"))
+        met = blocks.join(left, keys).select("a", F.explode("block").alias("b"))
     holds = F.lit(True)
     if low is not None:
         holds &= F.col("a")[point] >= F.col("b")[low] if above == ">=" else F.col("a")[point] > F.col("b")[low]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import fuzzy
+from quarry.operators import fuzzy, joins
 
 
 def score(x, y):
@@ -33,3 +33,33 @@ def test_clusters_of_short_texts_list_no_pairs(spark, monkeypatch, one_task_rows
     found = {r["value"]: (r["cluster"], r["score"]) for r in fuzzy.fuzzy_clusters(df, "word", 94, "id").collect()}
     many = {v for w, v in head.items() if w != v}
     assert found == {w: (v, score(w, v)) for w, v in head.items() if v in many}
+
+
+@pytest.fixture
+def many_pairs(monkeypatch):
+    """What ``_split`` counted: pairs that meet at the nodes, true ones and others."""
+    met, split = [], joins._split
+
+    def counted(points, intervals, keys, *limits):
+        n = points.groupBy(*keys).count().withColumnRenamed("count", "a").join(intervals.groupBy(*keys).count(), keys)
+        met.append(n.agg(F.sum(F.col("a") * F.col("count"))).first()[0] or 0)
+        return split(points, intervals, keys, *limits)
+
+    monkeypatch.setattr(joins, "_split", counted)
+    return met
+
+
+def test_narrow_bands_meet_few_others(spark, many_pairs, monkeypatch):
+    """Two pairs for each that belongs together or thereabouts, where a whole bucket met a whole bucket."""
+    monkeypatch.setattr(joins, "ROWS_PER_LEAF", 4)
+    n = 6000
+    values = spark.range(n).select("id", (F.pmod(F.col("id") * 7919, F.lit(n)) + 0.5).alias("v"))
+    found = joins.band_join(values, values, "v", "v", 12.0, 25.0, pairs_per_task=50_000, rows_per_bucket=2000)
+    want = sum(min(n, i + 26) - max(0, i - 12) for i in range(n))
+    assert tuple(found.agg(F.count("*"), F.count_if(F.abs(F.col("v_right") - F.col("v") - 6.5) <= 18.5)).first()) == (want, want)
+    assert many_pairs[0] < 3 * want  # 20 times as many before
+
+
+def test_long_and_short_intervals_choose_their_leaves():
+    assert joins._base_level([(2, 10 ** 6)], 10 ** 7, 20_000, 9) == 0  # bands over three buckets
+    assert joins._base_level([(9, 1000)], 10 ** 7, 20_000, 9) > 2  # a few long ones: fewer rows, though more pairs
