@@ -63,3 +63,17 @@ def test_narrow_bands_meet_few_others(spark, many_pairs, monkeypatch):
 def test_long_and_short_intervals_choose_their_leaves():
     assert joins._base_level([(2, 10 ** 6)], 10 ** 7, 20_000, 9) == 0  # bands over three buckets
     assert joins._base_level([(9, 1000)], 10 ** 7, 20_000, 9) > 2  # a few long ones: fewer rows, though more pairs
+
+
+def test_pairs_of_a_left_join_come_in_blocks(spark, tmp_path):
+    """Many points in many intervals: tasks by the number of pairs, rows in an order in which both sides repeat, and the file packs."""
+    points = spark.range(3000).select(F.xxhash64("id").alias("p"), F.when(F.col("id") % 10 > 0, F.col("id").cast("double")).alias("x"))
+    spans = spark.range(400).select(F.xxhash64(F.col("id") + 5000).alias("s"), (F.col("id") * 2.0).alias("low"), (2000.0 + F.col("id")).alias("high"))
+    found = joins.interval_join(points, spans, "x", "low", "high", "left", pairs_per_task=40_000, rows_per_part=1000).select("p", "s")
+    found.write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    want = [sum(2 * j <= i <= 2000 + j for j in range(400)) if i % 10 else 0 for i in range(3000)]
+    assert rows.filter("s IS NOT NULL").count() == rows.filter("s IS NOT NULL").distinct().count() == sum(want)
+    assert rows.filter("s IS NULL").count() == want.count(0)
+    files = [f for f in (tmp_path / "out").glob("*.parquet")]
+    assert len(files) >= 4 and sum(f.stat().st_size for f in files) < sum(want)  # less than a byte a row
