@@ -84,13 +84,13 @@ def _nodes(first: Column, last: Column, depth: int) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def _base_level(spans: Sequence[tuple[int, int]], points: int, buckets: int, most: int) -> int:
+def _base_level(spans: Sequence[tuple[int, int]], points: int, buckets: int, groups: int, most: int) -> int:
     """The level, ``most`` at the highest, whose nodes serve best as leaves; ``spans``: (bits, n) for n intervals over 2 ** bits buckets at most.
 
     Finer leaves bring fewer pairs together that do not belong to each other, and store points and intervals more often.
     """
     def cost(level: int) -> float:
-        leaf, pairs, rows, levels = points / buckets * 2 ** level, 0.0, 0.0, 1
+        leaf, pairs, rows, levels = points / buckets / groups * 2 ** level, 0.0, 0.0, 1
         for bits, n in spans:
             wide = 0.75 * 2 ** (bits - level) if bits else 0.0
             pairs += n * min(2.0, 1 + wide) * leaf
@@ -124,7 +124,8 @@ def _pairs(points: DataFrame, intervals: DataFrame, point: str, low: str | None,
     above = {"both": ">=", "left": ">=", "right": ">", "neither": ">"}[closed]
     below = {"both": "<=", "left": "<", "right": "<=", "neither": "<"}[closed]
     rows, finest = points.count(), rows_per_bucket
-    if points.select(_line(points, point)).dtypes[0][1] == "double" and rows * intervals.count() > pairs_per_task:
+    groups = max(1, points.agg(F.approx_count_distinct(F.struct(*map(name, on)))).first()[0]) if on else 1  # rows of different groups never meet
+    if points.select(_line(points, point)).dtypes[0][1] == "double" and rows * intervals.count() / groups > pairs_per_task:
         finest = max(1, min(rows_per_bucket, ROWS_PER_LEAF))
     cuts, kind, count = ordered._cut_points(points, _line(points, point), finest, MAX_BUCKETS)
     ends = {out: _line(intervals, end).alias(out) for out, end in (("first", low), ("last", high)) if end is not None}
@@ -133,21 +134,21 @@ def _pairs(points: DataFrame, intervals: DataFrame, point: str, low: str | None,
     scan = F.monotonically_increasing_id().alias("scan")  # tells equal rows apart; taken before any shuffle, so a task run again deals alike
     b = _bucketed(intervals.select(F.struct(*map(name, intervals.columns)).alias("b"), scan, *equal, *ends.values()), list(ends), cuts, kind, count)
     b = b.withColumns({out: F.lit(open_) for out, open_ in (("first", 0), ("last", count)) if out not in ends}).filter(F.col("first") <= F.col("last"))
-    base, highest = 0, count.bit_length()
+    base, highest, reach = 0, count.bit_length(), None
     if finest < rows_per_bucket and count:
         bits = F.when(F.col("last") > F.col("first"), F.floor(F.log2(F.col("last") - F.col("first"))) + 1).otherwise(0).cast("int")
-        spans = [tuple(r) for r in b.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()]  # a few lengths
-        base = _base_level(spans, rows, count + 1, max(0, min(count.bit_length(), math.floor(math.log2(rows_per_bucket * (count + 1) / rows)))))
+        found = b.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).collect()  # a few lengths
+        spans, reach = [(r["bits"], r["n"]) for r in found], (min((r["first"] for r in found), default=0), max((r["last"] for r in found), default=-1))
+        base = _base_level(spans, rows, count + 1, groups, max(0, min(count.bit_length(), math.floor(math.log2(rows_per_bucket * (count + 1) / rows)))))
         highest = max((bits for bits, _ in spans), default=0)  # no node is larger than the longest interval
     depth = max(1, min((count >> base).bit_length(), highest - base + 1))
     leaf = lambda bucket: F.shiftright(bucket, base) if base else F.col(bucket)
     b = b.select("b", "scan", *keys[1:], F.explode(_nodes(leaf("first"), leaf("last"), depth)).alias(node))
-    stored = write_out(b.select(node).distinct())  # two for every bucket at most
-    used = sorted(r[0] for r in stored.select(F.floor(F.col(node) / LEVEL).cast("int").alias("level")).distinct().collect())  # a few levels
+    used = sorted(r[0] for r in b.select(F.floor(F.col(node) / LEVEL).cast("int").alias("level")).distinct().collect())  # a few levels
     a = _bucketed(points.select(F.struct(*map(name, points.columns)).alias("a"), scan, *equal, _line(points, point).alias("leaf")), ["leaf"], cuts, kind, count)
+    if reach:  # points beyond all intervals need not be shuffled
+        a = a.filter(F.col("leaf").between(*reach))
     a = a.withColumn("leaf", leaf("leaf").cast("long")).select("a", "scan", *keys[1:], F.explode(F.array(*[F.lit(v * LEVEL) + F.shiftright("leaf", v) for v in used] or [F.lit(-1).cast("long")])).alias(node))
-    if finest < rows_per_bucket:  # many pairs: points away from all intervals need not be shuffled
-        a = a.join(stored, node, "left_semi")
     for k in keys[1:]:
         a, b = a.filter(F.col(k).isNotNull()), b.filter(F.col(k).isNotNull())
     hot, filled = _split(a.select(*keys), b.select(*keys), keys, pairs_per_task, rows_per_part)

@@ -61,8 +61,8 @@ def test_narrow_bands_meet_few_others(spark, many_pairs, monkeypatch):
 
 
 def test_long_and_short_intervals_choose_their_leaves():
-    assert joins._base_level([(2, 10 ** 6)], 10 ** 7, 20_000, 9) == 0  # bands over three buckets
-    assert joins._base_level([(9, 1000)], 10 ** 7, 20_000, 9) > 2  # a few long ones: fewer rows, though more pairs
+    assert joins._base_level([(2, 10 ** 6)], 10 ** 7, 20_000, 1, 9) == 0  # bands over three buckets
+    assert joins._base_level([(9, 1000)], 10 ** 7, 20_000, 1, 9) > 2  # a few long ones: fewer rows, though more pairs
 
 
 def test_pairs_of_a_left_join_come_in_blocks(spark, tmp_path):
@@ -77,3 +77,17 @@ def test_pairs_of_a_left_join_come_in_blocks(spark, tmp_path):
     assert rows.filter("s IS NULL").count() == want.count(0)
     files = [f for f in (tmp_path / "out").glob("*.parquet")]
     assert len(files) >= 4 and sum(f.stat().st_size for f in files) < sum(want)  # less than a byte a row
+
+
+@pytest.mark.parametrize("pairs", [20, 2_000, 25_000])  # blocks and parts, blocks, a plain join; leaves are fine in all three
+def test_fine_leaves_with_equal_columns(spark, monkeypatch, pairs):
+    """Columns that must be equal are still there when few columns of the result are asked for."""
+    monkeypatch.setattr(joins, "ROWS_PER_LEAF", 4)
+    rows = [(i, i % 2, "ab"[i % 3 > 0], float(i * 37 % 400), float(i * 37 % 400 + i % 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g int, h string, low double, high double")
+    found = joins.overlap_join(df, df, "low", "high", on="g,h", pairs_per_task=pairs, rows_per_part=10).groupBy("id").agg(F.count("*").alias("n"), F.sum("id_right").alias("s"))
+    want = {}
+    for i, g, h, low, high in rows:
+        met = [j for j, k, l, since, till in rows if (g, h) == (k, l) and low <= till and since <= high]
+        want[i] = (len(met), sum(met))
+    assert {r["id"]: (r["n"], r["s"]) for r in found.collect()} == want
